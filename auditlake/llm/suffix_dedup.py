@@ -15,8 +15,9 @@ needs about 1.5 / sqrt(length) of them.
 2. Buckets are sorted by (bucket key, rank key, document, start).  A run whose rank
    key occurred earlier repeats as a whole: the precomputed rank resolves its ties,
    however long.  A run whose bucket holds no other rank key is unique.
-3. Only the strings of the remaining runs are compared one by one: grouped by
-   (bucket key, hash of the string), of which the earliest stays.
+3. Only the remaining runs bring their bytes to the buckets, where their strings are
+   compared one by one in (document, start) order; a bucket with very many of them is
+   dealt out once more, to a bucket for each string.
 """
 
 from __future__ import annotations
@@ -29,11 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Rolling, signed, staged, text_buffer
+from .common import Rolling, mix, signed, staged, text_buffer
 
 #: Bytes hashed at once; positions within a block fit the low 20 bits of a key.
 BLOCK = 1 << 19
 LOW = np.uint64((1 << 20) - 1)
+#: A run is kept as start * 2**N_BITS + strings; it holds at most length - gram + 1 strings.
+N_BITS = 12
+#: Undecided runs of a bucket beyond which it is dealt out by string.
+WIDE = 4096
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -87,7 +92,7 @@ def _blocks(at: np.ndarray, length: int) -> Iterator[tuple[int, int, int, int]]:
 
 
 def _cover(length: int, gram: int):
-    names = ["doc_id", "start", "n", "bucket", "rank", "known"]
+    names = ["doc_id", "place", "bucket", "rank"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -109,61 +114,109 @@ def _cover(length: int, gram: int):
                 first = first[same]
                 known = (doc != doc[first]) | (start != start[first])
                 bucket = np.where(known, np.arange(len(doc), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ bucket, bucket)
-                yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(start), pa.array(n), pa.array(signed(bucket)), pa.array(signed(rank)), pa.array(known)], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array((start << N_BITS) | n), pa.array(signed(bucket)), pa.array(signed(rank), mask=known)], names=names)
 
     return run
 
 
-def _strings(length: int):
-    """Text and undecided runs of each document to one row a string: (bucket, string hash, doc_id, start)."""
-    names = ["bucket", "string", "doc_id", "start"]
+def _ragged(n: np.ndarray) -> np.ndarray:
+    """0 .. n[0] - 1, 0 .. n[1] - 1, and so on."""
+    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
 
-    def hashed(text: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Starts of all strings of the runs, and their hashes; runs that don't fit the text are left out."""
-        at = np.repeat(start, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        low = at[0]
-        return at, Rolling(text[low : at[-1] + length]).span(at - low, at - low + length)
+
+def _bodies(length: int):
+    """Text and undecided runs of each document to one row a run, with the bytes that its strings touch.
+
+    A run of a wide bucket is dealt out further, to a bucket for each string; of equal strings in a batch, only the
+    first goes there.
+    """
+    names = ["bucket", "doc_id", "start", "n", "body"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             raw, at = text_buffer(batch.column(1))
             runs = batch.column(2)
-            bounds = runs.offsets.to_numpy()
-            start, n, bucket = (f.to_numpy(zero_copy_only=False).astype(np.int64) for f in runs.values.flatten())
-            held, rows = [], 0
-            for i in range(len(ids)):
-                text, r = raw[at[i] : at[i + 1]], slice(bounds[i], bounds[i + 1])
-                order = np.argsort(start[r], kind="stable")
-                s, m, key = start[r][order], n[r][order], bucket[r][order]
-                fits = s + m + length - 1 <= len(text)
-                s, m, key = s[fits], m[fits], key[fits]
-                for cut in np.split(np.arange(len(s)), np.flatnonzero(np.diff(s // BLOCK)) + 1) if len(s) else ():
-                    where, string = hashed(text, s[cut], m[cut])
-                    held.append((np.repeat(key[cut], m[cut]), signed(string), np.full(len(where), ids[i]), where))
-                    rows += len(where)
-                if held and (rows >= 200_000 or i == len(ids) - 1):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held, strict=True)], names=names)
-                    held, rows = [], 0
+            doc = np.repeat(np.arange(len(ids)), np.diff(runs.offsets.to_numpy()))
+            place, bucket, wide = (f.to_numpy(zero_copy_only=False) for f in runs.flatten().flatten())
+            start, n, wide = place >> N_BITS, place & ((1 << N_BITS) - 1), wide.astype(bool)
+            fits = start + n + length - 1 <= at[doc + 1] - at[doc]
+            for part in (np.flatnonzero(fits & ~wide), np.flatnonzero(fits & wide)):
+                for some in np.array_split(part, len(part) // 20_000 + 1):
+                    if not len(some):
+                        continue
+                    d, s, m, key = doc[some], start[some], n[some], bucket[some]
+                    low = at[d] + s
+                    size = m + length - 1
+                    body = raw[np.repeat(low, size) + _ragged(size)]
+                    if wide[some[0]]:
+                        where = np.repeat(np.cumsum(size) - size, m) + _ragged(m)
+                        string = Rolling(body).span(where, where + length)
+                        d, key, s = np.repeat(d, m), np.repeat(key, m), np.repeat(s, m) + _ragged(m)
+                        key = (mix(key.view(np.uint64)) ^ string).view(np.int64)
+                        order = np.lexsort((s, ids[d]))
+                        d, key, s, where = d[order], key[order], s[order], where[order]
+                        _, first, same = np.unique(key, return_index=True, return_inverse=True)
+                        known = (ids[d] != ids[d][first[same]]) | (s != s[first[same]])
+                        yield pa.RecordBatch.from_arrays([*map(pa.array, (s[known] ^ key[known], ids[d][known], s[known], np.ones(known.sum(), np.int64))), pa.nulls(int(known.sum()), pa.binary())], names=names)
+                        d, key, s, where = d[~known], key[~known], s[~known], where[~known]
+                        m, size = np.ones(len(d), np.int64), np.full(len(d), length)
+                        body = body[np.repeat(where, size) + _ragged(size)]
+                    offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+                    bodies = pa.BinaryArray.from_buffers(pa.binary(), len(d), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(body))])
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, (key, ids[d], s, m)), bodies], names=names)
+
+    return run
+
+
+def _settle(length: int):
+    """Runs in (bucket, document, start) order to the runs of their strings that occurred earlier in the bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, seen, begun = None, np.zeros(0, np.uint64), (None, None)
+        for batch in batches:
+            bucket, doc, start, n = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4))
+            raw, at = text_buffer(batch.column(4))
+            if not len(bucket):
+                continue
+            known = np.diff(at) == 0
+            m = np.where(known, 0, n)
+            row = np.repeat(np.arange(len(m)), m)
+            begin = np.repeat(at[:-1], m) + _ragged(m)
+            string = Rolling(raw).span(begin, begin + length)
+            key = mix(bucket[row].view(np.uint64)) ^ string
+            place = start[row] + _ragged(m)
+            repeat = np.zeros(len(key), bool)
+            if len(key):
+                _, first, same = np.unique(key, return_index=True, return_inverse=True)
+                first = first[same]
+                repeat = (doc[row] != doc[row][first]) | (place != place[first])
+                if bucket[0] == last:
+                    head = bucket[row] == last
+                    old = head & np.isin(key, seen)
+                    # A repeated input row isn't earlier than itself.
+                    repeat |= old & ~((doc[row] == begun[0]) & (place == begun[1]))
+                tail = key[bucket[row] == bucket[-1]]
+                seen = np.union1d(seen, tail) if bucket[-1] == last else np.unique(tail)
+                begun = (doc[row[-1]], place[-1])
+            last = bucket[-1]
+            at_row = np.flatnonzero(repeat)
+            cut = np.flatnonzero((np.diff(at_row) != 1) | (np.diff(row[at_row]) != 0)) + 1 if len(at_row) else np.zeros(0, np.int64)
+            heads = np.concatenate([[0], cut]).astype(np.int64) if len(at_row) else cut
+            counts = np.diff(np.append(heads, len(at_row)))
+            docs = np.concatenate([doc[row[at_row[heads]]], doc[known]])
+            places = np.concatenate([(place[at_row[heads]] << N_BITS) | counts, (start[known] << N_BITS) | n[known]])
+            yield pa.RecordBatch.from_arrays([pa.array(docs), pa.array(places)], names=["doc_id", "place"])
 
     return run
 
 
-def removed_mask(size: int, start: np.ndarray, n: np.ndarray, kept: np.ndarray, whole: np.ndarray, length: int) -> np.ndarray:
-    """Which bytes go: runs of strings [start, start + n), of which those that begin at `kept` stay unless their run is whole."""
+def removed_mask(size: int, start: np.ndarray, n: np.ndarray, length: int) -> np.ndarray:
+    """Which bytes go, given the runs [start, start + n) of strings that occurred earlier."""
     edge = np.zeros(size + 1, np.int64)
     np.add.at(edge, start, 1)
-    np.add.at(edge, start + n, -1)
-    repeat = np.cumsum(edge[:-1]) > 0
-    if len(kept):
-        repeat[kept] = False
-        edge[:] = 0
-        np.add.at(edge, start[whole], 1)
-        np.add.at(edge, (start + n)[whole], -1)
-        repeat |= np.cumsum(edge[:-1]) > 0
-    total = np.concatenate([np.zeros(1, np.int64), np.cumsum(repeat)])
-    upto = np.arange(1, size + 1)
-    return total[upto] > total[np.maximum(upto - length, 0)]
+    np.add.at(edge, np.minimum(start + n + length - 1, size), -1)
+    return np.cumsum(edge[:-1]) > 0
 
 
 def _cut(length: int):
@@ -173,23 +226,17 @@ def _cut(length: int):
         for batch in batches:
             ids = batch.column(0)
             raw, at = text_buffer(batch.column(1))
-            lists = []
-            for column in (batch.column(2), batch.column(3)):
-                column = column.fill_null([])
-                lists.append((column.offsets.to_numpy(), column.values))
-            (rb, runs), (fb, first) = lists
-            start, n, whole = (f.to_numpy(zero_copy_only=False) for f in runs.flatten())
-            first = first.to_numpy(zero_copy_only=False)
+            lists = [(c.offsets.to_numpy(), c.values.to_numpy(zero_copy_only=False)) for c in (batch.column(k).fill_null([]) for k in (2, 3))]
             sizes, gone, spans, digests, kept = [], [], [], [], []
             for i in range(len(ids)):
                 text = raw[at[i] : at[i + 1]]
-                r = slice(rb[i], rb[i + 1])
+                place = np.concatenate([values[bounds[i] : bounds[i + 1]] for bounds, values in lists]).astype(np.int64)
+                start, n = place >> N_BITS, place & ((1 << N_BITS) - 1)
                 size = len(text)
-                if rb[i] == rb[i + 1]:
-                    out, n_gone, n_spans = text, 0, 0
-                else:
-                    fits = start[r] + n[r] + length - 1 <= size
-                    mask = removed_mask(size, start[r][fits], n[r][fits], first[fb[i] : fb[i + 1]], whole[r][fits].astype(bool), length)
+                out, n_gone, n_spans = text, 0, 0
+                if len(start):
+                    fits = start + n + length - 1 <= size
+                    mask = removed_mask(size, start[fits], n[fits], length)
                     n_gone = int(mask.sum())
                     n_spans = int(mask[:1].sum() + (mask[1:] & ~mask[:-1]).sum())
                     out = text[~mask]
@@ -207,30 +254,31 @@ def _cut(length: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, gram: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 100, gram: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Remove each byte covered by a `length`-byte string that also starts earlier (smaller id, or same id and earlier start).
 
     Returns (doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept), one row for each input row; `kept` holds the
     remaining bytes, which may end inside a character.  Null or short texts lose nothing; rows that repeat an id and its
     text aren't earlier than each other; a null id sorts before all others and matches as id -2**63; columns but the two
-    named are ignored.  Work: one pass over the text, a shuffle of its sampled positions (about 1 in 35), a shuffle of texts.
+    named are ignored.  Work: one pass over the text, a shuffle of its sampled positions (about 1 in 39), a shuffle of texts.
     """
     docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("doc_id"), F.col(text_col).alias("text"))
-    runs = docs.mapInArrow(_cover(length, gram), "doc_id long, start long, n long, bucket long, rank long, known boolean")
-    runs = runs.repartition("known", "bucket")
-    bucket = Window.partitionBy("known", "bucket")
+    runs = docs.mapInArrow(_cover(length, gram), "doc_id long, place long, bucket long, rank long").repartition("bucket")
+    bucket = Window.partitionBy("bucket")
+    known = F.col("rank").isNull()
     ranked = (
-        runs.withColumn("earliest", F.min(F.struct("doc_id", "start")).over(Window.partitionBy("known", "bucket", "rank")))
+        runs.withColumn("earliest", F.min(F.struct("doc_id", "place")).over(Window.partitionBy("bucket", "rank")))
+        .withColumn("whole", known | (F.col("earliest") < F.struct("doc_id", "place")))
         .withColumn("low", F.min("rank").over(bucket))
         .withColumn("high", F.max("rank").over(bucket))
+        .withColumn("wide", F.count(F.when(~F.col("whole"), 1)).over(bucket) > WIDE)
     )
-    whole = F.col("known") | (F.col("earliest") < F.struct("doc_id", "start"))
-    marks = ranked.select("doc_id", "start", "n", "bucket", whole.alias("whole"), (F.col("low") != F.col("high")).alias("open")).where("whole or open")
-    marks = staged(marks.groupBy("doc_id").agg(F.collect_set(F.struct("start", "n", "bucket", "whole")).alias("runs")), "repeats")
-    undecided = marks.select("doc_id", F.expr("transform(filter(runs, r -> not r.whole), r -> struct(r.start, r.n, r.bucket))").alias("runs")).where("size(runs) > 0")
-    strings = docs.join(undecided, "doc_id").mapInArrow(_strings(length), "bucket long, string long, doc_id long, start long")
-    firsts = strings.groupBy("bucket", "string").agg(F.min(F.struct("doc_id", "start")).alias("at"))
-    firsts = firsts.groupBy("at.doc_id").agg(F.collect_list("at.start").alias("firsts"))
-    every = marks.select("doc_id", F.expr("transform(runs, r -> struct(r.start, r.n, r.whole))").alias("runs"))
-    joined = docs.join(every, "doc_id", "left").join(firsts, "doc_id", "left").select("doc_id", "text", "runs", "firsts")
+    open_run = F.when(~F.col("whole"), F.struct("place", "bucket", "wide"))
+    marks = ranked.where("whole or low != high").groupBy("doc_id")
+    marks = staged(marks.agg(F.collect_list(F.when(F.col("whole"), F.col("place"))).alias("whole"), F.collect_list(open_run).alias("runs")), "repeats")
+    bodies = docs.join(marks.select("doc_id", "runs").where("size(runs) > 0"), "doc_id")
+    bodies = bodies.mapInArrow(_bodies(length), "bucket long, doc_id long, start long, n long, body binary")
+    parts = bodies.repartition("bucket").sortWithinPartitions("bucket", "doc_id", "start").mapInArrow(_settle(length), "doc_id long, place long")
+    parts = parts.groupBy("doc_id").agg(F.collect_list("place").alias("parts"))
+    joined = docs.join(marks.select("doc_id", "whole"), "doc_id", "left").join(parts, "doc_id", "left").select("doc_id", "text", "whole", "parts")
     return joined.mapInArrow(_cut(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
