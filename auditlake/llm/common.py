@@ -107,3 +107,30 @@ class Rolling:
 
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
+
+
+def key_groups(batches, keys: int):
+    """Runs of equal values in the first `keys` columns of sorted batches, each as one record batch.
+
+    A group may span batches; only the group at hand is held.
+    """
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        n = len(batch)
+        if not n:
+            continue
+        columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(keys)]
+        new = np.zeros(n, bool)
+        for c in columns:
+            new[1:] |= c[1:] != c[:-1]
+        if held and any(held[-1].column(i)[len(held[-1]) - 1].as_py() != batch.column(i)[0].as_py() for i in range(keys)):
+            yield pa.concat_batches(held)
+            held = []
+        cuts = [0, *np.flatnonzero(new).tolist(), n]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            held.append(batch.slice(a, b - a))
+            if b < n:
+                yield pa.concat_batches(held) if len(held) > 1 else held[0]
+                held = []
+    if held:
+        yield pa.concat_batches(held)

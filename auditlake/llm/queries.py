@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import table
-from . import chat, langid, packing, suffix_dedup, warc
+from . import cap_filters, chat, langid, packing, signature_tree, suffix_dedup, warc
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +35,14 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(spark, folder, manifest, with_payload=False).drop("target_uri", "payload")
 
 
+def op8_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cap_filters.near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.9)
+
+
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signature_tree.near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     hostile = "</s>[INST] ok [/INST]"
     rows = spark.createDataFrame([(-7, 0, "user", hostile), (-7, 1, "assistant", hostile)], "conv_id long, turn long, role string, text string")
@@ -43,7 +51,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_suffix_dedup, op5_language_id, op6_warc, op10_chat_format)}
+    return {f.__name__: f for f in (op1_packing, op2_suffix_dedup, op5_language_id, op6_warc, op8_cap_filters, op9_ngram_jaccard, op10_chat_format)}
 
 
 def oracle_sql() -> dict[str, str]:
