@@ -1,13 +1,14 @@
 """Exact n-gram Jaccard self-join by prefix groups, searched with signature trees.
 
 1. Each document becomes the set of the hashes of its distinct shingles; equal sets form a class.
-2. Two sets with Jaccard similarity t or more share a shingle among the first |x| - ceil(t |x|) + 1 of each, in any
-   order that is the same for all.  The order is by hash, with very common shingles last, so that what many
-   documents share doesn't bring them together.
+2. Two sets with Jaccard similarity t or more share at least l shingles among the first |x| - ceil(t |x|) + l of each,
+   in any order that is the same for all; the order is by hash, and l grows with the size.  Sets with fewer shared
+   shingles than that go, twice over, and what is left is cut to its rarest shingles, by the same rule.
 3. The classes that share a prefix shingle are a group; of groups with the same members one is kept.  In a group, a
    tree of nodes holds OR-combined bitmaps of shingles, the range of sizes and the collisions in the bitmaps; a dual
-   traversal prunes pairs of nodes whose largest possible overlap is too small, or which are connected already, and
-   verifies the rest.  A group gives the edges of a spanning forest of its links, never all pairs.
+   traversal prunes pairs of nodes whose largest possible overlap is too small.  First small bitmaps alone are sent
+   to the groups, then the sets of those that have a partner there; pairs that aren't connected yet are verified.  A
+   group gives the edges of a spanning forest of its links, never all pairs.
 4. Connected components over those edges.
 """
 
@@ -25,9 +26,8 @@ from .components import components
 
 #: Bytes of text hashed at once, unless one document has more.
 BLOCK = 1 << 20
-#: A shingle in the prefixes of more than max(HOT_LEAST, classes / HOT_SHARE) sets is very common; there are fewer than
-#: HOT_SHARE times the mean prefix length of those, whatever the size of the corpus.
-HOT_LEAST, HOT_SHARE = 64, 4096
+#: Percent of a set's size that is the number l of shingles to be shared.
+SHARED_PERCENT = 8
 #: Shingles of a group that one task holds; a larger group is dealt out as pairs of blocks.
 BLOCK_SHINGLES = 1_000_000
 #: log2 of the bits that say which documents' sets are needed.
@@ -81,12 +81,13 @@ def _set_keys(words: int):
     return run
 
 
-def prefix_length(n: int, percent: int) -> int:
-    return n - (percent * n + 99) // 100 + 1
+def to_share(n: int) -> int:
+    """l for a set of n shingles."""
+    return max(n * SHARED_PERCENT // 100, 1)
 
 
-def _prefixes(words: int, percent: int, hot: np.ndarray | None):
-    """Rows (token, k, n) of the prefixes of the batch's distinct sets; with hot None, the tokens alone."""
+def _prefixes(words: int, percent: int):
+    """Rows (token, k, n) of the prefixes of the batch's distinct sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -96,43 +97,56 @@ def _prefixes(words: int, percent: int, hot: np.ndarray | None):
                     continue
                 with np.errstate(over="ignore"):
                     k = int(mix(s ^ U64(1)).sum().view(np.int64))
-                if k in done:
-                    continue
-                done.add(k)
-                p = prefix_length(len(s), percent)
-                if hot is not None and len(hot):
-                    # The first p in the order (very common, hash) are among the first p that aren't and the first p that are.
-                    common = hot[np.minimum(np.searchsorted(hot, s), len(hot) - 1)] == s
-                    s, n = np.concatenate([s[~common][:p], s[common][:p]]), len(s)
-                else:
+                if k not in done:
+                    done.add(k)
                     n = len(s)
-                tokens.append(s[:p])
-                keys.append(k)
-                sizes.append(n)
-            if not tokens:
-                continue
-            flat = pa.array(signed(np.concatenate(tokens)))
-            if hot is None:
-                yield pa.RecordBatch.from_arrays([flat], names=["token"])
-                continue
-            each = np.fromiter(map(len, tokens), np.int64, len(tokens))
-            yield pa.RecordBatch.from_arrays([flat, pa.array(np.repeat(np.array(keys, np.int64), each)), pa.array(np.repeat(np.array(sizes, np.int64), each))], names=["token", "k", "n"])
+                    tokens.append(s[: n - (percent * n + 99) // 100 + to_share(n)])
+                    keys.append(k)
+                    sizes.append(n)
+            if tokens:
+                each = np.fromiter(map(len, tokens), np.int64, len(tokens))
+                flat = signed(np.concatenate(tokens))
+                yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.repeat(np.array(keys, np.int64), each)), pa.array(np.repeat(np.array(sizes, np.int64), each))], names=["token", "k", "n"])
 
     return run
 
 
-def _needed_sets(words: int, bits: np.ndarray):
+def _peeled(shared: DataFrame, percent: int) -> DataFrame:
+    """Rows (token, k, n) of sets that may have a partner, with the shingles of which partners share one."""
+    need = F.greatest(F.floor(F.floor(F.col("n") * percent / 100) * SHARED_PERCENT / 100), F.lit(1))
+    of_set, of_token = Window.partitionBy("k"), Window.partitionBy("token")
+    for _ in range(2):
+        shared = shared.withColumn("c", F.count(F.lit(1)).over(of_set)).where(F.col("c") >= need)
+        shared = shared.withColumn("df", F.count(F.lit(1)).over(of_token)).where("df > 1")
+    shared = shared.withColumn("c", F.count(F.lit(1)).over(of_set)).withColumn("rank", F.row_number().over(of_set.orderBy("df", "token")))
+    shared = shared.where((F.col("c") >= need) & (F.col("rank") <= F.col("c") - need + 1))
+    by_size = of_token.orderBy("n", "k")
+    before, after = F.lag("n").over(by_size), F.lead("n").over(by_size)
+    return shared.where("df > 0").withColumn("before", before).withColumn("after", after).where((100 * F.col("before") >= percent * F.col("n")) | (100 * F.col("n") >= percent * F.col("after"))).select("token", "k", "n")
+
+
+def _needed_sets(words: int, involved: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             slot = batch.column(1).to_numpy(zero_copy_only=False) & ((1 << INVOLVED_BITS) - 1)
-            keep = pa.array(np.flatnonzero((bits[slot >> 3] >> (slot & 7)) & 1))
+            keep = pa.array(np.flatnonzero((involved[slot >> 3] >> (slot & 7)) & 1))
             if len(keep):
-                sets = [s.tobytes() for _, s in shingle_sets(batch.column(2).take(keep), words)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), pa.array(sets, pa.binary())], names=["rep", "shingles"])
+                sets = [s for _, s in shingle_sets(batch.column(2).take(keep), words)]
+                columns = [pa.array([len(s) for s in sets], pa.int64()), pa.array([bitmap(s).tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), *columns], names=["rep", "n", "bits", "shingles"])
 
     return run
 
 
+def bitmap(s: np.ndarray) -> np.ndarray:
+    """Bits of hashed shingles, two for each or more: as 64-bit words, a power of two of them."""
+    width = max(64, 1 << int(2 * len(s) - 1).bit_length()) if len(s) else 64
+    bits = np.zeros(width // 8, np.uint8)
+    slot = (s & U64(width - 1)).astype(np.int64)
+    np.bitwise_or.at(bits, slot >> 3, (1 << (slot & 7)).astype(np.uint8))
+    return bits.view(np.uint64)
+
+
 class SignatureTree:
     """A tree over sets sorted by size: leaves of a few sets, nodes with OR-combined bitmaps and ranges of sizes."""
 
@@ -179,6 +193,49 @@ class Forest:
         return i != j
 
 
+def leaf_pairs(tree: SignatureTree, percent: int, settled) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of sets, as indices, that a dual traversal can't prune; settled(i, j) tells which pairs needn't be looked at."""
+    pairs = [(len(tree.levels) - 1, 0, 0)]
+    while pairs:
+        level, a, b = pairs.pop()
+        left = np.array(tree.children(level, a))
+        right = left if a == b else np.array(tree.children(level, b))
+        i, j = (x.ravel() for x in np.meshgrid(left, right, indexing="ij"))
+        if a == b:
+            keep = (i <= j) if level > 1 else (i < j)
+            i, j = i[keep], j[keep]
+        if level == 1 and len(i):
+            keep = ~settled(tree.order[i], tree.order[j])
+            i, j = i[keep], j[keep]
+        if len(i):
+            keep = tree.compatible(level - 1, i, j, percent)
+            i, j = i[keep], j[keep]
+        if level > 1:
+            pairs.extend((level - 1, x, y) for x, y in zip(i.tolist(), j.tolist(), strict=True))
+        elif len(i):
+            yield tree.order[i], tree.order[j]
+
+
+def have_partners(bitmaps: list[np.ndarray], sizes: np.ndarray, percent: int, side: np.ndarray | None = None) -> np.ndarray:
+    """Which sets may be linked with another one, by their bitmaps; with `side`, with one of another side."""
+    found, widths = np.zeros(len(sizes), bool), np.array([len(b) for b in bitmaps])
+    for width in np.unique(widths).tolist():
+        # Linked sets have bitmaps of the same width, or one of twice the other's.
+        some = np.flatnonzero((widths == width) | (widths == 2 * width))
+        if len(some) < 2:
+            continue
+        bits = np.stack([bitmaps[i] if widths[i] == width else bitmaps[i][:width] | bitmaps[i][width:] for i in some])
+        tree = SignatureTree(bits, sizes[some])
+
+        def settled(i: np.ndarray, j: np.ndarray, some=some) -> np.ndarray:
+            i, j = some[i], some[j]
+            return (found[i] & found[j]) | (side[i] == side[j] if side is not None else False)
+
+        for i, j in leaf_pairs(tree, percent, settled):
+            found[some[i]] = found[some[j]] = True
+    return found
+
+
 def spanning_links(sets: list[np.ndarray], percent: int, side: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Edges of a spanning forest of the links between sets; with `side`, links within a side are left to other calls."""
     n = len(sets)
@@ -194,39 +251,40 @@ def spanning_links(sets: list[np.ndarray], percent: int, side: np.ndarray | None
     width = min(len(every), max(1 << 12, (32 << 23) // n))
     width = -(-width // 64) * 64
     exact = width >= len(every)
-    bitmaps = np.zeros((n, width // 8), np.uint8)
+    bits = np.zeros((n, width // 8), np.uint8)
     owner, slot = np.repeat(np.arange(n), sizes), index % width
-    np.bitwise_or.at(bitmaps, (owner, slot >> 3), (1 << (slot & 7)).astype(np.uint8))
-    tree, forest, edges = SignatureTree(bitmaps.view(np.uint64), sizes), Forest(n), []
-    order = tree.order
-    pairs: list[tuple[int, int, int]] = [(len(tree.levels) - 1, 0, 0)]
-    while pairs:
-        level, a, b = pairs.pop()
-        left = np.array(tree.children(level, a))
-        right = left if a == b else np.array(tree.children(level, b))
-        i, j = (x.ravel() for x in np.meshgrid(left, right, indexing="ij"))
-        keep = (i <= j) if level > 1 else (i < j)
-        if level > 1 or a == b:
-            i, j = i[keep], j[keep]
-        if level == 1:
-            roots = {int(x): forest.root(int(order[x])) for x in {*left.tolist(), *right.tolist()}}
-            apart = np.array([roots[x] != roots[y] for x, y in zip(i.tolist(), j.tolist(), strict=True)], bool)
-            if side is not None and len(i):
-                apart &= side[order[i]] != side[order[j]]
-            i, j = i[apart], j[apart]
-        if not len(i):
-            continue
-        fits = tree.compatible(level - 1, i, j, percent)
-        i, j = i[fits], j[fits]
-        if level > 1:
-            pairs.extend((level - 1, x, y) for x, y in zip(i.tolist(), j.tolist(), strict=True))
-            continue
-        for x, y in zip(order[i].tolist(), order[j].tolist(), strict=True):
+    np.bitwise_or.at(bits, (owner, slot >> 3), (1 << (slot & 7)).astype(np.uint8))
+    forest, edges = Forest(n), []
+
+    def settled(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        root = {x: forest.root(x) for x in {*i.tolist(), *j.tolist()}}
+        same = np.array([root[x] == root[y] for x, y in zip(i.tolist(), j.tolist(), strict=True)], bool)
+        return same | (side[i] == side[j] if side is not None else False)
+
+    for i, j in leaf_pairs(SignatureTree(bits.view(np.uint64), sizes), percent, settled):
+        for x, y in zip(i.tolist(), j.tolist(), strict=True):
             if forest.root(x) != forest.root(y) and (exact or linked(x, y)) and forest.join(x, y):
                 edges.append((x, y))
     return edges
 
 
+def _candidates(percent: int):
+    """Groups of rows (token, i, j, part, rep, n, bits), sorted by the first three, to the rows that have a partner."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in key_groups(batches, 3):
+            if len(group) > 1:
+                part, sizes = (group.column(k).to_numpy(zero_copy_only=False) for k in (3, 5))
+                bitmaps = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column(6)]
+                across = group.column(1)[0].as_py() != group.column(2)[0].as_py()
+                found = have_partners(bitmaps, sizes, percent, part if across else None)
+                if found.any():
+                    at = pa.array(np.flatnonzero(found))
+                    yield pa.RecordBatch.from_arrays([group.column(k).take(at) for k in range(5)], names=["token", "i", "j", "part", "rep"])
+
+    return run
+
+
 def _group_links(percent: int):
     """Groups of rows (token, i, j, part, rep, shingles), sorted by the first three, to edges."""
 
@@ -254,16 +312,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     keyed = staged(docs.mapInArrow(_set_keys(words), "doc_id long, n long, k long, k2 long"), "sets")
     classes = staged(keyed.where("n > 0").groupBy("k", "k2", "n").agg(F.min("doc_id").alias("rep")), "classes")
-    total = classes.count()
-    texts = docs.select("text")
-    common = texts.mapInArrow(_prefixes(words, percent, None), "token long").groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    hot = common.where(F.col("df") > max(HOT_LEAST, total // HOT_SHARE)).select("token").collect()
-    hot = np.sort(np.array([r.token for r in hot], np.int64).view(np.uint64))
-
-    prefixes = texts.mapInArrow(_prefixes(words, percent, hot), "token long, k long, n long").repartition("token")
+    prefixes = docs.select("text").mapInArrow(_prefixes(words, percent), "token long, k long, n long").repartition("token")
     token = Window.partitionBy("token")
     shared = prefixes.withColumn("low", F.min("k").over(token)).withColumn("high", F.max("k").over(token)).where("low != high")
     shared = staged(shared.groupBy("token", "k", "n").agg(F.lit(1).alias("one")).select("token", "k", "n"), "shared")
+    shared = staged(_peeled(shared, percent), "peeled")
     members = shared.groupBy("token").agg(F.sum(F.xxhash64("k").cast("decimal(38,0)")).alias("members"), F.count(F.lit(1)).alias("m"), F.sum("n").alias("shingles"))
     kept = members.groupBy("members", "m", "shingles").agg(F.min("token").alias("token")).select("token", "shingles")
     # Blocks of a large group, by size; a group of one block has the single pair of blocks (0, 0).
@@ -280,9 +333,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     for r in words_of.select("page", F.substring("bits", 1, 512).alias("bits")).toLocalIterator():
         bits[r.page * 512 : (r.page + 1) * 512] = np.frombuffer(r.bits, np.uint8)
     spread = spark.sparkContext.broadcast(bits)
-    needed = docs.select(F.col("doc_id").alias("rep"), F.xxhash64("doc_id").alias("slot"), "text").mapInArrow(lambda b: _needed_sets(words, spread.value)(b), "rep long, shingles binary")
-    rows = group.join(needed, "rep").select("token", "i", "j", "part", "rep", "shingles")
-    rows = rows.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "rep")
+    needed = docs.select(F.col("doc_id").alias("rep"), F.xxhash64("doc_id").alias("slot"), "text")
+    needed = needed.mapInArrow(lambda b: _needed_sets(words, spread.value)(b), "rep long, n long, bits binary, shingles binary")
+    needed = staged(needed, "needed")
+    place = ["token", "i", "j"]
+    rows = group.join(needed.select("rep", "n", "bits"), "rep").select(*place, "part", "rep", "n", "bits")
+    group = rows.repartition(*place).sortWithinPartitions(*place, "rep").mapInArrow(_candidates(percent), "token long, i long, j long, part long, rep long")
+    group = staged(group, "candidates")
+    members = group.groupBy(*place).agg(F.sum(F.xxhash64("rep", "part").cast("decimal(38,0)")).alias("members"), F.count(F.lit(1)).alias("m"))
+    kept = members.groupBy("members", "m").agg(F.min(F.struct(*place)).alias("at")).select("at.*")
+    rows = group.join(kept, place).join(needed.select("rep", "shingles"), "rep").select(*place, "part", "rep", "shingles")
+    rows = rows.repartition(*place).sortWithinPartitions(*place, "rep")
     links = components(rows.mapInArrow(_group_links(percent), "a long, b long"))
     found = keyed.join(classes, ["k", "k2", "n"], "left").withColumn("class_id", F.coalesce("rep", "doc_id")).drop("rep")
     found = found.join(links.withColumnRenamed("id", "class_id"), "class_id", "left")
