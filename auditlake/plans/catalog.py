@@ -2,14 +2,610 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions import severity as sev
+from ..operators import corpus, merge, remedy, reports, rules, store
+from ..sources import table
+from ..sources.fixtures import derived, oracle
+from ..streaming import changes
+from . import rule_sql
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query under its function's name, with SQL over the given and derived tables."""
+
+    def register(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _ORACLES[f.__name__] = oracle(sql)
+        return f
+
+    return register
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_ORACLES)
+
+
+def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.gather_lines(derived(spark, sf_dir, "code_lines"), ["file_id", "path"])
+
+
+def costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.with_cost(derived(spark, sf_dir, "scan_costs"))
+
+
+def store_of(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    return {n: derived(spark, sf_dir, n) for n in ("projects", "scans", "violations", "fixes", "scan_costs", "audit_events")}
+
+
+SEV = "count(*) FILTER (WHERE severity = 'critical') AS critical, count(*) FILTER (WHERE severity = 'high') AS high, count(*) FILTER (WHERE severity = 'medium') AS medium, count(*) FILTER (WHERE severity = 'low') AS low"
+RANK = "CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 WHEN 'low' THEN 3 ELSE 4 END"
+COST = "(input_tokens * 0.80::DOUBLE / 1000000 + output_tokens * 4.00::DOUBLE / 1000000 + cache_read_tokens * 0.08::DOUBLE / 1000000 + cache_write_tokens * 1.00::DOUBLE / 1000000)"
+TOKENS = "(input_tokens + output_tokens + cache_read_tokens + cache_write_tokens)"
+DONE = "done AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY started_at DESC, id DESC) AS rn FROM scans WHERE status = 'completed')"
+HEALTH = f"""{DONE}, counts AS (SELECT scan_id, {SEV} FROM violations GROUP BY scan_id),
+  health AS (SELECT p.id AS project_id, p.name, d.id AS scan_id, coalesce(critical, 0) AS critical, coalesce(high, 0) AS high, coalesce(medium, 0) AS medium, coalesce(low, 0) AS low,
+    CASE WHEN d.id IS NULL THEN 'no-scans' WHEN coalesce(critical, 0) > 0 THEN 'critical' WHEN coalesce(high, 0) > 0 THEN 'warning' ELSE 'healthy' END AS health
+    FROM projects p LEFT JOIN (SELECT * FROM done WHERE rn = 1) d ON d.project_id = p.id LEFT JOIN counts c ON c.scan_id = d.id)"""
+
+# ---- sources and store
+
+
+@query("SELECT path, count(*) AS n_lines, CAST(sum(strlen(line)) + count(*) - 1 AS BIGINT) AS n_bytes FROM code_lines GROUP BY path")
+def file_counters(spark, sf_dir):
+    files = code_files(spark, sf_dir)
+    return files.select("path", F.size("lines").cast("long").alias("n_lines"), F.octet_length(F.array_join("lines", "\n")).cast("long").alias("n_bytes"))
+
+
+@query("""SELECT DISTINCT path, len(list_filter(string_split(path, '/'), lambda c: list_contains(['node_modules','vendor','assets','public','static','.git','venv','.venv','__pycache__','.pytest_cache','.tox','.coverage','dist','build','out','target','.cargo','.next','.babel_cache','.cache','coverage'], c) OR starts_with(c, '.'))) > 0 AS skipped,
+  CASE WHEN path LIKE '%.py' THEN 'python' WHEN path LIKE '%.js' THEN 'javascript' WHEN path LIKE '%.ts' THEN 'typescript' END AS language FROM code_lines""")
+def skip_and_language(spark, sf_dir):
+    paths = derived(spark, sf_dir, "code_lines").select("path").distinct()
+    return paths.select("path", sev.skip_path(F.col("path")).alias("skipped"), sev.language(F.col("path")).alias("language"))
+
+
+@query("""SELECT event_id, path FROM file_events WHERE path NOT LIKE '%build%' AND (path LIKE '%.py' OR path LIKE '%.ts')""")
+def watched_events(spark, sf_dir):
+    return changes.watched(derived(spark, sf_dir, "file_events")).select("event_id", "path")
+
+
+@query("SELECT path, line_no, line FROM code_lines")
+def line_split(spark, sf_dir):
+    texts = code_files(spark, sf_dir).select("path", F.concat(F.array_join("lines", "\r\n"), F.lit("\n")).alias("content"))
+    return corpus.explode_lines(corpus.with_lines(texts))
+
+
+@query("SELECT id, scan_id, control_id, severity FROM violations WHERE scan_id = (SELECT min(scan_id) FROM violations)")
+def violation_lookup(spark, sf_dir):
+    v = derived(spark, sf_dir, "violations")
+    return v.join(v.agg(F.min("scan_id").alias("scan_id")), "scan_id", "left_semi").select("id", "scan_id", "control_id", "severity")
+
+
+@query("SELECT id, project_id, started_at, status FROM scans ORDER BY started_at DESC, id DESC LIMIT 50")
+def newest_scans(spark, sf_dir):
+    return derived(spark, sf_dir, "scans").orderBy(F.desc("started_at"), F.desc("id")).limit(50).select("id", "project_id", "started_at", "status")
+
+
+@query("""SELECT key, arg_max(value, updated_at) AS value FROM (SELECT 'k' || (o_custkey % 500) AS key, CAST(o_orderkey AS VARCHAR) AS value, o_orderkey AS updated_at FROM orders) s GROUP BY key""")
+def settings_upsert(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    rows = orders.select(F.concat(F.lit("k"), F.col("o_custkey") % 500).alias("key"), F.col("o_orderkey").cast("string").alias("value"), F.col("o_orderkey").alias("updated_at"))
+    even = F.col("updated_at") % 2 == 0
+    return store.upsert(rows.where(even), rows.where(~even), ["key"]).select("key", "value")
+
+
+@query("""SELECT path, name, framework, false AS created FROM projects WHERE id % 2 = 0
+  UNION ALL SELECT path, regexp_extract(path, '[^/]*$') AS name, framework, true AS created FROM projects WHERE id % 2 = 1 AND id % 3 = 0""")
+def project_get_or_create(spark, sf_dir):
+    p = derived(spark, sf_dir, "projects")
+    return store.get_or_create_projects(p.where("id % 2 = 0"), p.where("id % 3 = 0").select("path", "framework"))
+
+
+@query("SELECT id, name FROM projects WHERE id % 3 <> 0 UNION ALL SELECT id, 'seed' AS name FROM projects WHERE id % 3 = 0")
+def seed_missing(spark, sf_dir):
+    p = derived(spark, sf_dir, "projects").select("id", "name")
+    return store.insert_or_ignore(p.where("id % 3 <> 0"), p.select("id", F.lit("seed").alias("name")), ["id"])
+
+
+@query("SELECT id, CASE WHEN id % 7 = 0 THEN 'dismissed' ELSE status END AS status FROM violations")
+def status_updates(spark, sf_dir):
+    v = derived(spark, sf_dir, "violations").select("id", "status")
+    return store.apply_updates(v, v.where("id % 7 = 0").select("id", F.lit("dismissed").alias("status")), "id", ["status"])
+
+
+GONE = "SELECT id FROM projects WHERE id % 5 = 0"
+
+
+@query(f"""SELECT 'audit_events' AS table_name, count(*) AS n FROM audit_events UNION ALL
+  SELECT 'fixes', count(*) FROM fixes WHERE violation_id NOT IN (SELECT id FROM violations WHERE scan_id IN (SELECT id FROM scans WHERE project_id IN ({GONE}))) UNION ALL
+  SELECT 'projects', count(*) FROM projects WHERE id NOT IN ({GONE}) UNION ALL
+  SELECT 'scan_costs', count(*) FROM scan_costs WHERE scan_id NOT IN (SELECT id FROM scans WHERE project_id IN ({GONE})) UNION ALL
+  SELECT 'scans', count(*) FROM scans WHERE project_id NOT IN ({GONE}) UNION ALL
+  SELECT 'violations', count(*) FROM violations WHERE scan_id NOT IN (SELECT id FROM scans WHERE project_id IN ({GONE}))""")
+def cascade_delete(spark, sf_dir):
+    s = store_of(spark, sf_dir)
+    return store.table_counts(store.delete_cascade(s, s["projects"].where("id % 5 = 0").select(F.col("id").alias("project_id"))))
+
+
+@query(f"SELECT id, CASE WHEN project_id IN ({GONE}) THEN NULL ELSE project_id END AS project_id FROM audit_events")
+def cascade_set_null(spark, sf_dir):
+    s = store_of(spark, sf_dir)
+    gone = s["projects"].where("id % 5 = 0").select(F.col("id").alias("project_id"))
+    return store.delete_cascade(s, gone)["audit_events"].select("id", "project_id")
+
+
+@query("""SELECT s.id, CASE WHEN s.id IN (SELECT scan_id FROM scan_costs) THEN 'smart' ELSE 'regex_only' END AS scan_mode FROM scans s""")
+def scan_mode_backfill(spark, sf_dir):
+    return store.evolve_scans(derived(spark, sf_dir, "scans").drop("scan_mode"), derived(spark, sf_dir, "scan_costs")).select("id", "scan_mode")
+
+
+@query("""SELECT 'scans' AS table_name, 'status not allowed' AS rule, count(*) AS n_bad FROM scans WHERE status NOT IN ('running','completed','failed') UNION ALL
+  SELECT 'violations', 'severity not allowed', count(*) FROM violations WHERE severity NOT IN ('critical','high','medium','low') UNION ALL
+  SELECT 'violations', 'status not allowed', count(*) FROM violations WHERE status NOT IN ('open','fixed','dismissed') UNION ALL
+  SELECT 'violations', 'detection_method not allowed', count(*) FROM violations WHERE detection_method NOT IN ('regex','llm','hybrid') UNION ALL
+  SELECT 'fixes', 'trust_level not allowed', count(*) FROM fixes WHERE trust_level NOT IN ('auto','review','manual') UNION ALL
+  SELECT 'audit_events', 'event_type not allowed', count(*) FROM audit_events WHERE event_type = 'database_cleared' UNION ALL
+  SELECT 'scans', 'project_id missing', count(*) FROM scans WHERE project_id NOT IN (SELECT id FROM projects) UNION ALL
+  SELECT 'violations', 'scan_id missing', count(*) FROM violations WHERE scan_id NOT IN (SELECT id FROM scans) UNION ALL
+  SELECT 'fixes', 'violation_id missing', count(*) FROM fixes WHERE violation_id NOT IN (SELECT id FROM violations) UNION ALL
+  SELECT 'scan_costs', 'scan_id missing', count(*) FROM scan_costs WHERE scan_id NOT IN (SELECT id FROM scans) UNION ALL
+  SELECT 'projects', 'path repeated', count(*) FROM (SELECT path FROM projects GROUP BY path HAVING count(*) > 1) r""")
+def constraint_audit(spark, sf_dir):
+    return store.quarantine(store_of(spark, sf_dir))
+
+
+@query("""SELECT path, starts_with(path, '/') AS absolute, contains(path, '..') AS traversal, false AS nul,
+  (starts_with(path, '/') AND length(path) - 1 <= 10) AS system FROM (SELECT DISTINCT CASE id % 3 WHEN 0 THEN path WHEN 1 THEN '..' || path ELSE substr(path, 2) END AS path FROM projects) p""")
+def path_safety(spark, sf_dir):
+    p = derived(spark, sf_dir, "projects")
+    kinds = F.when(F.col("id") % 3 == 0, F.col("path")).when(F.col("id") % 3 == 1, F.concat(F.lit(".."), "path")).otherwise(F.substring("path", 2, 1000))
+    flags = sev.path_flags(F.col("path"))
+    return p.select(kinds.alias("path")).distinct().select("path", *(c.alias(n) for n, c in flags.items()))
+
+
+@query("""SELECT 'audit_events' AS table_name, count(*) AS n FROM audit_events UNION ALL SELECT 'fixes', count(*) FROM fixes UNION ALL SELECT 'projects', count(*) FROM projects
+  UNION ALL SELECT 'scan_costs', count(*) FROM scan_costs UNION ALL SELECT 'scans', count(*) FROM scans UNION ALL SELECT 'violations', count(*) FROM violations""")
+def export_counts(spark, sf_dir):
+    folder = changes.work_folder(spark, "export")
+    return store.export(store_of(spark, sf_dir), folder)
+
+
+@query("""SELECT 'audit_events' AS table_name, 0 AS n UNION ALL SELECT 'fixes', 0 UNION ALL SELECT 'projects', count(*) FROM projects
+  UNION ALL SELECT 'scan_costs', count(*) FROM scan_costs UNION ALL SELECT 'scans', 0 UNION ALL SELECT 'violations', 0""")
+def purge_counts(spark, sf_dir):
+    return store.table_counts(store.snapshot_and_purge(store_of(spark, sf_dir), changes.work_folder(spark, "snapshot")))
+
+
+# ---- filters and expressions
+
+
+@query("SELECT id, severity, line_number FROM violations WHERE severity IN ('critical','high') AND control_id IN ('CC6.1','A1.2') AND status = 'open'")
+def violations_filtered(spark, sf_dir):
+    return reports.violations_view(derived(spark, sf_dir, "violations"), severity=("critical", "high"), control=("CC6.1", "A1.2"), status=("open",)).select("id", "severity", "line_number")
+
+
+@query("SELECT id FROM violations WHERE severity = 'medium' AND control_id = 'CC7.2' AND contains(lower(file_path), 'f2')")
+def result_view(spark, sf_dir):
+    return reports.result_view(derived(spark, sf_dir, "violations"), "medium", ("CC7.2",), (), " F2 ").select("id")
+
+
+@query("SELECT id, event_type, created_at FROM (SELECT * FROM audit_events ORDER BY created_at DESC, id DESC LIMIT 1000) e WHERE event_type IN ('scan_started','fix_applied') AND created_at <= TIMESTAMP '2030-01-01'")
+def audit_filtered(spark, sf_dir):
+    return reports.audit_view(derived(spark, sf_dir, "audit_events"), ("scan_started", "fix_applied"), end="2030-01-01").select("id", "event_type", "created_at")
+
+
+@query("SELECT id, event_type FROM audit_events WHERE project_id = 7")
+def audit_by_project(spark, sf_dir):
+    return derived(spark, sf_dir, "audit_events").where("project_id = 7").orderBy(F.desc("created_at"), F.desc("id")).select("id", "event_type")
+
+
+@query("SELECT scan_id FROM scan_costs WHERE created_at >= (SELECT max(created_at) FROM scan_costs) - INTERVAL 30 DAYS")
+def costs_last_30d(spark, sf_dir):
+    c = derived(spark, sf_dir, "scan_costs")
+    return reports.costs_since(c, "30d", c.agg(F.max("created_at"))).select("scan_id")
+
+
+@query("""SELECT path, severity, CASE WHEN path LIKE '%/test%' OR path LIKE '%test/%' THEN CASE severity WHEN 'critical' THEN 'high' WHEN 'high' THEN 'medium' ELSE 'low' END ELSE severity END AS adjusted
+  FROM (SELECT DISTINCT c.path, v.severity FROM code_lines c JOIN (SELECT DISTINCT severity FROM violations) v ON true) x""")
+def test_downgrade(spark, sf_dir):
+    paths = derived(spark, sf_dir, "code_lines").select("path").distinct()
+    levels = derived(spark, sf_dir, "violations").select("severity").distinct()  # at most four rows
+    return paths.crossJoin(F.broadcast(levels)).select("path", "severity", sev.downgrade(F.col("severity"), F.col("path")).alias("adjusted"))
+
+
+@query(f"SELECT scan_id, round({COST}, 6) AS total_cost_usd, {TOKENS} AS total_tokens, round({COST} / files_analyzed_with_llm, 6) AS cost_per_file, round({TOKENS} / files_analyzed_with_llm, 6) AS tokens_per_file FROM scan_costs")
+def token_costs(spark, sf_dir):
+    return costs(spark, sf_dir).select("scan_id", *(F.round(c, 6).alias(c) if c != "total_tokens" else F.col(c) for c in ("total_cost_usd", "total_tokens", "cost_per_file", "tokens_per_file")))
+
+
+_GROUPS = ", ".join(
+    f"len(list_filter([{', '.join(chr(39) + w + chr(39) for w in words)}], lambda w: contains(low, w))) > 0 AS has_{group}" for group, words in corpus.KEYWORDS.items()
+)
+
+
+@query(f"""SELECT path, has_auth, has_database, has_endpoint, has_secrets, has_file_io, has_network,
+  (path LIKE '%.py' OR path LIKE '%.js' OR path LIKE '%.ts') AND (has_auth OR has_database OR has_endpoint OR has_secrets OR has_file_io OR has_network) AS selected
+  FROM (SELECT path, {_GROUPS} FROM (SELECT path, lower(string_agg(line, chr(10) ORDER BY line_no)) AS low FROM code_lines GROUP BY path) f) g""")
+def model_selection(spark, sf_dir):
+    files = code_files(spark, sf_dir)
+    out = corpus.select_for_model(files, "smart", F.array_join("lines", "\n"))
+    return out.select("path", *(f"has_{g}" for g in corpus.KEYWORDS), "selected")
+
+
+@query("""SELECT round(100.0 * count(*) FILTER (WHERE path LIKE '%.py' OR path LIKE '%.js' OR path LIKE '%.ts') / count(*), 6) AS rate FROM (SELECT DISTINCT path FROM code_lines) p""")
+def selection_rate(spark, sf_dir):
+    files = code_files(spark, sf_dir)
+    return corpus.select_for_model(files, "analyze_all", F.array_join("lines", "\n")).agg(F.round(F.avg(F.col("selected").cast("int")) * 100, 6).alias("rate"))
+
+
+@query("""SELECT event_type, CASE WHEN contains(event_type, 'scan') THEN 'scan' WHEN contains(event_type, 'fix') THEN 'fix' WHEN contains(event_type, 'violation') THEN 'violation' ELSE event_type END AS label, count(*) AS n FROM audit_events GROUP BY 1, 2""")
+def audit_labels(spark, sf_dir):
+    return derived(spark, sf_dir, "audit_events").groupBy("event_type", sev.audit_label(F.col("event_type")).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT project_id, round(100.0 * count(*) FILTER (WHERE status = 'completed') / count(*)) AS progress FROM scans GROUP BY project_id")
+def progress_percent(spark, sf_dir):
+    n = derived(spark, sf_dir, "scans").groupBy("project_id").agg(F.count_if(F.col("status") == "completed").alias("a"), F.count(F.lit(1)).alias("b"))
+    return n.select("project_id", sev.progress(F.col("a"), F.col("b")).alias("progress"))
+
+
+@query("""SELECT id, CASE WHEN s < 60 THEN 'just now' WHEN s < 3600 THEN (s // 60) || CASE WHEN s // 60 = 1 THEN ' minute ago' ELSE ' minutes ago' END
+  WHEN s < 86400 THEN (s // 3600) || CASE WHEN s // 3600 = 1 THEN ' hour ago' ELSE ' hours ago' END ELSE (s // 86400) || CASE WHEN s // 86400 = 1 THEN ' day ago' ELSE ' days ago' END END AS age
+  FROM (SELECT id, CAST(floor(epoch((SELECT max(created_at) FROM audit_events))) - floor(epoch(created_at)) AS BIGINT) AS s FROM audit_events) a""")
+def relative_ages(spark, sf_dir):
+    e = derived(spark, sf_dir, "audit_events")
+    now = e.agg(F.max("created_at").alias("now"))
+    return e.crossJoin(F.broadcast(now)).select("id", sev.relative_age(F.col("created_at"), F.col("now")).alias("age"))  # one instant
+
+
+@query("SELECT control_id, CASE control_id WHEN 'CC6.1' THEN 'Adds an access control check before the operation.' WHEN 'CC6.7' THEN 'Moves the secret out of the source code.' WHEN 'CC7.2' THEN 'Adds audit logging for the operation.' ELSE 'Adds error handling for the external dependency.' END AS explanation, count(*) AS n FROM violations GROUP BY 1, 2")
+def fix_explanations(spark, sf_dir):
+    return derived(spark, sf_dir, "violations").groupBy("control_id", remedy.explanation(F.col("control_id")).alias("explanation")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT path, line_no, string_agg(format('{:4d} | {}', line_no, line), chr(10)) OVER (PARTITION BY path ORDER BY line_no ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS snippet FROM code_lines""")
+def context_snippets(spark, sf_dir):
+    rows = code_files(spark, sf_dir).select("path", "lines", F.explode(F.sequence(F.lit(1), F.size("lines"))).alias("line_no"))
+    return rows.select("path", F.col("line_no").cast("long").alias("line_no"), remedy.snippet(F.col("lines"), F.col("line_no"), 1)["text"].alias("snippet"))
+
+
+# ---- rules
+
+
+def _rule_query(rule: str) -> None:
+    def run(spark, sf_dir):
+        return rules.scan(code_files(spark, sf_dir), (rule,), keep=("file_id", "path")).select("path", "severity", "description", "line_number", "code_snippet")
+
+    run.__name__ = f"rule_{rule.lower()}"
+    query(rule_sql.select(rule))(run)
+
+
+for _rule in rules.RULES:
+    _rule_query(_rule)
+
+
+@query(rule_sql.union("SELECT rule, control_id, severity, count(*) AS n FROM found GROUP BY rule, control_id, severity"))
+def scan_findings(spark, sf_dir):
+    return rules.scan(code_files(spark, sf_dir)).groupBy("rule", "control_id", "severity").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(rule_sql.union(f"SELECT file_id % 50 AS scan_id, {SEV} FROM found GROUP BY file_id % 50", ("R1", "R8", "R12")))
+def scan_severity(spark, sf_dir):
+    found = rules.scan(code_files(spark, sf_dir), ("R1", "R8", "R12"), keep=("file_id", "path"))
+    return reports.severity_counts(found.withColumn("scan_id", F.col("file_id") % 50))
+
+
+@query(f"""SELECT doc_id, CAST(i AS BIGINT) AS line_number FROM (SELECT doc_id, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, regexp_split_to_array(text, '\\r?\\n') AS l FROM documents) d) x
+  WHERE regexp_matches(line, {rule_sql.quoted(rules.SECRET)}) AND NOT regexp_matches(line, {rule_sql.quoted(rules.NO_SECRET)}) AND NOT regexp_matches(trim(line), '^(#|//)')""")
+def document_secrets(spark, sf_dir):
+    return rules.secret_hits(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@query("""WITH heads AS (SELECT path, line_no, line, length(regexp_extract(line, '^(\\s*)', 1)) AS indent FROM code_lines WHERE trim(line) <> ''),
+  ends AS (SELECT h.path, h.line_no, h.line, (SELECT min(o.line_no) FROM heads o WHERE o.path = h.path AND o.line_no > h.line_no AND o.indent <= h.indent) AS stop FROM heads h WHERE regexp_matches(h.line, '^\\s*(async\\s+)?(def|class)\\s+\\w+'))
+  SELECT path, CASE WHEN regexp_matches(line, '^\\s*class\\s') THEN 'class' ELSE 'function' END AS kind, regexp_extract(line, '(?:def|class)\\s+(\\w+)', 1) AS name, line_no AS start_line,
+  (SELECT max(o.line_no) FROM heads o WHERE o.path = e.path AND (e.stop IS NULL OR o.line_no < e.stop)) AS end_line FROM ends e""")
+def definition_spans(spark, sf_dir):
+    return corpus.spans(code_files(spark, sf_dir))
+
+
+@query("SELECT path, line_no, line FROM code_lines WHERE regexp_matches(line, '^\\s*(import|from)\\s')")
+def import_lines(spark, sf_dir):
+    return corpus.import_lines(code_files(spark, sf_dir))
+
+
+@query()
+def span_rule_findings(spark, sf_dir):
+    files = code_files(spark, sf_dir)
+    return corpus.span_rules(files, corpus.spans(files))
+
+
+@query()
+def enriched_findings(spark, sf_dir):
+    files = code_files(spark, sf_dir)
+    found = rules.scan(files, ("R8", "R12", "R13")).withColumn("id", F.xxhash64("path", "rule", "line_number"))
+    return merge.enclosing(found, corpus.spans(files)).select("path", "rule", "line_number", "function_name", "class_name")
+
+
+# ---- joins
+
+
+_NEAR = """WITH RECURSIVE cand AS (SELECT l.scan_id, l.file_path, l.control_id, l.id AS llm_id, list(r.id ORDER BY abs(l.line_number - r.line_number), r.id) AS c
+    FROM findings l JOIN findings r ON l.scan_id = r.scan_id AND l.file_path = r.file_path AND l.control_id = r.control_id AND l.detection_method = 'llm' AND r.detection_method = 'regex' AND abs(l.line_number - r.line_number) <= 3
+    GROUP BY 1, 2, 3, 4),
+  nth AS (SELECT *, row_number() OVER (PARTITION BY scan_id, file_path, control_id ORDER BY llm_id) AS k FROM cand),
+  step AS (SELECT scan_id, file_path, control_id, llm_id, k, c[1] AS regex_id, [c[1]] AS used FROM nth WHERE k = 1
+    UNION ALL SELECT n.scan_id, n.file_path, n.control_id, n.llm_id, n.k, list_filter(n.c, lambda x: NOT list_contains(s.used, x))[1],
+      list_append(s.used, list_filter(n.c, lambda x: NOT list_contains(s.used, x))[1]) FROM step s JOIN nth n ON n.scan_id = s.scan_id AND n.file_path = s.file_path AND n.control_id = s.control_id AND n.k = s.k + 1)"""
+
+
+@query(_NEAR + " SELECT scan_id, file_path, control_id, llm_id, regex_id FROM step WHERE regex_id IS NOT NULL")
+def hybrid_matches(spark, sf_dir):
+    f = derived(spark, sf_dir, "findings")
+    return merge.match(f.where("detection_method = 'regex'"), f.where("detection_method = 'llm'"))
+
+
+@query(_NEAR + """ SELECT 'hybrid' AS detection_method, count(*) AS n FROM step WHERE regex_id IS NOT NULL UNION ALL
+  SELECT detection_method, count(*) FROM findings WHERE id NOT IN (SELECT llm_id FROM step WHERE regex_id IS NOT NULL) AND id NOT IN (SELECT regex_id FROM step WHERE regex_id IS NOT NULL) GROUP BY 1""")
+def merge_summary(spark, sf_dir):
+    f = derived(spark, sf_dir, "findings")
+    return merge.merge(f.where("detection_method = 'regex'"), f.where("detection_method = 'llm'")).groupBy("detection_method").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT v.id, v.severity, f.trust_level, s.status AS scan_status, s.project_id, p.name FROM violations v LEFT JOIN fixes f ON f.violation_id = v.id LEFT JOIN scans s ON s.id = v.scan_id LEFT JOIN projects p ON p.id = s.project_id")
+def violation_detail(spark, sf_dir):
+    s = store_of(spark, sf_dir)
+    v = s["violations"].select("id", "severity", "scan_id")
+    out = v.join(s["fixes"].select(F.col("violation_id").alias("id"), "trust_level"), "id", "left")
+    out = out.join(s["scans"].select(F.col("id").alias("scan_id"), F.col("status").alias("scan_status"), "project_id"), "scan_id", "left")
+    return out.join(s["projects"].select(F.col("id").alias("project_id"), "name"), "project_id", "left").select("id", "severity", "trust_level", "scan_status", "project_id", "name")
+
+
+@query(f"SELECT p.id AS project_id, p.name, round(sum({COST}), 6) AS cost FROM projects p JOIN scans s ON s.project_id = p.id JOIN scan_costs c ON c.scan_id = s.id GROUP BY 1, 2")
+def cost_by_project(spark, sf_dir):
+    c = costs(spark, sf_dir).join(derived(spark, sf_dir, "scans").select(F.col("id").alias("scan_id"), "project_id"), "scan_id")
+    named = c.join(derived(spark, sf_dir, "projects").select(F.col("id").alias("project_id"), "name"), "project_id")
+    return named.groupBy("project_id", "name").agg(F.round(F.sum("total_cost_usd"), 6).alias("cost")).orderBy(F.desc("cost"), "project_id")
+
+
+@query("SELECT f.scan_id, f.file_path, coalesce(string_agg(format('- line {:06d} {} {}', line_number, control_id, severity), chr(10) ORDER BY format('- line {:06d} {} {}', line_number, control_id, severity)) FILTER (WHERE detection_method = 'regex'), '') AS bullets FROM violations f GROUP BY 1, 2")
+def regex_context(spark, sf_dir):
+    v = derived(spark, sf_dir, "violations")
+    return remedy.regex_context(v.select("scan_id", "file_path").distinct(), v)
+
+
+@query("SELECT s.id FROM scans s WHERE s.id IN (SELECT scan_id FROM scan_costs)")
+def scans_with_costs(spark, sf_dir):
+    return derived(spark, sf_dir, "scans").join(derived(spark, sf_dir, "scan_costs").select(F.col("scan_id").alias("id")), "id", "left_semi").select("id")
+
+
+@query("SELECT v.id FROM violations v WHERE v.scan_id NOT IN (SELECT id FROM scans)")
+def orphan_violations(spark, sf_dir):
+    return derived(spark, sf_dir, "violations").join(derived(spark, sf_dir, "scans").select(F.col("id").alias("scan_id")), "scan_id", "left_anti").select("id")
+
+
+@query("SELECT v.id AS violation_id, printf('Control %s (%s): %s at %s:%d, framework %s', control_id, severity, v.status, file_path, line_number, coalesce(framework, 'unknown')) AS prompt FROM violations v JOIN scans s ON s.id = v.scan_id LEFT JOIN projects p ON p.id = s.project_id")
+def fix_requests(spark, sf_dir):
+    v = derived(spark, sf_dir, "violations").join(derived(spark, sf_dir, "scans").select(F.col("id").alias("scan_id"), "project_id"), "scan_id")
+    return remedy.fix_requests(v, derived(spark, sf_dir, "projects").select(F.col("id").alias("project_id"), "framework"))
+
+
+# ---- aggregations, windows, rankings
+
+
+@query(f"SELECT scan_id, {SEV} FROM violations GROUP BY scan_id")
+def severity_counts(spark, sf_dir):
+    return reports.severity_counts(derived(spark, sf_dir, "violations"))
+
+
+@query("SELECT scan_mode, detection_method, severity, count(*) AS n FROM (SELECT s.scan_mode, v.detection_method, v.severity FROM violations v JOIN scans s ON s.id = v.scan_id) x GROUP BY GROUPING SETS ((scan_mode, detection_method), (scan_mode, severity))")
+def method_report(spark, sf_dir):
+    return reports.method_report(derived(spark, sf_dir, "violations"), derived(spark, sf_dir, "scans"))
+
+
+@query(f"SELECT scan_id, file_path, {SEV}, count(*) AS total FROM violations GROUP BY 1, 2")
+def file_groups(spark, sf_dir):
+    return reports.file_groups(derived(spark, sf_dir, "violations"))
+
+
+def _health(spark, sf_dir):
+    return reports.project_health(*(derived(spark, sf_dir, n) for n in ("projects", "scans", "violations")))
+
+
+@query(f"WITH {HEALTH} SELECT * FROM health")
+def project_health(spark, sf_dir):
+    return _health(spark, sf_dir)
+
+
+@query(f"WITH {HEALTH} SELECT health, count(*) AS n FROM health GROUP BY health")
+def health_rollup(spark, sf_dir):
+    return _health(spark, sf_dir).groupBy("health").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH {HEALTH} SELECT count(*) AS projects, CAST(sum(critical) AS BIGINT) AS critical, CAST(sum(high) AS BIGINT) AS high, CAST(sum(medium) AS BIGINT) AS medium, CAST(sum(low) AS BIGINT) AS low,
+  count(*) FILTER (WHERE health = 'healthy') AS healthy, count(*) FILTER (WHERE health = 'critical') AS critical_projects, (SELECT count(*) FROM scans WHERE status = 'completed') AS completed_scans FROM health""")
+def dashboard_totals(spark, sf_dir):
+    return reports.dashboard_totals(_health(spark, sf_dir), derived(spark, sf_dir, "scans"))
+
+
+@query(f"SELECT round(sum({COST}), 6) AS cost, CAST(sum(files_analyzed_with_llm) AS BIGINT) AS files_analyzed_with_llm, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens, CAST(sum(cache_read_tokens) AS BIGINT) AS cache_read_tokens, CAST(sum(cache_write_tokens) AS BIGINT) AS cache_write_tokens, round(avg({COST}), 6) AS per_scan, round(sum({COST}) / sum(files_analyzed_with_llm), 6) AS per_file FROM scan_costs")
+def cost_totals(spark, sf_dir):
+    return reports.cost_totals(costs(spark, sf_dir))
+
+
+@query(f"SELECT CAST(day AS VARCHAR) AS day, cost, scans FROM (SELECT CAST(created_at AS DATE) AS day, round(sum({COST}), 6) AS cost, count(*) AS scans FROM scan_costs GROUP BY 1 ORDER BY 1 DESC LIMIT 30) d")
+def daily_costs(spark, sf_dir):
+    return reports.daily_costs(costs(spark, sf_dir)).withColumn("day", F.col("day").cast("string"))
+
+
+@query("SELECT CAST(CAST(started_at AS DATE) AS VARCHAR) AS day, count(*) AS n FROM scans GROUP BY 1")
+def daily_scans(spark, sf_dir):
+    return derived(spark, sf_dir, "scans").groupBy(F.to_date("started_at").cast("string").alias("day")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "day")
+
+
+@query("SELECT CAST(sum(input_tokens) AS BIGINT) AS total FROM scan_costs WHERE scan_id < 0")
+def empty_sum(spark, sf_dir):
+    return derived(spark, sf_dir, "scan_costs").where("scan_id < 0").agg(F.sum("input_tokens").alias("total"))
+
+
+@query("SELECT count(*) FILTER (WHERE event_type IN ('scan_started','scan_completed')) AS scans, count(*) FILTER (WHERE event_type = 'fix_applied') AS fixes, count(*) FILTER (WHERE event_type = 'violation_detected') AS violations, count(*) AS total FROM audit_events")
+def audit_stats(spark, sf_dir):
+    kind = F.col("event_type")
+    return derived(spark, sf_dir, "audit_events").agg(F.count_if(kind.isin("scan_started", "scan_completed")).alias("scans"), F.count_if(kind == "fix_applied").alias("fixes"), F.count_if(kind == "violation_detected").alias("violations"), F.count(F.lit(1)).alias("total"))
+
+
+@query("SELECT scan_id, count(DISTINCT file_path) AS files, count(DISTINCT control_id) AS controls, count(*) AS n FROM violations GROUP BY scan_id")
+def scan_distincts(spark, sf_dir):
+    return derived(spark, sf_dir, "violations").groupBy("scan_id").agg(F.count_distinct("file_path").alias("files"), F.count_distinct("control_id").alias("controls"), F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT coalesce(severity, 'all') AS tab, count(*) AS n FROM violations GROUP BY ROLLUP (severity)")
+def severity_tabs(spark, sf_dir):
+    return derived(spark, sf_dir, "violations").rollup("severity").agg(F.count(F.lit(1)).alias("n")).select(F.coalesce("severity", F.lit("all")).alias("tab"), "n")
+
+
+@query(f"SELECT s.id, s.status, coalesce(critical, 0) AS critical, coalesce(high, 0) AS high, coalesce(medium, 0) AS medium, coalesce(low, 0) AS low, coalesce(n, 0) AS violations_found FROM scans s LEFT JOIN (SELECT scan_id, {SEV}, count(*) AS n FROM violations GROUP BY 1) c ON c.scan_id = s.id")
+def scan_summary(spark, sf_dir):
+    counts = derived(spark, sf_dir, "violations").groupBy(F.col("scan_id").alias("id")).agg(*reports.count_by_severity(), F.count(F.lit(1)).alias("violations_found"))
+    return derived(spark, sf_dir, "scans").select("id", "status").join(counts, "id", "left").fillna(0)
+
+
+@query(f"WITH {DONE} SELECT project_id, id, started_at FROM done WHERE rn = 1")
+def latest_scans(spark, sf_dir):
+    return reports.latest_scans(derived(spark, sf_dir, "scans")).select("project_id", "id", "started_at")
+
+
+@query(f"WITH {DONE}, counts AS (SELECT scan_id, {SEV} FROM violations GROUP BY scan_id), last AS (SELECT id AS scan_id, coalesce(completed_at, started_at) AS finished FROM done WHERE rn <= 5 ORDER BY finished DESC, scan_id DESC LIMIT 10) SELECT l.scan_id, finished, coalesce(critical, 0) AS critical, coalesce(high, 0) AS high, coalesce(medium, 0) AS medium, coalesce(low, 0) AS low FROM last l LEFT JOIN counts c ON c.scan_id = l.scan_id")
+def violation_trend(spark, sf_dir):
+    return reports.trend(derived(spark, sf_dir, "scans"), derived(spark, sf_dir, "violations")).withColumnRenamed("at", "finished")
+
+
+@query(f"SELECT c.scan_id, s.project_id, round(sum({COST}) OVER (PARTITION BY s.project_id ORDER BY c.created_at, c.scan_id ROWS UNBOUNDED PRECEDING), 6) AS running FROM scan_costs c JOIN scans s ON s.id = c.scan_id")
+def running_cost(spark, sf_dir):
+    joined = costs(spark, sf_dir).join(derived(spark, sf_dir, "scans").select(F.col("id").alias("scan_id"), "project_id"), "scan_id")
+    return reports.running_cost(joined).select("scan_id", "project_id", "running")
+
+
+FILE_COSTS = "SELECT file_id % 50 AS scan_id, file_id AS file_no, CASE WHEN file_id % 17 = 0 THEN NULL ELSE (file_id % 13) * 0.01::DOUBLE END AS cost FROM (SELECT DISTINCT file_id FROM code_lines) f"
+_BUDGET = f"""WITH fc AS ({FILE_COSTS}), r AS (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY file_no) AS rn, sum(coalesce(cost, 0)) OVER (PARTITION BY scan_id ORDER BY file_no ROWS UNBOUNDED PRECEDING) AS spent, count(*) OVER (PARTITION BY scan_id) AS files FROM fc),
+  cut AS (SELECT scan_id, min(rn) AS rn FROM r WHERE rn % 10 = 0 AND round(spent, 9) > 1.0 AND rn < files GROUP BY scan_id)"""
+
+
+def file_costs(spark, sf_dir):
+    files = derived(spark, sf_dir, "code_lines").select("file_id").distinct()
+    cost = F.when(F.col("file_id") % 17 == 0, None).otherwise((F.col("file_id") % 13) * F.lit(0.01))
+    return files.select((F.col("file_id") % 50).alias("scan_id"), F.col("file_id").alias("file_no"), cost.alias("cost"))
+
+
+@query(_BUDGET + " SELECT r.scan_id, round(r.spent, 6) AS cost, 1.0::DOUBLE AS cost_limit, r.rn AS analysed, r.files - r.rn AS remaining FROM r JOIN cut ON cut.scan_id = r.scan_id AND cut.rn = r.rn")
+def budget_events(spark, sf_dir):
+    return reports.budget_cut(file_costs(spark, sf_dir))[1]
+
+
+@query(_BUDGET + " SELECT r.scan_id, count(cost) AS files, round(sum(cost), 6) AS cost FROM r LEFT JOIN cut ON cut.scan_id = r.scan_id WHERE cut.rn IS NULL OR r.rn <= cut.rn GROUP BY r.scan_id HAVING count(cost) > 0 AND round(sum(cost), 6) > 0")
+def scan_cost_rollup(spark, sf_dir):
+    return reports.scan_cost_rollup(reports.budget_cut(file_costs(spark, sf_dir))[0])
+
+
+@query(f"WITH fc AS ({FILE_COSTS}), r AS (SELECT scan_id, row_number() OVER (PARTITION BY scan_id ORDER BY file_no) AS scanned, count(*) OVER (PARTITION BY scan_id) AS total FROM fc) SELECT * FROM r WHERE scanned % 10 = 0 OR scanned = total")
+def scan_progress(spark, sf_dir):
+    return reports.progress_events(file_costs(spark, sf_dir))
+
+
+@query(f"SELECT scan_id, round({COST}, 6) AS cost FROM scan_costs ORDER BY {COST} DESC, scan_id LIMIT 3")
+def most_expensive(spark, sf_dir):
+    return costs(spark, sf_dir).orderBy(F.desc("total_cost_usd"), "scan_id").limit(3).select("scan_id", F.round("total_cost_usd", 6).alias("cost"))
+
+
+@query(f"SELECT scan_id, round({COST} / files_analyzed_with_llm, 6) AS cost_per_file FROM scan_costs WHERE files_analyzed_with_llm > 0")
+def cost_efficiency(spark, sf_dir):
+    return costs(spark, sf_dir).where("files_analyzed_with_llm > 0").orderBy("cost_per_file", "scan_id").select("scan_id", F.round("cost_per_file", 6).alias("cost_per_file"))
+
+
+@query(f"SELECT scan_id, round({COST}, 6) AS cost FROM scan_costs WHERE round({COST}, 6) >= 0.05")
+def costs_above(spark, sf_dir):
+    return costs(spark, sf_dir).select("scan_id", F.round("total_cost_usd", 6).alias("cost")).where("cost >= 0.05").orderBy(F.desc("cost"), "scan_id")
+
+
+@query("SELECT s.id, p.name, s.started_at FROM (SELECT * FROM scans WHERE status = 'completed' ORDER BY started_at DESC, id DESC LIMIT 10) s JOIN projects p ON p.id = s.project_id")
+def recent_scans(spark, sf_dir):
+    return reports.recent_scans(derived(spark, sf_dir, "scans"), derived(spark, sf_dir, "projects")).select("id", "name", "started_at")
+
+
+@query("SELECT DISTINCT scan_id, file_path, control_id FROM violations")
+def distinct_findings(spark, sf_dir):
+    return derived(spark, sf_dir, "violations").select("scan_id", "file_path", "control_id").distinct()
+
+
+# ---- remediation
+
+
+@query()
+def patched_files(spark, sf_dir):
+    files = code_files(spark, sf_dir).select("path", F.array_join("lines", "\n").alias("content"))
+    found = rules.scan(code_files(spark, sf_dir), ("R7", "R13"))
+    fixes = found.select("path", F.col("code_snippet").alias("original"), F.concat(F.lit("# fixed: "), "code_snippet").alias("fixed"), "line_number")
+    out = remedy.apply_patches(files, fixes).withColumnRenamed("content", "after").join(files, "path")
+    return out.select("path", "status", F.sha2("after", 256).alias("after_sha256"), remedy.patch_impact(F.col("content"), F.col("after")).alias("changed"))
+
+
+@query("SELECT file_path, control_id, severity, CAST(line_number AS BIGINT) AS line_number FROM (SELECT 'r' || id AS file_path, control_id, severity, line_number FROM violations WHERE id % 4 < 3) v")
+def parsed_replies(spark, sf_dir):
+    v = derived(spark, sf_dir, "violations").withColumn("file_path", F.concat(F.lit("r"), "id")).withColumn("description", F.lit("d"))
+    one = F.to_json(F.array(F.struct("control_id", "severity", "description", "line_number")))
+    kind = F.col("id") % 4
+    reply = F.when(kind == 0, one).when(kind == 1, F.concat(F.lit("```json\n"), one, F.lit("\n```"))).when(kind == 2, F.concat(F.lit('{"violations": '), one, F.lit("}"))).otherwise('[{"control_id": "CC6.1"}]')
+    return remedy.parse_replies(v.select("file_path", reply.alias("response")))[0].select("file_path", "control_id", "severity", "line_number")
+
+
+@query("SELECT 'r' || id AS file_path FROM violations WHERE id % 4 = 3")
+def rejected_replies(spark, sf_dir):
+    v = derived(spark, sf_dir, "violations").withColumn("file_path", F.concat(F.lit("r"), "id"))
+    reply = F.when(F.col("id") % 4 == 3, '[{"control_id": "CC6.1"}]').otherwise("[]")
+    return remedy.parse_replies(v.select("file_path", reply.alias("response")))[1].select("file_path")
+
+
+# ---- streams
+
+
+@query("SELECT event_type, count(DISTINCT path) AS paths, count(*) AS n FROM file_events GROUP BY event_type")
+def event_paths(spark, sf_dir):
+    return changes.distinct_paths(derived(spark, sf_dir, "file_events"))
+
+
+@query("SELECT project_id, min(ts) AS first_ts, max(ts) AS last_ts, round(CASE WHEN floor(epoch(max(ts))) > floor(epoch(min(ts))) THEN count(*) / (floor(epoch(max(ts))) - floor(epoch(min(ts)))) ELSE 0.0 END, 9) AS per_second FROM file_events GROUP BY project_id")
+def event_rates(spark, sf_dir):
+    return changes.event_rate(derived(spark, sf_dir, "file_events").withColumn("ts", F.col("ts").cast("timestamp"))).withColumn("first_ts", F.col("first_ts").cast("timestamp_ntz")).withColumn("last_ts", F.col("last_ts").cast("timestamp_ntz"))
+
+
+@query("SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def stream_event_counts(spark, sf_dir):
+    schema = table(spark, sf_dir, "events").schema
+    stream = changes.event_counts(changes.read_changes(spark, sf_dir, schema, "events.parquet"))
+    name = f"counts_{uuid.uuid4().hex}"
+    changes.drain(stream, name, "complete")
+    return spark.table(name).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@query("SELECT project_id, path, arg_max(event_type, (ts, event_id)) AS event_type FROM file_events GROUP BY project_id, path")
+def latest_changes(spark, sf_dir):
+    return changes.latest_by_path(derived(spark, sf_dir, "file_events")).select("project_id", "path", "event_type")
+
+
+@query()
+def rate_limited_events(spark, sf_dir):
+    return changes.rate_limit(derived(spark, sf_dir, "file_events"))
