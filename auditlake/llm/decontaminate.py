@@ -54,14 +54,17 @@ def term_frequencies(docs: DataFrame, terms: DataFrame, text_col: str = "text")
 def build_index(docs: DataFrame, terms: DataFrame, around: int = 12, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Postings (term, doc_id, pos, first, words) of the given terms, stored in the shared folder.
 
-    pos counts words from 0; `words` are the lower-cased words from position `first` to pos + around.
+    pos counts words from 0; `words` are the lower-cased words from position `first` to pos + around.  Each row of docs
+    also has a posting of the empty term behind its last word, so that its position is the number of words.
     """
-    wanted = _bounded(terms.select("term").distinct())
-    tokens = docs.select(F.col(id_col).alias("doc_id"), words_of(F.col(text_col)).alias("all")).select("doc_id", "all", F.posexplode("all").alias("pos", "w"))
+    spark = docs.sparkSession
+    wanted = _bounded(terms.select("term").union(spark.sql("SELECT '' AS term")).distinct())
+    end = F.array(F.lit(""))
+    tokens = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.concat(words_of(F.col(text_col)), end), end).alias("all")).select("doc_id", "all", F.posexplode("all").alias("pos", "w"))
     tokens = tokens.withColumn("term", lower_ascii(F.col("w"))).join(wanted, "term", "left_semi")
     first = F.greatest(F.col("pos") - around, F.lit(0))
     near = F.transform(F.slice("all", first + 1, F.col("pos") - first + around + 1), lower_ascii)
-    return staged(tokens.select("term", "doc_id", "pos", first.alias("first"), near.alias("words")), "postings")
+    return staged(tokens.select("term", "doc_id", "pos", first.alias("first"), F.when(F.col("term") != "", near).alias("words")), "postings")
 
 
 def anchors_of(phrases: DataFrame, frequencies: DataFrame) -> DataFrame:
@@ -108,7 +111,7 @@ def contamination(docs: DataFrame, items: DataFrame, length: int = 13, id_col: s
              s -> s.hit)"""
     )
     hits = found.select(F.col("doc_id").alias("hit_id"), covered.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.array_join("items", ",").alias("items"))
-    sized = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"))
+    sized = index.where("term = ''").select("doc_id", F.col("pos").cast("long").alias("n_words"))
     joined = sized.join(hits, sized.doc_id.eqNullSafe(hits.hit_id), "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return joined.select(
