@@ -88,7 +88,8 @@ def normalised(text: str) -> list[str]:
 
 def bigrams_of(words: Column) -> Column:
     """Distinct word bigrams of an array of words; of a single word, that word."""
-    pairs = F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.concat(F.element_at(words, i), F.lit(" "), F.element_at(words, i + 1)))
+    n = F.size(words) - 1
+    pairs = F.zip_with(F.slice(words, 1, n), F.slice(words, 2, n), lambda a, b: F.concat(a, F.lit(" "), b))
     return F.array_distinct(F.when(F.size(words) > 1, pairs).otherwise(words))
 
 
@@ -128,15 +129,17 @@ def scan(docs: DataFrame, texts=TEMPLATES, percent: int = PERCENT, id_col: str =
     pattern = must_have(texts, percent)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     clean = lambda c: F.btrim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
-    pieces = F.concat(F.split("text", "\n"), F.split("text", "\n\n+"), F.array("text"))
-    units = rows.where(clean(F.col("text")).rlike(pattern)).select("doc_id", F.explode(pieces).alias("unit")).select("doc_id", clean(F.col("unit")).alias("unit")).distinct()
-    units = units.where(F.col("unit").rlike(pattern)).withColumn("unit_grams", bigrams_of(F.split("unit", " "))).withColumn("unit_size", F.size("unit_grams"))
-    # Templates are the argument of this function, a few rows.
-    bounds = (F.col("unit_size") * (200 - percent) >= F.col("size") * percent) & (F.col("size") * (200 - percent) >= F.col("unit_size") * percent)
-    pairs = units.join(F.broadcast(templates(spark, texts)), bounds).withColumn("both", F.size(F.array_intersect("unit_grams", "grams")))
+    pieces = F.array_distinct(F.concat(F.split("text", "\n"), F.split("text", "\n\n+"), F.array("text")))
+    units = rows.where(clean(F.col("text")).rlike(pattern)).select("doc_id", F.explode(pieces).alias("unit")).select("doc_id", clean(F.col("unit")).alias("unit"))
+    units = units.where(F.col("unit").rlike(pattern)).withColumn("words", F.split("unit", " ")).withColumn("unit_grams", bigrams_of(F.col("words"))).drop("words")
+    units = units.withColumn("unit_size", F.coalesce(F.size("unit_grams"), F.lit(0)))
+    # Templates are the argument of this function, a few rows: one for each size a match may have.
+    sizes = F.expr(f"explode(sequence((size * {percent} + {199 - percent}) div {200 - percent}, (size * {200 - percent}) div {percent}))")
+    sized = templates(spark, texts).select("*", sizes.alias("wanted")).withColumn("wanted", F.col("wanted").cast("int"))
+    pairs = units.join(F.broadcast(sized), F.col("unit_size") == F.col("wanted")).withColumn("both", F.size(F.array_intersect("unit_grams", "grams")))
     found = pairs.where(200 * F.col("both") >= percent * (F.col("unit_size") + F.col("size")))
     rank = F.struct((2 * F.col("both") / (F.col("unit_size") + F.col("size"))).alias("dice"), F.col("size"), (-F.col("template")).alias("first"), F.col("license"))
-    best = found.groupBy("doc_id").agg(F.max(rank).alias("best"), F.count_distinct("unit").alias("n_matches"))
+    best = found.groupBy("doc_id").agg(F.max(rank).alias("best"), F.count_distinct(F.sha2("unit", 256)).alias("n_matches"))
     best = best.select(F.col("doc_id").alias("found_id"), F.col("best.license").alias("license"), F.round("best.dice", 6).alias("dice"), "n_matches")
     joined = rows.select("doc_id").join(best, F.col("doc_id").eqNullSafe(F.col("found_id")), "left")
     return joined.select("doc_id", "license", "dice", F.coalesce("n_matches", F.lit(0).cast("long")).alias("n_matches"))
