@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import table
-from . import cap_filters, chat, decontaminate, langid, licenses, packing, secrets, signature_tree, suffix_dedup, warc
+from . import cap_filters, chat, decontaminate, langid, licenses, packing, secrets, signature_tree, sql, suffix_dedup, warc
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,4 +73,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return sql.oracle_sql()
