@@ -17,7 +17,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import shared_dir, staged
@@ -123,8 +123,12 @@ def write_archives(pages: DataFrame, folder: str | None = None, roll: int = ROLL
     rows = pages.select(F.coalesce(F.col("page_id").cast("long"), F.raise_error("a page has no page_id").cast("long")).alias("page_id"), "url", "html")
     system, top = _fs(folder)
     system.create_dir(top, recursive=True)
-    plan = plan_records(rows)
-    ready = rows.join(plan, "page_id", "left").repartitionByRange("page_id").sortWithinPartitions("page_id", "url", "html")
+    # Plan rows travel with the pages through the one range shuffle, so that payloads aren't shuffled again for a join.
+    page = rows.select("page_id", F.lit(1).alias("kind"), "url", "html", F.lit(None).cast("long").alias("refers_to"))
+    both = plan_records(rows).select("page_id", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "refers_to").union(page)
+    upto = Window.partitionBy("page_id").orderBy("kind", "url", "html").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    told = both.repartitionByRange("page_id").withColumn("refers_to", F.first("refers_to", ignorenulls=True).over(upto))
+    ready = told.where("kind = 1").sortWithinPartitions("page_id", "url", "html")
     manifest = staged(ready.select("page_id", "url", "html", "refers_to").mapInArrow(_write(folder, roll), MANIFEST), "manifest")
     return folder, manifest
 
