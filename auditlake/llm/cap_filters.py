@@ -63,16 +63,16 @@ class ProductCode:
         return rows[order], found[order]
 
 
-def _vectors(column: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Indices of usable vectors, and those in double precision."""
+def _vectors(column: pa.Array, kind: type) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Indices of usable vectors, and those."""
     at, out = [], []
     flat = column.flatten()
     if not flat.null_count and not column.null_count and len(column):
-        values = flat.to_numpy(zero_copy_only=False).astype(np.float64)
+        values = flat.to_numpy(zero_copy_only=False).astype(kind)
         cuts = np.cumsum(column.value_lengths().to_numpy())[:-1]
         every = np.split(values, cuts)
     else:
-        every = [None if v is None or None in v else np.array(v, np.float64) for v in column.to_pylist()]
+        every = [None if v is None or None in v else np.array(v, kind) for v in column.to_pylist()]
     for i, v in enumerate(every):
         if v is not None and len(v) and np.isfinite(v).all() and v.any():
             at.append(i)
@@ -80,48 +80,52 @@ def _vectors(column: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
     return np.array(at, np.int64), out
 
 
-def _usable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        at, vectors = _vectors(batch.column(1))
-        body: list[bytes | None] = [None] * len(batch)
-        for i, v in zip(at.tolist(), vectors, strict=True):
-            body[i] = (v + 0.0).tobytes()
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(body, pa.binary())], names=["vec_id", "body"])
+def _usable(kind: type):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, vectors = _vectors(batch.column(1), kind)
+            body: list[bytes | None] = [None] * len(batch)
+            for i, v in zip(at.tolist(), vectors, strict=True):
+                body[i] = (v + kind(0)).tobytes()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(body, pa.binary())], names=["vec_id", "body"])
+
+    return run
+
+
+def _unit(bodies: pa.Array, kind: type) -> np.ndarray:
+    """Unit vectors in double precision."""
+    x = np.stack([np.frombuffer(b.as_buffer(), kind) for b in bodies]).astype(np.float64)
+    x /= np.abs(x).max(1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _decode(code_of):
+def _decode(dims: int, n: int, kind: type):
+    """Adds to each row the ordered list of the directions that its vector exceeds."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = code_of()
+        code = ProductCode(dims, n)
         for whole in batches:
             for batch in (whole.slice(i, 1000) for i in range(0, len(whole), 1000)):
-                x = np.stack([np.frombuffer(b.as_buffer()) for b in batch.column(2)]) if len(batch) else np.zeros((0, 1))
-                if not len(x):
-                    continue
-                row, found = code.decode(x / np.abs(x).max(1, keepdims=True) / np.linalg.norm(x / np.abs(x).max(1, keepdims=True), axis=1, keepdims=True))
-                bounds = np.searchsorted(row, np.arange(len(x) + 1))
-                lists = pa.array([found[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())
-                at = pa.array(row)
-                yield pa.RecordBatch.from_arrays([pa.array(found), *(c.take(at) for c in batch.columns), lists.take(at)], names=["direction", "rep", "copies", "body", "directions"])
+                row, found = code.decode(_unit(batch.column(2), kind))
+                bounds = np.searchsorted(row, np.arange(len(batch) + 1)).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(found))
+                yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=["rep", "copies", "body", "directions"])
 
     return run
 
 
-def _compare(cosine: float):
+def _compare(cosine: float, kind: type):
     names = ["rep", "links", "root"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in key_groups(batches, 3):
-            direction, i, j = (group.column(k)[0].as_py() for k in range(3))
+            i, j = (group.column(k)[0].as_py() for k in (1, 2))
             part, rep, copies = (group.column(k).to_numpy(zero_copy_only=False) for k in (3, 4, 5))
             if len(rep) < 2:
                 continue
-            x = np.stack([np.frombuffer(b.as_buffer()) for b in group.column(6)])
-            x = x / np.abs(x).max(1, keepdims=True)
-            x /= np.linalg.norm(x, axis=1, keepdims=True)
-            lists = [np.frombuffer(b.as_buffer(), np.int64) for b in group.column(7)]
-            earlier = [f[: np.searchsorted(f, direction)] for f in lists]
-            every, index = np.unique(np.concatenate(earlier), return_inverse=True)
-            owner = np.repeat(np.arange(len(rep)), list(map(len, earlier)))
+            x = _unit(group.column(6), kind)
+            every, index = np.unique(group.column(7).flatten().to_numpy(zero_copy_only=False), return_inverse=True)
+            owner = np.repeat(np.arange(len(rep)), group.column(7).value_lengths().to_numpy(zero_copy_only=False))
             up, links = list(range(len(rep))), np.zeros(len(rep), np.int64)
 
             def root(k: int, up=up) -> int:
@@ -140,18 +144,20 @@ def _compare(cosine: float):
                 if not near.any():
                     continue
                 hit, other = np.nonzero(near)
-                if len(every):
-                    # Pairs that also meet in an earlier direction were counted there.
-                    used = np.unique(index[(owner >= a) & (owner < a + 512)])
-                    column = np.full(len(every), -1)
-                    column[used] = np.arange(len(used))
-                    have = np.zeros((len(rep), len(used)), np.float32)
-                    shown = column[index] >= 0
-                    have[owner[shown], column[index[shown]]] = 1
-                    fresh = near & ~(have[rows] @ have.T > 0)
-                else:
-                    fresh = near
-                links[rows] += fresh @ copies
+                # Pairs that also meet in an earlier direction were counted there.
+                linked, others = np.flatnonzero(near.any(1)), np.flatnonzero(near.any(0))
+                mine, theirs = np.full(len(rep), -1), np.full(len(rep), -1)
+                mine[linked + a], theirs[others] = np.arange(len(linked)), np.arange(len(others))
+                used = np.unique(index[mine[owner] >= 0])
+                column = np.full(len(every), -1)
+                column[used] = np.arange(len(used))
+                have = []
+                for chosen, n in ((mine, len(linked)), (theirs, len(others))):
+                    shown = (chosen[owner] >= 0) & (column[index] >= 0)
+                    have.append(np.zeros((n, len(used)), np.float32))
+                    have[-1][chosen[owner[shown]], column[index[shown]]] = 1
+                fresh = near[np.ix_(linked, others)] & ~(have[0] @ have[1].T > 0)
+                links[linked + a] += fresh @ copies[others]
                 # Each row's smallest neighbour, and then only links between parts that aren't connected yet.
                 for h, o in zip(hit.tolist(), other.tolist(), strict=True) if len(hit) < 4 * len(rep) else _sparse(near):
                     p, q = root(h + a), root(o)
@@ -197,12 +203,13 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_id"
     Pairs above the threshold are found with a probability that grows with their cosine (README: measured recall).
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v"))
-    usable = staged(rows.mapInArrow(_usable, "vec_id long, body binary"), "vectors")
+    kind = np.float32 if dict(rows.dtypes)["v"] == "array<float>" else np.float64
+    usable = staged(rows.mapInArrow(_usable(kind), "vec_id long, body binary"), "vectors")
     classes = staged(usable.where("body is not null").groupBy("body").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "vector-classes")
     sizes = classes.groupBy(F.octet_length("body").alias("size")).agg(F.count(F.lit(1)).alias("n"), F.max("copies").alias("most")).collect()
     found = None
     for size in sorted(sizes, key=lambda r: r.size):
-        here = _search(classes.where(F.octet_length("body") == size.size), size.size // 8, size.n, cosine)
+        here = _search(classes.where(F.octet_length("body") == size.size), kind, size.size // np.dtype(kind).itemsize, size.n, cosine)
         found = here if found is None else found.union(here)
     if found is None:
         return usable.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
@@ -215,13 +222,22 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_id"
     return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
 
 
-def _search(classes: DataFrame, dims: int, n: int, cosine: float) -> DataFrame:
+def _search(classes: DataFrame, kind: type, dims: int, n: int, cosine: float) -> DataFrame:
+    """(rep, links, root) of vectors of one length: links found, and the smallest id that a vector was connected with.
+
+    Directions are listed once a vector, and counted from the lists alone; only then are vectors sent to their
+    directions, each with those of its directions that come before.
+    """
     rows = classes.select("rep", "copies", "body").repartition("rep")
-    met = rows.mapInArrow(_decode(lambda: ProductCode(dims, n)), "direction long, rep long, copies long, body binary, directions binary")
-    met = staged(met, "directions")
-    blocks = met.groupBy("direction").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("direction", F.ceil(F.col("n") / BLOCK).alias("blocks"))
-    met = met.join(blocks, "direction").withColumn("part", F.pmod(F.xxhash64("rep", "direction"), F.col("blocks")))
-    met = met.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    lists = staged(rows.mapInArrow(_decode(dims, n, kind), "rep long, copies long, body binary, directions array<long>"), "directions")
+    counts = lists.select(F.explode("directions").alias("direction")).groupBy("direction").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    # Directions of several blocks are few: Spark broadcasts this table if it is small enough, and shuffles it else.
+    large = staged(counts.where("blocks > 1"), "large-directions")
+    met = lists.select("rep", "copies", "body", "directions", F.posexplode("directions").alias("place", "direction"))
+    met = met.withColumn("directions", F.expr("slice(directions, 1, place)")).join(large, "direction", "left")
+    blocks = F.coalesce("blocks", F.lit(1).cast("long"))
+    met = met.withColumn("part", F.pmod(F.xxhash64("rep", "direction"), blocks))
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
     met = met.select("direction", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "rep", "copies", "body", "directions")
     met = met.repartition("direction", "i", "j").sortWithinPartitions("direction", "i", "j", "rep")
-    return met.mapInArrow(_compare(cosine), "rep long, links long, root long")
+    return met.mapInArrow(_compare(cosine, kind), "rep long, links long, root long")

@@ -215,14 +215,16 @@ def test_licenses(spark):
     assert got[1].license == got[2].license == "MIT" and got[5].license is None
 
 
-def test_near_vectors(spark):
+@pytest.mark.parametrize(("kind", "block"), [("double", 2048), ("float", 16)])
+def test_near_vectors(spark, monkeypatch, kind, block):
+    monkeypatch.setattr(cap_filters, "BLOCK", block)  # 16: directions come as pairs of blocks
     rng = np.random.default_rng(6)
     base = rng.normal(size=(60, 32))
     rows = [*base, *(b + 0.05 * rng.normal(size=32) for b in base[:30]), *base[:5], *([base[0] * 3] * 40)]
     v = [(i, [float(x) for x in r], i) for i, r in enumerate(rows)]
     odd = [(900, None, 1), (901, [0.0] * 32, 1), (902, [float("nan")] * 32, 1), (903, [None, *[1.0] * 31], 1), (904, [], 1), (905, [1.0, 2.0], 1)]
-    got = {r.vec_id: r for r in cap_filters.near_vectors(spark.createDataFrame([*v, *odd], "vec_id long, embedding array<double>, label long")).collect()}
-    x = np.array(rows)
+    got = {r.vec_id: r for r in cap_filters.near_vectors(spark.createDataFrame([*v, *odd], f"vec_id long, embedding array<{kind}>, label long")).collect()}
+    x = np.array(rows, np.float32 if kind == "float" else np.float64).astype(np.float64)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     near = x @ x.T >= 0.9
     np.fill_diagonal(near, False)
