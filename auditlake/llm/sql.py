@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .chat import FIRST, HEAD, MIDDLE, REST, TAIL
 from .decontaminate import LOWER, UPPER
 from .licenses import PERCENT, TEMPLATES, normalised
 from .secrets import BARE, KINDS, MOST_OWNERS, ORDER
@@ -93,6 +94,21 @@ WITH template AS (SELECT i, license, unnest(g) AS gram, len(g) AS size FROM (SEL
 SELECT doc_id, license, dice, CAST(coalesce(n_matches, 0) AS BIGINT) AS n_matches FROM (SELECT doc_id FROM documents) LEFT JOIN best USING (doc_id)
 """
 
+OP8 = """
+WITH RECURSIVE vector AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), link AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM vector a JOIN vector b ON a.vec_id < b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.9
+), edge AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link
+), reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, e.b FROM reach r JOIN edge e ON r.b = e.a
+), component AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a
+), degree AS (SELECT a AS vec_id, count(*) AS n FROM edge GROUP BY a
+)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings LEFT JOIN component USING (vec_id) LEFT JOIN degree USING (vec_id)
+"""
+
 OP9 = """
 WITH RECURSIVE doc AS (
   SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
@@ -111,6 +127,27 @@ SELECT doc_id, CAST(len(bag.g) AS BIGINT) AS n_shingles, coalesce(class_id, doc_
 FROM bag LEFT JOIN class ON bag.g = class.g LEFT JOIN component USING (class_id)
 """
 
+_CONTROL = _text(f"{FIRST}(\\\\*){REST}")
+_TURNS = "ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST"
+
+OP10 = f"""
+WITH said AS (
+  SELECT conv_id, turn, role, text FROM conversations
+  UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')) v(conv_id, turn, role, text)
+), shown AS (
+  SELECT *, coalesce(role, '') AS r, coalesce(text, '') AS t FROM said
+), loss AS (
+  SELECT conv_id, sum(length(t)) AS n, string_agg(t, '' {_TURNS}) AS told FROM shown WHERE role = 'assistant' GROUP BY conv_id
+), every AS (
+  SELECT conv_id, count(*) AS n_turns, string_agg(r || chr(10) || t || chr(10), '' {_TURNS}) AS told,
+    sum({len(HEAD) + len(MIDDLE) + len(TAIL)} + length(r) + length(t) + len(regexp_extract_all(r, {_CONTROL})) + len(regexp_extract_all(t, {_CONTROL}))) AS formatted
+  FROM shown GROUP BY conv_id
+)
+SELECT every.conv_id, CAST(n_turns AS BIGINT) AS n_turns, sha256(every.told) AS turns_sha256, CAST(coalesce(n, 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(loss.told, '')) AS loss_sha256, CAST(formatted AS BIGINT) AS formatted_chars
+FROM every LEFT JOIN loss ON every.conv_id IS NOT DISTINCT FROM loss.conv_id
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontamination": OP3, "op4_secret_scan": OP4, "op6_warc": OP6, "op7_license_scan": OP7, "op9_ngram_jaccard": OP9}
+    return {"op3_decontamination": OP3, "op4_secret_scan": OP4, "op6_warc": OP6, "op7_license_scan": OP7, "op8_cap_filters": OP8, "op9_ngram_jaccard": OP9, "op10_chat_format": OP10}
