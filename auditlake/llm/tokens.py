@@ -59,7 +59,7 @@ def word_starts(points: np.ndarray, begins: np.ndarray) -> np.ndarray:
         end = chosen + size
         end = end[end < n]
         start[end[(kind[end] == LETTER)]] = True
-    if n > 1 and points[n - 2] == 0x27 and start[n - 2] and not first[n - 1] and points[n - 1] in b"stmd":
+    if n > 1 and points[n - 2] == 0x27 and start[n - 2] and not first[n - 1] and points[n - 1] in (0x73, 0x74, 0x6D, 0x64):  # s, t, m, d
         start[n - 1] = False
     return np.flatnonzero(start)
 

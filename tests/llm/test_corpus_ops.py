@@ -53,6 +53,14 @@ def test_word_ids_equal_the_tokenizer(texts):
         assert ids[at[i] : at[i + 1]].tolist() == e.ids
 
 
+@pytest.mark.parametrize("text", ["boys'”", "d'я", "x '日", "'s", "a'd", "'“"])
+def test_word_ids_of_a_last_apostrophe(text):
+    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    for some in ([text], ["other", text]):
+        ids, counts = tokens.word_ids(P.path("byte_bpe_50k.tiktoken")).ids(some)
+        assert ids[len(ids) - counts[-1] :].tolist() == t.encode(text, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("max_len", [64, 2048])
 def test_packing(spark, texts, max_len):
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
