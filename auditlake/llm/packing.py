@@ -31,7 +31,7 @@ def _pieces(path: str, max_len: int, end_id: int, keep_ids: bool):
         for whole in batches:
             for batch in (whole.slice(i, 512) for i in range(0, len(whole), 512)):
                 docs = batch.column(0)
-                flat, counts = coder.ids([x or "" for x in batch.column(1).to_pylist()])
+                flat, counts = coder.encode([x or "" for x in batch.column(1).to_pylist()])
                 rows, ids, at = [], [], 0
                 for i, n in enumerate(counts.tolist()):
                     own = np.append(flat[at : at + n], np.uint32(end_id)).astype("<u4")
@@ -96,7 +96,7 @@ def plan_packs(histogram: dict[int, int], max_len: int) -> list[tuple[int, int,
 def pack(docs: DataFrame, tokenizer: str, max_len: int = 2048, end_id: int = 1, keep_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces of all documents with their places: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids).
 
-    tokenizer: path of a vocabulary of ranks.  Each text is tokenized whole and ends with `end_id`; a null or empty text
+    tokenizer: path of a vocabulary of ranks.  Added tokens of the JSON file beside it have their own ids.  Each text is tokenized whole and ends with `end_id`; a null or empty text
     is that id alone, repeated rows are packed each, other columns are ignored, an empty table gives no rows.  Each id
     lies in exactly one piece, and the pieces of a sequence follow each other from offset 0 without gaps.
     """

@@ -8,7 +8,10 @@ each distinct word is encoded once a worker, and the ids are gathered by numpy.
 from __future__ import annotations
 
 import base64
+import json
+import re
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 
@@ -65,7 +68,11 @@ def word_starts(points: np.ndarray, begins: np.ndarray) -> np.ndarray:
 
 
 class WordIds:
-    """ids(texts) of a byte-level BPE vocabulary given as ranks, one array of ids and the number of ids of each text."""
+    """Ids of a byte-level BPE vocabulary given as ranks: one array of ids and the number of ids of each text.
+
+    encode(texts) gives an added token of the tokenizer's JSON file, which lies beside the ranks, its own id, as the
+    tokenizer does; ids(texts) spells it out like other text.
+    """
 
     def __init__(self, path: str):
         import tiktoken
@@ -73,8 +80,31 @@ class WordIds:
 
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.encode = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})._encode_single_piece
+        self.spell = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})._encode_single_piece
         self.cache: dict[int, bytes] = {}
+        whole = Path(path).with_suffix(".json")
+        self.added = {t["content"]: t["id"] for t in json.loads(whole.read_text())["added_tokens"]} if whole.exists() else {}
+        self.at_added = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) or "(?!)")
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        parts, owners, marks = [], [], []  # marks: (parts before it, text, id)
+        for i, text in enumerate(texts):
+            at = 0
+            for m in self.at_added.finditer(text):
+                parts.append(text[at : m.start()])
+                owners.append(i)
+                marks.append((len(parts), i, self.added[m[0]]))
+                at = m.end()
+            parts.append(text[at:] if at else text)
+            owners.append(i)
+        ids, sizes = self.ids(parts)
+        if not marks:
+            return ids, sizes
+        counts = np.zeros(len(texts), np.int64)
+        np.add.at(counts, owners, sizes)
+        before, which, own = (np.array(c, np.int64) for c in zip(*marks, strict=True))
+        np.add.at(counts, which, 1)
+        return np.insert(ids, np.cumsum(sizes)[before - 1], own.astype(np.uint32)), counts
 
     def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         out, counts = [np.zeros(0, np.uint32)], np.zeros(len(texts), np.int64)
@@ -108,7 +138,7 @@ class WordIds:
         for key, a, b in zip(keys.tolist(), starts[at].tolist(), ends[at].tolist(), strict=True):
             ids = cache.get(key)
             if ids is None:
-                ids = cache[key] = np.array(self.encode(text[a:b].encode("utf-8", "replace")), np.uint32).tobytes()
+                ids = cache[key] = np.array(self.spell(text[a:b].encode("utf-8", "replace")), np.uint32).tobytes()
             found.append(ids)
         size = np.fromiter(map(len, found), np.int64, len(found)) // 4
         base = np.cumsum(size) - size
@@ -122,8 +152,6 @@ class WordIds:
 
 def _parts(text: str):
     """A very long text in parts; it is cut before a space between two letters, where words part in any case."""
-    import re
-
     at = 0
     while len(text) - at > 2 * BLOCK_CHARS and (m := re.compile("(?<=[a-z]) (?=[a-z])").search(text, at + BLOCK_CHARS)):
         yield text[at : m.start()]

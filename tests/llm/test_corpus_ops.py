@@ -61,6 +61,20 @@ def test_word_ids_of_a_last_apostrophe(text):
         assert ids[len(ids) - counts[-1] :].tolist() == t.encode(text, add_special_tokens=False).ids
 
 
+def test_added_tokens_have_their_own_ids(spark):
+    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    end, rng = "<|endoftext|>", np.random.default_rng(7)
+    bits = [end, end, " ", "a", "'s", "é", "\n", "<|", "endoftext|>", "1", "日本"]
+    some = [f"a{end}b", end, end * 3, f" {end} ", "none", "", f"{end}x"] + ["".join(rng.choice(bits, rng.integers(0, 9))) for _ in range(500)]
+    want = [e.ids for e in t.encode_batch(some, add_special_tokens=False)]
+    assert want[0] == [64, 50256, 65]
+    ids, counts = tokens.word_ids(P.path("byte_bpe_50k.tiktoken")).encode(some)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == want
+    docs = spark.createDataFrame(list(enumerate(some)), "doc_id long, text string")
+    got = {r.doc_id: list(r.ids) for r in packing.pack(docs, P.path("byte_bpe_50k.tiktoken"), keep_ids=True).collect()}
+    assert got == {i: [*w, 1] for i, w in enumerate(want)}
+
+
 @pytest.mark.parametrize("max_len", [64, 2048])
 def test_packing(spark, texts, max_len):
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
