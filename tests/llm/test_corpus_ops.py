@@ -237,6 +237,35 @@ def test_licenses(spark):
     assert got[1].license == got[2].license == "MIT" and got[5].license is None
 
 
+def test_licenses_inside_other_text(spark, monkeypatch):
+    rng, full = np.random.default_rng(8), {n: t for n, t in licenses.TEMPLATES if len(t) > 200}
+    wrap = lambda t, n, before="", end="\n": end.join(before + " ".join(t.split()[i : i + n]) for i in range(0, len(t.split()), n))
+    paragraphs = lambda t, gap: t.replace(". ", "." + gap)
+    prose = lambda n: words(rng, n)
+    rows, want = [], {}
+
+    def add(text, license, n=1, dice=1.0):
+        rows.append((len(rows), text))
+        want[len(want)] = (license, dice if license else None, n)
+
+    for name, text in full.items():
+        for gap in ("\n\n", "\r\n\r\n", "\n \t\n"):
+            add(f"{prose(700)}\n\n{paragraphs(text, gap)}\n\n{prose(900)}", name)
+        for n in (0, 450, 499, 500, 501):
+            add(f"{prose(n)}\n{wrap(text, 9, '# ')}\n{prose(60)}", name)
+        add(f"{prose(40)}\r\n{wrap(text, 11, ' * ', chr(13) + chr(10))}\r\n{prose(80)}", name)
+        add(f"{prose(300)} {text} {prose(300)} {text} {prose(3)}", name)
+    add(f"{prose(12)} released under the MIT license {prose(12)}", "MIT")
+    add(f"{prose(12)} released under the MIT license {prose(12)} licensed under CC BY 4.0 {prose(12)}", "CC-BY-4.0", 2)
+    add(f"{prose(12)} released under nothing {prose(12)} the MIT license", None, 0)
+    add("\n".join([prose(300), full["MIT"], prose(300)] * 2), "MIT")
+    docs = spark.createDataFrame([*rows, (None, rows[0][1]), (-1, None), (-2, "")], "doc_id long, text string")
+    got = {r.doc_id: (r.license, r.dice, r.n_matches) for r in licenses.scan(docs).collect()}
+    assert got == {**want, None: want[0], -1: (None, None, 0), -2: (None, None, 0)}
+    monkeypatch.setattr(licenses, "BLOCK_WORDS", 37)
+    assert got == {r.doc_id: (r.license, r.dice, r.n_matches) for r in licenses.scan(docs).collect()}
+
+
 @pytest.mark.parametrize(("kind", "block"), [("double", 2048), ("float", 16)])
 def test_near_vectors(spark, monkeypatch, kind, block):
     monkeypatch.setattr(cap_filters, "BLOCK", block)  # 16: directions come as pairs of blocks
