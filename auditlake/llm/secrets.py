@@ -31,8 +31,13 @@ KINDS = (
 )
 #: Kinds in the order of their spans; `owned` are further places of live-looking values.
 ORDER = (*(k.name for k in KINDS), "owned")
-#: What may be a further place of a value: a long run of its characters with a digit in it.
+#: The further places that the DuckDB SQL knows: long runs with a digit in them.
 BARE = r"[A-Za-z0-9+/_=-]{16,}"
+#: What texts are searched for: whole runs of letters and digits, and two of them with what joins them.
+PIECE = r"[A-Za-z0-9]+|[+/_.=-]{6,}"
+PAIR = r"(?<![A-Za-z0-9])(?=([A-Za-z0-9]+[+/_.=-]+[A-Za-z0-9]+))"
+#: Bits of the fixed-size table that prunes before a join, in words of 64.
+BITS = 1 << 24
 #: A value that more owners than this have is an example.
 MOST_OWNERS = 2
 
@@ -68,11 +73,50 @@ def _count(rank: int) -> Column:
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "source", owner_col: str = "source") -> DataFrame:
-    """(doc_id, repo, owner, base, bare) for each row: spans (start, rank, end, value) of the kinds, and of bare long values."""
+    """(doc_id, repo, owner, base) for each row: spans (start, rank, end, value) of the kinds."""
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(repo_col).alias("repo"), F.col(owner_col).alias("owner"), _base(F.col(text_col)).alias("base"))
+
+
+def _base(text: Column) -> Column:
+    return F.array_sort(F.concat(*(_ranked(F.coalesce(text, F.lit("")), rank, kind) for rank, kind in enumerate(KINDS))))
+
+
+def _may_be_in(rows: DataFrame, column: str, keys: DataFrame, key: str) -> DataFrame:
+    """The rows whose column is among the keys, and a few others: by a broadcast table of BITS bits at most."""
+    spread = lambda c: F.expr(f"pmod(xxhash64({c}), {BITS})")
+    bits = keys.select(spread(key).alias("at")).groupBy(F.expr("at div 64").alias("slot")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 AS int))")).alias("bits"))
+    held = rows.withColumn("at", spread(column)).join(F.broadcast(bits), F.expr("at div 64") == F.col("slot"))
+    return held.where("shiftright(bits, cast(at % 64 AS int)) & 1L = 1L").drop("at", "slot", "bits")
+
+
+def further_places(docs: DataFrame, values: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, start, end, value): all places of the values, one column, that overlap no span of the kinds.
+
+    A place doesn't begin or end within a run of letters and digits (of joining characters, for a value of these alone).
+    Texts are searched for one part of each value, its longest pair of joined runs or its only run; then for the value.
+    """
+    extract = lambda c, p, g: F.regexp_extract_all(c, F.lit(p), F.lit(g))
+    pairs, runs = extract(F.col("value"), PAIR, 1), extract(F.col("value"), "[A-Za-z0-9]+", 0)
+    longest = F.array_max(F.transform(pairs, lambda p: F.struct(F.char_length(p).alias("n"), p.alias("part"))))["part"]
+    parts = values.select("value", F.coalesce(longest, F.get(runs, F.lit(0)), F.col("value")).alias("part"))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    base = [_ranked(text, rank, kind) for rank, kind in enumerate(KINDS)]
-    bare = F.filter(_spans(text, BARE, 0), lambda s: s["value"].rlike("[0-9]"))
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(repo_col).alias("repo"), F.col(owner_col).alias("owner"), F.array_sort(F.concat(*base)).alias("base"), bare.alias("bare"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
+    pieces = rows.select("doc_id", F.explode(F.array_distinct(F.concat(extract(F.col("text"), PIECE, 0), extract(F.col("text"), PAIR, 1)))).alias("piece"))
+    hits = _may_be_in(pieces, "piece", parts, "part").join(parts, F.col("piece") == F.col("part"))
+    sought = staged(hits.groupBy("doc_id").agg(F.collect_set("value").alias("values")), "sought").withColumnRenamed("doc_id", "sought_id")
+    # Texts move only if they may hold a value.
+    held = _may_be_in(rows, "doc_id", sought, "sought_id").join(sought, F.col("doc_id").eqNullSafe(F.col("sought_id")))
+    each = held.select("doc_id", "text", _base(F.col("text")).alias("base"), "values").select("doc_id", "text", "base", F.explode("values").alias("value"))
+    edge = lambda c, before: F.when(c.rlike("[A-Za-z0-9]"), F.lit(f"(?{before}![A-Za-z0-9])")).when(~F.col("value").rlike("[A-Za-z0-9]"), F.lit(f"(?{before}![+/_.=-])")).otherwise(F.lit(""))
+    first, last = F.substring("value", 1, 1), F.substring("value", -1, 1)
+    pattern = F.concat(edge(first, "<"), F.lit("(?=\\Q"), F.col("value"), F.lit("\\E"), edge(last, ""), F.lit(")"))
+    # Cut before each place, so that places of a value may overlap; the first piece is one if the text begins with it.
+    cut = each.withColumn("pattern", pattern).withColumn("pieces", F.expr("split(text, pattern, -1)")).withColumn("leads", F.expr("text rlike concat('^', pattern)"))
+    none = "named_struct('at', 0L, 'starts', cast(array() AS array<bigint>))"
+    starts = f"aggregate(pieces, {none}, (s, p) -> named_struct('at', s.at + char_length(p), 'starts', concat(s.starts, array(s.at))), s -> s.starts)"
+    placed = cut.select("doc_id", "base", "value", F.explode(F.expr(f"filter({starts}, (s, i) -> i > 0 OR leads)")).alias("start"))
+    placed = placed.withColumn("end", F.col("start") + F.char_length("value")).where("not exists(base, b -> b.start < end and start < b.end)")
+    return placed.select("doc_id", "start", "end", "value").distinct()
 
 
 def ownership(found: DataFrame, most_owners: int = MOST_OWNERS) -> DataFrame:
@@ -98,10 +142,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_c
     owners = staged(ownership(found, most_owners), "owners")
     base = found.where("size(base) > 0").select("doc_id", F.explode("base").alias("s")).select("doc_id", "s.start", "s.rank", "s.end", F.sha2("s.value", 256).alias("value_hash"))
     base = base.distinct().join(owners.select("value_hash", "live"), "value_hash")
-    bare = found.where("size(bare) > 0").select("doc_id", "base", F.explode("bare").alias("s"))
-    apart = bare.where("not exists(base, b -> b.start < s.end and s.start < b.end)")
-    bare = apart.select("doc_id", "s.start", F.lit(len(KINDS)).alias("rank"), "s.end", F.sha2("s.value", 256).alias("value_hash"))
-    owned = bare.distinct().join(owners.where("live").select("value_hash", "live"), "value_hash")
+    live = found.select(F.explode("base.value").alias("value")).distinct().join(owners.where("live").select("value_hash"), F.sha2("value", 256) == F.col("value_hash"))
+    places = further_places(docs, staged(live.select("value"), "live"), id_col, text_col)
+    owned = places.select(F.sha2("value", 256).alias("value_hash"), "doc_id", "start", F.lit(len(KINDS)).alias("rank"), "end", F.lit(True).alias("live"))
     spans = base.union(owned.select(base.columns)).groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "rank", "end", "live"))).alias("spans"))
     every = found.select("doc_id")
     joined = every.join(spans.withColumnRenamed("doc_id", "span_id"), F.col("doc_id").eqNullSafe(F.col("span_id")), "left")

@@ -195,6 +195,31 @@ def test_secrets_found_elsewhere(spark):
     assert got == {1: "assign:0:33", 2: "owned:4:28", 3: ""}
 
 
+def test_secrets_found_elsewhere_whatever_their_form(spark):
+    values = ["eyJhbGci.eyJzdWIi.c2ln-x_y", "hunterpass", "a1b2c3", "K9+/x==", "q-q-q-q", "======", "Abc.def/ghi1", "0a" * 16]
+    around = ["{}", "see {} there", "AUTH={}", "?key={}&x", "/{}/", "x-{}_{}.", "é😀{}日", "{}\n{}", "a{}", "{}9", "{}-{}", "a.b/c={}+d", "q-{}"]
+    rows = [(i, f'password: "{v}"', "a") for i, v in enumerate(values)]
+    rows += [(100 + i, " ".join(a.replace("{}", v) for v in values), f"s{i}") for i, a in enumerate(around)]
+    rows += [(200, None, None), (201, "", None), (None, "then hunterpass", "b"), (300, "hunterpass", "b"), (300, "x hunterpass", "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    scanned = secrets.scan(docs)
+    base = [re.compile(k.pattern) for k in secrets.KINDS]
+    want = collections.defaultdict(set)
+    for i, text, _ in rows:
+        taken = [m.span() for p, k in zip(base, secrets.KINDS, strict=True) for m in p.finditer(text or "") if len(m[k.group]) >= k.least]
+        for v in values:
+            kind = "[A-Za-z0-9]" if re.search("[A-Za-z0-9]", v) else "[+/_.=-]"
+            for a in range(len(text or "")):
+                b = a + len(v)
+                inside = lambda k: 0 < k < len(text) and re.match(kind, text[k - 1]) and re.match(kind, text[k])  # noqa: B023, E731
+                if text[a:b] == v and not inside(a) and not inside(b) and not any(x < b and a < y for x, y in taken):
+                    want[i].add((a, b))
+    got = {r.doc_id: {(s.start, s.end) for s in r.spans if s["rank"] == 3} for r in scanned.collect()}
+    assert got == {i: want[i] for i, _, _ in rows} and all(want[100 + i] for i in (0, 1, 2, 3, 4, 5, 6))
+    masked = {r.doc_id: r.text for r in secrets.mask(docs, scanned).collect()}
+    assert "hunterpass" not in masked[102] and "eyJ" not in masked[104] and masked[200] is None
+
+
 def test_language_id(spark):
     german, english, french, spanish = "der die das und nicht ist ein mit", "the and of that is was for with", "le la les des est dans pour que", "el los las que de una por con"
     rng = np.random.default_rng(4)
