@@ -9,10 +9,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import row_key, staged
 
 
 @dataclass(frozen=True)
@@ -36,12 +36,37 @@ BARE = r"[A-Za-z0-9+/_=-]{16,}"
 #: What texts are searched for: whole runs of letters and digits, and two of them with what joins them.
 PIECE = r"[A-Za-z0-9]+|[+/_.=-]{6,}"
 PAIR = r"(?<![A-Za-z0-9])(?=([A-Za-z0-9]+[+/_.=-]+[A-Za-z0-9]+))"
+#: Elements of a group of a running total.
+GROUP = 256
+#: Code points of a segment of a text.
+SEGMENT = 4096
 #: Bits of the fixed-size table that prunes before a join, in words of 64.
 BITS = 1 << 24
+#: Values that stand for another.
+PLACEHOLDER = r"(?i)(example|placeholder|changeme|change_me|dummy|your[_-]|redacted|x{6,}|\*{3,}|0{12,}|1234567890)"
 #: A value that more owners than this have is an example.
 MOST_OWNERS = 2
 
 
+def _bound(value: Column, use) -> Column:
+    """use(value), with the value worked out once although use() may name it inside a loop over an array."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def running(values: Column, step, zero: int = 0) -> Column:
+    """The running totals of an array of longs under an associative step, of those before each element.
+
+    The array is cut into groups of GROUP elements: totals of groups first, then elements within their group, so that no
+    step touches the whole array for each element.
+    """
+    fold = lambda part: F.aggregate(part, F.lit(zero).cast("long"), step)
+    cut = lambda v: F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.size(v) - 1, F.lit(0)) / GROUP).cast("int")), lambda g: F.slice(v, g * GROUP + 1, F.lit(GROUP)))
+    first = lambda gs: F.aggregate(F.transform(gs, fold), F.array(F.lit(zero).cast("long")), lambda acc, x: F.concat(acc, F.array(step(F.element_at(acc, -1), x))))
+    within = lambda g, before: F.transform(g, lambda _, i: step(before, fold(F.slice(g, F.lit(1), i))))
+    each = lambda gs, before: F.flatten(F.transform(gs, lambda g, k: within(g, F.get(before, k))))
+    return _bound(values, lambda v: _bound(cut(v), lambda gs: _bound(first(gs), lambda before: each(gs, before))))
+
+
 def _spans(text: Column, pattern: str, group: int) -> Column:
     """array<struct<start, end, value>> of all matches of a pattern, in code points.
 
@@ -52,14 +77,15 @@ def _spans(text: Column, pattern: str, group: int) -> Column:
         F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("match"),
         F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("value"),
     )
-    empty = "named_struct('at', 0L, 'spans', cast(array() as array<struct<start:bigint,end:bigint,value:string>>))"
-    step = lambda s, p: F.struct(
-        (s["at"] + F.char_length(p["piece"]) + F.coalesce(F.char_length(p["match"]), F.lit(0))).cast("long").alias("at"),
-        F.when(p["match"].isNull(), s["spans"])
-        .otherwise(F.concat(s["spans"], F.array(F.struct((s["at"] + F.char_length(p["piece"])).alias("start"), (s["at"] + F.char_length(p["piece"]) + F.char_length(p["match"])).alias("end"), p["value"].alias("value")))))
-        .alias("spans"),
-    )
-    found = F.aggregate(parts, F.expr(empty), step, lambda s: s["spans"])
+    length = lambda c: F.coalesce(F.char_length(c), F.lit(0)).cast("long")
+    lengths = lambda ps: F.transform(ps, lambda p: length(p["piece"]) + length(p["match"]))
+
+    def place(ps: Column, before: Column) -> Column:
+        start = lambda p, i: F.get(before, i) + length(p["piece"])
+        spans = F.transform(ps, lambda p, i: F.when(p["match"].isNotNull(), F.struct(start(p, i).alias("start"), (start(p, i) + length(p["match"])).alias("end"), p["value"].alias("value"))))
+        return F.array_compact(spans)
+
+    found = _bound(parts, lambda ps: _bound(running(lengths(ps), lambda x, y: x + y), lambda before: place(ps, before)))
     return F.when(text.rlike(pattern), found).otherwise(F.expr("cast(array() as array<struct<start:bigint,end:bigint,value:string>>)"))
 
 
@@ -72,9 +98,15 @@ def _count(rank: int) -> Column:
     return F.size(F.filter("spans", lambda s: s["rank"] == rank)).cast("long")
 
 
-def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "source", owner_col: str = "source") -> DataFrame:
-    """(doc_id, repo, owner, base) for each row: spans (start, rank, end, value) of the kinds."""
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(repo_col).alias("repo"), F.col(owner_col).alias("owner"), _base(F.col(text_col)).alias("base"))
+def owner_of(repo: Column) -> Column:
+    """The owner of a repository: its name without the last part (OWNER/NAME), or all of it."""
+    return F.regexp_replace(repo, "/[^/]*$", "")
+
+
+def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "source", owner_col: str | None = None) -> DataFrame:
+    """(doc_id, row_key, repo, owner, base) for each row: spans (start, rank, end, value) of the kinds."""
+    owner = F.col(owner_col) if owner_col else owner_of(F.col(repo_col))
+    return docs.select(F.col(id_col).alias("doc_id"), row_key(id_col, text_col).alias("row_key"), F.col(repo_col).alias("repo"), owner.alias("owner"), _base(F.col(text_col)).alias("base"))
 
 
 def _base(text: Column) -> Column:
@@ -89,67 +121,83 @@ def _may_be_in(rows: DataFrame, column: str, keys: DataFrame, key: str) -> DataF
     return held.where("shiftright(bits, cast(at % 64 AS int)) & 1L = 1L").drop("at", "slot", "bits")
 
 
-def further_places(docs: DataFrame, values: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, start, end, value): all places of the values, one column, that overlap no span of the kinds.
+def _occurrences(text: Column) -> Column:
+    """array<struct<start, end, value>> of the runs of a text, and of the pairs of joined runs; a pair's end isn't its own."""
+    pairs = F.transform(_spans(F.concat(F.lit("\x00"), text), PAIR, 1), lambda s: F.struct((s["start"] - 1).alias("start"), (s["end"] - 1).alias("end"), s["value"].alias("value")))
+    return F.concat(_spans(text, PIECE, 0), pairs)
+
+
+def _apart(places: DataFrame, base: DataFrame) -> DataFrame:
+    """The places (row_key, start, end, value) that overlap no base span (row_key, start, end) of their row, by running bounds."""
+    both = places.withColumn("is_base", F.lit(False)).union(base.select("row_key", "start", "end", F.lit(None).cast("string").alias("value"), F.lit(True).alias("is_base")))
+    row = Window.partitionBy("row_key").rowsBetween(Window.unboundedPreceding, 0)
+    upto = F.max(F.when(F.col("is_base"), F.col("end"))).over(row.orderBy("start", F.desc("is_base")))
+    following = F.min(F.when(F.col("is_base"), F.col("start"))).over(row.orderBy(F.desc("start"), "is_base"))
+    told = both.withColumn("upto", upto).withColumn("following", following).where(~F.col("is_base"))
+    return told.where("coalesce(upto <= start, true) and coalesce(following >= end, true)").select("row_key", "start", "end", "value")
+
+
+def further_places(docs: DataFrame, values: DataFrame, base: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(row_key, start, end, value): all places of the values, one column, that overlap no base span (row_key, start, end).
 
     A place doesn't begin or end within a run of letters and digits (of joining characters, for a value of these alone).
-    Texts are searched for one part of each value, its longest pair of joined runs or its only run; then for the value.
+    Texts are searched for one part of each value, its longest pair of joined runs or its only run; where a part stands apart
+    from base spans, the whole value is looked for around it.
     """
     extract = lambda c, p, g: F.regexp_extract_all(c, F.lit(p), F.lit(g))
     pairs, runs = extract(F.col("value"), PAIR, 1), extract(F.col("value"), "[A-Za-z0-9]+", 0)
     longest = F.array_max(F.transform(pairs, lambda p: F.struct(F.char_length(p).alias("n"), p.alias("part"))))["part"]
     parts = values.select("value", F.coalesce(longest, F.get(runs, F.lit(0)), F.col("value")).alias("part"))
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
-    pieces = rows.select("doc_id", F.explode(F.array_distinct(F.concat(extract(F.col("text"), PIECE, 0), extract(F.col("text"), PAIR, 1)))).alias("piece"))
-    hits = _may_be_in(pieces, "piece", parts, "part").join(parts, F.col("piece") == F.col("part"))
-    sought = staged(hits.groupBy("doc_id").agg(F.collect_set("value").alias("values")), "sought").withColumnRenamed("doc_id", "sought_id")
+    rows = docs.select(row_key(id_col, text_col).alias("row_key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    pieces = rows.select("row_key", F.explode(_occurrences(F.col("text"))).alias("o")).select("row_key", F.col("o.start").alias("pos"), F.col("o.value").alias("piece"))
+    start = F.col("pos") + 1 - F.expr("locate(part, value)")
+    hits = _may_be_in(pieces, "piece", parts, "part").join(parts, F.col("piece") == F.col("part")).select("row_key", start.alias("start"), (start + F.char_length("value")).alias("end"), "value")
+    apart = _apart(hits.where("start >= 0"), base)
+    sought = staged(apart.groupBy("row_key").agg(F.collect_set(F.struct("start", "end", "value")).alias("places")), "sought").withColumnRenamed("row_key", "sought_key")
     # Texts move only if they may hold a value.
-    held = _may_be_in(rows, "doc_id", sought, "sought_id").join(sought, F.col("doc_id").eqNullSafe(F.col("sought_id")))
-    each = held.select("doc_id", "text", _base(F.col("text")).alias("base"), "values").select("doc_id", "text", "base", F.explode("values").alias("value"))
-    edge = lambda c, before: F.when(c.rlike("[A-Za-z0-9]"), F.lit(f"(?{before}![A-Za-z0-9])")).when(~F.col("value").rlike("[A-Za-z0-9]"), F.lit(f"(?{before}![+/_.=-])")).otherwise(F.lit(""))
-    first, last = F.substring("value", 1, 1), F.substring("value", -1, 1)
-    pattern = F.concat(edge(first, "<"), F.lit("(?=\\Q"), F.col("value"), F.lit("\\E"), edge(last, ""), F.lit(")"))
-    # Cut before each place, so that places of a value may overlap; the first piece is one if the text begins with it.
-    cut = each.withColumn("pattern", pattern).withColumn("pieces", F.expr("split(text, pattern, -1)")).withColumn("leads", F.expr("text rlike concat('^', pattern)"))
-    none = "named_struct('at', 0L, 'starts', cast(array() AS array<bigint>))"
-    starts = f"aggregate(pieces, {none}, (s, p) -> named_struct('at', s.at + char_length(p), 'starts', concat(s.starts, array(s.at))), s -> s.starts)"
-    placed = cut.select("doc_id", "base", "value", F.explode(F.expr(f"filter({starts}, (s, i) -> i > 0 OR leads)")).alias("start"))
-    placed = placed.withColumn("end", F.col("start") + F.char_length("value")).where("not exists(base, b -> b.start < end and start < b.end)")
-    return placed.select("doc_id", "start", "end", "value").distinct()
+    held = _may_be_in(rows, "row_key", sought, "sought_key").join(sought, F.col("row_key") == F.col("sought_key"))
+    at = lambda p, n: F.substring("text", p.cast("int"), n)
+
+    def stands(p: Column) -> Column:
+        kind = F.when(p["value"].rlike("[A-Za-z0-9]"), F.lit("^[A-Za-z0-9]{2}$")).otherwise(F.lit("^[+/_.=-]{2}$"))
+        cut = lambda k: F.when(k > 0, F.coalesce(F.regexp_like(at(k, F.lit(2)), kind), F.lit(False))).otherwise(False)
+        return (at(p["start"] + 1, F.char_length(p["value"])) == p["value"]) & ~cut(p["start"]) & ~cut(p["end"])
+
+    return held.select("row_key", F.inline(F.filter("places", stands))).distinct()
 
 
 def ownership(found: DataFrame, most_owners: int = MOST_OWNERS) -> DataFrame:
     """(value_hash, n_repos, n_owners, live): candidates of the whole corpus by distinct repositories and owners.
 
-    Each (value, repository, owner) counts once whatever the number of its copies; null owners count as one owner.
+    Each (value, repository, owner) counts once whatever the number of its copies; null owners count as one owner.  A value
+    is live-looking if few owners have it and nothing in it says that it stands for another (PLACEHOLDER).
     """
-    values = found.select("repo", "owner", F.explode("base.value").alias("value")).select(F.sha2("value", 256).alias("value_hash"), "repo", "owner")
+    values = found.select("repo", "owner", F.explode("base.value").alias("value")).select(F.sha2("value", 256).alias("value_hash"), F.col("value").rlike(PLACEHOLDER).alias("stands_for"), "repo", "owner")
     # Once to the distinct triples, pre-aggregated in each task, so that a value with very many copies is no large group.
-    each = values.groupBy("value_hash", "repo", "owner").agg(F.lit(1).alias("one"))
+    each = values.groupBy("value_hash", "repo", "owner").agg(F.first("stands_for").alias("stands_for"))
     none = F.lit("\x00")
-    counted = each.groupBy("value_hash").agg(F.count_distinct(F.coalesce("repo", none)).alias("n_repos"), F.count_distinct(F.coalesce("owner", none)).alias("n_owners"))
-    return counted.withColumn("live", F.col("n_owners") <= most_owners)
+    counted = each.groupBy("value_hash").agg(F.count_distinct(F.coalesce("repo", none)).alias("n_repos"), F.count_distinct(F.coalesce("owner", none)).alias("n_owners"), F.bool_or("stands_for").alias("stands_for"))
+    return counted.withColumn("live", (F.col("n_owners") <= most_owners) & ~F.col("stands_for")).drop("stands_for")
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "source", owner_col: str = "source", most_owners: int = MOST_OWNERS) -> DataFrame:
-    """(doc_id, spans) for each row; a span is (start, rank, end, live): kind ORDER[rank], code points, end exclusive.
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "source", owner_col: str | None = None, most_owners: int = MOST_OWNERS) -> DataFrame:
+    """(doc_id, row_key, spans) for each row; a span is (start, rank, end, live, n_repos): kind ORDER[rank], code points, end exclusive.
 
-    Null and empty texts have no spans; repeated rows of an id share their spans; null repositories and owners count as
-    one of their own; further columns are ignored; no rows give none.
+    Null and empty texts have no spans; rows are told apart by row_key, the hash of id and text, so repeated rows have
+    equal spans and other texts of an id their own; null repositories and owners count as one of their own; without an
+    owner column, owners are read from the repositories' names; further columns are ignored; no rows give none.
     """
     found = staged(candidates(docs, id_col, text_col, repo_col, owner_col), "secrets")
     owners = staged(ownership(found, most_owners), "owners")
-    base = found.where("size(base) > 0").select("doc_id", F.explode("base").alias("s")).select("doc_id", "s.start", "s.rank", "s.end", F.sha2("s.value", 256).alias("value_hash"))
-    base = base.distinct().join(owners.select("value_hash", "live"), "value_hash")
+    base = found.where("size(base) > 0").select("row_key", F.explode("base").alias("s")).select("row_key", "s.start", "s.rank", "s.end", F.sha2("s.value", 256).alias("value_hash")).distinct()
     live = found.select(F.explode("base.value").alias("value")).distinct().join(owners.where("live").select("value_hash"), F.sha2("value", 256) == F.col("value_hash"))
-    places = further_places(docs, staged(live.select("value"), "live"), id_col, text_col)
-    owned = places.select(F.sha2("value", 256).alias("value_hash"), "doc_id", "start", F.lit(len(KINDS)).alias("rank"), "end", F.lit(True).alias("live"))
-    spans = base.union(owned.select(base.columns)).groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "rank", "end", "live"))).alias("spans"))
-    every = found.select("doc_id")
-    joined = every.join(spans.withColumnRenamed("doc_id", "span_id"), F.col("doc_id").eqNullSafe(F.col("span_id")), "left")
-    none = F.expr("cast(array() as array<struct<start:bigint,rank:int,end:bigint,live:boolean>>)")
-    return joined.select("doc_id", F.coalesce("spans", none).alias("spans"))
+    places = further_places(docs, staged(live.select("value"), "live"), base, id_col, text_col)
+    owned = places.select("row_key", "start", F.lit(len(KINDS)).alias("rank"), "end", F.sha2("value", 256).alias("value_hash"))
+    told = base.union(owned.select(base.columns)).join(owners.select("value_hash", "live", "n_repos"), "value_hash")
+    spans = told.groupBy("row_key").agg(F.array_sort(F.collect_set(F.struct("start", "rank", "end", "live", "n_repos"))).alias("spans"))
+    joined = found.select("doc_id", "row_key").join(spans, "row_key", "left")
+    none = F.expr("cast(array() as array<struct<start:bigint,rank:int,end:bigint,live:boolean,n_repos:bigint>>)")
+    return joined.select("doc_id", "row_key", F.coalesce("spans", none).alias("spans"))
 
 
 def digest(scanned: DataFrame) -> DataFrame:
@@ -163,11 +211,31 @@ def digest(scanned: DataFrame) -> DataFrame:
 
 
 def mask(docs: DataFrame, scanned: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[secret]") -> DataFrame:
-    """docs with the live-looking spans of their texts replaced by a mark; copied examples stay."""
-    spans = scanned.select(F.col("doc_id").alias("masked_id"), F.filter("spans", lambda s: s["live"]).alias("masked")).where("size(masked) > 0").dropDuplicates(["masked_id"])
-    joined = docs.join(spans, F.col(id_col).eqNullSafe(F.col("masked_id")), "left")
-    start = "named_struct('at', 0L, 'out', '')"
-    cut = f"""aggregate(masked, {start}, (s, m) -> if(m.end <= s.at, s, named_struct('at', m.end,
-              'out', concat(s.out, substring({text_col}, cast(s.at + 1 as int), cast(greatest(m.start - s.at, 0L) as int)), if(m.start < s.at, '', '{mark}')))),
-              s -> concat(s.out, substring({text_col}, cast(s.at + 1 as int))))"""
-    return joined.withColumn(text_col, F.when(F.col("masked").isNull(), F.col(text_col)).otherwise(F.expr(cut))).select(*docs.columns)
+    """docs with the live-looking spans of their texts replaced by a mark each, overlapping ones by one; copied examples stay.
+
+    scanned: scan() of the same rows.  Only texts with such spans move.
+    """
+    live = F.filter("spans", lambda s: s["live"])
+    spans = scanned.where(F.exists("spans", lambda s: s["live"])).groupBy("row_key").agg(F.first(live).alias("_masked")).withColumnRenamed("row_key", "_masked_key")
+    keyed = docs.withColumn("_row_key", row_key(id_col, text_col))
+    spread = F.expr(f"pmod(xxhash64(_row_key), {BITS})")
+    bits = spans.select(F.expr(f"pmod(xxhash64(_masked_key), {BITS})").alias("_at")).groupBy(F.expr("_at div 64").alias("_slot")).agg(F.bit_or(F.expr("shiftleft(1L, cast(_at % 64 AS int))")).alias("_bits"))
+    marked = keyed.withColumn("_at", spread).join(F.broadcast(bits), F.expr("_at div 64") == F.col("_slot"), "left")
+    may = F.coalesce(F.expr("shiftright(_bits, cast(_at % 64 AS int)) & 1L = 1L"), F.lit(False))
+    touched = marked.where(may).drop("_at", "_slot", "_bits").join(spans, F.col("_row_key") == F.col("_masked_key"), "left")
+    # With where the spans before each one end.
+    pieces = lambda upto: F.transform("_masked", lambda m, i: F.struct(m["start"].alias("start"), F.get(upto, i).alias("upto")))
+    heads = F.filter(_bound(running(F.col("_masked.end"), lambda x, y: F.greatest(x, y)), pieces), lambda p: p["start"] >= p["upto"])
+    # Parts of a text come from segments of it, so that none is counted off from the text's beginning.
+    segments = F.regexp_extract_all(F.col(text_col), F.lit(f"(?s).{{1,{SEGMENT}}}"), F.lit(0))
+
+    def cut(segs: Column, a: Column, n: Column) -> Column:
+        k = F.floor(a / SEGMENT).cast("int")
+        held = F.array_join(F.slice(segs, k + 1, (F.floor((a + n) / SEGMENT) - k + 1).cast("int")), "")
+        return F.substring(held, (a - k * SEGMENT + 1).cast("int"), n.cast("int"))
+
+    told = lambda segs: F.array_join(F.transform(heads, lambda p: F.concat(cut(segs, p["upto"], p["start"] - p["upto"]), F.lit(mark))), "")
+    last = F.array_max("_masked.end")
+    masked = _bound(segments, lambda segs: F.concat(told(segs), cut(segs, last, F.char_length(text_col) - last)))
+    touched = touched.withColumn(text_col, F.when(F.col("_masked").isNull(), F.col(text_col)).otherwise(masked))
+    return marked.where(~may).select(*docs.columns).union(touched.select(*docs.columns))

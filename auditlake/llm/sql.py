@@ -5,7 +5,7 @@ from __future__ import annotations
 from .chat import FIRST, HEAD, MIDDLE, REST, TAIL
 from .decontaminate import LOWER, UPPER
 from .licenses import PERCENT, TEMPLATES, normalised
-from .secrets import BARE, KINDS, MOST_OWNERS, ORDER
+from .secrets import BARE, KINDS, MOST_OWNERS, ORDER, PLACEHOLDER
 
 
 def _text(value: str) -> str:
