@@ -8,7 +8,8 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 U64 = np.uint64
 
@@ -19,6 +20,8 @@ def shared_dir(spark: SparkSession) -> str:
     if folder is None:
         folder = spark.conf.get("auditlake.shared.dir", None)
         if folder is None:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             folder = "file://" + tempfile.mkdtemp(prefix="spark-auditlake-")
             spark.conf.set("auditlake.shared.dir", folder)
     return folder.rstrip("/")
@@ -34,6 +37,16 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def tasks(spark: SparkSession) -> int:
+    """Partitions for stages whose work isn't in proportion to their bytes, which would be merged by bytes if left open."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def row_key(id_col: str, text_col: str) -> Column:
+    """A key of a row by its id and whole text, never null: tells rows apart that share an id."""
+    return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col))
+
+
 def discard(df: DataFrame) -> None:
     """Delete the table behind a frame returned by staged(), once nothing reads it any more."""
     path = getattr(df, "staged_path", None)
@@ -64,45 +77,63 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
+#: Substrings are hashed by two polynomials modulo this prime, which don't share the collisions of arithmetic modulo 2**64.
+PRIME = (1 << 31) - 1
+BASES = (1_513_477_735, 906_150_257)
+#: Elements worked on at once, so that they stay in the processor's cache.
+NEAR = 1 << 15
+
+
+def _fold(x: np.ndarray) -> np.ndarray:
+    """x modulo PRIME, not fully reduced."""
+    return (x & U64(PRIME)) + (x >> U64(31))
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    x = _fold(_fold(x))
+    x -= U64(PRIME) * (x >= U64(PRIME))
+    return x
+
+
 @lru_cache(maxsize=1)
 def byte_words() -> np.ndarray:
-    """One pseudo-random 64-bit word for each byte value."""
-    return mix(np.arange(1, 257, dtype=np.uint64) * U64(0x9E3779B97F4A7C15))
+    """One pseudo-random word below PRIME for each byte value."""
+    return mix(np.arange(1, 257, dtype=np.uint64) * U64(0x9E3779B97F4A7C15)) % U64(PRIME)
 
 
-@lru_cache(maxsize=4)
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of an odd base modulo 2**64, and of its inverse."""
-    base = 0xD1342543DE82EF95
-    inverse = pow(base, -1, 1 << 64)
-    out = []
-    for b in (base, inverse):
-        p = np.full(n, b, dtype=np.uint64)
-        p[0] = 1
-        with np.errstate(over="ignore"):
-            out.append(np.multiply.accumulate(p))
-    return out[0], out[1]
+@lru_cache(maxsize=8)
+def powers(base: int, n: int) -> np.ndarray:
+    """The first n (a power of two) powers of a base modulo PRIME."""
+    out = np.ones(1, np.uint64)
+    while len(out) < n:
+        out = np.concatenate([out, _reduced(out * U64(pow(base, len(out), PRIME)))])
+    return out
 
 
 class Rolling:
-    """Polynomial hashes of any substring of a byte buffer by one prefix sum."""
+    """Hashes of any substring of a byte buffer (of less than 2**31 bytes) by prefix sums of two polynomials."""
 
-    def __init__(self, raw: np.ndarray, words: np.ndarray | None = None):
+    def __init__(self, raw: np.ndarray):
         n = len(raw)
         size = 1 << max(12, int(n).bit_length())
-        up, self.down = powers(size)
-        self.prefix = np.zeros(n + 1, np.uint64)
-        np.cumsum((byte_words() if words is None else words)[raw] * up[:n], out=self.prefix[1:])
+        self.sides = [(np.zeros(n + 1, np.uint64), powers(pow(base, -1, PRIME), size)) for base in BASES]
+        table, up = byte_words(), [powers(base, size) for base in BASES]
+        for a in range(0, n, NEAR):
+            words = table[raw[a : a + NEAR]]
+            for power, (prefix, _) in zip(up, self.sides, strict=True):
+                terms = words * power[a : a + len(words)]
+                terms = np.add(terms & U64(PRIME), terms >> U64(31), out=terms)
+                terms[0] += prefix[a]
+                np.cumsum(terms, out=prefix[a + 1 : a + 1 + len(words)])
 
     def span(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Hash of raw[start:end], for arrays of starts and ends; mixes the length in."""
-        x = (self.prefix[end] - self.prefix[start]) * self.down[start]
-        return mix(x + (end - start).astype(np.uint64) * U64(0x9E3779B97F4A7C15))
-
-    def grams(self, k: int) -> np.ndarray:
-        """Hash of each substring of k bytes."""
-        n = len(self.prefix) - k
-        return mix((self.prefix[k:] - self.prefix[:n]) * self.down[:n]) if n > 0 else np.zeros(0, np.uint64)
+        out = np.empty(len(start), np.uint64)
+        for a in range(0, len(start), NEAR):
+            s, e = start[a : a + NEAR], end[a : a + NEAR]
+            high, low = (_reduced(_fold(_fold(prefix[e] - prefix[s])) * down[s]) for prefix, down in self.sides)
+            out[a : a + NEAR] = mix(((high << U64(32)) | low) + (e - s).astype(np.uint64) * U64(0x9E3779B97F4A7C15))
+        return out
 
 
 def signed(x: np.ndarray) -> np.ndarray:

@@ -52,7 +52,7 @@ def op8_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return signature_tree.near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=85)
+    return signature_tree.near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=85).drop("row_key", "root")
 
 
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

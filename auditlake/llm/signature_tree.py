@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, Rolling, key_groups, mix, signed, staged, text_buffer
+from .common import U64, Rolling, key_groups, mix, row_key, signed, staged, tasks, text_buffer
 from .components import components
 
 #: Bytes of text hashed at once, unless one document has more.
@@ -76,7 +76,7 @@ def _set_keys(words: int):
             with np.errstate(over="ignore"):
                 keys = [(len(s), *(int(mix(s ^ U64(salt)).sum().view(np.int64)) for salt in (1, 2))) for _, s in shingle_sets(batch.column(1), words)]
             columns = [pa.array(c, pa.int64()) for c in zip(*keys, strict=True)] if keys else [pa.array([], pa.int64())] * 3
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "n", "k", "k2"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], names=["doc_id", "row_key", "n", "k", "k2"])
 
     return run
 
@@ -132,8 +132,10 @@ def _needed_sets(words: int, involved: np.ndarray):
             keep = pa.array(np.flatnonzero((involved[slot >> 3] >> (slot & 7)) & 1))
             if len(keep):
                 sets = [s for _, s in shingle_sets(batch.column(2).take(keep), words)]
+                with np.errstate(over="ignore"):
+                    keys = pa.array([int(mix(s ^ U64(1)).sum().view(np.int64)) for s in sets], pa.int64())
                 columns = [pa.array([len(s) for s in sets], pa.int64()), pa.array([bitmap(s).tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), *columns], names=["rep", "n", "bits", "shingles"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), keys, *columns], names=["rep", "k", "n", "bits", "shingles"])
 
     return run
 
@@ -269,7 +271,7 @@ def spanning_links(sets: list[np.ndarray], percent: int, side: np.ndarray | None
 
 
 def _candidates(percent: int):
-    """Groups of rows (token, i, j, part, rep, n, bits), sorted by the first three, to the rows that have a partner."""
+    """Groups of rows (token, i, j, part, k, n, bits), sorted by the first three, to the rows that have a partner."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in key_groups(batches, 3):
@@ -280,38 +282,44 @@ def _candidates(percent: int):
                 found = have_partners(bitmaps, sizes, percent, part if across else None)
                 if found.any():
                     at = pa.array(np.flatnonzero(found))
-                    yield pa.RecordBatch.from_arrays([group.column(k).take(at) for k in range(5)], names=["token", "i", "j", "part", "rep"])
+                    yield pa.RecordBatch.from_arrays([group.column(k).take(at) for k in range(5)], names=["token", "i", "j", "part", "k"])
 
     return run
 
 
 def _group_links(percent: int):
-    """Groups of rows (token, i, j, part, rep, shingles), sorted by the first three, to edges."""
+    """Groups of rows (token, i, j, part, k, shingles), sorted by the first three, to edges."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in key_groups(batches, 3):
             part = group.column(3).to_numpy(zero_copy_only=False)
-            reps = group.column(4).to_numpy(zero_copy_only=False)
+            keys = group.column(4).to_numpy(zero_copy_only=False)
             sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column(5)]
             across = group.column(1)[0].as_py() != group.column(2)[0].as_py()
             if len(sets) > 1 and (edges := spanning_links(sets, percent, part if across else None)):
                 a, b = np.array(edges).T
-                yield pa.RecordBatch.from_arrays([pa.array(reps[a]), pa.array(reps[b])], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys[a]), pa.array(keys[b])], names=["a", "b"])
 
     return run
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, class_id, component_id) for each row: links are 100 * intersection >= percent * union.
-
-    component_id is the smallest id reachable by links.  Null or empty texts have no shingles and link with nothing, texts
-    of fewer than `words` words have one (all their words), equal sets of any number are one class, a repeated row is a copy
-    of itself, further columns are ignored, no rows give none.  ids must not be null.
+    """(doc_id, row_key, n_shingles, class_id, component_id, root) for each row: links are 100 * intersection >= percent * union.
+
+    class_id and component_id are the smallest ids of rows with the same set, and of rows reachable by links; `root` names
+    the component without regard to ids, null where a row has no shingles.  Null or empty texts have no shingles and link
+    with nothing, texts of fewer than `words` words have one (all their words), equal sets of any number are one class.
+    Rows are told apart by row_key, the hash of id and text: rows that share an id but not the text are compared each for
+    itself, a repeated row is a copy of itself, a null id is never the smallest unless there is no other.  Further columns
+    are ignored, no rows give none.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    keyed = staged(docs.mapInArrow(_set_keys(words), "doc_id long, n long, k long, k2 long"), "sets")
-    classes = staged(keyed.where("n > 0").groupBy("k", "k2", "n").agg(F.min("doc_id").alias("rep")), "classes")
+    n_tasks = tasks(spark)
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), row_key(id_col, text_col).alias("row_key"))
+    keyed = staged(docs.mapInArrow(_set_keys(words), "doc_id long, row_key long, n long, k long, k2 long"), "sets")
+    each = keyed.where("n > 0").groupBy("k", "k2", "n", "doc_id").agg(F.count(F.lit(1)).alias("times"))
+    classes = each.groupBy("k", "k2", "n").agg(F.min(F.struct("doc_id", "times")).alias("rep"), F.min("doc_id").alias("least"))
+    classes = staged(classes.select("k", "k2", "n", F.col("rep.doc_id").alias("rep"), "rep.times", "least"), "classes")
     prefixes = docs.select("text").mapInArrow(_prefixes(words, percent), "token long, k long, n long").repartition("token")
     token = Window.partitionBy("token")
     shared = prefixes.withColumn("low", F.min("k").over(token)).withColumn("high", F.max("k").over(token)).where("low != high")
@@ -324,7 +332,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     group = shared.join(kept, "token").withColumn("part", F.floor(F.coalesce(F.sum("n").over(by_size), F.lit(0)) / BLOCK_SHINGLES))
     group = group.withColumn("other", F.explode(F.sequence(F.lit(0), F.floor(F.col("shingles") / BLOCK_SHINGLES))))
     group = group.select("token", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "k")
-    group = staged(group.join(classes.select("k", "rep"), "k").drop("k"), "groups")
+    group = staged(group.join(classes.select("k", "rep"), "k"), "groups")
 
     slot = F.xxhash64("rep").bitwiseAND(F.lit((1 << INVOLVED_BITS) - 1))
     # A set of bits of fixed size, 2**INVOLVED_BITS / 8 bytes, goes to the tasks.
@@ -334,17 +342,24 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
         bits[r.page * 512 : (r.page + 1) * 512] = np.frombuffer(r.bits, np.uint8)
     spread = spark.sparkContext.broadcast(bits)
     needed = docs.select(F.col("doc_id").alias("rep"), F.xxhash64("doc_id").alias("slot"), "text")
-    needed = needed.mapInArrow(lambda b: _needed_sets(words, spread.value)(b), "rep long, n long, bits binary, shingles binary")
+    needed = needed.mapInArrow(lambda b: _needed_sets(words, spread.value)(b), "rep long, k long, n long, bits binary, shingles binary")
+    if (classes.agg(F.max("times")).first()[0] or 0) > 1:  # repeated rows bring a set once
+        needed = needed.dropDuplicates(["rep", "k"])
     needed = staged(needed, "needed")
     place = ["token", "i", "j"]
-    rows = group.join(needed.select("rep", "n", "bits"), "rep").select(*place, "part", "rep", "n", "bits")
-    group = rows.repartition(*place).sortWithinPartitions(*place, "rep").mapInArrow(_candidates(percent), "token long, i long, j long, part long, rep long")
-    group = staged(group, "candidates")
-    members = group.groupBy(*place).agg(F.sum(F.xxhash64("rep", "part").cast("decimal(38,0)")).alias("members"), F.count(F.lit(1)).alias("m"))
+    same = (F.col("g.k") == F.col("s.k")) & F.col("g.rep").eqNullSafe(F.col("s.rep"))
+    rows = group.alias("g").join(needed.alias("s"), same).select(*(f"g.{c}" for c in place), "g.part", "g.k", "s.n", "s.bits")
+    met = rows.repartition(n_tasks, *place).sortWithinPartitions(*place, "k").mapInArrow(_candidates(percent), "token long, i long, j long, part long, k long")
+    met = staged(met, "candidates")
+    members = met.groupBy(*place).agg(F.sum(F.xxhash64("k", "part").cast("decimal(38,0)")).alias("members"), F.count(F.lit(1)).alias("m"))
     kept = members.groupBy("members", "m").agg(F.min(F.struct(*place)).alias("at")).select("at.*")
-    rows = group.join(kept, place).join(needed.select("rep", "shingles"), "rep").select(*place, "part", "rep", "shingles")
-    rows = rows.repartition(*place).sortWithinPartitions(*place, "rep")
+    rows = met.join(kept, place).join(classes.select("k", "rep"), "k")
+    rows = rows.alias("g").join(needed.alias("s"), same).select(*(f"g.{c}" for c in place), "g.part", "g.k", "s.shingles")
+    rows = rows.repartition(n_tasks, *place).sortWithinPartitions(*place, "k")
     links = components(rows.mapInArrow(_group_links(percent), "a long, b long"))
-    found = keyed.join(classes, ["k", "k2", "n"], "left").withColumn("class_id", F.coalesce("rep", "doc_id")).drop("rep")
-    found = found.join(links.withColumnRenamed("id", "class_id"), "class_id", "left")
-    return found.select("doc_id", F.col("n").alias("n_shingles"), "class_id", F.coalesce("component_id", "class_id").alias("component_id"))
+    joined = classes.join(links.withColumnRenamed("id", "k"), "k", "left").withColumn("root", F.coalesce("component_id", "k")).drop("component_id")
+    roots = joined.groupBy("root").agg(F.min("least").alias("component_id"))
+    of_class = joined.join(roots, "root").select("k", "k2", "n", F.col("least").alias("class_id"), "component_id", "root")
+    found = keyed.join(of_class, ["k", "k2", "n"], "left")
+    own = lambda c: F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col(c)).alias(c)
+    return found.select("doc_id", "row_key", F.col("n").alias("n_shingles"), own("class_id"), own("component_id"), "root")

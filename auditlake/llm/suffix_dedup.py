@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Rolling, mix, signed, staged, text_buffer
+from .common import Rolling, mix, row_key, signed, staged, tasks, text_buffer
 
 #: Bytes hashed at once; positions within a block fit the low 20 bits of a key.
 BLOCK = 1 << 19
@@ -60,7 +60,8 @@ def cover_runs(raw: np.ndarray, lo: np.ndarray, hi: np.ndarray, length: int, gra
         none = np.zeros(0, np.int64)
         return none, none, none, none.view(np.uint64), none.view(np.uint64)
     roll = Rolling(raw)
-    grams = roll.grams(gram)
+    at = np.arange(len(raw) - gram + 1)
+    grams = roll.span(at, at + gram)
     keys = (grams & ~LOW) | np.arange(len(grams), dtype=np.uint64)
     at = (_sliding_min(keys, length - gram + 1) & LOW).astype(np.int64)
     new = np.ones(len(at), bool)
@@ -92,29 +93,29 @@ def _blocks(at: np.ndarray, length: int) -> Iterator[tuple[int, int, int, int]]:
 
 
 def _cover(length: int, gram: int):
-    names = ["doc_id", "place", "bucket", "rank"]
+    names = ["doc_id", "text_key", "place", "bucket", "rank"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            text = batch.column(1)
-            if len(ids) > 1 and (ids[1:] < ids[:-1]).any():
-                order = np.argsort(ids, kind="stable")
-                ids, text = ids[order], text.take(pa.array(order))
+            ids, text_key = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
+            text = batch.column(2)
+            order = np.lexsort((text_key, ids))
+            if (order[1:] < order[:-1]).any():
+                ids, text_key, text = ids[order], text_key[order], text.take(pa.array(order))
             raw, at = text_buffer(text)
             for i, j, begin, end in _blocks(at, length):
                 lo, hi = np.maximum(at[i:j], begin) - begin, np.minimum(at[i + 1 : j + 1], end) - begin
                 part, start, n, bucket, rank = cover_runs(raw[begin:end], lo, hi, length, gram)
                 if not len(part):
                     continue
-                doc, start = ids[i + part], start + begin - at[i + part]
+                doc, of, start = ids[i + part], text_key[i + part], start + begin - at[i + part]
                 # Rows are in (document, start) order, so of equal runs in a block the first is the earliest;
                 # the others are settled here and don't go to the bucket: a hot bucket gets one row a block.
                 _, first, same = np.unique(bucket * np.uint64(3) + rank, return_index=True, return_inverse=True)
                 first = first[same]
-                known = (doc != doc[first]) | (start != start[first])
+                known = (doc != doc[first]) | (of != of[first]) | (start != start[first])
                 bucket = np.where(known, np.arange(len(doc), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ bucket, bucket)
-                yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array((start << N_BITS) | n), pa.array(signed(bucket)), pa.array(signed(rank), mask=known)], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(of), pa.array((start << N_BITS) | n), pa.array(signed(bucket)), pa.array(signed(rank), mask=known)], names=names)
 
     return run
 
@@ -130,13 +131,13 @@ def _bodies(length: int):
     A run of a wide bucket is dealt out further, to a bucket for each string; of equal strings in a batch, only the
     first goes there.
     """
-    names = ["bucket", "doc_id", "start", "n", "body"]
+    names = ["bucket", "doc_id", "text_key", "start", "n", "body"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            raw, at = text_buffer(batch.column(1))
-            runs = batch.column(2)
+            ids, of = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
+            raw, at = text_buffer(batch.column(2))
+            runs = batch.column(3)
             doc = np.repeat(np.arange(len(ids)), np.diff(runs.offsets.to_numpy()))
             place, bucket, wide = (f.to_numpy(zero_copy_only=False) for f in runs.flatten().flatten())
             start, n, wide = place >> N_BITS, place & ((1 << N_BITS) - 1), wide.astype(bool)
@@ -154,17 +155,17 @@ def _bodies(length: int):
                         string = Rolling(body).span(where, where + length)
                         d, key, s = np.repeat(d, m), np.repeat(key, m), np.repeat(s, m) + _ragged(m)
                         key = (mix(key.view(np.uint64)) ^ string).view(np.int64)
-                        order = np.lexsort((s, ids[d]))
+                        order = np.lexsort((s, of[d], ids[d]))
                         d, key, s, where = d[order], key[order], s[order], where[order]
                         _, first, same = np.unique(key, return_index=True, return_inverse=True)
-                        known = (ids[d] != ids[d][first[same]]) | (s != s[first[same]])
-                        yield pa.RecordBatch.from_arrays([*map(pa.array, (s[known] ^ key[known], ids[d][known], s[known], np.ones(known.sum(), np.int64))), pa.nulls(int(known.sum()), pa.binary())], names=names)
+                        known = (ids[d] != ids[d][first[same]]) | (of[d] != of[d][first[same]]) | (s != s[first[same]])
+                        yield pa.RecordBatch.from_arrays([*map(pa.array, (s[known] ^ key[known], ids[d][known], of[d][known], s[known], np.ones(known.sum(), np.int64))), pa.nulls(int(known.sum()), pa.binary())], names=names)
                         d, key, s, where = d[~known], key[~known], s[~known], where[~known]
                         m, size = np.ones(len(d), np.int64), np.full(len(d), length)
                         body = body[np.repeat(where, size) + _ragged(size)]
                     offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
                     bodies = pa.BinaryArray.from_buffers(pa.binary(), len(d), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(body))])
-                    yield pa.RecordBatch.from_arrays([*map(pa.array, (key, ids[d], s, m)), bodies], names=names)
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, (key, ids[d], of[d], s, m)), bodies], names=names)
 
     return run
 
@@ -173,10 +174,10 @@ def _settle(length: int):
     """Runs in (bucket, document, start) order to the runs of their strings that occurred earlier in the bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, seen, begun = None, np.zeros(0, np.uint64), (None, None)
+        last, seen, begun = None, np.zeros(0, np.uint64), (None, None, None)
         for batch in batches:
-            bucket, doc, start, n = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4))
-            raw, at = text_buffer(batch.column(4))
+            bucket, doc, of, start, n = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(5))
+            raw, at = text_buffer(batch.column(5))
             if not len(bucket):
                 continue
             known = np.diff(at) == 0
@@ -190,23 +191,23 @@ def _settle(length: int):
             if len(key):
                 _, first, same = np.unique(key, return_index=True, return_inverse=True)
                 first = first[same]
-                repeat = (doc[row] != doc[row][first]) | (place != place[first])
+                repeat = (doc[row] != doc[row][first]) | (of[row] != of[row][first]) | (place != place[first])
                 if bucket[0] == last:
                     head = bucket[row] == last
                     old = head & np.isin(key, seen)
                     # A repeated input row isn't earlier than itself.
-                    repeat |= old & ~((doc[row] == begun[0]) & (place == begun[1]))
+                    repeat |= old & ~((doc[row] == begun[0]) & (of[row] == begun[1]) & (place == begun[2]))
                 tail = key[bucket[row] == bucket[-1]]
                 seen = np.union1d(seen, tail) if bucket[-1] == last else np.unique(tail)
-                begun = (doc[row[-1]], place[-1])
+                begun = (doc[row[-1]], of[row[-1]], place[-1])
             last = bucket[-1]
             at_row = np.flatnonzero(repeat)
             cut = np.flatnonzero((np.diff(at_row) != 1) | (np.diff(row[at_row]) != 0)) + 1 if len(at_row) else np.zeros(0, np.int64)
             heads = np.concatenate([[0], cut]).astype(np.int64) if len(at_row) else cut
             counts = np.diff(np.append(heads, len(at_row)))
-            docs = np.concatenate([doc[row[at_row[heads]]], doc[known]])
+            docs, keys = (np.concatenate([x[row[at_row[heads]]], x[known]]) for x in (doc, of))
             places = np.concatenate([(place[at_row[heads]] << N_BITS) | counts, (start[known] << N_BITS) | n[known]])
-            yield pa.RecordBatch.from_arrays([pa.array(docs), pa.array(places)], names=["doc_id", "place"])
+            yield pa.RecordBatch.from_arrays([pa.array(docs), pa.array(keys), pa.array(places)], names=["doc_id", "text_key", "place"])
 
     return run
 
@@ -259,26 +260,31 @@ def remove_repeats(docs: DataFrame, length: int = 100, gram: int = 24, id_col: s
 
     Returns (doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept), one row for each input row; `kept` holds the
     remaining bytes, which may end inside a character.  Null or short texts lose nothing; rows that repeat an id and its
-    text aren't earlier than each other; a null id sorts before all others and matches as id -2**63; columns but the two
-    named are ignored.  Work: one pass over the text, a shuffle of its sampled positions (about 1 in 39), a shuffle of texts.
+    text aren't earlier than each other; rows that share an id but not the text are documents of their own, in the order of
+    their texts' hashes; a null id sorts before all others and matches as id -2**63; columns but the two named are ignored.
+    Work: one pass over the text, a shuffle of its sampled positions (about 1 in 39), a shuffle of texts.
     """
-    docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("doc_id"), F.col(text_col).alias("text"))
-    runs = docs.mapInArrow(_cover(length, gram), "doc_id long, place long, bucket long, rank long").repartition("bucket")
+    docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("doc_id"), row_key(id_col, text_col).alias("text_key"), F.col(text_col).alias("text"))
+    keys = docs.groupBy("doc_id").agg((F.min("text_key") != F.max("text_key")).alias("several"))
+    if not keys.where("several").limit(1).count():  # an id names its text: the key needn't travel with each row
+        docs = docs.withColumn("text_key", F.lit(0).cast("long"))
+    own, n_tasks = ["doc_id", "text_key"], tasks(docs.sparkSession)
+    runs = docs.mapInArrow(_cover(length, gram), "doc_id long, text_key long, place long, bucket long, rank long").repartition("bucket")
     bucket = Window.partitionBy("bucket")
     known = F.col("rank").isNull()
     ranked = (
-        runs.withColumn("earliest", F.min(F.struct("doc_id", "place")).over(Window.partitionBy("bucket", "rank")))
-        .withColumn("whole", known | (F.col("earliest") < F.struct("doc_id", "place")))
+        runs.withColumn("earliest", F.min(F.struct(*own, "place")).over(Window.partitionBy("bucket", "rank")))
+        .withColumn("whole", known | (F.col("earliest") < F.struct(*own, "place")))
         .withColumn("low", F.min("rank").over(bucket))
         .withColumn("high", F.max("rank").over(bucket))
         .withColumn("wide", F.count(F.when(~F.col("whole"), 1)).over(bucket) > WIDE)
     )
     open_run = F.when(~F.col("whole"), F.struct("place", "bucket", "wide"))
-    marks = ranked.where("whole or low != high").groupBy("doc_id")
+    marks = ranked.where("whole or low != high").groupBy(*own)
     marks = staged(marks.agg(F.collect_list(F.when(F.col("whole"), F.col("place"))).alias("whole"), F.collect_list(open_run).alias("runs")), "repeats")
-    bodies = docs.join(marks.select("doc_id", "runs").where("size(runs) > 0"), "doc_id")
-    bodies = bodies.mapInArrow(_bodies(length), "bucket long, doc_id long, start long, n long, body binary")
-    parts = bodies.repartition("bucket").sortWithinPartitions("bucket", "doc_id", "start").mapInArrow(_settle(length), "doc_id long, place long")
-    parts = parts.groupBy("doc_id").agg(F.collect_list("place").alias("parts"))
-    joined = docs.join(marks.select("doc_id", "whole"), "doc_id", "left").join(parts, "doc_id", "left").select("doc_id", "text", "whole", "parts")
+    bodies = docs.join(marks.select(*own, "runs").where("size(runs) > 0"), own)
+    bodies = bodies.mapInArrow(_bodies(length), "bucket long, doc_id long, text_key long, start long, n long, body binary")
+    parts = bodies.repartition(n_tasks, "bucket").sortWithinPartitions("bucket", *own, "start").mapInArrow(_settle(length), "doc_id long, text_key long, place long")
+    parts = parts.groupBy(*own).agg(F.collect_list("place").alias("parts"))
+    joined = docs.join(marks.select(*own, "whole"), own, "left").join(parts, own, "left").select("doc_id", "text", "whole", "parts")
     return joined.mapInArrow(_cut(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")

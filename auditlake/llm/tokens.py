@@ -15,11 +15,13 @@ from pathlib import Path
 
 import numpy as np
 
-from .common import U64, mix, powers
+from .common import Rolling
 
 OTHER, LETTER, NUMBER, SPACE = range(4)
 #: Words whose ids a worker keeps; the cache starts anew when it is full.
 CACHE_WORDS = 600_000
+#: Longer words aren't kept.
+CACHE_CHARS = 64
 #: Code points that are split at once.
 BLOCK_CHARS = 1 << 20
 
@@ -81,7 +83,7 @@ class WordIds:
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.spell = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})._encode_single_piece
-        self.cache: dict[int, bytes] = {}
+        self.cache: dict[str, bytes] = {}
         whole = Path(path).with_suffix(".json")
         self.added = {t["content"]: t["id"] for t in json.loads(whole.read_text())["added_tokens"]} if whole.exists() else {}
         self.at_added = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) or "(?!)")
@@ -127,18 +129,26 @@ class WordIds:
         begins = np.cumsum([0, *(len(part) for _, part in held)])
         starts = word_starts(points, begins[:-1])
         ends = np.append(starts[1:], len(points))
-        up, down = powers(1 << int(len(points)).bit_length())
-        prefix = np.zeros(len(points) + 1, np.uint64)
-        np.cumsum(mix(points.astype(np.uint64) + U64(1)) * up[: len(points)], out=prefix[1:])
-        keys, at, which = np.unique(mix((prefix[ends] - prefix[starts]) * down[starts]), return_index=True, return_inverse=True)
+        size = ends - starts
+        # Equal words get one number: by hash first, then every word is compared with the one it is taken for.
+        data = points.view(np.uint8)
+        keys = Rolling(data).span(4 * starts, 4 * ends)
+        _, at, which = np.unique(keys, return_index=True, return_inverse=True)
+        if (points[np.repeat(starts[at][which] - starts, size) + np.arange(len(points))] != points).any():
+            words = [text[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+            number = {w: k for k, w in enumerate(dict.fromkeys(words))}
+            which = np.array([number[w] for w in words])
+            at = np.unique(which, return_index=True)[1]
         cache = self.cache
         if len(cache) > CACHE_WORDS:
             cache.clear()
         found = []
-        for key, a, b in zip(keys.tolist(), starts[at].tolist(), ends[at].tolist(), strict=True):
-            ids = cache.get(key)
+        for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True):
+            ids = cache.get(word := text[a:b])
             if ids is None:
-                ids = cache[key] = np.array(self.spell(text[a:b].encode("utf-8", "replace")), np.uint32).tobytes()
+                ids = np.array(self.spell(word.encode("utf-8", "replace")), np.uint32).tobytes()
+                if b - a <= CACHE_CHARS:
+                    cache[word] = ids
             found.append(ids)
         size = np.fromiter(map(len, found), np.int64, len(found)) // 4
         base = np.cumsum(size) - size
