@@ -85,6 +85,13 @@ def audit_label(kind: Column) -> Column:
     return out
 
 
+def parse_time(text: Column) -> Column:
+    """An instant from text with a zone (Z, +hh:mm, +hhmm) or without, which then is UTC; null for anything else."""
+    zoned = text.rlike(r"([zZ]|[+-]\d{2}:?\d{2})$")
+    whole = F.replace(F.btrim(F.when(zoned, text).otherwise(F.concat(text, F.lit("Z")))), F.lit("T"), F.lit(" "))
+    return F.regexp_replace(F.regexp_replace(whole, r"[zZ]$", "+00:00"), r"([+-]\d{2})(\d{2})$", "$1:$2").try_cast("timestamp")
+
+
 def relative_age(then: Column, now: Column) -> Column:
     seconds = F.unix_timestamp(now) - F.unix_timestamp(then)
     unit = lambda size, name: F.concat(F.floor(seconds / size).cast("string"), F.when(F.floor(seconds / size) == 1, f" {name} ago").otherwise(f" {name}s ago"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.severity import language, trimmed
@@ -34,10 +34,10 @@ KEYWORDS = {
 }
 
 
-def read_corpus(spark: SparkSession, root: str, max_bytes: int = 10 << 20) -> DataFrame:
-    """(path, content, size) of the UTF-8 files below a folder; others are dropped."""
+def read_corpus(spark: SparkSession, root: str) -> DataFrame:
+    """(path, content, size) of the UTF-8 files of any size below a folder; others are dropped."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    text = files.where((F.col("length") <= max_bytes) & F.is_valid_utf8(F.col("content").cast("string")))
+    text = files.where(F.is_valid_utf8(F.col("content").cast("string")))
     return text.select("path", F.col("content").cast("string").alias("content"), F.col("length").alias("size"))
 
 
@@ -71,18 +71,28 @@ def select_for_model(files: DataFrame, mode: str, text: Column) -> DataFrame:
 def spans(files: DataFrame) -> DataFrame:
     """(path, kind, name, start_line, end_line) of Python definitions, by indentation.
 
-    A definition ends with the last line that isn't blank before the next one indented no deeper.  Approximate where
-    strings or comments span lines.
+    A definition ends with the last line that isn't blank before the next one indented no deeper.  Work grows with lines
+    times levels of indentation.  Approximate where strings or comments span lines.
     """
-    rows = explode_lines(files).where(trimmed(F.col("line")) != "")
-    rows = rows.withColumn("indent", F.char_length(F.regexp_extract("line", r"^(\s*)", 1)))
-    each = rows.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("line_no", "indent"))).alias("ls"))
-    heads = rows.where(F.col("line").rlike(r"^\s*(async\s+)?(def|class)\s+\w+")).join(each, "path")
-    follow = F.filter("ls", lambda s: s["line_no"] > F.col("line_no"))
-    stop = F.array_min(F.transform(F.filter(follow, lambda s: s["indent"] <= F.col("indent")), lambda s: s["line_no"]))
-    end = F.array_max(F.transform(F.filter("ls", lambda s: F.col("stop").isNull() | (s["line_no"] < F.col("stop"))), lambda s: s["line_no"]))
+    rows = F.transform("lines", lambda x, i: F.struct((i + 1).cast("long").alias("line_no"), x.alias("line"), F.char_length(F.regexp_extract(x, r"^(\s*)", 1)).alias("indent")))
+    solid = F.filter(rows, lambda s: trimmed(s["line"]) != "")
+    held = files.select("path", F.inline(solid)).where(F.col("line").rlike(r"^\s*(async\s+)?(def|class)\s+\w+"))
+    ends = files.select("path", F.inline(solid)).select("path", "line_no", "indent")
+    return _closed(held, ends)
+
+
+def _closed(heads: DataFrame, lines: DataFrame) -> DataFrame:
+    levels = lines.select("path", "indent").distinct()
+    back = Window.partitionBy("path", "level").orderBy(F.desc("line_no")).rowsBetween(Window.unboundedPreceding, -1)
+    # A line counts for each level of its file that it is at or below: files have few levels.
+    at = lines.join(levels.select("path", F.col("indent").alias("level")), "path").where("indent <= level")
+    nexts = at.withColumn("stop", F.min("line_no").over(back)).where("indent = level").select("path", "line_no", "stop")
+    before = Window.partitionBy("path").orderBy("line_no")
+    previous = lines.select("path", F.col("line_no").alias("stop"), F.lag("line_no").over(before).alias("end_line"))
+    last = lines.groupBy("path").agg(F.max("line_no").alias("last"))
+    named = heads.join(nexts, ["path", "line_no"]).join(previous, ["path", "stop"], "left").join(last, "path")
     kind = F.when(F.col("line").rlike(r"^\s*class\s"), "class").otherwise("function")
-    return heads.withColumn("stop", stop).select("path", kind.alias("kind"), F.regexp_extract("line", r"(?:def|class)\s+(\w+)", 1).alias("name"), F.col("line_no").alias("start_line"), end.alias("end_line"))
+    return named.select("path", kind.alias("kind"), F.regexp_extract("line", r"(?:def|class)\s+(\w+)", 1).alias("name"), F.col("line_no").alias("start_line"), F.coalesce("end_line", "last").alias("end_line"))
 
 
 def import_lines(files: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 KEY = ["scan_id", "file_path", "control_id"]
@@ -18,25 +18,42 @@ def match(pattern: DataFrame, model: DataFrame, tolerance: int = 3, buckets: boo
     left = model.select(*KEY, F.col("id").alias("llm_id"), F.col("line_number").alias("llm_line"), F.explode(F.array(*(F.floor(F.col("line_number") / width) + d for d in (-1, 0, 1)))).alias("bucket"))
     right = pattern.select(*KEY, F.col("id").alias("regex_id"), F.col("line_number").alias("regex_line"), F.floor(F.col("line_number") / width).alias("bucket"))
     apart = F.abs(F.col("llm_line") - F.col("regex_line"))
-    near = left.join(right, [*KEY, "bucket"]).where(apart <= tolerance).select(*KEY, "llm_id", F.struct(apart.alias("d"), "regex_id").alias("c"))
-    each = near.groupBy(*KEY, "llm_id").agg(F.array_sort(F.collect_list("c")).alias("c"))
-    lists = each.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("llm_id", "c"))).alias("ls"))
+    near = left.join(right, [*KEY, "bucket"]).where(apart <= tolerance).select(*KEY, "llm_id", "llm_line", F.struct(apart.alias("d"), "regex_id").alias("c"))
+    each = near.groupBy(*KEY, "llm_id", "llm_line").agg(F.array_sort(F.collect_list("c")).alias("c"))
+    # Findings further apart than two tolerances share no candidate: runs of lines without such a gap match independently.
+    lines = Window.partitionBy(*KEY).orderBy("llm_line", "llm_id")
+    gap = F.coalesce((F.col("llm_line") - F.lag("llm_line").over(lines) > 2 * tolerance).cast("long"), F.lit(0))
+    each = each.withColumn("gap", gap).withColumn("run", F.sum("gap").over(lines))
+    lists = each.groupBy(*KEY, "run").agg(F.array_sort(F.collect_list(F.struct("llm_id", "c"))).alias("ls"))
     greedy = """aggregate(ls, cast(array() as array<struct<llm_id:bigint,regex_id:bigint>>), (acc, x) -> concat(acc, transform(
         slice(filter(x.c, y -> not exists(acc, a -> a.regex_id = y.regex_id)), 1, 1), y -> struct(x.llm_id, y.regex_id))))"""
     return lists.select(*KEY, F.inline(F.expr(greedy)))
 
 
 def merge(pattern: DataFrame, model: DataFrame, tolerance: int = 3) -> DataFrame:
-    """Hybrid findings (the model's row, the higher severity), and what is left of either side, disjoint."""
+    """Hybrid findings (the model's row, the higher severity), and what is left of either side, disjoint.
+
+    Where findings have a description, hybrid ones say what the pattern found and where, and why the model reported it.
+    """
     from ..functions.severity import SEVERITIES, rank
 
     pairs = match(pattern, model, tolerance).select("llm_id", "regex_id")
     matched = model.join(pairs, model.id == pairs.llm_id).drop("llm_id")
-    regex = pattern.select(F.col("id").alias("regex_id"), F.col("severity").alias("regex_severity"))
+    told = "description" in model.columns
+    regex = pattern.select(F.col("id").alias("regex_id"), F.col("severity").alias("regex_severity"), *([F.col("description").alias("regex_description"), F.col("line_number").alias("regex_line")] if told else []))
     names = F.array(*map(F.lit, SEVERITIES))
     best = F.element_at(names, F.least(F.least(rank(F.col("severity")), F.lit(3)), F.least(rank(F.col("regex_severity")), F.lit(3))) + 1)
-    hybrid = matched.join(regex, "regex_id").withColumn("severity", best).withColumn("detection_method", F.lit("hybrid")).select(*model.columns)
-    return hybrid.unionByName(model.join(pairs, model.id == pairs.llm_id, "left_anti")).unionByName(pattern.join(pairs, pattern.id == pairs.regex_id, "left_anti"))
+    hybrid = matched.join(regex, "regex_id").withColumn("severity", best).withColumn("detection_method", F.lit("hybrid"))
+    columns = list(model.columns)
+    if told:
+        found = F.format_string("Pattern match at line %d: %s", "regex_line", "regex_description")
+        apart = F.format_string("%s (regex detected at line %d, LLM at line %d)", found, "regex_line", "line_number")
+        hybrid = hybrid.withColumn("regex_reasoning", F.when(F.col("regex_line") == F.col("line_number"), found).otherwise(apart))
+        own = F.col("llm_reasoning") if "llm_reasoning" in columns else F.lit(None).cast("string")
+        hybrid = hybrid.withColumn("llm_reasoning", F.coalesce(own, "description"))
+        columns += [c for c in ("regex_reasoning", "llm_reasoning") if c not in columns]
+    rest = model.join(pairs, model.id == pairs.llm_id, "left_anti").unionByName(pattern.join(pairs, pattern.id == pairs.regex_id, "left_anti"))
+    return hybrid.select(*columns).unionByName(rest, allowMissingColumns=True)
 
 
 def enclosing(findings: DataFrame, spans: DataFrame) -> DataFrame:

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Sentences by control.
+# Sentences by control, the sentence of any other control, and the trust that a new fix has.
 EXPLANATIONS = {
-    "CC6.1": "Adds an access control check before the operation.",
-    "CC6.7": "Moves the secret out of the source code.",
-    "CC7.2": "Adds audit logging for the operation.",
-    "A1.2": "Adds error handling for the external dependency.",
+    "CC6.1": "Added access control protection to ensure only authorized users can access this resource.",
+    "CC6.7": "Moved hardcoded secret to environment variable. Use secure secret management in production.",
+    "CC7.2": "Added audit logging to track this sensitive operation for compliance monitoring.",
+    "A1.2": "Added error handling with proper recovery logic to improve system resilience.",
 }
+EXPLANATION = "Applied security fix to address compliance violation."
+NEW_FIX_TRUST = "review"
 REPLY = "array<struct<control_id:string,severity:string,description:string,line_number:bigint,code_snippet:string,confidence_score:int,reasoning:string>>"
 
 
@@ -77,17 +79,16 @@ def patch_impact(before: Column, after: Column) -> Column:
 
 
 def explanation(control: Column) -> Column:
-    out = F.lit("Applies a fix for the finding.")
+    out = F.lit(EXPLANATION)
     for name, text in EXPLANATIONS.items():
         out = F.when(control == name, text).otherwise(out)
     return out
 
 
-def fix_requests(violations: DataFrame, frameworks: DataFrame) -> DataFrame:
-    """(violation_id, prompt): a request for each violation, with its project's framework."""
-    joined = violations.join(frameworks, "project_id", "left")
-    prompt = F.format_string("Control %s (%s): %s at %s:%d, framework %s", "control_id", "severity", F.col("status"), "file_path", "line_number", F.coalesce("framework", F.lit("unknown")))
-    return joined.select(F.col("id").alias("violation_id"), prompt.alias("prompt"))
+def new_fixes(violations: DataFrame, replies: DataFrame) -> DataFrame:
+    """(violation_id, original_code, fixed_code, explanation, trust_level) of replies (violation_id, response)."""
+    joined = violations.select(F.col("id").alias("violation_id"), "control_id", F.col("code_snippet").alias("original_code")).join(replies, "violation_id")
+    return joined.select("violation_id", "original_code", strip_fences(F.col("response")).alias("fixed_code"), explanation(F.col("control_id")).alias("explanation"), F.lit(NEW_FIX_TRUST).alias("trust_level"))
 
 
 def regex_context(files: DataFrame, findings: DataFrame) -> DataFrame:

@@ -9,6 +9,10 @@ from ..functions.severity import SEVERITIES, rank
 
 # Dollars per million tokens.
 PRICES = {"input": 0.80, "output": 4.00, "cache_read": 0.08, "cache_write": 1.00}
+# The same by model.
+PRICE_BOOK = (
+    ("haiku", 0.80, 4.00, 0.08, 1.00), ("grok", 0.20, 0.50, 0.0, 0.0), ("claude", 1.00, 5.00, 0.10, 1.25),
+)
 RANGES = {"24h": "INTERVAL 24 HOURS", "7d": "INTERVAL 7 DAYS", "30d": "INTERVAL 30 DAYS"}
 
 
@@ -58,6 +62,24 @@ def with_cost(costs: DataFrame, prices: dict[str, float] = PRICES) -> DataFrame:
     return out.withColumn("cost_per_file", F.when(files == 0, 0.0).otherwise(F.col("total_cost_usd") / files)).withColumn("tokens_per_file", F.when(files == 0, 0.0).otherwise(F.col("total_tokens") / files))
 
 
+def priced(costs: DataFrame, book: DataFrame | None = None) -> DataFrame:
+    """Costs (model, tokens of four kinds) with total_cost_usd by the price book's row of the model; null for an unknown model."""
+    if book is None:
+        book = F.broadcast(costs.sparkSession.createDataFrame(PRICE_BOOK, "model string, " + ", ".join(f"_{k} double" for k in PRICES)))  # three rows
+    total = sum((F.col(f"{k}_tokens") * F.col(f"_{k}") / 1_000_000 for k in PRICES), F.lit(0.0))
+    return costs.join(book, "model", "left").withColumn("total_cost_usd", total).drop(*(f"_{k}" for k in PRICES))
+
+
+def recent_costs(costs: DataFrame, span: str, as_of: DataFrame, n: int = 10) -> DataFrame:
+    """The newest n costs of a time range."""
+    return costs_since(costs, span, as_of).orderBy(F.desc("created_at"), F.desc("scan_id")).limit(n)
+
+
+def project_scans(scans: DataFrame, project: int) -> DataFrame:
+    """A project's scans, newest first."""
+    return scans.where(F.col("project_id") == project).orderBy(F.desc("started_at"), F.desc("id"))
+
+
 def costs_since(costs: DataFrame, span: str, as_of: DataFrame) -> DataFrame:
     """Costs not older than 24h, 7d or 30d before the one instant in as_of; all of them for `all`."""
     if span not in RANGES:

@@ -125,12 +125,12 @@ RULES = {
     r.id: r
     for r in (
         Rule("R1", "CC6.1", "high", "View function missing authentication decorator or check", lambda x, i: x.rlike(VIEW) & ~trimmed(x).startswith("#") & ~_guarded_above(i, VIEW_AUTH) & ~_near(i, 0, 4).rlike(VIEW_INLINE), _ends(".py")),
-        Rule("R2", "CC6.1", "high", "Hardcoded user or account id", lambda x, i: x.rlike(FIXED_ID) & _code(x) & ~x.rlike(r"(def |param|Expected\[)"), lambda p: ~p.rlike(TEST_FILE)),
-        Rule("R3", "CC6.1", "critical", "Admin operation without permission check", lambda x, i: x.rlike(ADMIN) & ~_near(i, 0, 9, "\n").rlike(PERMISSION), lambda p: ~p.rlike("(test_|_test|spec_)")),
-        Rule("R4", "CC6.1", "high", "Express route without authentication middleware", lambda x, i: x.rlike(EXPRESS) & x.rlike(EXPRESS_PATHS) & ~x.rlike(EXPRESS_AUTH) & ~F.coalesce(F.get("lines", i + 1).rlike(EXPRESS_AUTH), F.lit(False)), _ends(".js", ".ts")),
+        Rule("R2", "CC6.1", "high", "Hardcoded user ID should use request.user or current_user", lambda x, i: x.rlike(FIXED_ID) & _code(x) & ~x.rlike(r"(def |param|Expected\[)"), lambda p: ~p.rlike(TEST_FILE)),
+        Rule("R3", "CC6.1", "critical", "Admin/sensitive operation missing permission check", lambda x, i: x.rlike(ADMIN) & ~_near(i, 0, 9, "\n").rlike(PERMISSION), lambda p: ~p.rlike("(test_|_test|spec_)")),
+        Rule("R4", "CC6.1", "high", "Express route missing authentication middleware", lambda x, i: x.rlike(EXPRESS) & x.rlike(EXPRESS_PATHS) & ~x.rlike(EXPRESS_AUTH) & ~F.coalesce(F.get("lines", i + 1).rlike(EXPRESS_AUTH), F.lit(False)), _ends(".js", ".ts")),
         Rule("R5", "CC6.1", "high", "FastAPI endpoint missing Depends(permission) check", lambda x, i: x.rlike(FASTAPI) & x.rlike(FASTAPI_PATHS) & ~F.get("lines", i + 1).rlike(r"Depends\("), _ends(".py")),
-        Rule("R6", "CC6.1", "high", "Flask route without authentication", lambda x, i: x.rlike(FLASK) & ~x.rlike(FLASK_PUBLIC) & ~_guarded_above(i, FLASK_AUTH) & ~_near(i, 0, 9).rlike(FLASK_INLINE), _ends(".py"),
-             severity_of=lambda x: F.when(x.rlike("(POST|PUT|DELETE)"), "critical").otherwise("high"), description_of=lambda x: F.concat(F.lit("Flask route without authentication: "), F.regexp_extract(x, FLASK, 1))),
+        Rule("R6", "CC6.1", "high", "Flask route missing authentication decorator or check", lambda x, i: x.rlike(FLASK) & ~x.rlike(FLASK_PUBLIC) & ~_guarded_above(i, FLASK_AUTH) & ~_near(i, 0, 9).rlike(FLASK_INLINE), _ends(".py"),
+             severity_of=lambda x: F.when(x.rlike("(POST|PUT|DELETE)"), "critical").otherwise("high"), description_of=lambda x: F.concat(F.lit("Flask route '"), F.regexp_extract(x, FLASK, 1), F.lit("' missing authentication decorator or check"))),
         Rule("R7", "CC6.7", "critical", "Hardcoded secret", lambda x, i: x.rlike(SECRET) & ~x.rlike(NO_SECRET) & _code(x)),
         Rule("R8", "CC7.2", "medium", "Sensitive operation without audit logging", lambda x, i: x.rlike(SENSITIVE) & _code(x) & ~_near(i, -1, 2).rlike(LOGGED)),
         Rule("R9", "CC7.2", "critical", "Sensitive data in logging statement", lambda x, i: x.rlike(LOG_CALL) & _code(x) & _secret_name(x).isNotNull(),

@@ -118,3 +118,40 @@ def quarantine(store: dict[str, DataFrame]) -> DataFrame:
     for df in found[1:]:
         out = out.unionByName(df)
     return out
+
+
+#: Rules on single rows: table, name, condition that is bad.
+RANGES = (("violations", "confidence_score out of 0 to 100", "confidence_score < 0 OR confidence_score > 100"),)
+SETTING_RULES = (
+    ("cost_limit_per_scan below 0", "key = 'cost_limit_per_scan' AND try_cast(value AS double) < 0"),
+    ("cost_limit_per_scan above 1000", "key = 'cost_limit_per_scan' AND try_cast(value AS double) > 1000"),
+    ("llm_scan_mode unknown", "key = 'llm_scan_mode' AND value NOT IN ('regex_only', 'smart', 'analyze_all')"),
+)
+
+
+def quarantined(store: dict[str, DataFrame]) -> DataFrame:
+    """(table_name, row_id, rule): the rows behind the counts of quarantine(), those out of ranges, and settings that aren't allowed."""
+    found = []
+    note = lambda df, name, rule, key="id": df.select(F.lit(name).alias("table_name"), F.col(key).cast("string").alias("row_id"), F.lit(rule).alias("rule"))
+    for name, columns in ALLOWED.items():
+        found += [note(store[name].where(~F.col(c).isin(*values)), name, f"{c} not allowed") for c, values in columns.items() if name in store and c in store[name].columns]
+    for name, column, parent in REFERENCES:
+        if name in store and parent in store:
+            found.append(note(store[name].join(store[parent].select(F.col("id").alias(column)), column, "left_anti"), name, f"{column} missing", "id" if "id" in store[name].columns else column))
+    if "projects" in store:
+        repeated = store["projects"].groupBy("path").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+        found.append(note(store["projects"].join(repeated, "path", "left_semi"), "projects", "path repeated"))
+    for name, rule, bad in RANGES:
+        if name in store and "confidence_score" in store[name].columns:
+            found.append(note(store[name].where(bad), name, rule))
+    if "settings" in store:
+        found += [note(store["settings"].where(bad), "settings", rule, "key") for rule, bad in SETTING_RULES]
+    out = found[0]
+    for df in found[1:]:
+        out = out.unionByName(df)
+    return out
+
+
+def manifest(store: dict[str, DataFrame], exported_at: str) -> DataFrame:
+    """(version, exported_at, table_name, n): the head of an export."""
+    return table_counts(store).select(F.lit("1.0").alias("version"), F.lit(exported_at).alias("exported_at"), "table_name", "n")

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import severity as sev
-from ..operators import corpus, merge, remedy, reports, rules, store
+from ..operators import bookkeeping, corpus, merge, prompts, remedy, reports, rules, store
 from ..sources import table
 from ..sources.fixtures import derived, oracle
 from ..streaming import changes
@@ -172,7 +171,7 @@ def constraint_audit(spark, sf_dir):
   (starts_with(path, '/') AND length(path) - 1 <= 10) AS system FROM (SELECT DISTINCT CASE id % 3 WHEN 0 THEN path WHEN 1 THEN '..' || path ELSE substr(path, 2) END AS path FROM projects) p""")
 def path_safety(spark, sf_dir):
     p = derived(spark, sf_dir, "projects")
-    kinds = F.when(F.col("id") % 3 == 0, F.col("path")).when(F.col("id") % 3 == 1, F.concat(F.lit(".."), "path")).otherwise(F.substring("path", 2, 1000))
+    kinds = F.when(F.col("id") % 3 == 0, F.col("path")).when(F.col("id") % 3 == 1, F.concat(F.lit(".."), "path")).otherwise(F.expr("substr(path, 2)"))
     flags = sev.path_flags(F.col("path"))
     return p.select(kinds.alias("path")).distinct().select("path", *(c.alias(n) for n, c in flags.items()))
 
@@ -272,7 +271,9 @@ def relative_ages(spark, sf_dir):
     return e.crossJoin(F.broadcast(now)).select("id", sev.relative_age(F.col("created_at"), F.col("now")).alias("age"))  # one instant
 
 
-@query("SELECT control_id, CASE control_id WHEN 'CC6.1' THEN 'Adds an access control check before the operation.' WHEN 'CC6.7' THEN 'Moves the secret out of the source code.' WHEN 'CC7.2' THEN 'Adds audit logging for the operation.' ELSE 'Adds error handling for the external dependency.' END AS explanation, count(*) AS n FROM violations GROUP BY 1, 2")
+@query("""SELECT control_id, CASE control_id WHEN 'CC6.1' THEN 'Added access control protection to ensure only authorized users can access this resource.'
+  WHEN 'CC6.7' THEN 'Moved hardcoded secret to environment variable. Use secure secret management in production.' WHEN 'CC7.2' THEN 'Added audit logging to track this sensitive operation for compliance monitoring.'
+  ELSE 'Added error handling with proper recovery logic to improve system resilience.' END AS explanation, count(*) AS n FROM violations GROUP BY 1, 2""")
 def fix_explanations(spark, sf_dir):
     return derived(spark, sf_dir, "violations").groupBy("control_id", remedy.explanation(F.col("control_id")).alias("explanation")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -359,6 +360,16 @@ def hybrid_matches(spark, sf_dir):
     return merge.match(f.where("detection_method = 'regex'"), f.where("detection_method = 'llm'"))
 
 
+@query(_NEAR + """ SELECT l.id, CASE least(CASE l.severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END, CASE r.severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END)
+    WHEN 0 THEN 'critical' WHEN 1 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END AS severity, l.description AS llm_reasoning, 'Pattern match at line ' || r.line_number || ': ' || r.description ||
+    CASE WHEN l.line_number <> r.line_number THEN ' (regex detected at line ' || r.line_number || ', LLM at line ' || l.line_number || ')' ELSE '' END AS regex_reasoning
+  FROM step s JOIN findings l ON l.id = s.llm_id JOIN findings r ON r.id = s.regex_id""")
+def hybrid_reasoning(spark, sf_dir):
+    f = derived(spark, sf_dir, "findings")
+    merged = merge.merge(f.where("detection_method = 'regex'"), f.where("detection_method = 'llm'"))
+    return merged.where("detection_method = 'hybrid'").select("id", "severity", "llm_reasoning", "regex_reasoning")
+
+
 @query(_NEAR + """ SELECT 'hybrid' AS detection_method, count(*) AS n FROM step WHERE regex_id IS NOT NULL UNION ALL
   SELECT detection_method, count(*) FROM findings WHERE id NOT IN (SELECT llm_id FROM step WHERE regex_id IS NOT NULL) AND id NOT IN (SELECT regex_id FROM step WHERE regex_id IS NOT NULL) GROUP BY 1""")
 def merge_summary(spark, sf_dir):
@@ -366,13 +377,153 @@ def merge_summary(spark, sf_dir):
     return merge.merge(f.where("detection_method = 'regex'"), f.where("detection_method = 'llm'")).groupBy("detection_method").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT v.id, v.severity, f.trust_level, s.status AS scan_status, s.project_id, p.name FROM violations v LEFT JOIN fixes f ON f.violation_id = v.id LEFT JOIN scans s ON s.id = v.scan_id LEFT JOIN projects p ON p.id = s.project_id")
+@query("""SELECT v.id, v.severity, v.control_id, CASE v.control_id WHEN 'CC6.1' THEN 'Logical Access Controls' WHEN 'CC6.7' THEN 'Cryptography - Encryption and Secrets' WHEN 'CC7.2' THEN 'Monitoring and Logging'
+    WHEN 'A1.2' THEN 'Resilience and Error Handling' END AS control_name, f.fix_id, f.trust_level, s.status AS scan_status, s.project_id
+  FROM violations v LEFT JOIN (SELECT violation_id, min(id) AS fix_id, arg_min(trust_level, id) AS trust_level FROM fixes GROUP BY 1) f ON f.violation_id = v.id LEFT JOIN scans s ON s.id = v.scan_id""")
 def violation_detail(spark, sf_dir):
     s = store_of(spark, sf_dir)
-    v = s["violations"].select("id", "severity", "scan_id")
-    out = v.join(s["fixes"].select(F.col("violation_id").alias("id"), "trust_level"), "id", "left")
-    out = out.join(s["scans"].select(F.col("id").alias("scan_id"), F.col("status").alias("scan_status"), "project_id"), "scan_id", "left")
-    return out.join(s["projects"].select(F.col("id").alias("project_id"), "name"), "project_id", "left").select("id", "severity", "trust_level", "scan_status", "project_id", "name")
+    return bookkeeping.detail(s["violations"], s["fixes"], s["scans"]).select("id", "severity", "control_id", "control_name", "fix_id", "trust_level", "scan_status", "project_id")
+
+
+@query("""SELECT f.id AS fix_id, f.violation_id, s.project_id, p.path, CASE WHEN s.id IS NULL THEN 'Scan not found' WHEN p.id IS NULL THEN 'Project not found' ELSE 'ok' END AS status
+  FROM fixes f JOIN violations v ON v.id = f.violation_id LEFT JOIN scans s ON s.id = v.scan_id LEFT JOIN projects p ON p.id = s.project_id""")
+def fix_lineage(spark, sf_dir):
+    s = store_of(spark, sf_dir)
+    return bookkeeping.lineage(*(s[n] for n in ("fixes", "violations", "scans", "projects"))).select("fix_id", "violation_id", "project_id", "path", "status")
+
+
+_WANTED = "SELECT id FROM violations WHERE id % 11 = 0"
+
+
+@query(f"""SELECT 'violation_dismissed' AS event_type, s.project_id, v.id AS violation_id, CAST(NULL AS BIGINT) AS fix_id, 'Dismissed violation: ' || v.description AS description
+  FROM violations v JOIN scans s ON s.id = v.scan_id WHERE v.id IN ({_WANTED})""")
+def dismissal_audit(spark, sf_dir):
+    v = derived(spark, sf_dir, "violations")
+    return bookkeeping.dismiss(v, derived(spark, sf_dir, "scans"), v.where("id % 11 = 0").select("id"))[1]
+
+
+@query(f"SELECT status, count(*) AS n FROM (SELECT CASE WHEN id IN ({_WANTED}) THEN 'dismissed' ELSE status END AS status FROM violations) x GROUP BY status")
+def dismissals(spark, sf_dir):
+    v = derived(spark, sf_dir, "violations")
+    return bookkeeping.dismiss(v, derived(spark, sf_dir, "scans"), v.where("id % 11 = 0").select("id"))[0].groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _recorded(spark, sf_dir):
+    s = store_of(spark, sf_dir)
+    s["fixes"] = s["fixes"].withColumn("applied_at", F.col("applied_at").cast("timestamp"))
+    lines = bookkeeping.lineage(s["fixes"], s["violations"], s["scans"], s["projects"]).where("fix_id % 7 = 0")
+    at = F.lit("2026-01-02 03:04:05").cast("timestamp")
+    return bookkeeping.record_fixes(s, lines.select("fix_id", at.alias("applied_at"), bookkeeping.backup_path(F.col("path"), F.col("file_path"), at).alias("backup_path")))
+
+
+_DONE = "(SELECT f.id AS fix_id, v.id AS violation_id, s.project_id, p.path, v.file_path, v.description FROM fixes f JOIN violations v ON v.id = f.violation_id JOIN scans s ON s.id = v.scan_id JOIN projects p ON p.id = s.project_id WHERE f.id % 7 = 0)"
+
+
+@query(f"SELECT f.id, d.path || '/.backups/' || regexp_extract(d.file_path, '[^/]*$') || '_20260102_030405' AS backup_path, CASE WHEN d.fix_id IS NOT NULL THEN 'fixed' ELSE v.status END AS status FROM fixes f JOIN violations v ON v.id = f.violation_id LEFT JOIN {_DONE} d ON d.fix_id = f.id")
+def recorded_fixes(spark, sf_dir):
+    out = _recorded(spark, sf_dir)[0]
+    return out["fixes"].select("id", "violation_id", "backup_path").join(out["violations"].select(F.col("id").alias("violation_id"), "status"), "violation_id").drop("violation_id")
+
+
+@query(f"SELECT 'fix_applied' AS event_type, project_id, violation_id, fix_id, 'Applied fix for violation: ' || description AS description FROM {_DONE} d")
+def fix_audit(spark, sf_dir):
+    return _recorded(spark, sf_dir)[1]
+
+
+@query("SELECT CAST(id % 3 AS INT) AS part, count(*) AS n, CAST(sum(id) AS BIGINT) AS ids FROM audit_events GROUP BY 1")
+def appended_events(spark, sf_dir):
+    folder = changes.work_folder(spark, "append")
+    e = derived(spark, sf_dir, "audit_events").select("id", "event_type", (F.col("id") % 3).cast("int").alias("part"))
+    bookkeeping.append(e.where("id % 2 = 0"), folder, "part")
+    bookkeeping.append(e.where("id % 2 <> 0"), folder, "part")
+    return spark.read.parquet(folder).groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("ids"))
+
+
+@query("""SELECT project_id, CASE max(value) FILTER (WHERE key = 'desktop_notifications') WHEN 'true' THEN true WHEN 'false' THEN false END AS desktop_notifications, max(value) FILTER (WHERE key = 'llm_scan_mode') AS llm_scan_mode,
+  try_cast(max(value) FILTER (WHERE key = 'cost_limit_per_scan') AS DOUBLE) AS cost_limit_per_scan FROM settings GROUP BY project_id""")
+def settings_view(spark, sf_dir):
+    return bookkeeping.typed_settings(derived(spark, sf_dir, "settings"), ["project_id"])
+
+
+@query("""SELECT 'audit_events' AS table_name, CAST(id AS VARCHAR) AS row_id, 'event_type not allowed' AS rule FROM audit_events WHERE event_type = 'database_cleared' UNION ALL
+  SELECT 'scans', CAST(id AS VARCHAR), 'project_id missing' FROM scans WHERE project_id NOT IN (SELECT id FROM projects) UNION ALL
+  SELECT 'violations', CAST(id AS VARCHAR), 'scan_id missing' FROM violations WHERE scan_id NOT IN (SELECT id FROM scans) UNION ALL
+  SELECT 'settings', key, 'cost_limit_per_scan above 1000' FROM settings WHERE key = 'cost_limit_per_scan' AND try_cast(value AS DOUBLE) > 1000 UNION ALL
+  SELECT 'settings', key, 'llm_scan_mode unknown' FROM settings WHERE key = 'llm_scan_mode' AND value NOT IN ('regex_only', 'smart', 'analyze_all')""")
+def quarantined_rows(spark, sf_dir):
+    return store.quarantined(store_of(spark, sf_dir) | {"settings": derived(spark, sf_dir, "settings")})
+
+
+@query("""SELECT project_id, CASE project_id % 9 WHEN 0 THEN 'django' WHEN 1 THEN 'flask' WHEN 2 THEN 'nextjs' WHEN 3 THEN 'express' WHEN 4 THEN 'django' WHEN 5 THEN 'flask' WHEN 7 THEN 'react' END AS framework FROM project_files GROUP BY project_id""")
+def project_frameworks(spark, sf_dir):
+    return corpus.detect_frameworks(derived(spark, sf_dir, "project_files"))
+
+
+@query("""SELECT v.id AS violation_id, 'Fix the following ' || CASE control_id WHEN 'CC6.1' THEN 'access control' WHEN 'CC6.7' THEN 'secrets/cryptography' WHEN 'CC7.2' THEN 'logging' ELSE 'resilience' END || ' violation in ' || coalesce(framework, 'unknown') || ' code:' || chr(10) || chr(10) ||
+    'Violation: ' || description || chr(10) || chr(10) || CASE WHEN v.id % 2 = 0 THEN 'Context:' || chr(10) || '- Function: f' || chr(10) || chr(10) ELSE '' END || 'Original code:' || chr(10) || '```' || chr(10) || code_snippet || chr(10) || '```' || chr(10) || chr(10) ||
+    CASE control_id WHEN 'CC6.1' THEN '' WHEN 'CC6.7' THEN 'Move hardcoded secrets to environment variables. ' WHEN 'CC7.2' THEN 'Add proper audit logging without logging sensitive data. ' ELSE 'Add error handling, timeouts, and retry logic. ' END || 'Provide the fixed code only, no explanation.' AS prompt
+  FROM violations v JOIN scans s ON s.id = v.scan_id LEFT JOIN projects p ON p.id = s.project_id""")
+def fix_prompts(spark, sf_dir):
+    v = derived(spark, sf_dir, "violations").join(derived(spark, sf_dir, "scans").select(F.col("id").alias("scan_id"), "project_id"), "scan_id")
+    v = v.withColumn("function_name", F.when(F.col("id") % 2 == 0, "f")).withColumn("class_name", F.lit(None).cast("string"))
+    return prompts.fix_requests(v, derived(spark, sf_dir, "projects").select(F.col("id").alias("project_id"), "framework"))
+
+
+@query("""SELECT scan_id, file_path, 'Analyze this file for SOC 2 compliance violations:' || chr(10) || chr(10) || '**File**: ' || file_path || chr(10) || chr(10) || '**Code**:' || chr(10) || '```' || chr(10) || 'x' || chr(10) || '```' || chr(10) || chr(10) ||
+    coalesce('**Regex Pattern Detections** (already found):' || chr(10) || string_agg('- Line ' || line_number || ': ' || description || ' (' || control_id || ')' || chr(10), '' ORDER BY line_number, control_id, description) FILTER (WHERE detection_method = 'regex') ||
+      chr(10) || 'Focus on finding violations that regex patterns missed.' || chr(10) || chr(10), '') || 'Respond with JSON array of violations (or [] if none found). Consider semantic issues, not just keyword matching.' AS prompt
+  FROM violations GROUP BY scan_id, file_path""")
+def analysis_prompts(spark, sf_dir):
+    v = derived(spark, sf_dir, "violations")
+    files = v.select("scan_id", "file_path").distinct().withColumn("path", F.col("file_path")).withColumn("content", F.lit("x"))
+    return prompts.analysis_requests(files, v.where("detection_method = 'regex'"), ["scan_id", "file_path"]).select("scan_id", "file_path", "prompt")
+
+
+@query("SELECT id, started_at, status FROM scans WHERE project_id = (SELECT min(project_id) FROM scans)")
+def scans_of_project(spark, sf_dir):
+    scans = derived(spark, sf_dir, "scans")
+    first = scans.agg(F.min("project_id")).first()[0]  # one number
+    return reports.project_scans(scans, first).select("id", "started_at", "status")
+
+
+@query("SELECT scan_id, created_at FROM scan_costs WHERE created_at >= (SELECT max(created_at) FROM scan_costs) - INTERVAL 7 DAYS ORDER BY created_at DESC, scan_id DESC LIMIT 10")
+def recent_costs(spark, sf_dir):
+    c = derived(spark, sf_dir, "scan_costs")
+    return reports.recent_costs(c, "7d", c.agg(F.max("created_at"))).select("scan_id", "created_at")
+
+
+@query("""SELECT scan_id, round(CASE scan_id % 4 WHEN 0 THEN input_tokens * 0.80::DOUBLE / 1000000 + output_tokens * 4.00::DOUBLE / 1000000 + cache_read_tokens * 0.08::DOUBLE / 1000000 + cache_write_tokens * 1.00::DOUBLE / 1000000
+  WHEN 1 THEN input_tokens * 0.20::DOUBLE / 1000000 + output_tokens * 0.50::DOUBLE / 1000000
+  WHEN 2 THEN input_tokens * 1.00::DOUBLE / 1000000 + output_tokens * 5.00::DOUBLE / 1000000 + cache_read_tokens * 0.10::DOUBLE / 1000000 + cache_write_tokens * 1.25::DOUBLE / 1000000 END, 8) AS cost FROM scan_costs""")
+def costs_by_model(spark, sf_dir):
+    model = F.when(F.col("scan_id") % 4 == 0, "haiku").when(F.col("scan_id") % 4 == 1, "grok").when(F.col("scan_id") % 4 == 2, "claude").otherwise("other")
+    return reports.priced(derived(spark, sf_dir, "scan_costs").withColumn("model", model)).select("scan_id", F.round("total_cost_usd", 8).alias("cost"))
+
+
+@query("SELECT id, date_trunc('second', created_at) - CASE id % 3 WHEN 2 THEN INTERVAL 2 HOURS ELSE INTERVAL 0 HOURS END AS at FROM audit_events")
+def normalised_times(spark, sf_dir):
+    e = derived(spark, sf_dir, "audit_events").withColumn("s", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss"))
+    text = F.when(F.col("id") % 3 == 0, F.col("s")).when(F.col("id") % 3 == 1, F.concat(F.replace(F.col("s"), F.lit(" "), F.lit("T")), F.lit("Z"))).otherwise(F.concat("s", F.lit("+0200")))
+    return e.select("id", sev.parse_time(text).cast("timestamp_ntz").alias("at"))
+
+
+@query("""SELECT file_id % 50 AS scan_id, count(*) FILTER (WHERE NOT skipped) AS total_files, count(*) FILTER (WHERE NOT skipped AND known) AS files_scanned FROM
+  (SELECT DISTINCT file_id, path LIKE 'node_modules/%' AS skipped, path LIKE '%.py' OR path LIKE '%.js' OR path LIKE '%.ts' AS known FROM code_lines) f GROUP BY 1""")
+def scan_file_totals(spark, sf_dir):
+    files = derived(spark, sf_dir, "code_lines").select("file_id", "path").distinct().where(~sev.skip_path(F.col("path")))
+    return files.groupBy((F.col("file_id") % 50).alias("scan_id")).agg(F.count(F.lit(1)).alias("total_files"), F.count(sev.language(F.col("path"))).alias("files_scanned"))
+
+
+@query("SELECT id, CASE severity WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 END AS weight, CASE WHEN status IN ('open', 'fixed', 'dismissed') THEN status ELSE 'open' END AS status FROM violations")
+def severity_weights(spark, sf_dir):
+    return derived(spark, sf_dir, "violations").select("id", sev.weight(F.col("severity")).alias("weight"), sev.parse_status(F.col("status")).alias("status"))
+
+
+@query("SELECT key, value FROM (SELECT 'k' || (o_custkey % 500) AS key, CAST(max(o_orderkey) AS VARCHAR) AS value FROM orders GROUP BY 1) s WHERE key NOT IN (SELECT 'k' || (7 * (o_custkey % 70)) FROM orders)")
+def settings_delete(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    rows = orders.groupBy(F.concat(F.lit("k"), F.col("o_custkey") % 500).alias("key")).agg(F.max("o_orderkey").cast("string").alias("value"))
+    return store.delete_keys(rows, orders.select(F.concat(F.lit("k"), F.col("o_custkey") % 70 * 7).alias("key")).distinct(), ["key"])
 
 
 @query(f"SELECT p.id AS project_id, p.name, round(sum({COST}), 6) AS cost FROM projects p JOIN scans s ON s.project_id = p.id JOIN scan_costs c ON c.scan_id = s.id GROUP BY 1, 2")
@@ -398,12 +549,6 @@ def orphan_violations(spark, sf_dir):
     return derived(spark, sf_dir, "violations").join(derived(spark, sf_dir, "scans").select(F.col("id").alias("scan_id")), "scan_id", "left_anti").select("id")
 
 
-@query("SELECT v.id AS violation_id, printf('Control %s (%s): %s at %s:%d, framework %s', control_id, severity, v.status, file_path, line_number, coalesce(framework, 'unknown')) AS prompt FROM violations v JOIN scans s ON s.id = v.scan_id LEFT JOIN projects p ON p.id = s.project_id")
-def fix_requests(spark, sf_dir):
-    v = derived(spark, sf_dir, "violations").join(derived(spark, sf_dir, "scans").select(F.col("id").alias("scan_id"), "project_id"), "scan_id")
-    return remedy.fix_requests(v, derived(spark, sf_dir, "projects").select(F.col("id").alias("project_id"), "framework"))
-
-
 # ---- aggregations, windows, rankings
 
 
@@ -596,9 +741,7 @@ def event_rates(spark, sf_dir):
 def stream_event_counts(spark, sf_dir):
     schema = table(spark, sf_dir, "events").schema
     stream = changes.event_counts(changes.read_changes(spark, sf_dir, schema, "events.parquet"))
-    name = f"counts_{uuid.uuid4().hex}"
-    changes.drain(stream, name, "complete")
-    return spark.table(name).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+    return changes.drain(stream, ["window_start", "event_type"]).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
 @query("SELECT project_id, path, arg_max(event_type, (ts, event_id)) AS event_type FROM file_events GROUP BY project_id, path")
@@ -609,3 +752,46 @@ def latest_changes(spark, sf_dir):
 @query()
 def rate_limited_events(spark, sf_dir):
     return changes.rate_limit(derived(spark, sf_dir, "file_events"))
+
+
+def _event_stream(spark, sf_dir):
+    return changes.read_changes(spark, sf_dir, table(spark, sf_dir, "events").schema, "events.parquet")
+
+
+@query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
+def stream_distinct_events(spark, sf_dir):
+    events = _event_stream(spark, sf_dir)
+    return changes.drain(changes.once(events.unionByName(events)).select("event_id", "event_type"), ["event_id"]).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT event_id, path FROM file_events WHERE project_id = 7")
+def project_changes(spark, sf_dir):
+    return changes.of_project(derived(spark, sf_dir, "file_events"), 7).select("event_id", "path")
+
+
+def _path_events(stream):
+    """The derived table file_events over a stream of events."""
+    n = F.col("event_id")
+    path = F.concat(F.when(n % 10 == 0, "build/f").otherwise("src/f"), n % 97, F.when(n % 3 == 0, ".py").when(n % 3 == 1, ".ts").otherwise(".md"))
+    kind = F.when(F.col("event_type") == "signup", "created").when(F.col("event_type") == "error", "deleted").otherwise("modified")
+    return stream.select("event_id", F.col("user_id").alias("project_id"), "ts", path.alias("path"), kind.alias("event_type"))
+
+
+@query(rule_sql.union("""SELECT f.rule, f.path, f.line_number FROM found f LEFT JOIN (SELECT path, arg_max(event_type, (ts, event_id)) AS event_type FROM file_events GROUP BY path) e ON e.path = f.path WHERE e.event_type IS NULL OR e.event_type <> 'deleted'""", ("R8", "R13")))
+def rescanned_findings(spark, sf_dir):
+    files = code_files(spark, sf_dir)
+    scanner = lambda f: rules.scan(f, ("R8", "R13")).select("rule", "path", "line_number")
+    return changes.rescan_stream(_path_events(_event_stream(spark, sf_dir)), scanner(files), files, scanner)
+
+
+@query(_BUDGET + " SELECT r.scan_id, r.file_no FROM r LEFT JOIN cut ON cut.scan_id = r.scan_id WHERE cut.rn IS NULL OR r.rn <= cut.rn")
+def budget_over_stream(spark, sf_dir):
+    folder = changes.work_folder(spark, "file-costs")
+    file_costs(spark, sf_dir).write.parquet(folder)
+    stream = spark.readStream.schema("scan_id long, file_no long, cost double").parquet(folder)
+    return changes.budget_stream(stream).select("scan_id", "file_no")
+
+
+@query()
+def rate_limited_stream(spark, sf_dir):
+    return changes.rate_limit_stream(_path_events(_event_stream(spark, sf_dir)))

@@ -60,7 +60,7 @@ def _hits(rule: str) -> str:
     description = quoted(r.description)
     if rule == "R6":
         severity = "CASE WHEN regexp_matches(line, '(POST|PUT|DELETE)') THEN 'critical' ELSE 'high' END"
-        description = f"'Flask route without authentication: ' || regexp_extract(line, {quoted(R.FLASK)}, 1)"
+        description = f"'Flask route ''' || regexp_extract(line, {quoted(R.FLASK)}, 1) || ''' missing authentication decorator or check'"
     if rule == "R9":
         description = f"'Sensitive data (' || {_SECRET_WORD} || ') in logging statement'"
     marked = f"SELECT *, ({condition}) AS hit FROM (SELECT *, trim(line, ' ' || chr(9) || chr(10) || chr(13)) AS t FROM code_lines) l"

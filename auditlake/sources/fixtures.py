@@ -51,14 +51,14 @@ FROM orders
 """
 
 VIEWS["violations"] = """
-SELECT CAST(row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) AS BIGINT) AS id,
+SELECT l_orderkey * 1000 + CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) AS BIGINT) AS id,
   l_orderkey AS scan_id,
   CASE l_partkey % 4 WHEN 0 THEN 'CC6.1' WHEN 1 THEN 'CC6.7' WHEN 2 THEN 'CC7.2' ELSE 'A1.2' END AS control_id,
   CASE l_suppkey % 4 WHEN 0 THEN 'critical' WHEN 1 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END AS severity,
   'src/f' || (l_partkey % 5) || '.py' AS file_path, CAST(l_quantity AS BIGINT) AS line_number,
   CASE l_returnflag WHEN 'A' THEN 'fixed' WHEN 'N' THEN 'open' ELSE 'dismissed' END AS status,
   CASE WHEN l_linestatus = 'F' THEN 'regex' ELSE 'llm' END AS detection_method,
-  l_shipdate AS detected_at
+  'issue ' || (l_suppkey % 7) AS description, 'code(' || (l_partkey % 11) || ')' AS code_snippet, l_shipdate AS detected_at
 FROM lineitem
 """
 
@@ -94,13 +94,28 @@ FROM events
 VIEWS["findings"] = """
 SELECT CAST(floor(l_orderkey / 64) AS BIGINT) AS scan_id, 'src/f' || (l_partkey % 2) || '.py' AS file_path,
   CASE WHEN l_suppkey % 2 = 0 THEN 'CC6.1' ELSE 'A1.2' END AS control_id,
-  CAST(row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) AS BIGINT) AS id,
+  l_orderkey * 1000 + CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) AS BIGINT) AS id,
   CAST(l_quantity AS BIGINT) AS line_number,
   CASE l_partkey % 5 WHEN 0 THEN 'critical' WHEN 1 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END AS severity,
+  'issue ' || (l_suppkey % 7) AS description,
   CASE WHEN l_linestatus = 'F' THEN 'regex' ELSE 'llm' END AS detection_method
 FROM lineitem
 """
 
+VIEWS["settings"] = """
+SELECT c_custkey % 40 AS project_id, CASE c_custkey % 4 WHEN 0 THEN 'desktop_notifications' WHEN 1 THEN 'llm_scan_mode' WHEN 2 THEN 'cost_limit_per_scan' ELSE 'theme' END AS key,
+  CASE c_custkey % 4 WHEN 0 THEN CASE WHEN c_custkey % 3 = 0 THEN 'true' ELSE 'false' END WHEN 1 THEN CASE c_custkey % 5 WHEN 0 THEN 'smart' WHEN 1 THEN 'all' ELSE 'regex_only' END
+    WHEN 2 THEN CASE WHEN c_custkey % 6 = 0 THEN '5000.0' ELSE '2.5' END ELSE 'dark' END AS value
+FROM customer WHERE c_custkey <= 40
+"""
+
+VIEWS["project_files"] = """
+SELECT c_custkey AS project_id, CASE c_custkey % 9 WHEN 0 THEN 'web/manage.py' WHEN 1 THEN 'app.py' WHEN 2 THEN 'package.json' WHEN 3 THEN 'package.json' WHEN 4 THEN 'requirements.txt'
+    WHEN 5 THEN 'requirements.txt' WHEN 6 THEN 'a/b/c/d/e/settings.py' WHEN 7 THEN 'package.json' ELSE 'src/package.json' END AS path,
+  CASE c_custkey % 9 WHEN 2 THEN '{"next": 1, "react": 2}' WHEN 3 THEN '{"express": 1}' WHEN 4 THEN 'Django==4' WHEN 5 THEN 'Flask' WHEN 7 THEN '{"react": 1}' ELSE '"express" "react"' END AS content
+FROM customer
+"""
+
 
 _NAMES = re.compile(r"\b(FROM|JOIN) (\w+)\b")
 

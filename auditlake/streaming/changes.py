@@ -7,8 +7,9 @@ import uuid
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.severity import watch_path
 
@@ -46,45 +47,171 @@ def latest_by_path(events: DataFrame) -> DataFrame:
     return events.groupBy("project_id", "path").agg(F.max(F.struct("ts", "event_id", "event_type")).alias("e")).select("project_id", "path", "e.ts", "e.event_id", "e.event_type")
 
 
-def drain(stream: DataFrame, name: str, mode: str, each: Callable[[DataFrame, int], None] | None = None) -> None:
-    """Run a stream over what there is, into the memory table `name`, or batch by batch through a function."""
-    folder = stream.sparkSession.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="spark-stream-")
-    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder.rstrip('/')}/stream-{name}").trigger(availableNow=True)
-    query = (writer.foreachBatch(each) if each else writer.format("memory").queryName(name)).start()
-    query.awaitTermination()
+def of_project(events: DataFrame, project: int) -> DataFrame:
+    """The events of one project; for batches and streams."""
+    return events.where(F.col("project_id") == project)
 
 
-def rate_limit(events: DataFrame, key: str = "project_id") -> DataFrame:
-    """Events with allowed, wait_seconds and limit_type under token buckets, for each key in the order of time and id.
+def once(events: DataFrame, key: str = "event_id", watermark: str = "1 day") -> DataFrame:
+    """Events with repeated ones dropped: in a stream those that come within the watermark, later ones are dropped as late."""
+    if events.isStreaming:
+        return events.withWatermark("ts", watermark).dropDuplicatesWithinWatermark([key])
+    return events.dropDuplicates([key])
+
+
+def run_to_end(stream: DataFrame, folder: str, mode: str, each: Callable[[DataFrame, int], None]) -> None:
+    """Run a stream over what there is, batch by batch through a function; progress is kept below folder."""
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True)
+    writer.foreachBatch(each).start().awaitTermination()
+
+
+def drain(stream: DataFrame, keys: list[str]) -> DataFrame:
+    """The table that a stream's updates add up to: its batches are appended to a table, the last row of each key counts."""
+    spark, folder = stream.sparkSession, work_folder(stream.sparkSession, "stream")
+    run_to_end(stream, folder, "update", lambda df, n: df.withColumn("_batch", F.lit(n).cast("long")).write.mode("overwrite").parquet(f"{folder}/rows/batch={n}"))
+    rows = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("_batch", T.LongType())])).option("recursiveFileLookup", True).parquet(f"{folder}/rows")
+    values = [c for c in stream.columns if c not in keys]
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "_batch").alias("v"))
+    return last.select(*(F.col(c) if c in keys else F.col(f"v.{c}").alias(c) for c in stream.columns))
+
+
+class Versions:
+    """A table that is rewritten by each batch of a stream: a folder for each batch, so that a repeated batch starts from the same state."""
+
+    def __init__(self, folder: str, first: DataFrame):
+        self.folder, self.schema = folder, first.schema
+        first.write.mode("overwrite").parquet(f"{folder}/state=-1")
+        self.last = -1
+
+    def before(self, batch: int, spark: SparkSession) -> DataFrame:
+        known = [n for n in (self.last, batch - 1) if n < batch]
+        return spark.read.schema(self.schema).parquet(f"{self.folder}/state={max(known)}")
+
+    def write(self, batch: int, df: DataFrame) -> None:
+        df.write.mode("overwrite").parquet(f"{self.folder}/state={batch}")
+        self.last = batch
+
+    def read(self, spark: SparkSession) -> DataFrame:
+        return spark.read.schema(self.schema).parquet(f"{self.folder}/state={self.last}")
+
+
+def rescan(findings: DataFrame, files: DataFrame, events: DataFrame, scanner: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Findings (path, ...) after changes of files (path, lines): the last event of a path counts.
+
+    Findings of changed paths are replaced by those of the scanner, findings of deleted paths go, others stay.
+    """
+    last = events.groupBy("path").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("event_type"))
+    changed = last.where("event_type <> 'deleted'").select("path")
+    kept = findings.join(last.select("path"), "path", "left_anti")
+    return kept.select(*findings.columns).unionByName(scanner(files.join(changed, "path", "left_semi")).select(*findings.columns))
+
+
+def rescan_stream(stream: DataFrame, findings: DataFrame, files: DataFrame, scanner: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Findings kept up with a stream of changes: each batch rescans the paths that it names."""
+    spark, folder = stream.sparkSession, work_folder(stream.sparkSession, "rescan")
+    table = Versions(folder, findings)
+    run_to_end(stream, folder, "append", lambda df, n: table.write(n, rescan(table.before(n, spark), files, df, scanner)))
+    return table.read(spark)
+
 
-    The state of a key is three numbers, so events of a key are read as a stream of batches, never as one group.
+def budget_stream(stream: DataFrame, limit: float = 1.0, batch: int = 10) -> DataFrame:
+    """The rows (scan_id, file_no, cost) of a stream that are analysed before their scan is over its budget.
+
+    State of a scan: files and cost so far, and whether it has stopped; it stops after a group of `batch` files with which
+    its cost exceeds the limit.  Files of a batch count in the order of their numbers.
     """
-    ordered = events.select(key, "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
-    ordered = ordered.repartition(key).sortWithinPartitions(key, "us", "event_id")
-    schema = f"{key} long, event_id long, allowed boolean, wait_seconds long, limit_type string"
+    spark, folder = stream.sparkSession, work_folder(stream.sparkSession, "budget")
+    table = Versions(folder, spark.createDataFrame([], "scan_id long, files long, spent double, stopped_at long"))
+    own = Window.partitionBy("scan_id")
+
+    def each(df: DataFrame, n: int) -> None:
+        state = table.before(n, spark)
+        order = own.orderBy("file_no").rowsBetween(Window.unboundedPreceding, 0)
+        rows = df.join(state, "scan_id", "left").withColumn("rn", F.coalesce("files", F.lit(0)) + F.row_number().over(own.orderBy("file_no")))
+        rows = rows.withColumn("total", F.coalesce("spent", F.lit(0.0)) + F.sum(F.coalesce("cost", F.lit(0.0))).over(order))
+        over = F.when((F.col("rn") % batch == 0) & (F.round("total", 9) > limit), F.col("rn"))
+        rows = rows.withColumn("stop", F.coalesce("stopped_at", F.min(over).over(own)))
+        kept = rows.where("stop IS NULL OR rn <= stop").select(*df.columns)
+        kept.write.mode("overwrite").parquet(f"{folder}/rows/batch={n}")
+        new = rows.groupBy("scan_id").agg(F.max("rn").cast("long").alias("files"), F.max_by("total", "rn").alias("spent"), F.first("stop").cast("long").alias("stopped_at"))
+        table.write(n, new.unionByName(state.join(new.select("scan_id"), "scan_id", "left_anti")))
+
+    run_to_end(stream, folder, "append", each)
+    return spark.read.schema(stream.schema).option("recursiveFileLookup", True).parquet(f"{folder}/rows")
+
+
+STATE = "last double, minute double, hour double, day double"
+
+
+def _limited(events: DataFrame, key: str, state: DataFrame | None) -> DataFrame:
+    """Decisions (kind 1) on events and the buckets that keys are left with (kind 0), from the buckets that they had."""
+    names = [n for n, _, _ in BUCKETS]
+    rows = events.select(F.col(key).cast("long").alias("k"), F.lit(1).alias("kind"), "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("last"), *(F.lit(None).cast("double").alias(n) for n in names))
+    if state is not None:
+        rows = rows.union(state.select(F.col(key).alias("k"), F.lit(0), F.lit(None).cast("long"), "last", *names))
+    ordered = rows.repartition("k").sortWithinPartitions("k", "kind", "last", "event_id")
 
     def run(frames):
-        now, tokens, last = None, [], 0.0
+        now, tokens, last, begun = None, [], 0.0, False
+
+        def left():
+            return (now, 0, None, None, None, None, last, *tokens)
+
         for frame in frames:
             out = []
-            for k, event, us in zip(frame[key].tolist(), frame["event_id"].tolist(), frame["us"].tolist(), strict=True):
-                at = us / 1e6
-                if k != now:
-                    now, tokens, last = k, [float(cap) for _, cap, _ in BUCKETS], at
-                tokens = [min(t + (at - last) * cap / period, float(cap)) for t, (_, cap, period) in zip(tokens, BUCKETS, strict=True)]
-                last = at
+            for k, kind, event, at, *held in zip(*(frame[c].tolist() for c in frame.columns), strict=True):
+                if not begun or k != now:
+                    if begun:
+                        out.append(left())
+                    begun, now, tokens, last = True, k, [float(cap) for _, cap, _ in BUCKETS], at
+                if kind == 0:
+                    tokens = held
+                    continue
+                tokens = [min(t + max(at - last, 0.0) * cap / period, float(cap)) for t, (_, cap, period) in zip(tokens, BUCKETS, strict=True)]
+                last = max(at, last)
                 waits = [(0 if t >= 1 else (1 - t) * period / cap, name) for t, (name, cap, period) in zip(tokens, BUCKETS, strict=True)]
                 if short := [w for w in waits if w[0] > 0]:
-                    out.append((k, event, False, int(max(w for w, _ in short)), short[0][1]))
+                    out.append((k, 1, int(event), False, int(max(w for w, _ in short)), short[0][1], None, *[None] * 3))
                 else:
                     tokens = [t - 1 for t in tokens]
-                    out.append((k, event, True, 0, None))
-            yield pd.DataFrame(out, columns=[key, "event_id", "allowed", "wait_seconds", "limit_type"])
+                    out.append((k, 1, int(event), True, 0, None, None, *[None] * 3))
+            yield pd.DataFrame(out, columns=["k", "kind", "event_id", "allowed", "wait_seconds", "limit_type", "last", *names], dtype=object)
+        if begun:
+            yield pd.DataFrame([left()], columns=["k", "kind", "event_id", "allowed", "wait_seconds", "limit_type", "last", *names], dtype=object)
+
+    return ordered.mapInPandas(run, f"k long, kind int, event_id long, allowed boolean, wait_seconds long, limit_type string, {STATE}")
+
+
+def rate_limit(events: DataFrame, key: str = "project_id") -> DataFrame:
+    """Events with allowed, wait_seconds and limit_type under token buckets, for each key in the order of time and id.
+
+    The state of a key is four numbers, so events of a key are read as a stream of batches, never as one group.
+    """
+    return _limited(events, key, None).where("kind = 1").select(F.col("k").alias(key), "event_id", "allowed", "wait_seconds", "limit_type")
+
+
+def rate_limit_stream(stream: DataFrame, key: str = "project_id") -> DataFrame:
+    """rate_limit() over a stream: the buckets of each key are kept from batch to batch."""
+    spark, folder = stream.sparkSession, work_folder(stream.sparkSession, "limits")
+    table = Versions(folder, spark.createDataFrame([], f"{key} long, {STATE}"))
+
+    def each(df: DataFrame, n: int) -> None:
+        state = table.before(n, spark)
+        _limited(df, key, state).write.mode("overwrite").parquet(f"{folder}/rows/batch={n}")
+        done = spark.read.parquet(f"{folder}/rows/batch={n}")
+        # Keys without events in the batch are passed through with their buckets.
+        table.write(n, done.where("kind = 0").select(F.col("k").alias(key), "last", "minute", "hour", "day"))
 
-    return ordered.mapInPandas(run, schema)
+    run_to_end(stream, folder, "append", each)
+    rows = spark.read.schema(f"k long, kind int, event_id long, allowed boolean, wait_seconds long, limit_type string, {STATE}").option("recursiveFileLookup", True).parquet(f"{folder}/rows")
+    return rows.where("kind = 1").select(F.col("k").alias(key), "event_id", "allowed", "wait_seconds", "limit_type")
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
-    """A new folder for written tables: below spark.checkpoint.dir, which executors share, or a local one where that is unset."""
-    top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="spark-work-")
+    """A new folder for written tables: below spark.checkpoint.dir, which executors share; a local one only where Spark is local."""
+    top = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if top is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        top = "file://" + tempfile.mkdtemp(prefix="spark-work-")
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -1,5 +1,7 @@
 """Rules at the edges of their frames, merges, patches, replies, limits, and the registered queries against DuckDB."""
 
+import re
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -61,6 +63,117 @@ def test_merge_is_one_to_one(spark):
     assert found == {(11, "high", "hybrid"), (12, "critical", "hybrid"), (13, "low", "llm"), (3, "low", "regex")}
 
 
+def test_merged_reasoning_and_far_runs(spark):
+    row = "id long, scan_id long, file_path string, control_id string, line_number long, severity string, detection_method string, description string, llm_reasoning string"
+    regex = spark.createDataFrame([(1, 1, "f", "c", 10, "low", "regex", "r1", None), (2, 1, "f", "c", 90, "low", "regex", "r2", None), (3, 1, "f", "c", 13, "odd", "regex", "r3", None)], row)
+    llm = spark.createDataFrame([(11, 1, "f", "c", 10, "high", "llm", "m1", None), (12, 1, "f", "c", 92, "odd", "llm", "m2", "why"), (13, 1, "f", "c", 16, "low", "llm", "m3", None)], row)
+    got = {r.id: (r.severity, r.regex_reasoning, r.llm_reasoning) for r in merge.merge(regex, llm).collect()}
+    assert got == {
+        11: ("high", "Pattern match at line 10: r1", "m1"), 12: ("low", "Pattern match at line 90: r2 (regex detected at line 90, LLM at line 92)", "why"),
+        13: ("low", "Pattern match at line 13: r3 (regex detected at line 13, LLM at line 16)", "m3"),
+    }
+
+
+# What each rule reports.
+REPORTED = {
+    "R1": ("CC6.1", "high", "View function missing authentication decorator or check"),
+    "R2": ("CC6.1", "high", "Hardcoded user ID should use request.user or current_user"),
+    "R3": ("CC6.1", "critical", "Admin/sensitive operation missing permission check"),
+    "R4": ("CC6.1", "high", "Express route missing authentication middleware"),
+    "R5": ("CC6.1", "high", "FastAPI endpoint missing Depends(permission) check"),
+    "R8": ("CC7.2", "medium", "Sensitive operation without audit logging"),
+    "R10": ("CC7.2", "high", "Authentication event without logging"),
+    "R11": ("CC7.2", "medium", "Database transaction without logging mechanism"),
+    "R12": ("A1.2", "high", "External service call without error handling"),
+    "R13": ("A1.2", "high", "External request without timeout configuration"),
+    "R14": ("A1.2", "medium", "No retry logic for transient failures"),
+    "R15": ("A1.2", "high", "Database operation without error handling"),
+    "R16": ("A1.2", "medium", "Multiple external calls without circuit breaker pattern"),
+}
+
+
+def test_what_rules_report(spark):
+    assert {r: (rules.RULES[r].control, rules.RULES[r].severity, rules.RULES[r].description) for r in REPORTED} == REPORTED
+    files = corpus.with_lines(spark.createDataFrame([("a.py", "@app.route('/a')\nlogger.info(api_key)")], "path string, content string"))
+    assert {(r.rule, r.severity, r.description) for r in rules.scan(files, ("R6", "R9")).collect()} == {
+        ("R6", "high", "Flask route '/a' missing authentication decorator or check"), ("R9", "critical", "Sensitive data (API key) in logging statement"),
+    }
+
+
+def test_definition_spans_nested(spark):
+    text = "class A:\n  def f(self):\n    x\n\n  def g(self):\n    if x:\n      y\nz = 1\ndef h(request):\n  db.execute(f'x')\n\n"
+    files = corpus.with_lines(spark.createDataFrame([("a.py", text), ("b.py", ""), ("c.py", None)], "path string, content string"))
+    found = corpus.spans(files)
+    assert {(r.kind, r.name, r.start_line, r.end_line) for r in found.collect()} == {("class", "A", 1, 7), ("function", "f", 2, 3), ("function", "g", 5, 7), ("function", "h", 9, 10)}
+    hits = spark.createDataFrame([(1, "a.py", 7), (2, "a.py", 8), (3, "a.py", 10)], "id long, path string, line_number long")
+    assert {(r.id, r.function_name, r.class_name) for r in merge.enclosing(hits, found).collect()} == {(1, "g", "A"), (2, None, None), (3, "h", None)}
+    assert {(r.name, r.rule) for r in corpus.span_rules(files, found).collect()} == {("h", "R17")}
+
+
+def test_frameworks(spark):
+    rows = [(1, "manage.py", ""), (1, "app.py", ""), (2, "app.py", ""), (3, "package.json", '{"dependencies": {"next": 1, "react": 2}}'), (4, "package.json", '"react"'), (5, "x/package.json", '"react"'), (6, "a/b/c/d/manage.py", "")]
+    got = {r.project_id: r.framework for r in corpus.detect_frameworks(spark.createDataFrame(rows, "project_id long, path string, content string")).collect()}
+    assert got == {1: "django", 2: "flask", 3: "nextjs", 4: "react", 5: None, 6: None}
+
+
+def stream_of(spark, tmp_path, batches, schema):
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in" / f"{i}"))
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+
+
+def test_rescan_over_several_batches(spark, tmp_path):
+    files = corpus.with_lines(spark.createDataFrame([("a.py", "user.save()"), ("b.py", "user.save()"), ("c.py", "x")], "path string, content string"))
+    scanner = lambda f: rules.scan(f, ("R8",)).select("rule", "path", "line_number")
+    old = spark.createDataFrame([("R8", "b.py", 9), ("R8", "c.py", 1), ("R8", "d.py", 1)], "rule string, path string, line_number long")
+    schema = "event_id long, path string, event_type string, ts timestamp_ntz"
+    from datetime import datetime as d
+
+    stream = stream_of(spark, tmp_path, [[(1, "a.py", "created", d(2024, 1, 1)), (2, "d.py", "modified", d(2024, 1, 1))], [(3, "d.py", "deleted", d(2024, 1, 2)), (4, "b.py", "modified", d(2024, 1, 2))]], schema)
+    got = {(r.path, r.line_number) for r in changes.rescan_stream(stream, old, files, scanner).collect()}
+    assert got == {("a.py", 1), ("b.py", 1), ("c.py", 1)}
+
+
+def test_limits_and_budgets_over_several_batches(spark, tmp_path):
+    from datetime import datetime as d, timedelta
+
+    rows = [(k, i, d(2024, 1, 1) + timedelta(seconds=3 * i)) for k in (1, 2, None) for i in range(40)]
+    schema = "project_id long, event_id long, ts timestamp_ntz"
+    stream = stream_of(spark, tmp_path / "a", [[r for r in rows if r[1] < 15 and r[0] != 2], [r for r in rows if 15 <= r[1] and r[0] != 2], [r for r in rows if r[0] == 2]], schema)
+    whole = changes.rate_limit(spark.createDataFrame(rows, schema))
+    assert sorted(map(repr, changes.rate_limit_stream(stream).collect())) == sorted(map(repr, whole.collect()))
+    costs = [(s, n, None if n % 7 == 0 else 0.02 * s) for s in (1, 5, 9) for n in range(1, 61)]
+    schema = "scan_id long, file_no long, cost double"
+    stream = stream_of(spark, tmp_path / "b", [[r for r in costs if r[1] <= 25], [r for r in costs if 25 < r[1] <= 27], [r for r in costs if r[1] > 27]], schema)
+    kept = {(r.scan_id, r.file_no) for r in changes.budget_stream(stream).collect()}
+    assert kept == {(r.scan_id, r.file_no) for r in reports.budget_cut(spark.createDataFrame(costs, schema))[0].collect()}
+
+
+def test_repeated_events_count_once(spark, tmp_path):
+    from datetime import datetime as d
+
+    row = (1, d(2024, 1, 1), "view")
+    stream = stream_of(spark, tmp_path, [[row, row], [row, (2, d(2024, 1, 1, 1), "view")]], "event_id long, ts timestamp, event_type string")
+    assert {r.event_id for r in changes.drain(changes.once(stream), ["event_id"]).collect()} == {1, 2}
+
+
+def test_times_and_quarantine(spark):
+    texts = ["2025-02-01 10:00:00", "2025-02-01T10:00:00Z", "2025-02-01T12:00:00+02:00", "2025-02-01 12:00:00+0200", "junk", None]
+    got = [r.t and r.t.isoformat() for r in spark.createDataFrame([(x,) for x in texts], "x string").select(sev.parse_time(F.col("x")).cast("timestamp_ntz").alias("t")).collect()]
+    assert got == ["2025-02-01T10:00:00"] * 4 + [None] * 2
+    settings = spark.createDataFrame([("cost_limit_per_scan", "-1"), ("llm_scan_mode", "all"), ("theme", "x")], "key string, value string")
+    violations = spark.createDataFrame([(1, 1, "high", "open", "llm", 101), (2, 1, "odd", "open", "llm", None)], "id long, scan_id long, severity string, status string, detection_method string, confidence_score int")
+    got = {(r.table_name, r.row_id, r.rule) for r in store.quarantined({"violations": violations, "settings": settings}).collect()}
+    assert got == {("violations", "2", "severity not allowed"), ("violations", "1", "confidence_score out of 0 to 100"), ("settings", "cost_limit_per_scan", "cost_limit_per_scan below 0"), ("settings", "llm_scan_mode", "llm_scan_mode unknown")}
+
+
+def test_no_window_spans_a_whole_table(spark):
+    for name in ("violation_lookup", "status_updates", "hybrid_matches", "violation_detail", "cascade_delete"):
+        plan = catalog.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+        # A window's partition columns come first; one without any begins with a sort order.
+        assert not re.search(r"windowspecdefinition\(\S+ (ASC|DESC)", plan), name
+
+
 def test_patches(spark):
     files = spark.createDataFrame([("a", 'x\npw = "secret"\ny'), ("b", "q q"), ("c", "q\nq"), ("d", "z"), ("e", "")], "path string, content string")
     fixes = spark.createDataFrame([("a", '"secret"', "env()", 2), ("b", "q", "r", 9), ("c", "q", "r", 2), ("d", "q", "r", 1), ("e", "q", "r", 1)], "path string, original string, fixed string, line_number long")
@@ -112,7 +225,7 @@ def test_read_corpus(spark, tmp_path):
     assert [r.lines for r in rows] == [["x", "y"]]
 
 
-@pytest.mark.parametrize("name", ["scan_severity", "scan_findings", "hybrid_matches", "project_health", "violation_trend", "budget_events", "constraint_audit", "stream_event_counts"])
+@pytest.mark.parametrize("name", ["scan_severity", "scan_findings", "hybrid_matches", "project_health", "violation_trend", "budget_events", "constraint_audit", "stream_event_counts", "hybrid_reasoning", "fix_prompts", "analysis_prompts", "recorded_fixes", "rescanned_findings", "budget_over_stream", "definition_spans", "quarantined_rows"])
 def test_against_duckdb(spark, name):
     con = duckdb.connect()
     for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents"):
