@@ -47,6 +47,29 @@ def row_key(id_col: str, text_col: str) -> Column:
     return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col))
 
 
+#: Bits of the fixed-size table that prunes before a join, in words of 64.
+BITS = 1 << 24
+
+
+def _with_bit(rows: DataFrame, column: str, keys: DataFrame, key: str, how: str) -> DataFrame:
+    spread = lambda c: F.expr(f"pmod(xxhash64({c}), {BITS})")
+    bits = keys.select(spread(key).alias("_at")).groupBy(F.expr("_at div 64").alias("_slot")).agg(F.bit_or(F.expr("shiftleft(1L, cast(_at % 64 AS int))")).alias("_bits"))
+    held = rows.withColumn("_at", spread(column)).join(F.broadcast(bits), F.expr("_at div 64") == F.col("_slot"), how)
+    return held.withColumn("_may", F.expr("coalesce(shiftright(_bits, cast(_at % 64 AS int)) & 1L = 1L, false)"))
+
+
+def may_be_in(rows: DataFrame, column: str, keys: DataFrame, key: str) -> DataFrame:
+    """The rows whose column is among the keys, and a few others: by a broadcast table of BITS bits at most."""
+    return _with_bit(rows, column, keys, key, "inner").where("_may").drop("_at", "_slot", "_bits", "_may")
+
+
+def split_by(rows: DataFrame, column: str, keys: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(the rows that may_be_in() keeps, all others): the others needn't be shuffled."""
+    told = _with_bit(rows, column, keys, key, "left")
+    rest = lambda df: df.drop("_at", "_slot", "_bits", "_may")
+    return rest(told.where("_may")), rest(told.where("NOT _may"))
+
+
 def discard(df: DataFrame) -> None:
     """Delete the table behind a frame returned by staged(), once nothing reads it any more."""
     path = getattr(df, "staged_path", None)

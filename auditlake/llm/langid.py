@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -175,3 +176,17 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     Whole texts are read; equal texts get equal answers; ids may be null or repeated; further columns are ignored.
     """
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_predict(model), "doc_id long, lang_pred string, score double")
+
+
+def recognised(docs: DataFrame, model: Model, least: float, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns as they are, whose language is named with a score of at least `least`; no shuffle."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            none = pa.nulls(len(batch), pa.int64())
+            judged = pa.Table.from_batches(_predict(model)([pa.RecordBatch.from_arrays([none, batch.column(at)], names=["doc_id", "text"])])) if len(batch) else None
+            if judged is not None:
+                yield batch.filter(pc.and_(pc.not_equal(judged["lang_pred"], "und"), pc.greater_equal(judged["score"], least)).combine_chunks())
+
+    return docs.mapInArrow(run, docs.schema)

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import row_key, staged
+from .common import may_be_in, row_key, split_by, staged
 
 
 @dataclass(frozen=True)
@@ -40,8 +40,6 @@ PAIR = r"(?<![A-Za-z0-9])(?=([A-Za-z0-9]+[+/_.=-]+[A-Za-z0-9]+))"
 GROUP = 256
 #: Code points of a segment of a text.
 SEGMENT = 4096
-#: Bits of the fixed-size table that prunes before a join, in words of 64.
-BITS = 1 << 24
 #: Values that stand for another.
 PLACEHOLDER = r"(?i)(example|placeholder|changeme|change_me|dummy|your[_-]|redacted|x{6,}|\*{3,}|0{12,}|1234567890)"
 #: A value that more owners than this have is an example.
@@ -113,14 +111,6 @@ def _base(text: Column) -> Column:
     return F.array_sort(F.concat(*(_ranked(F.coalesce(text, F.lit("")), rank, kind) for rank, kind in enumerate(KINDS))))
 
 
-def _may_be_in(rows: DataFrame, column: str, keys: DataFrame, key: str) -> DataFrame:
-    """The rows whose column is among the keys, and a few others: by a broadcast table of BITS bits at most."""
-    spread = lambda c: F.expr(f"pmod(xxhash64({c}), {BITS})")
-    bits = keys.select(spread(key).alias("at")).groupBy(F.expr("at div 64").alias("slot")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 AS int))")).alias("bits"))
-    held = rows.withColumn("at", spread(column)).join(F.broadcast(bits), F.expr("at div 64") == F.col("slot"))
-    return held.where("shiftright(bits, cast(at % 64 AS int)) & 1L = 1L").drop("at", "slot", "bits")
-
-
 def _occurrences(text: Column) -> Column:
     """array<struct<start, end, value>> of the runs of a text, and of the pairs of joined runs; a pair's end isn't its own."""
     pairs = F.transform(_spans(F.concat(F.lit("\x00"), text), PAIR, 1), lambda s: F.struct((s["start"] - 1).alias("start"), (s["end"] - 1).alias("end"), s["value"].alias("value")))
@@ -149,13 +139,17 @@ def further_places(docs: DataFrame, values: DataFrame, base: DataFrame, id_col:
     longest = F.array_max(F.transform(pairs, lambda p: F.struct(F.char_length(p).alias("n"), p.alias("part"))))["part"]
     parts = values.select("value", F.coalesce(longest, F.get(runs, F.lit(0)), F.col("value")).alias("part"))
     rows = docs.select(row_key(id_col, text_col).alias("row_key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    pieces = rows.select("row_key", F.explode(_occurrences(F.col("text"))).alias("o")).select("row_key", F.col("o.start").alias("pos"), F.col("o.value").alias("piece"))
+    # Which texts hold a part at all; only in those are places counted off.
+    words = rows.select("row_key", F.explode(F.array_distinct(F.concat(extract(F.col("text"), PIECE, 0), extract(F.col("text"), PAIR, 1)))).alias("piece"))
+    met = may_be_in(words, "piece", parts, "part").join(parts.select(F.col("part").alias("piece")), "piece", "left_semi")
+    met = staged(met.select(F.col("row_key").alias("met_key")).distinct(), "met")
+    pieces = may_be_in(rows, "row_key", met, "met_key").select("row_key", F.explode(_occurrences(F.col("text"))).alias("o")).select("row_key", F.col("o.start").alias("pos"), F.col("o.value").alias("piece"))
     start = F.col("pos") + 1 - F.expr("locate(part, value)")
-    hits = _may_be_in(pieces, "piece", parts, "part").join(parts, F.col("piece") == F.col("part")).select("row_key", start.alias("start"), (start + F.char_length("value")).alias("end"), "value")
+    hits = may_be_in(pieces, "piece", parts, "part").join(parts, F.col("piece") == F.col("part")).select("row_key", start.alias("start"), (start + F.char_length("value")).alias("end"), "value")
     apart = _apart(hits.where("start >= 0"), base)
     sought = staged(apart.groupBy("row_key").agg(F.collect_set(F.struct("start", "end", "value")).alias("places")), "sought").withColumnRenamed("row_key", "sought_key")
     # Texts move only if they may hold a value.
-    held = _may_be_in(rows, "row_key", sought, "sought_key").join(sought, F.col("row_key") == F.col("sought_key"))
+    held = may_be_in(rows, "row_key", sought, "sought_key").join(sought, F.col("row_key") == F.col("sought_key"))
     at = lambda p, n: F.substring("text", p.cast("int"), n)
 
     def stands(p: Column) -> Column:
@@ -218,11 +212,8 @@ def mask(docs: DataFrame, scanned: DataFrame, id_col: str = "doc_id", text_col:
     live = F.filter("spans", lambda s: s["live"])
     spans = scanned.where(F.exists("spans", lambda s: s["live"])).groupBy("row_key").agg(F.first(live).alias("_masked")).withColumnRenamed("row_key", "_masked_key")
     keyed = docs.withColumn("_row_key", row_key(id_col, text_col))
-    spread = F.expr(f"pmod(xxhash64(_row_key), {BITS})")
-    bits = spans.select(F.expr(f"pmod(xxhash64(_masked_key), {BITS})").alias("_at")).groupBy(F.expr("_at div 64").alias("_slot")).agg(F.bit_or(F.expr("shiftleft(1L, cast(_at % 64 AS int))")).alias("_bits"))
-    marked = keyed.withColumn("_at", spread).join(F.broadcast(bits), F.expr("_at div 64") == F.col("_slot"), "left")
-    may = F.coalesce(F.expr("shiftright(_bits, cast(_at % 64 AS int)) & 1L = 1L"), F.lit(False))
-    touched = marked.where(may).drop("_at", "_slot", "_bits").join(spans, F.col("_row_key") == F.col("_masked_key"), "left")
+    may, clean = split_by(keyed, "_row_key", spans, "_masked_key")
+    touched = may.join(spans, F.col("_row_key") == F.col("_masked_key"), "left")
     # With where the spans before each one end.
     pieces = lambda upto: F.transform("_masked", lambda m, i: F.struct(m["start"].alias("start"), F.get(upto, i).alias("upto")))
     heads = F.filter(_bound(running(F.col("_masked.end"), lambda x, y: F.greatest(x, y)), pieces), lambda p: p["start"] >= p["upto"])
@@ -238,4 +229,4 @@ def mask(docs: DataFrame, scanned: DataFrame, id_col: str = "doc_id", text_col:
     last = F.array_max("_masked.end")
     masked = _bound(segments, lambda segs: F.concat(told(segs), cut(segs, last, F.char_length(text_col) - last)))
     touched = touched.withColumn(text_col, F.when(F.col("_masked").isNull(), F.col(text_col)).otherwise(masked))
-    return marked.where(~may).select(*docs.columns).union(touched.select(*docs.columns))
+    return clean.select(*docs.columns).union(touched.select(*docs.columns))

@@ -206,13 +206,45 @@ def test_contamination(spark, texts):
 
 
 def test_proximity(spark):
-    docs = spark.createDataFrame([(1, "one two three"), (2, "three x one y two"), (3, "one " + "x " * 9 + "two three")], "doc_id long, text string")
-    phrases = decontaminate.phrases_of(spark.createDataFrame([(1, "one two three")], "item_id long, text string"))
+    rng = np.random.default_rng(15)
+    long = words(rng, 13).split()
+    shuffled = [*long[5:], *long[:5]]
+    spread = [x for i, w in enumerate(long) for x in ([w, "zz"] if i % 3 == 0 else [w])]
+    rows = [
+        (1, "one two three"), (2, "three x one y two"), (3, "one " + "x " * 9 + "two three"), (4, " ".join(long)), (5, "zz " * 20 + " ".join(shuffled)), (6, " ".join(spread)),
+        (7, " ".join(long[:-1])), (8, "one one two"), (9, " ".join(["yy zz"] * 3 + spread[:9] + ["zz"] * 4 + spread[9:])), (10, None), (11, "one one one two three"), (11, "other text"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = [(1, "one two three"), (2, " ".join(long)), (3, "one one two three one")]
+    phrases = decontaminate.phrases_of(spark.createDataFrame(items, "item_id long, text string"))
     terms = phrases.select(F.explode("words").alias("term"))
     anchors = decontaminate.anchors_of(phrases, decontaminate.term_frequencies(docs, terms))
     index = decontaminate.build_index(docs, anchors)
-    assert {r.doc_id for r in decontaminate.phrase_matches(index, anchors).collect()} == {1}
-    assert {r.doc_id for r in decontaminate.proximity_matches(index, anchors, 4).collect()} == {1, 2}
+    ids = docs.select("doc_id", row_key("doc_id", "text").alias("row_key"))
+    named = lambda found: {(r.doc_id, " ".join(r["words"])) for r in found.join(ids, "row_key").join(phrases, "phrase").collect()}
+    assert named(decontaminate.phrase_matches(docs, index, anchors)) == {(1, items[0][1]), (11, items[0][1]), (4, items[1][1])}
+    want = set()
+    for i, text in rows:
+        w = (text or "").split()
+        for _, item in items:
+            need = collections.Counter(item.split())
+            n = sum(need.values()) + 4
+            if any(not need - collections.Counter(w[a : a + n]) for a in range(len(w))):
+                want.add((i, item))
+    assert named(decontaminate.proximity_matches(docs, index, anchors, 4)) == want and {(2, items[0][1]), (5, items[1][1]), (11, items[2][1])} <= want
+
+
+def test_contamination_of_odd_tables(spark, texts, monkeypatch):
+    passage = texts[7]
+    docs = spark.createDataFrame([(1, passage, 0), (1, "other words", 0), (1, passage, 0), (None, passage, 0), (2, None, 0), (3, "x " * 5000 + passage, 0)], "doc_id long, text string, term long")
+    items = spark.createDataFrame([(9, passage)], "item_id long, text string")
+    want = sorted([(1, 60, 60), (1, 2, 0), (1, 60, 60), (None, 60, 60), (2, 0, 0), (3, 5060, 60)], key=repr)
+    for size in (64 << 20, -1):  # -1: nothing is broadcast
+        monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", size)
+        got = decontaminate.contamination(docs, items).collect()
+        assert sorted(((r.doc_id, r.n_words, r.n_hit) for r in got), key=repr) == want
+    assert decontaminate.contamination(docs.limit(0), items).count() == 0
+    assert {r.n_hit for r in decontaminate.contamination(docs, items.limit(0)).collect()} == {0}
 
 
 def test_secrets(spark, texts):
