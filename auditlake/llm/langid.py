@@ -35,6 +35,8 @@ FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in code
 DIMS = 1 << 13
 #: Texts of each language that the classifiers are fitted on, at most about.
 SAMPLE_PER_LANGUAGE = 400
+#: Labels that are learned, the most frequent ones.
+MOST_LANGUAGES = 200
 BLOCK = 1 << 20
 
 
@@ -126,16 +128,19 @@ def _svm(x: np.ndarray, y: np.ndarray, steps: int = 12, penalty: float = 2e-4) -
 
 
 def fit(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Fit on at most about per_language texts of each language, those with the smallest hashes of their ids."""
+    """Fit on at most about per_language texts of each language, those with the smallest hashes of their ids.
+
+    Only the MOST_LANGUAGES most frequent labels are learned, so that the sample on the driver has a bound.
+    """
     spark = labelled.sparkSession
     rows = labelled.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()}
     if not counts:
         return Model([], [], np.zeros((0, DIMS + 1), np.float32), {})
     shares = spark.createDataFrame([(k, min(1.0, per_language / n)) for k, n in counts.items()], "lang string, share double")
     point = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / F.lit(float(1 << 40))
     sample = rows.join(F.broadcast(shares), "lang").where(point < F.col("share")).select("doc_id", "lang", "text")
-    found = sorted(sample.mapInArrow(_sample_features, "doc_id long, lang string, x binary").collect(), key=lambda r: (r.lang, r.doc_id, bytes(r.x)))
+    found = sorted(sample.mapInArrow(_sample_features, "doc_id long, lang string, x binary").collect(), key=lambda r: (r.lang, r.doc_id is None, r.doc_id or 0, bytes(r.x)))
     if not found:
         return Model([], [], np.zeros((0, DIMS + 1), np.float32), {})
     x = np.stack([np.frombuffer(r.x, np.float16) for r in found]).astype(np.float32)
