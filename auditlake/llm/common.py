@@ -134,7 +134,7 @@ def powers(base: int, n: int) -> np.ndarray:
 
 
 class Rolling:
-    """Hashes of any substring of a byte buffer (of less than 2**31 bytes) by prefix sums of two polynomials."""
+    """Hashes of any substring of bytes, or of code points (fewer than 2**31), by prefix sums of two polynomials."""
 
     def __init__(self, raw: np.ndarray):
         n = len(raw)
@@ -142,7 +142,8 @@ class Rolling:
         self.sides = [(np.zeros(n + 1, np.uint64), powers(pow(base, -1, PRIME), size)) for base in BASES]
         table, up = byte_words(), [powers(base, size) for base in BASES]
         for a in range(0, n, NEAR):
-            words = table[raw[a : a + NEAR]]
+            words = raw[a : a + NEAR]
+            words = table[words] if raw.dtype == np.uint8 else mix(words.astype(np.uint64) + U64(1)) % U64(PRIME)
             for power, (prefix, _) in zip(up, self.sides, strict=True):
                 terms = words * power[a : a + len(words)]
                 terms = np.add(terms & U64(PRIME), terms >> U64(31), out=terms)

@@ -19,11 +19,11 @@ from .common import Rolling
 
 OTHER, LETTER, NUMBER, SPACE = range(4)
 #: Words whose ids a worker keeps; the cache starts anew when it is full.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 300_000
 #: Longer words aren't kept.
 CACHE_CHARS = 64
 #: Code points that are split at once.
-BLOCK_CHARS = 1 << 20
+BLOCK_CHARS = 1 << 18
 
 
 @lru_cache(maxsize=1)
@@ -131,8 +131,7 @@ class WordIds:
         ends = np.append(starts[1:], len(points))
         size = ends - starts
         # Equal words get one number: by hash first, then every word is compared with the one it is taken for.
-        data = points.view(np.uint8)
-        keys = Rolling(data).span(4 * starts, 4 * ends)
+        keys = Rolling(points).span(starts, ends)
         _, at, which = np.unique(keys, return_index=True, return_inverse=True)
         if (points[np.repeat(starts[at][which] - starts, size) + np.arange(len(points))] != points).any():
             words = [text[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
