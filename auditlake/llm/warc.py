@@ -18,7 +18,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -174,10 +173,10 @@ def write_archives(pages: DataFrame, folder: str | None = None, roll: int = ROLL
     first, n = shard_bounds(rows)
     upto = np.cumsum(n)
 
-    @F.pandas_udf("struct<range:long,shards:long>")
-    def range_of(page_id: pd.Series) -> pd.DataFrame:
-        at = np.maximum(np.searchsorted(first, page_id.to_numpy(np.int64), "right") - 1, 0)
-        return pd.DataFrame({"range": upto[at] - n[at], "shards": n[at]})
+    @F.arrow_udf("struct<range:long,shards:long>")
+    def range_of(page_id: pa.Array) -> pa.Array:
+        at = np.maximum(np.searchsorted(first, page_id.to_numpy(zero_copy_only=False), "right") - 1, 0)
+        return pa.StructArray.from_arrays([pa.array(upto[at] - n[at]), pa.array(n[at])], names=["range", "shards"])
 
     # Plan rows travel with the pages through the one shuffle, so that payloads aren't shuffled again for a join.
     page = rows.select("page_id", F.sha1(_payload().cast("binary")).alias("digest"), F.lit(1).alias("kind"), "url", "html", F.lit(None).cast("long").alias("refers_to"))
