@@ -103,6 +103,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 #: Substrings are hashed by two polynomials modulo this prime, which don't share the collisions of arithmetic modulo 2**64.
 PRIME = (1 << 31) - 1
 BASES = (1_513_477_735, 906_150_257)
+#: Entries of a table of powers that a worker keeps from one block to the next.
+KEPT_POWERS = 1 << 20
 #: Elements worked on at once, so that they stay in the processor's cache.
 NEAR = 1 << 15
 
@@ -124,13 +126,17 @@ def byte_words() -> np.ndarray:
     return mix(np.arange(1, 257, dtype=np.uint64) * U64(0x9E3779B97F4A7C15)) % U64(PRIME)
 
 
-@lru_cache(maxsize=8)
+_POWERS: dict[int, np.ndarray] = {}
+
+
 def powers(base: int, n: int) -> np.ndarray:
-    """The first n (a power of two) powers of a base modulo PRIME."""
-    out = np.ones(1, np.uint64)
+    """The first n powers of a base modulo PRIME; a worker keeps one table for each base, of KEPT_POWERS entries at most."""
+    out = _POWERS.get(base, np.ones(1, np.uint32))
     while len(out) < n:
-        out = np.concatenate([out, _reduced(out * U64(pow(base, len(out), PRIME)))])
-    return out
+        out = np.concatenate([out, _reduced(out * U64(pow(base, len(out), PRIME))).astype(np.uint32)])
+    if len(out) <= KEPT_POWERS:
+        _POWERS[base] = out
+    return out[:n]
 
 
 class Rolling:

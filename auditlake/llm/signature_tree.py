@@ -34,6 +34,16 @@ BLOCK_SHINGLES = 1_000_000
 INVOLVED_BITS = 26
 
 
+def _word_hashes(block: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of words, some BLOCK bytes at once whatever the length of their text."""
+    out, a = np.empty(len(starts), np.uint64), 0
+    while a < len(starts):
+        b = max(int(np.searchsorted(ends, starts[a] + BLOCK, "right")), a + 1)
+        out[a:b] = Rolling(block[starts[a] : ends[b - 1]]).span(starts[a:b] - starts[a], ends[a:b] - starts[a])
+        a = b
+    return out
+
+
 def shingle_sets(column: pa.Array, words: int) -> Iterator[tuple[int, np.ndarray]]:
     """(row, sorted hashes of distinct shingles) of each text, in order; a text of fewer words has one, of none none."""
     raw, at = text_buffer(column)
@@ -50,7 +60,7 @@ def shingle_sets(column: pa.Array, words: int) -> Iterator[tuple[int, np.ndarray
         edge[bounds] = True
         starts = np.flatnonzero(~gap[1:-1] & (gap[:-2] | edge[:-1]))
         ends = np.flatnonzero(~gap[1:-1] & (gap[2:] | edge[1:])) + 1
-        word = Rolling(block).span(starts, ends)
+        word = _word_hashes(block, starts, ends)
         first = np.searchsorted(starts, bounds)
         code = np.zeros(max(len(word) - words + 1, 0), np.uint64)
         for k in range(words):

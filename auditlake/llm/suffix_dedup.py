@@ -143,7 +143,7 @@ def _bodies(length: int):
             start, n, wide = place >> N_BITS, place & ((1 << N_BITS) - 1), wide.astype(bool)
             fits = start + n + length - 1 <= at[doc + 1] - at[doc]
             for part in (np.flatnonzero(fits & ~wide), np.flatnonzero(fits & wide)):
-                for some in np.array_split(part, len(part) // 20_000 + 1):
+                for some in np.array_split(part, len(part) // 5_000 + 1):
                     if not len(some):
                         continue
                     d, s, m, key = doc[some], start[some], n[some], bucket[some]
