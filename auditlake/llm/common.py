@@ -27,11 +27,25 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
+#: Rows of an Arrow batch where whole texts go to Python workers: JVM and worker hold a batch of them each, for every task.
+TEXT_ROWS = 1000
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def staged(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
+    """Write df as a table in the shared folder and read it back: cuts lineage, survives lost executors.
+
+    batch_rows: rows of the Arrow batches while df is written, at most; the session's own setting if that is smaller.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/auditlake-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(BATCH_ROWS)
+    if batch_rows and not 0 < int(before) <= batch_rows:
+        spark.conf.set(BATCH_ROWS, batch_rows)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(BATCH_ROWS, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_path = path
     return out
