@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, Rolling, key_groups, mix, row_key, signed, staged, tasks, text_buffer
+from .common import TEXT_ROWS, U64, Rolling, key_groups, mix, row_key, signed, staged, tasks, text_buffer
 from .components import components
 
 #: Bytes of text hashed at once, unless one document has more.
@@ -326,7 +326,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     spark = docs.sparkSession
     n_tasks = tasks(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), row_key(id_col, text_col).alias("row_key"))
-    keyed = staged(docs.mapInArrow(_set_keys(words), "doc_id long, row_key long, n long, k long, k2 long"), "sets")
+    keyed = staged(docs.mapInArrow(_set_keys(words), "doc_id long, row_key long, n long, k long, k2 long"), "sets", TEXT_ROWS)
     each = keyed.where("n > 0").groupBy("k", "k2", "n", "doc_id").agg(F.count(F.lit(1)).alias("times"))
     classes = each.groupBy("k", "k2", "n").agg(F.min(F.struct("doc_id", "times")).alias("rep"), F.min("doc_id").alias("least"))
     classes = staged(classes.select("k", "k2", "n", F.col("rep.doc_id").alias("rep"), "rep.times", "least"), "classes")
@@ -355,7 +355,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     needed = needed.mapInArrow(lambda b: _needed_sets(words, spread.value)(b), "rep long, k long, n long, bits binary, shingles binary")
     if (classes.agg(F.max("times")).first()[0] or 0) > 1:  # repeated rows bring a set once
         needed = needed.dropDuplicates(["rep", "k"])
-    needed = staged(needed, "needed")
+    needed = staged(needed, "needed", TEXT_ROWS)
     place = ["token", "i", "j"]
     same = (F.col("g.k") == F.col("s.k")) & F.col("g.rep").eqNullSafe(F.col("s.rep"))
     rows = group.alias("g").join(needed.alias("s"), same).select(*(f"g.{c}" for c in place), "g.part", "g.k", "s.n", "s.bits")
