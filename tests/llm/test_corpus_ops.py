@@ -11,9 +11,10 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from auditlake.llm import cap_filters, chat, decontaminate, langid, licenses, packing, secrets, signature_tree, suffix_dedup, tokens, warc
+from auditlake.llm import cap_filters, chat, decontaminate, langid, licenses, packing, queries, secrets, signature_tree, suffix_dedup, tokens, warc
 from auditlake.llm.common import row_key
 from auditlake.llm.components import components
+from auditlake.sources import table as source
 
 ASCII = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, place long, rank string, token string"
@@ -338,6 +339,16 @@ def test_language_id(spark):
     assert {r.lang_pred for r in langid.predict(docs, langid.fit(docs.limit(0))).collect()} == {"und"}
 
 
+def test_language_id_of_held_out_documents(spark):
+    """The registered query's answers on documents that it wasn't fitted on."""
+    folder = "/root/testdata/sf0.01"
+    labels = source(spark, folder, "documents").select(F.col("doc_id"), "lang", (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2).alias("held"))
+    rows = queries.op5_language_id(spark, folder).join(labels, "doc_id").collect()
+    held = [r for r in rows if r.held and r.lang is not None and r.lang_pred != "und"]
+    assert all(r.held == r.held_out and 0 <= r.score <= 1 for r in rows) and len(held) > 200
+    assert sum(r.lang == r.lang_pred for r in held) >= 0.98 * len(held)
+
+
 def test_warc_round_trip(spark):
     big = "<p>é</p>" * 200
     rows = [(1, "http://a/ b", big), (2, None, big), (5, "u", big), (3, "u", "short"), (4, "u", "short"), (6, "u", None), (7, "u", "x" * 999), (8, "u", "x" * 999)]
@@ -443,6 +454,20 @@ def test_near_vectors(spark, monkeypatch, kind, block):
     assert all((got[i].n_links, got[i].component_id) == (0, i) for i in range(900, 906))
 
 
+@pytest.mark.parametrize("dims", [32, 64])
+def test_recall_of_pairs_close_to_the_threshold(spark, dims):
+    rng = np.random.default_rng(19)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    a, b = unit(rng.normal(size=(4000, dims))), rng.normal(size=(4000, dims))
+    b = unit(b - (a * b).sum(1, keepdims=True) * a)
+    cosine = np.repeat([0.9001, 0.93], 2000)[:, None]
+    x = np.concatenate([a, cosine * a + np.sqrt(1 - cosine**2) * b])
+    got = {r.vec_id: r.n_links for r in cap_filters.near_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()}
+    want = (unit(x) @ unit(x).T >= 0.9).sum(1) - 1
+    assert want.sum() >= 8000 and all(got[i] <= n for i, n in enumerate(want.tolist()))
+    assert sum(got.values()) >= 0.98 * want.sum()
+
+
 @pytest.mark.parametrize(("n", "percent"), [(4, 85), (5, 80), (1, 50)])
 def test_near_duplicates(spark, texts, monkeypatch, n, percent):
     monkeypatch.setattr(signature_tree, "BLOCK_SHINGLES", 700)  # groups come as pairs of blocks
