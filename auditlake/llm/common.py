@@ -51,6 +51,20 @@ def staged(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame
     return out
 
 
+def lean(run):
+    """An Arrow function that gives memory it no longer needs back to the system when its task ends.
+
+    Workers stay for later tasks, of other stages too, and would keep the most that any of them took.
+    """
+
+    def wrapped(batches):
+        yield from run(batches)
+        for pool in (pa.default_memory_pool(), pa.system_memory_pool()):  # Arrow's own, and the C heap
+            pool.release_unused()
+
+    return wrapped
+
+
 def tasks(spark: SparkSession) -> int:
     """Partitions for stages whose work isn't in proportion to their bytes, which would be merged by bytes if left open."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

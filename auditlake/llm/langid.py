@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, mix, text_buffer
+from .common import lean, text_buffer
 
 # Families of languages by ISO 639-1 code. A language that isn't listed is a family of its own.
 FAMILIES = {
@@ -140,7 +140,7 @@ def fit(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, id_col: st
     shares = spark.createDataFrame([(k, min(1.0, per_language / n)) for k, n in counts.items()], "lang string, share double")
     point = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / F.lit(float(1 << 40))
     sample = rows.join(F.broadcast(shares), "lang").where(point < F.col("share")).select("doc_id", "lang", "text")
-    found = sorted(sample.mapInArrow(_sample_features, "doc_id long, lang string, x binary").collect(), key=lambda r: (r.lang, r.doc_id is None, r.doc_id or 0, bytes(r.x)))
+    found = sorted(sample.mapInArrow(lean(_sample_features), "doc_id long, lang string, x binary").collect(), key=lambda r: (r.lang, r.doc_id is None, r.doc_id or 0, bytes(r.x)))
     if not found:
         return Model([], [], np.zeros((0, DIMS + 1), np.float32), {})
     x = np.stack([np.frombuffer(r.x, np.float16) for r in found]).astype(np.float32)
@@ -180,7 +180,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     Whole texts are read; equal texts get equal answers; ids may be null or repeated; further columns are ignored.
     """
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_predict(model), "doc_id long, lang_pred string, score double")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(_predict(model)), "doc_id long, lang_pred string, score double")
 
 
 def recognised(docs: DataFrame, model: Model, least: float, text_col: str = "text") -> DataFrame:
@@ -188,10 +188,10 @@ def recognised(docs: DataFrame, model: Model, least: float, text_col: str = "tex
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            none = pa.nulls(len(batch), pa.int64())
-            judged = pa.Table.from_batches(_predict(model)([pa.RecordBatch.from_arrays([none, batch.column(at)], names=["doc_id", "text"])])) if len(batch) else None
-            if judged is not None:
-                yield batch.filter(pc.and_(pc.not_equal(judged["lang_pred"], "und"), pc.greater_equal(judged["score"], least)).combine_chunks())
+        for whole in batches:
+            for batch in (whole.slice(i, 256) for i in range(0, len(whole), 256)):
+                text = pa.RecordBatch.from_arrays([pa.nulls(len(batch), pa.int64()), batch.column(at)], names=["doc_id", "text"])
+                for judged in _predict(model)([text]):
+                    yield batch.filter(pc.and_(pc.not_equal(judged["lang_pred"], "und"), pc.greater_equal(judged["score"], least)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import TEXT_ROWS, U64, Rolling, key_groups, mix, row_key, signed, staged, tasks, text_buffer
+from .common import TEXT_ROWS, U64, Rolling, key_groups, lean, mix, row_key, signed, staged, tasks, text_buffer
 from .components import components
 
 #: Bytes of text hashed at once, unless one document has more.
@@ -30,6 +30,8 @@ BLOCK = 1 << 19
 SHARED_PERCENT = 8
 #: Shingles of a group that one task holds; a larger group is dealt out as pairs of blocks.
 BLOCK_SHINGLES = 1_000_000
+#: Keys of sets that a task remembers, so as to send the prefix of copies once.
+KEPT_KEYS = 100_000
 #: log2 of the bits that say which documents' sets are needed.
 INVOLVED_BITS = 26
 
@@ -97,11 +99,14 @@ def to_share(n: int) -> int:
 
 
 def _prefixes(words: int, percent: int):
-    """Rows (token, k, n) of the prefixes of the batch's distinct sets."""
+    """Rows (token, k, n) of the prefixes of distinct sets; a set may come again after KEPT_KEYS others, or in another task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[int] = set()
         for batch in batches:
-            done, tokens, keys, sizes = set(), [], [], []
+            tokens, keys, sizes = [], [], []
+            if len(done) > KEPT_KEYS:
+                done.clear()
             for _, s in shingle_sets(batch.column(0), words):
                 if not len(s):
                     continue
@@ -326,14 +331,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     spark = docs.sparkSession
     n_tasks = tasks(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), row_key(id_col, text_col).alias("row_key"))
-    keyed = staged(docs.mapInArrow(_set_keys(words), "doc_id long, row_key long, n long, k long, k2 long"), "sets", TEXT_ROWS)
+    keyed = staged(docs.mapInArrow(lean(_set_keys(words)), "doc_id long, row_key long, n long, k long, k2 long"), "sets", TEXT_ROWS)
     each = keyed.where("n > 0").groupBy("k", "k2", "n", "doc_id").agg(F.count(F.lit(1)).alias("times"))
     classes = each.groupBy("k", "k2", "n").agg(F.min(F.struct("doc_id", "times")).alias("rep"), F.min("doc_id").alias("least"))
     classes = staged(classes.select("k", "k2", "n", F.col("rep.doc_id").alias("rep"), "rep.times", "least"), "classes")
-    prefixes = docs.select("text").mapInArrow(_prefixes(words, percent), "token long, k long, n long").repartition("token")
+    prefixes = docs.select("text").mapInArrow(lean(_prefixes(words, percent)), "token long, k long, n long").repartition("token")
     token = Window.partitionBy("token")
     shared = prefixes.withColumn("low", F.min("k").over(token)).withColumn("high", F.max("k").over(token)).where("low != high")
-    shared = staged(shared.groupBy("token", "k", "n").agg(F.lit(1).alias("one")).select("token", "k", "n"), "shared")
+    shared = staged(shared.groupBy("token", "k", "n").agg(F.lit(1).alias("one")).select("token", "k", "n"), "shared", TEXT_ROWS)
     shared = staged(_peeled(shared, percent), "peeled")
     members = shared.groupBy("token").agg(F.sum(F.xxhash64("k").cast("decimal(38,0)")).alias("members"), F.count(F.lit(1)).alias("m"), F.sum("n").alias("shingles"))
     kept = members.groupBy("members", "m", "shingles").agg(F.min("token").alias("token")).select("token", "shingles")
@@ -352,21 +357,21 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
         bits[r.page * 512 : (r.page + 1) * 512] = np.frombuffer(r.bits, np.uint8)
     spread = spark.sparkContext.broadcast(bits)
     needed = docs.select(F.col("doc_id").alias("rep"), F.xxhash64("doc_id").alias("slot"), "text")
-    needed = needed.mapInArrow(lambda b: _needed_sets(words, spread.value)(b), "rep long, k long, n long, bits binary, shingles binary")
+    needed = needed.mapInArrow(lean(lambda b: _needed_sets(words, spread.value)(b)), "rep long, k long, n long, bits binary, shingles binary")
     if (classes.agg(F.max("times")).first()[0] or 0) > 1:  # repeated rows bring a set once
         needed = needed.dropDuplicates(["rep", "k"])
     needed = staged(needed, "needed", TEXT_ROWS)
     place = ["token", "i", "j"]
     same = (F.col("g.k") == F.col("s.k")) & F.col("g.rep").eqNullSafe(F.col("s.rep"))
     rows = group.alias("g").join(needed.alias("s"), same).select(*(f"g.{c}" for c in place), "g.part", "g.k", "s.n", "s.bits")
-    met = rows.repartition(n_tasks, *place).sortWithinPartitions(*place, "k").mapInArrow(_candidates(percent), "token long, i long, j long, part long, k long")
-    met = staged(met, "candidates")
+    met = rows.repartition(n_tasks, *place).sortWithinPartitions(*place, "k").mapInArrow(lean(_candidates(percent)), "token long, i long, j long, part long, k long")
+    met = staged(met, "candidates", TEXT_ROWS)
     members = met.groupBy(*place).agg(F.sum(F.xxhash64("k", "part").cast("decimal(38,0)")).alias("members"), F.count(F.lit(1)).alias("m"))
     kept = members.groupBy("members", "m").agg(F.min(F.struct(*place)).alias("at")).select("at.*")
     rows = met.join(kept, place).join(classes.select("k", "rep"), "k")
     rows = rows.alias("g").join(needed.alias("s"), same).select(*(f"g.{c}" for c in place), "g.part", "g.k", "s.shingles")
     rows = rows.repartition(n_tasks, *place).sortWithinPartitions(*place, "k")
-    links = components(rows.mapInArrow(_group_links(percent), "a long, b long"))
+    links = components(staged(rows.mapInArrow(lean(_group_links(percent)), "a long, b long"), "links", TEXT_ROWS))
     joined = classes.join(links.withColumnRenamed("id", "k"), "k", "left").withColumn("root", F.coalesce("component_id", "k")).drop("component_id")
     roots = joined.groupBy("root").agg(F.min("least").alias("component_id"))
     of_class = joined.join(roots, "root").select("k", "k2", "n", F.col("least").alias("class_id"), "component_id", "root")

@@ -19,7 +19,7 @@ from .common import Rolling
 
 OTHER, LETTER, NUMBER, SPACE = range(4)
 #: Words whose ids a worker keeps; the cache starts anew when it is full.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 #: Longer words aren't kept.
 CACHE_CHARS = 64
 #: Code points that are split at once.
@@ -31,7 +31,7 @@ def char_classes() -> np.ndarray:
     import regex
 
     table = np.zeros(0x110000, np.uint8)
-    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    every = np.concatenate([np.arange(0xD800), np.arange(0xE000, 0x110000)]).astype("<u4").tobytes().decode("utf-32-le")
     for pattern, kind in ((r"\p{L}+", LETTER), (r"\p{N}+", NUMBER), (r"\s+", SPACE)):
         for m in regex.finditer(pattern, every):
             for a, b in ((m.start(), min(m.end(), 0xD800)), (max(m.start(), 0xD800), m.end())):
