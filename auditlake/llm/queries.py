@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import table
-from . import cap_filters, chat, decontaminate, langid, licenses, packing, secrets, signature_tree, sql, suffix_dedup, warc
+from . import cap_filters, chat, chat_repair, decontaminate, langid, licenses, packing, prefix_trie, relative_lz, secrets, signature_tree, sql, suffix_dedup, warc
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,9 +62,21 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_chats(chat.format_chats(turns))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(prefix_trie.mixed(prefix_trie.numbered(table(spark, sf_dir, "conversations"))))
+
+
+def op12_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_repair.repair(chat_repair.damaged(table(spark, sf_dir, "conversations")), F.col("there"))
+
+
+def op13_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relative_lz.remove_passages(table(spark, sf_dir, "documents")).drop("kept")
+
+
 QUERIES = (
     op1_packing, op2_suffix_dedup, op3_decontamination, op4_secret_scan, op5_language_id, op6_warc, op7_license_scan,
-    op8_cap_filters, op9_ngram_jaccard, op10_chat_format,
+    op8_cap_filters, op9_ngram_jaccard, op10_chat_format, op11_prefix_trie, op12_chat_repair, op13_passage_dedup,
 )
 
 

@@ -149,5 +149,132 @@ FROM every LEFT JOIN loss ON every.conv_id IS NOT DISTINCT FROM loss.conv_id
 """
 
 
+
+
+def _crc32(text: str) -> str:
+    """Unsigned CRC-32 of an ASCII string (4294967295 and 3988292384 are its fixed values)."""
+    return (
+        f"xor(4294967295, list_reduce(list_transform(string_split({text}, ''), lambda c: CAST(ord(c) AS BIGINT)), "
+        "lambda a, b: list_reduce([xor(a, b), 1, 2, 3, 4, 5, 6, 7, 8], lambda x, _: xor(x >> 1, 3988292384 * (x & 1))), 4294967295))"
+    )
+
+
+OP11 = f"""
+WITH turn AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos,
+    md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS said, octet_length(encode(coalesce(text, ''))) AS size
+  FROM conversations WHERE conv_id IS NOT NULL
+), conv AS (SELECT conv_id, conv_id - conv_id % 5 AS base_id, {_crc32("CAST(conv_id AS VARCHAR)")} % 9 AS h FROM (SELECT DISTINCT conv_id FROM turn)
+), rebuilt AS (
+  SELECT conv_id, pos, said, size FROM turn JOIN conv USING (conv_id) WHERE pos > h
+  UNION ALL SELECT conv.conv_id, pos, said, size FROM conv JOIN turn ON turn.conv_id = base_id WHERE pos <= h
+), path AS (
+  SELECT conv_id, row_number() OVER w AS depth, string_agg(said, '') OVER w AS node, size FROM rebuilt WINDOW w AS (PARTITION BY conv_id ORDER BY pos)
+  UNION ALL SELECT conv_id, 0, '', 0 FROM conv
+), node AS (SELECT depth, node, min(conv_id) AS conv_id, count(*) AS n_convs, max(size) AS size FROM path GROUP BY depth, node
+), upward AS (
+  SELECT v.depth AS below, v.conv_id, v.n_convs, v.size, p.depth, p.node FROM node v JOIN path p ON p.conv_id = v.conv_id AND p.depth <= v.depth
+), child AS (SELECT depth, node, count(*) AS n_children FROM upward WHERE below = depth + 1 GROUP BY ALL
+), leaf AS (SELECT v.conv_id, v.depth FROM node v ANTI JOIN child c ON c.depth = v.depth AND c.node = v.node
+), subtree AS (
+  SELECT u.depth, u.node, sum((n_convs - 1) * size) AS saved, count(leaf.depth) AS n_leaves
+  FROM upward u LEFT JOIN leaf ON leaf.conv_id = u.conv_id AND leaf.depth = below GROUP BY u.depth, u.node
+), ending AS (
+  SELECT depth, node, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ends
+  FROM path SEMI JOIN (SELECT conv_id, max(depth) AS depth FROM path GROUP BY conv_id) USING (conv_id, depth) GROUP BY depth, node
+)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, q.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, n_leaves,
+  CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(ends, '')) AS ends_sha256
+FROM node n JOIN subtree USING (depth, node) LEFT JOIN child USING (depth, node) LEFT JOIN ending USING (depth, node)
+LEFT JOIN path up ON up.conv_id = n.conv_id AND up.depth = n.depth - 1 LEFT JOIN node q ON q.depth = up.depth AND q.node = up.node
+"""
+
+
+def _edit(letter: str, cost: str, rest: str) -> str:
+    """An edit before the cheapest edits of the rest; edits are written as ten digits of cost and their letters."""
+    return f"lpad(CAST(CAST(substr({rest}, 1, 10) AS BIGINT) + {cost} AS VARCHAR), 10, '0') || '{letter}' || substr({rest}, 11)"
+
+
+#: What may follow in role order, by state: 1 at the start, 2 after a system turn, 3 after a user's, 4 after an assistant's.
+_NEXT = {1: {"s": 2, "u": 3}, 2: {"u": 3}, 3: {"a": 4}, 4: {"u": 3}}
+_GIVEN = {q: next(n for c, n in to.items() if c in "ua") for q, to in _NEXT.items()}
+
+
+def _state(q: int) -> str:
+    keeps = "".join(f"WHEN r.k = '{c}' THEN " + _edit("K", "r.more", f"rest[{n}]") + " " for c, n in _NEXT[q].items())
+    kept = f"CASE WHEN r.gone THEN '~' {keeps}ELSE '~' END"
+    given = f"CASE WHEN r.gone THEN '~' ELSE {_edit('R', '1 + r.more', f'rest[{_GIVEN[q]}]')} END"
+    return f"least({_edit('D', '2', f'rest[{q}]')}, {kept}, {given})"
+
+
+def _inserted(q: int) -> str:
+    one = _edit("I", "5", f"p[{_GIVEN[q]}]")
+    return f"least(p[{q}], {one}, {_edit('I', '5', '(' + _edit('I', '5', f'p[{_GIVEN[_GIVEN[q]]}]') + ')')})"
+
+
+_ROLES_DONE = "['0000000000', '0000000010II', '0000000005I', '0000000000']"
+
+OP12 = f"""
+WITH shown AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {_crc32("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS kind
+  FROM conversations
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM (SELECT *, unnest(generate_series(1, CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy FROM shown WHERE kind <> 0)
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS met
+  FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM damaged)
+), fault AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') THEN 'blank' WHEN met > 1 THEN 'duplicate'
+    WHEN regexp_extract(text, '([^\\x20\\x09-\\x0D])[\\x20\\x09-\\x0D]*$', 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+    lag(role[1]) OVER (PARTITION BY conv_id ORDER BY i) || role[1] AS pair
+  FROM placed
+), conv AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+    count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal,
+    list({{'k': role[1], 'gone': fault IN ('blank', 'duplicate'), 'more': CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END}} ORDER BY i DESC) AS todo
+  FROM fault GROUP BY conv_id
+), solved AS (
+  SELECT conv_id, gaps, blank, duplicate, truncated, illegal, list_reduce(todo, lambda rest, r:
+    list_transform([[{', '.join(map(_state, _NEXT))}]], lambda p: [{', '.join(map(_inserted, _NEXT))}])[1], {_ROLES_DONE})[1] AS best
+  FROM conv
+), letter AS (
+  SELECT conv_id, j, letter, sum(CASE WHEN letter <> 'I' THEN 1 ELSE 0 END) OVER w AS i, sum(CASE WHEN letter <> 'D' THEN 1 ELSE 0 END) OVER w AS o FROM (
+    SELECT conv_id, unnest(generate_series(1, length(best) - 10)) AS j, unnest(string_split(substr(best, 11), '')) AS letter FROM solved WHERE length(best) > 10)
+  WINDOW w AS (PARTITION BY conv_id ORDER BY j)
+), turned AS (
+  SELECT l.conv_id, o, letter, CASE WHEN letter = 'I' THEN '' ELSE f.text END AS text, f.role,
+    max(CASE WHEN o = 1 AND letter = 'K' AND f.role[1] = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY l.conv_id) AS system
+  FROM letter l LEFT JOIN fault f ON f.conv_id IS NOT DISTINCT FROM l.conv_id AND f.i = l.i WHERE letter <> 'D'
+), repaired AS (
+  SELECT conv_id, string_agg(CASE WHEN letter = 'K' THEN role WHEN (o - system) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY o) AS told FROM turned GROUP BY conv_id
+)
+SELECT c.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, coalesce(CAST(substr(best, 1, 10) AS BIGINT), 0) AS cost, coalesce(substr(best, 11), '') AS audit, sha256(coalesce(told, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN solved s ON s.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN repaired r ON r.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
+OP13 = r"""
+WITH doc AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), place AS (
+  SELECT doc_id, i, array_to_string(w[i : i + 49], ' ') AS said FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 49)) AS i FROM doc WHERE len(w) >= 50)
+), first AS (SELECT said, min(doc_id) AS first_id FROM place GROUP BY said
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(generate_series(i, i + 49)) AS j FROM (SELECT doc_id, i FROM place JOIN first USING (said) WHERE doc_id > first_id)
+), kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY j) AS told, count(*) AS n
+  FROM (SELECT doc_id, unnest(w) AS word, unnest(generate_series(1, len(w))) AS j FROM doc WHERE len(w) > 0) ANTI JOIN gone USING (doc_id, j) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(told, '')) AS kept_sha256
+FROM doc LEFT JOIN kept USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontamination": OP3, "op4_secret_scan": OP4, "op6_warc": OP6, "op7_license_scan": OP7, "op8_cap_filters": OP8, "op9_ngram_jaccard": OP9, "op10_chat_format": OP10}
+    return {
+        "op3_decontamination": OP3, "op4_secret_scan": OP4, "op6_warc": OP6, "op7_license_scan": OP7, "op8_cap_filters": OP8, "op9_ngram_jaccard": OP9, "op10_chat_format": OP10,
+        "op11_prefix_trie": OP11, "op12_chat_repair": OP12, "op13_passage_dedup": OP13,
+    }
