@@ -69,7 +69,16 @@ def select_for_model(files: DataFrame, mode: str, text: Column) -> DataFrame:
 
 
 def spans(files: DataFrame) -> DataFrame:
-    """(path, kind, name, start_line, end_line) of Python definitions, by indentation.
+    """(path, kind, name, start_line, end_line) of the definitions in files (path, lines), by the language of the path.
+
+    Python: by indentation.  JavaScript and TypeScript: declared functions and classes, by brackets.  Other files have none.
+    """
+    kind = language(F.col("path"))
+    return indented_spans(files.where(kind == "python")).unionByName(bracket_spans(files.where(kind.isin("javascript", "typescript"))))
+
+
+def indented_spans(files: DataFrame) -> DataFrame:
+    """Spans of Python definitions, by indentation.
 
     A definition ends with the last line that isn't blank before the next one indented no deeper.  Work grows with lines
     times levels of indentation.  Approximate where strings or comments span lines.
@@ -81,6 +90,43 @@ def spans(files: DataFrame) -> DataFrame:
     return _closed(held, ends)
 
 
+#: What counts in JavaScript and TypeScript, in the order in which it is looked for: comments, strings and templates, which may hold
+#: anything, line ends, headers of declarations at the start of a line, brackets and semicolons.
+TOKENS = (
+    r"/\*[^*]*\*+(?:[^/*][^*]*\*+)*/", r"//[^\n]*", r"'[^'\\\n]*(?:\\.[^'\\\n]*)*'", r'"[^"\\\n]*(?:\\.[^"\\\n]*)*"', r"`[^`\\]*(?:\\[\s\S][^`\\]*)*`", r"\n",
+    r"(?m:^)[ \t]*(?:export[ \t]+)?(?:default[ \t]+)?(?:async[ \t]+)?function[ \t]+[A-Za-z_$][A-Za-z0-9_$]*",
+    r"(?m:^)[ \t]*(?:export[ \t]+)?(?:default[ \t]+)?class[ \t]+[A-Za-z_$][A-Za-z0-9_$]*", r"[{}()\[\];]",
+)
+TOKEN = "|".join(TOKENS)
+# In Java, repeated groups recurse unless they are possessive; what follows them can't begin what they hold, so that is the same.
+_JAVA_TOKEN = TOKEN.replace(")*", ")*+")
+HEADER = r"(function|class)[ \t]+([A-Za-z_$][A-Za-z0-9_$]*)$"
+
+
+def bracket_spans(files: DataFrame) -> DataFrame:
+    """Spans of declared functions and classes of JavaScript and TypeScript, by a running sum of brackets outside strings and comments.
+
+    A declaration is open from the first brace at its own depth, unless a semicolon comes first (a signature without a body), and
+    ends with the brace that brings the depth back; without one, with the last line.  Approximate: headers count at the
+    start of a line only, `${}` inside templates and regular expressions are text like the rest, and a braced return type
+    is taken for the body.  Work grows with brackets and lines; a file is read by one task in each window, as a sorted stream.
+    """
+    tokens = files.select("path", F.size("lines").cast("long").alias("n_lines"), F.posexplode(F.regexp_extract_all(F.array_join("lines", "\n"), F.lit(_JAVA_TOKEN), 0)).alias("k", "token"))
+    # Comments and templates count for their line ends alone, strings for nothing.
+    step = F.when(F.col("token").isin("{", "(", "["), 1).when(F.col("token").isin("}", ")", "]"), -1).otherwise(0)
+    breaks = F.char_length("token") - F.char_length(F.replace(F.col("token"), F.lit("\n"), F.lit("")))
+    header = F.col("token").rlike(HEADER) & ~F.substring("token", 1, 1).isin("/", "'", '"', "`")
+    before = Window.partitionBy("path").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    rows = tokens.withColumn("step", step).withColumn("header", header)
+    rows = rows.withColumn("depth", F.coalesce(F.sum("step").over(before), F.lit(0))).withColumn("line_no", 1 + F.coalesce(F.sum(breaks).over(before), F.lit(0)))
+    rows = rows.where("header OR token IN ('{', '}', ';')").withColumn("level", F.col("depth") - (F.col("token") == "}").cast("int"))
+    after = Window.partitionBy("path", "level").orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, -1)
+    of = lambda token, value: F.min(F.when(F.col("token") == token, F.col(value))).over(after)
+    rows = rows.withColumn("opened", of("{", "k")).withColumn("ended", of(";", "k")).withColumn("closed", of("}", "line_no"))
+    held = rows.where("header AND opened IS NOT NULL AND (ended IS NULL OR opened < ended)")
+    return held.select("path", F.regexp_extract("token", HEADER, 1).alias("kind"), F.regexp_extract("token", HEADER, 2).alias("name"), F.col("line_no").cast("long").alias("start_line"), F.coalesce("closed", "n_lines").cast("long").alias("end_line"))
+
+
 def _closed(heads: DataFrame, lines: DataFrame) -> DataFrame:
     levels = lines.select("path", "indent").distinct()
     back = Window.partitionBy("path", "level").orderBy(F.desc("line_no")).rowsBetween(Window.unboundedPreceding, -1)
@@ -100,8 +146,9 @@ def import_lines(files: DataFrame) -> DataFrame:
 
 
 def span_rules(files: DataFrame, found: DataFrame) -> DataFrame:
-    """Findings over whole functions: views without authentication, SQL by interpolation, unescaped HTML."""
-    held = found.where("kind = 'function'").join(files.select("path", "lines"), "path")
+    """Findings over whole Python functions: views without authentication, SQL by interpolation, unescaped HTML."""
+    python = files.where(language(F.col("path")) == "python")
+    held = found.where("kind = 'function'").join(python.select("path", "lines"), "path")
     body = F.array_join(F.slice("lines", F.col("start_line").cast("int"), (F.col("end_line") - F.col("start_line") + 1).cast("int")), "\n")
     above = F.slice("lines", F.greatest(F.col("start_line") - 5, F.lit(1)).cast("int"), F.least(F.lit(5), F.col("start_line") - 1).cast("int"))
     held = held.withColumn("body", body).withColumn("guarded", F.exists(above, lambda x: x.rlike(r"^\s*" + VIEW_AUTH)))
@@ -114,19 +161,21 @@ def span_rules(files: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def detect_frameworks(files: DataFrame) -> DataFrame:
-    """(project_id, framework) of files (project_id, path, content): django, flask, nextjs, express, react, in this order."""
+    """(project_id, framework) of files (project_id, path, content): django, flask, nextjs, express, react, in this order.
+
+    A package counts if package.json names it as a key followed by a colon and a space, wherever that is.
+    """
     name = F.element_at(F.split("path", "/"), -1)
     depth = F.size(F.split("path", "/"))
     low = F.lower("content")
     any_of = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
     near = depth <= 4
     package = (name == "package.json") & (depth == 1)
+    flask = F.contains("content", F.lit("Flask")) | F.contains("content", F.lit("flask"))
     flags = files.groupBy("project_id").agg(
         any_of(near & (name.isin("manage.py", "settings.py") | ((name == "requirements.txt") & F.contains(low, F.lit("django"))))).alias("django"),
-        any_of((depth == 1) & (name.isin("app.py", "routes.py") | ((name == "requirements.txt") & F.contains("content", F.lit("Flask"))))).alias("flask"),
-        *(any_of(package & F.contains("content", F.lit(f'"{x}"'))).alias(x) for x in ("next", "react", "express")),
+        any_of((depth == 1) & (name.isin("app.py", "routes.py") | ((name == "requirements.txt") & flask))).alias("flask"),
+        *(any_of(package & F.contains("content", F.lit(f'"{x}": '))).alias(x) for x in ("next", "react", "express")),
     )
     choice = F.when(F.col("django"), "django").when(F.col("flask"), "flask").when(F.col("next") & F.col("react"), "nextjs").when(F.col("express"), "express").when(F.col("react"), "react")
     return flags.select("project_id", choice.alias("framework"))
-
-

@@ -56,11 +56,31 @@ def merge(pattern: DataFrame, model: DataFrame, tolerance: int = 3) -> DataFrame
     return hybrid.select(*columns).unionByName(rest, allowMissingColumns=True)
 
 
+#: Lines of a bin, to which spans and findings of a file are dealt.
+BIN = 1024
+
+
+def outermost(spans: DataFrame) -> DataFrame:
+    """Disjoint parts (path, kind, name, start_line, end_line) of spans: of the lines of each, those in no span of its kind that began before."""
+    order = Window.partitionBy("path", "kind").orderBy("start_line", F.desc("end_line"), "name").rowsBetween(Window.unboundedPreceding, -1)
+    reached = spans.withColumn("reached", F.coalesce(F.max("end_line").over(order), F.lit(0)))
+    own = reached.where("end_line > reached")
+    return own.select("path", "kind", "name", F.greatest("start_line", F.col("reached") + 1).alias("start_line"), "end_line")
+
+
 def enclosing(findings: DataFrame, spans: DataFrame) -> DataFrame:
-    """Findings with function_name and class_name of the outermost span that holds the line."""
-    held = findings.select("id", "path", "line_number").join(spans, (findings.path == spans.path) & F.col("line_number").between(F.col("start_line"), F.col("end_line")))
-    named = held.groupBy("id").agg(
-        F.min_by(F.when(F.col("kind") == "function", F.col("name")), F.when(F.col("kind") == "function", F.col("start_line"))).alias("function_name"),
-        F.min_by(F.when(F.col("kind") == "class", F.col("name")), F.when(F.col("kind") == "class", F.col("start_line"))).alias("class_name"),
-    )
+    """Findings (id, path, line_number, ...) with function_name and class_name of the outermost span that holds the line.
+
+    Of the spans of a kind that hold a line the one that begins first counts.  Spans are cut into disjoint parts, parts and
+    findings are dealt to bins of lines, and a pass over each bin in line order carries the last part that began: work and
+    rows grow with findings, spans and lines, however many spans a file has.
+    """
+    parts = outermost(spans.where("end_line >= start_line")).select("path", "kind", "name", "start_line", "end_line", F.explode(F.sequence(F.floor(F.col("start_line") / BIN), F.floor(F.col("end_line") / BIN))).alias("bin"))
+    part = lambda kind: F.when(F.col("kind") == kind, F.struct("name", "end_line"))
+    begun = parts.select("path", "bin", F.greatest("start_line", F.col("bin") * BIN).alias("at"), F.lit(0).alias("point"), part("function").alias("f"), part("class").alias("c"), F.lit(None).cast(findings.schema["id"].dataType).alias("id"))
+    points = findings.select("path", F.floor(F.col("line_number") / BIN).alias("bin"), F.col("line_number").alias("at"), F.lit(1).alias("point"), *(F.lit(None).cast("struct<name:string,end_line:bigint>").alias(x) for x in "fc"), "id")
+    line = Window.partitionBy("path", "bin").orderBy("at", "point").rowsBetween(Window.unboundedPreceding, 0)
+    passed = begun.unionByName(points).withColumn("f", F.last("f", True).over(line)).withColumn("c", F.last("c", True).over(line)).where("point = 1")
+    name = lambda x: F.when(F.col(f"{x}.end_line") >= F.col("at"), F.col(f"{x}.name"))
+    named = passed.select("id", name("f").alias("function_name"), name("c").alias("class_name"))
     return findings.join(named, "id", "left")

@@ -45,29 +45,51 @@ def snippet(lines: Column, line_no: Column, around: int, numbered: bool = True)
     return F.struct(F.array_join(shown, "\n").alias("text"), (at - low + 1).alias("rel"))
 
 
-def apply_patches(files: DataFrame, fixes: DataFrame) -> DataFrame:
-    """(path, content, status) of files (path, content) under at most one fix each (path, original, fixed, line_number).
+OUTCOMES = "array<struct<id:bigint,status:string,start:bigint,end:bigint>>"
+# The place of a fix x in content: non-overlapping literal matches are walked once, with the line and the byte they begin at.
+_PLACE = r"""
+  aggregate(split(content, concat('\\Q', replace(x.original, '\\E', '\\E\\\\E\\Q'), '\\E'), -1),
+    cast(struct(1L, 0L, null, null, 0L) as struct<line:bigint,at:bigint,covering:bigint,first:bigint,n:bigint>),
+    (a, p) -> struct(
+      a.line + char_length(p) - char_length(replace(p, '\n', '')) + x.breaks as line,
+      a.at + octet_length(p) + x.size as at,
+      if(a.at + octet_length(p) + x.size <= total and a.covering is null
+           and x.line_number between a.line + char_length(p) - char_length(replace(p, '\n', '')) and a.line + char_length(p) - char_length(replace(p, '\n', '')) + x.breaks,
+         a.at + octet_length(p), a.covering) as covering,
+      if(a.first is null and a.at + octet_length(p) + x.size <= total, a.at + octet_length(p), a.first) as first,
+      a.n + if(a.at + octet_length(p) + x.size <= total, 1L, 0L) as n))"""
+_FOUND = f"""transform(fixes, x -> struct(x.id as id, x.fixed as fixed, x.size as size,
+    if(content is null, 'no file', if(x.line_number < 1, 'bad line', if(content = '', 'empty file', if(x.size = 0, 'not found', null)))) as refused,
+    if(content is null or content = '' or x.size = 0 or x.line_number < 1, null, {_PLACE}) as place))"""
+_TOLD = """transform(found, x -> struct(x.id as id, x.fixed as fixed,
+    coalesce(x.refused, if(x.place.n = 0, 'not found', if(x.place.covering is null and x.place.n > 1, 'ambiguous', 'found'))) as status,
+    coalesce(x.place.covering, if(x.place.n = 1, x.place.first, null)) as start,
+    coalesce(x.place.covering, if(x.place.n = 1, x.place.first, null)) + x.size as end))"""
+_SWEEP = """aggregate(array_sort(transform(filter(told, x -> x.status = 'found'), x -> struct(x.start as start, x.end as end, x.id as id, x.fixed as fixed))),
+    cast(struct(0L, array()) as struct<upto:bigint,taken:array<struct<start:bigint,end:bigint,id:bigint,fixed:string>>>),
+    (a, y) -> if(y.start >= a.upto, struct(y.end as upto, concat(a.taken, array(y)) as taken), a)).taken"""
+_SPLICED = """concat(array_join(transform(taken, (y, i) -> concat(cast(substring(raw, cast(if(i = 0, 0L, taken[i - 1].end) + 1 as int), cast(y.start - if(i = 0, 0L, taken[i - 1].end) as int)) as string), y.fixed)), ''),
+    cast(substring(raw, cast(if(size(taken) = 0, 0L, element_at(taken, -1).end) + 1 as int)) as string))"""
+
 
-    Of the non-overlapping literal matches of `original`, the first whose lines cover line_number is replaced, or else the only one.
+def apply_patches(files: DataFrame, fixes: DataFrame) -> DataFrame:
+    """Files (path, content) under all of their fixes (id, path, original, fixed, line_number): (path, content, outcomes).
+
+    A fix replaces one of the non-overlapping literal matches of `original`: the first whose lines cover line_number, or else
+    the only one.  All places are found in the content as given; a sweep over them, by start, end and id, takes each that
+    begins at or after the end of the last one taken, and the content is spliced once.  outcomes has a row for each fix:
+    applied, deferred (it overlaps an applied one: to be tried on the new content), not found, ambiguous, bad line,
+    empty file, no file; start and end are bytes of the content as given.  Ids are unique within a file; an empty original is not
+    found; a null `fixed` deletes.  Only files with fixes are returned.  The content is read once, whatever the matches.
     """
-    one = Window.partitionBy("path").orderBy("line_number", "original", "fixed")
-    first = fixes.withColumn("_rn", F.row_number().over(one)).where("_rn = 1").drop("_rn")
-    rows = files.join(first, "path").withColumn("parts", F.split("content", F.concat(F.lit("\\Q"), F.col("original"), F.lit("\\E")), -1))
-    newlines = lambda c: F.char_length(c) - F.char_length(F.replace(c, F.lit("\n"), F.lit("")))
-    starts = F.expr(
-        """transform(sequence(1, size(parts) - 1), k -> substring(content, 1, cast(
-             aggregate(slice(parts, 1, k), 0, (n, p) -> n + char_length(p)) + (k - 1) * char_length(original) as int)))"""
-    )
-    rows = rows.withColumn("before", F.when(F.size("parts") > 1, starts).otherwise(F.expr("cast(array() as array<string>)")))
-    covers = F.filter("before", lambda b: F.col("line_number").between(newlines(b) + 1, newlines(b) + 1 + newlines(F.col("original"))))
-    chosen = F.when(F.size(covers) > 0, F.get(covers, F.lit(0))).when(F.size("before") == 1, F.get("before", F.lit(0)))
-    status = (
-        F.when(F.col("line_number") < 1, "bad line").when(F.col("content") == "", "empty file").when(F.size("before") == 0, "not found")
-        .when(F.col("chosen").isNull(), "ambiguous").otherwise("applied")
-    )
-    rest = F.substring("content", F.char_length("chosen") + F.char_length("original") + 1, F.char_length("content"))
-    rows = rows.withColumn("chosen", chosen).withColumn("status", status)
-    return rows.select("path", F.when(F.col("status") == "applied", F.concat("chosen", "fixed", rest)).otherwise(F.col("content")).alias("content"), "status")
+    size, breaks = F.octet_length("original").cast("long"), (F.char_length("original") - F.char_length(F.replace(F.col("original"), F.lit("\n"), F.lit("")))).cast("long")
+    fix = F.struct(F.col("id").cast("long").alias("id"), "original", F.coalesce("fixed", F.lit("")).alias("fixed"), F.col("line_number").cast("long").alias("line_number"), size.alias("size"), breaks.alias("breaks"))
+    rows = fixes.where("path IS NOT NULL AND original IS NOT NULL").groupBy("path").agg(F.collect_list(fix).alias("fixes")).join(files.select("path", "content"), "path", "left")
+    rows = rows.withColumn("total", F.octet_length("content").cast("long")).withColumn("raw", F.col("content").cast("binary"))
+    rows = rows.withColumn("found", F.expr(_FOUND)).withColumn("told", F.expr(_TOLD)).withColumn("taken", F.expr(_SWEEP))
+    applied = "array_contains(transform(taken, y -> y.id), x.id)"
+    outcomes = F.expr(f"transform(told, x -> struct(x.id as id, if(x.status = 'found', if({applied}, 'applied', 'deferred'), x.status) as status, x.start as start, x.end as end))")
+    return rows.select("path", F.expr(_SPLICED).alias("content"), outcomes.alias("outcomes"))
 
 
 def patch_impact(before: Column, after: Column) -> Column:

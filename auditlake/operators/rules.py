@@ -1,4 +1,4 @@
-"""Line-context rules over files held as arrays of lines: no shuffle, and only hits become rows."""
+"""Line-context rules over arrays of lines, of whole files or of blocks of them: only hits become rows."""
 
 from __future__ import annotations
 
@@ -78,36 +78,46 @@ class Rule:
     control: str
     severity: str
     description: str
+    head: str  # each line where the rule fires matches this, so that texts without it needn't be looked at line by line
     hit: Callable[[Column, Column], Column]  # (line, i) -> whether the rule fires there
     gate: Callable[[Column], Column] | None = None  # of the path
-    file_gate: Callable[[Column], Column] | None = None  # of the whole text
-    first_only: bool = False
+    unless: str | None = None  # a rule with this reports the first hit of a file only, and none if this is anywhere in it
+    at_least: int = 1  # matches of head that the file has to have
     severity_of: Callable[[Column], Column] | None = None  # of the line
     description_of: Callable[[Column], Column] | None = None  # of the line
 
     def hits(self) -> Column:
-        """array<struct<rule, control_id, severity, description, line_number, code_snippet>> of a row with path and lines."""
+        """array<struct<line_number, rule, control_id, severity, description, code_snippet>> of a row of blocks(); null where it can't fire."""
         line = lambda i: F.get("lines", i)
-        rows = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: F.coalesce(self.hit(line(i), i), F.lit(False)))
-        if self.first_only:
+        rows = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: (i >= F.col("lo")) & (i < F.col("hi")) & F.coalesce(self.hit(line(i), i), F.lit(False)))
+        if self.unless:
             rows = F.slice(rows, 1, 1)
         found = F.transform(
             rows,
             lambda i: F.struct(
+                (i + 1 + F.col("above")).cast("long").alias("line_number"),
                 F.lit(self.id).alias("rule"),
                 F.lit(self.control).alias("control_id"),
                 (self.severity_of(line(i)) if self.severity_of else F.lit(self.severity)).alias("severity"),
                 (self.description_of(line(i)) if self.description_of else F.lit(self.description)).alias("description"),
-                (i + 1).cast("long").alias("line_number"),
                 trimmed(line(i)).alias("code_snippet"),
             ),
         )
-        allowed = F.size("lines") > 0
-        if self.gate:
-            allowed = allowed & self.gate(F.col("path"))
-        if self.file_gate:
-            allowed = allowed & self.file_gate(F.array_join("lines", "\n"))
-        return F.when(allowed, found)
+        return F.when(self.allowed() & F.col("text").rlike(f"(?m){self.head}"), found)
+
+    def allowed(self) -> Column:
+        return (F.size("lines") > 0) & (self.gate(F.col("path")) if self.gate else F.lit(True))
+
+    def of_file(self) -> Column:
+        """What a block says of a rule with `unless`: its first hit there, matches of head in its own lines, whether `unless` is there."""
+        own = F.array_join(F.slice("lines", F.col("lo") + 1, F.greatest(F.least(F.col("hi"), F.size("lines")) - F.col("lo"), F.lit(0))), "\n")
+        n = F.regexp_count(own, F.lit(self.head)) if self.at_least > 1 else F.lit(1)
+        told = F.struct(F.lit(self.id).alias("rule"), F.get(self.hits(), F.lit(0)).alias("hit"), n.alias("n"), F.lit(self.at_least).alias("at_least"), F.col("text").rlike(self.unless).alias("bad"))
+        return F.when(self.allowed() & (F.col("text").rlike(self.head) | F.col("text").rlike(self.unless)), told)
+
+
+FOUND = ("rule", "control_id", "severity", "description", "line_number", "code_snippet")
+_HITS = "array<struct<line_number:bigint,rule:string,control_id:string,severity:string,description:string,code_snippet:string>>"
 
 
 def _ends(*suffixes: str) -> Callable[[Column], Column]:
@@ -124,35 +134,87 @@ def _secret_name(line: Column) -> Column:
 RULES = {
     r.id: r
     for r in (
-        Rule("R1", "CC6.1", "high", "View function missing authentication decorator or check", lambda x, i: x.rlike(VIEW) & ~trimmed(x).startswith("#") & ~_guarded_above(i, VIEW_AUTH) & ~_near(i, 0, 4).rlike(VIEW_INLINE), _ends(".py")),
-        Rule("R2", "CC6.1", "high", "Hardcoded user ID should use request.user or current_user", lambda x, i: x.rlike(FIXED_ID) & _code(x) & ~x.rlike(r"(def |param|Expected\[)"), lambda p: ~p.rlike(TEST_FILE)),
-        Rule("R3", "CC6.1", "critical", "Admin/sensitive operation missing permission check", lambda x, i: x.rlike(ADMIN) & ~_near(i, 0, 9, "\n").rlike(PERMISSION), lambda p: ~p.rlike("(test_|_test|spec_)")),
-        Rule("R4", "CC6.1", "high", "Express route missing authentication middleware", lambda x, i: x.rlike(EXPRESS) & x.rlike(EXPRESS_PATHS) & ~x.rlike(EXPRESS_AUTH) & ~F.coalesce(F.get("lines", i + 1).rlike(EXPRESS_AUTH), F.lit(False)), _ends(".js", ".ts")),
-        Rule("R5", "CC6.1", "high", "FastAPI endpoint missing Depends(permission) check", lambda x, i: x.rlike(FASTAPI) & x.rlike(FASTAPI_PATHS) & ~F.get("lines", i + 1).rlike(r"Depends\("), _ends(".py")),
-        Rule("R6", "CC6.1", "high", "Flask route missing authentication decorator or check", lambda x, i: x.rlike(FLASK) & ~x.rlike(FLASK_PUBLIC) & ~_guarded_above(i, FLASK_AUTH) & ~_near(i, 0, 9).rlike(FLASK_INLINE), _ends(".py"),
+        Rule("R1", "CC6.1", "high", "View function missing authentication decorator or check", VIEW, lambda x, i: x.rlike(VIEW) & ~trimmed(x).startswith("#") & ~_guarded_above(i, VIEW_AUTH) & ~_near(i, 0, 4).rlike(VIEW_INLINE), _ends(".py")),
+        Rule("R2", "CC6.1", "high", "Hardcoded user ID should use request.user or current_user", FIXED_ID, lambda x, i: x.rlike(FIXED_ID) & _code(x) & ~x.rlike(r"(def |param|Expected\[)"), lambda p: ~p.rlike(TEST_FILE)),
+        Rule("R3", "CC6.1", "critical", "Admin/sensitive operation missing permission check", ADMIN, lambda x, i: x.rlike(ADMIN) & ~_near(i, 0, 9, "\n").rlike(PERMISSION), lambda p: ~p.rlike("(test_|_test|spec_)")),
+        Rule("R4", "CC6.1", "high", "Express route missing authentication middleware", EXPRESS, lambda x, i: x.rlike(EXPRESS) & x.rlike(EXPRESS_PATHS) & ~x.rlike(EXPRESS_AUTH) & ~F.coalesce(F.get("lines", i + 1).rlike(EXPRESS_AUTH), F.lit(False)), _ends(".js", ".ts")),
+        Rule("R5", "CC6.1", "high", "FastAPI endpoint missing Depends(permission) check", FASTAPI, lambda x, i: x.rlike(FASTAPI) & x.rlike(FASTAPI_PATHS) & ~F.get("lines", i + 1).rlike(r"Depends\("), _ends(".py")),
+        Rule("R6", "CC6.1", "high", "Flask route missing authentication decorator or check", FLASK, lambda x, i: x.rlike(FLASK) & ~x.rlike(FLASK_PUBLIC) & ~_guarded_above(i, FLASK_AUTH) & ~_near(i, 0, 9).rlike(FLASK_INLINE), _ends(".py"),
              severity_of=lambda x: F.when(x.rlike("(POST|PUT|DELETE)"), "critical").otherwise("high"), description_of=lambda x: F.concat(F.lit("Flask route '"), F.regexp_extract(x, FLASK, 1), F.lit("' missing authentication decorator or check"))),
-        Rule("R7", "CC6.7", "critical", "Hardcoded secret", lambda x, i: x.rlike(SECRET) & ~x.rlike(NO_SECRET) & _code(x)),
-        Rule("R8", "CC7.2", "medium", "Sensitive operation without audit logging", lambda x, i: x.rlike(SENSITIVE) & _code(x) & ~_near(i, -1, 2).rlike(LOGGED)),
-        Rule("R9", "CC7.2", "critical", "Sensitive data in logging statement", lambda x, i: x.rlike(LOG_CALL) & _code(x) & _secret_name(x).isNotNull(),
+        Rule("R7", "CC6.7", "critical", "Hardcoded secret", SECRET, lambda x, i: x.rlike(SECRET) & ~x.rlike(NO_SECRET) & _code(x)),
+        Rule("R8", "CC7.2", "medium", "Sensitive operation without audit logging", SENSITIVE, lambda x, i: x.rlike(SENSITIVE) & _code(x) & ~_near(i, -1, 2).rlike(LOGGED)),
+        Rule("R9", "CC7.2", "critical", "Sensitive data in logging statement", LOG_CALL, lambda x, i: x.rlike(LOG_CALL) & _code(x) & _secret_name(x).isNotNull(),
              description_of=lambda x: F.concat(F.lit("Sensitive data ("), _secret_name(x), F.lit(") in logging statement"))),
-        Rule("R10", "CC7.2", "high", "Authentication event without logging", lambda x, i: x.rlike(AUTH_EVENT) & _code(x) & ~_near(i, 1, 3).rlike(AUTH_LOGGED)),
-        Rule("R11", "CC7.2", "medium", "Database transaction without logging mechanism", lambda x, i: x.rlike(TRANSACTION), None, lambda t: t.rlike(TRANSACTION) & ~t.rlike(TRANSACTION_LOGGED), True),
-        Rule("R12", "A1.2", "high", "External service call without error handling", lambda x, i: x.rlike(EXTERNAL) & _code(x) & ~((_near(i, -3, 4).rlike(TRIES) & _near(i, -3, 4).rlike(CATCHES)) | F.contains(_near(i, -3, 4), F.lit("with ")))),
-        Rule("R13", "A1.2", "high", "External request without timeout configuration", lambda x, i: x.rlike(REQUEST) & _code(x) & ~_near(i, 0, 2).rlike(TIMEOUT)),
-        Rule("R14", "A1.2", "medium", "No retry logic for transient failures", lambda x, i: x.rlike(API_CALL) & _code(x), None, lambda t: t.rlike(API_CALL) & ~t.rlike(RETRIES), True),
-        Rule("R15", "A1.2", "high", "Database operation without error handling", lambda x, i: x.rlike(DATABASE) & _code(x) & ~_near(i, -1, 2).rlike(HANDLED)),
-        Rule("R16", "A1.2", "medium", "Multiple external calls without circuit breaker pattern", lambda x, i: x.rlike(SERVICE) & _code(x), None, lambda t: (F.regexp_count(t, F.lit(SERVICE)) > 1) & ~t.rlike(BREAKER), True),
+        Rule("R10", "CC7.2", "high", "Authentication event without logging", AUTH_EVENT, lambda x, i: x.rlike(AUTH_EVENT) & _code(x) & ~_near(i, 1, 3).rlike(AUTH_LOGGED)),
+        Rule("R11", "CC7.2", "medium", "Database transaction without logging mechanism", TRANSACTION, lambda x, i: x.rlike(TRANSACTION), unless=TRANSACTION_LOGGED),
+        Rule("R12", "A1.2", "high", "External service call without error handling", EXTERNAL, lambda x, i: x.rlike(EXTERNAL) & _code(x) & ~((_near(i, -3, 4).rlike(TRIES) & _near(i, -3, 4).rlike(CATCHES)) | F.contains(_near(i, -3, 4), F.lit("with ")))),
+        Rule("R13", "A1.2", "high", "External request without timeout configuration", REQUEST, lambda x, i: x.rlike(REQUEST) & _code(x) & ~_near(i, 0, 2).rlike(TIMEOUT)),
+        Rule("R14", "A1.2", "medium", "No retry logic for transient failures", API_CALL, lambda x, i: x.rlike(API_CALL) & _code(x), unless=RETRIES),
+        Rule("R15", "A1.2", "high", "Database operation without error handling", DATABASE, lambda x, i: x.rlike(DATABASE) & _code(x) & ~_near(i, -1, 2).rlike(HANDLED)),
+        Rule("R16", "A1.2", "medium", "Multiple external calls without circuit breaker pattern", SERVICE, lambda x, i: x.rlike(SERVICE) & _code(x), unless=BREAKER, at_least=2),
     )
 }
 
 
+#: Lines of a block, and the lines above and below that the frames of rules reach.
+BLOCK, ABOVE, BELOW = 1000, 5, 9
+
+
+def blocks(lines: DataFrame, keys: tuple[str, ...], size: int = BLOCK) -> DataFrame:
+    """Blocks (*keys, block, lines, lo, hi, above) of rows (*keys, line_no, line): own lines and those that frames reach.
+
+    The own lines are lines[lo:hi], `above` lines of the file come before the first; so a file of any length is dealt to
+    rows of `size + ABOVE + BELOW` lines at most.  Lines are numbered from 1 without gaps.
+    """
+    at = F.col("line_no") - 1
+    near = F.sequence(F.greatest(F.floor((at - BELOW) / size), F.lit(0)), F.floor((at + ABOVE) / size))
+    dealt = lines.select(*keys, "line_no", "line", F.explode(near).alias("block"))
+    held = dealt.groupBy(*keys, "block").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("held")).where(F.element_at("held", -1)["line_no"] > F.col("block") * size)
+    above = F.get("held", F.lit(0))["line_no"] - 1
+    lo = (F.col("block") * size - above).cast("int")
+    return held.select(*keys, "block", F.transform("held", lambda s: s["line"]).alias("lines"), lo.alias("lo"), (lo + size).alias("hi"), above.alias("above"))
+
+
+def _chosen(rules, controls: tuple[str, ...] | None) -> list[Rule]:
+    return [RULES[r] for r in rules if controls is None or RULES[r].control in controls]
+
+
+def _reported(hits: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    return hits.select(*keep, *FOUND).withColumn("severity", downgrade(F.col("severity"), F.col("path")))
+
+
 def scan(files: DataFrame, rules=tuple(RULES), controls: tuple[str, ...] | None = None, keep: tuple[str, ...] = ("path",)) -> DataFrame:
-    """Findings of all rules (or those of some controls) over files (path, lines, ...), with severities lowered in test code."""
-    chosen = [RULES[r] for r in rules if controls is None or RULES[r].control in controls]
-    none = F.expr("cast(array() as array<struct<rule:string,control_id:string,severity:string,description:string,line_number:bigint,code_snippet:string>>)")
-    every = F.concat(*(F.coalesce(r.hits(), none) for r in chosen), none)
-    hits = files.select(*keep, F.inline(every))
-    return hits.withColumn("severity", downgrade(F.col("severity"), F.col("path")))
+    """Findings of all rules (or those of some controls) over files (path, lines, ...), with severities lowered in test code.
+
+    Without a shuffle, for files that are rows already; scan_lines() takes files of any length.
+    """
+    rows = files.withColumns({"text": F.array_join("lines", "\n"), "lo": F.lit(0), "hi": F.size("lines"), "above": F.lit(0)})
+    none = F.expr(f"cast(array() as {_HITS})")
+
+    def of(rule: Rule) -> Column:
+        if not rule.unless:
+            return rule.hits()
+        enough = F.regexp_count("text", F.lit(rule.head)) >= rule.at_least if rule.at_least > 1 else F.lit(True)
+        return F.when(enough & ~F.col("text").rlike(rule.unless), rule.hits())
+
+    every = F.concat(*(F.coalesce(of(r), none) for r in _chosen(rules, controls)), none)
+    return _reported(rows.select(*keep, F.inline(every)), keep)
+
+
+def scan_lines(lines: DataFrame, rules=tuple(RULES), controls: tuple[str, ...] | None = None, keep: tuple[str, ...] = ("path",), size: int = BLOCK) -> DataFrame:
+    """scan() over rows (*keep, line_no, line) of files of any length, path among keep: by blocks of lines.
+
+    Rules that depend on a whole file add up what its blocks say: the first hit, the matches, whether a word is anywhere.
+    """
+    rows = blocks(lines, keep, size).withColumn("text", F.array_join("lines", "\n"))
+    chosen, none = _chosen(rules, controls), F.expr(f"cast(array() as {_HITS})")
+    single, whole = [r for r in chosen if not r.unless], [r for r in chosen if r.unless]
+    found = rows.select(*keep, F.inline(F.concat(*(F.coalesce(r.hits(), none) for r in single), none))).select(*keep, *FOUND)
+    if whole:
+        told = rows.select(*keep, F.inline(F.array_compact(F.array(*(r.of_file() for r in whole)))))
+        told = told.groupBy(*keep, "rule").agg(F.min("hit").alias("hit"), F.sum("n").alias("n"), F.bool_or("bad").alias("bad"), F.max("at_least").alias("at_least"))
+        found = found.unionByName(told.where("hit IS NOT NULL AND NOT bad AND n >= at_least").select(*keep, "hit.*").select(*keep, *FOUND))
+    return _reported(found, keep)
 
 
 def secret_hits(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:

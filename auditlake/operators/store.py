@@ -12,8 +12,8 @@ ALLOWED = {
     "fixes": {"trust_level": ("auto", "review", "manual")},
     "audit_events": {
         "event_type": (
-            "scan_started", "scan_completed", "scan_failed", "violation_detected", "violation_dismissed", "violation_fixed", "fix_generated",
-            "fix_applied", "fix_failed", "project_created", "project_updated", "project_deleted", "settings_updated", "data_exported", "data_cleared",
+            "scan_started", "scan_completed", "scan_failed", "violation_detected", "violation_dismissed", "fix_generated", "fix_applied",
+            "project_created", "project_selected", "project_deleted", "settings_updated", "settings_changed", "scan", "violation", "fix",
         )
     },
 }

@@ -12,7 +12,7 @@ from ..operators import bookkeeping, corpus, merge, prompts, remedy, reports, ru
 from ..sources import table
 from ..sources.fixtures import derived, oracle
 from ..streaming import changes
-from . import rule_sql
+from . import rule_sql, span_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -157,7 +157,7 @@ def scan_mode_backfill(spark, sf_dir):
   SELECT 'violations', 'status not allowed', count(*) FROM violations WHERE status NOT IN ('open','fixed','dismissed') UNION ALL
   SELECT 'violations', 'detection_method not allowed', count(*) FROM violations WHERE detection_method NOT IN ('regex','llm','hybrid') UNION ALL
   SELECT 'fixes', 'trust_level not allowed', count(*) FROM fixes WHERE trust_level NOT IN ('auto','review','manual') UNION ALL
-  SELECT 'audit_events', 'event_type not allowed', count(*) FROM audit_events WHERE event_type = 'database_cleared' UNION ALL
+  SELECT 'audit_events', 'event_type not allowed', count(*) FROM audit_events WHERE event_type NOT IN ('scan_started', 'scan_completed', 'scan_failed', 'violation_detected', 'violation_dismissed', 'fix_generated', 'fix_applied', 'project_created', 'project_selected', 'project_deleted', 'settings_updated', 'settings_changed', 'scan', 'violation', 'fix') UNION ALL
   SELECT 'scans', 'project_id missing', count(*) FROM scans WHERE project_id NOT IN (SELECT id FROM projects) UNION ALL
   SELECT 'violations', 'scan_id missing', count(*) FROM violations WHERE scan_id NOT IN (SELECT id FROM scans) UNION ALL
   SELECT 'fixes', 'violation_id missing', count(*) FROM fixes WHERE violation_id NOT IN (SELECT id FROM violations) UNION ALL
@@ -289,7 +289,7 @@ def context_snippets(spark, sf_dir):
 
 def _rule_query(rule: str) -> None:
     def run(spark, sf_dir):
-        return rules.scan(code_files(spark, sf_dir), (rule,), keep=("file_id", "path")).select("path", "severity", "description", "line_number", "code_snippet")
+        return rules.scan_lines(derived(spark, sf_dir, "code_lines"), (rule,), keep=("file_id", "path")).select("path", "severity", "description", "line_number", "code_snippet")
 
     run.__name__ = f"rule_{rule.lower()}"
     query(rule_sql.select(rule))(run)
@@ -301,12 +301,12 @@ for _rule in rules.RULES:
 
 @query(rule_sql.union("SELECT rule, control_id, severity, count(*) AS n FROM found GROUP BY rule, control_id, severity"))
 def scan_findings(spark, sf_dir):
-    return rules.scan(code_files(spark, sf_dir)).groupBy("rule", "control_id", "severity").agg(F.count(F.lit(1)).alias("n"))
+    return rules.scan_lines(derived(spark, sf_dir, "code_lines")).groupBy("rule", "control_id", "severity").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(rule_sql.union(f"SELECT file_id % 50 AS scan_id, {SEV} FROM found GROUP BY file_id % 50", ("R1", "R8", "R12")))
 def scan_severity(spark, sf_dir):
-    found = rules.scan(code_files(spark, sf_dir), ("R1", "R8", "R12"), keep=("file_id", "path"))
+    found = rules.scan_lines(derived(spark, sf_dir, "code_lines"), ("R1", "R8", "R12"), keep=("file_id", "path"))
     return reports.severity_counts(found.withColumn("scan_id", F.col("file_id") % 50))
 
 
@@ -316,10 +316,7 @@ def document_secrets(spark, sf_dir):
     return rules.secret_hits(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-@query("""WITH heads AS (SELECT path, line_no, line, length(regexp_extract(line, '^(\\s*)', 1)) AS indent FROM code_lines WHERE trim(line) <> ''),
-  ends AS (SELECT h.path, h.line_no, h.line, (SELECT min(o.line_no) FROM heads o WHERE o.path = h.path AND o.line_no > h.line_no AND o.indent <= h.indent) AS stop FROM heads h WHERE regexp_matches(h.line, '^\\s*(async\\s+)?(def|class)\\s+\\w+'))
-  SELECT path, CASE WHEN regexp_matches(line, '^\\s*class\\s') THEN 'class' ELSE 'function' END AS kind, regexp_extract(line, '(?:def|class)\\s+(\\w+)', 1) AS name, line_no AS start_line,
-  (SELECT max(o.line_no) FROM heads o WHERE o.path = e.path AND (e.stop IS NULL OR o.line_no < e.stop)) AS end_line FROM ends e""")
+@query(f"WITH {span_sql.SPANS} SELECT path, kind, name, start_line, end_line FROM spans")
 def definition_spans(spark, sf_dir):
     return corpus.spans(code_files(spark, sf_dir))
 
@@ -329,17 +326,16 @@ def import_lines(spark, sf_dir):
     return corpus.import_lines(code_files(spark, sf_dir))
 
 
-@query()
+@query(span_sql.SPAN_RULES)
 def span_rule_findings(spark, sf_dir):
     files = code_files(spark, sf_dir)
     return corpus.span_rules(files, corpus.spans(files))
 
 
-@query()
+@query(rule_sql.union(f", {span_sql.SPANS} SELECT path, rule, line_number, {span_sql.within('function', 'f.path', 'line_number')} AS function_name, {span_sql.within('class', 'f.path', 'line_number')} AS class_name FROM found f", ("R8", "R12", "R13")))
 def enriched_findings(spark, sf_dir):
-    files = code_files(spark, sf_dir)
-    found = rules.scan(files, ("R8", "R12", "R13")).withColumn("id", F.xxhash64("path", "rule", "line_number"))
-    return merge.enclosing(found, corpus.spans(files)).select("path", "rule", "line_number", "function_name", "class_name")
+    found = rules.scan_lines(derived(spark, sf_dir, "code_lines"), ("R8", "R12", "R13")).withColumn("id", F.struct("path", "rule", "line_number"))
+    return merge.enclosing(found, corpus.spans(code_files(spark, sf_dir))).select("path", "rule", "line_number", "function_name", "class_name")
 
 
 # ---- joins
@@ -445,7 +441,7 @@ def settings_view(spark, sf_dir):
     return bookkeeping.typed_settings(derived(spark, sf_dir, "settings"), ["project_id"])
 
 
-@query("""SELECT 'audit_events' AS table_name, CAST(id AS VARCHAR) AS row_id, 'event_type not allowed' AS rule FROM audit_events WHERE event_type = 'database_cleared' UNION ALL
+@query("""SELECT 'audit_events' AS table_name, CAST(id AS VARCHAR) AS row_id, 'event_type not allowed' AS rule FROM audit_events WHERE event_type NOT IN ('scan_started', 'scan_completed', 'scan_failed', 'violation_detected', 'violation_dismissed', 'fix_generated', 'fix_applied', 'project_created', 'project_selected', 'project_deleted', 'settings_updated', 'settings_changed', 'scan', 'violation', 'fix') UNION ALL
   SELECT 'scans', CAST(id AS VARCHAR), 'project_id missing' FROM scans WHERE project_id NOT IN (SELECT id FROM projects) UNION ALL
   SELECT 'violations', CAST(id AS VARCHAR), 'scan_id missing' FROM violations WHERE scan_id NOT IN (SELECT id FROM scans) UNION ALL
   SELECT 'settings', key, 'cost_limit_per_scan above 1000' FROM settings WHERE key = 'cost_limit_per_scan' AND try_cast(value AS DOUBLE) > 1000 UNION ALL
@@ -454,28 +450,32 @@ def quarantined_rows(spark, sf_dir):
     return store.quarantined(store_of(spark, sf_dir) | {"settings": derived(spark, sf_dir, "settings")})
 
 
-@query("""SELECT project_id, CASE project_id % 9 WHEN 0 THEN 'django' WHEN 1 THEN 'flask' WHEN 2 THEN 'nextjs' WHEN 3 THEN 'express' WHEN 4 THEN 'django' WHEN 5 THEN 'flask' WHEN 7 THEN 'react' END AS framework FROM project_files GROUP BY project_id""")
+@query("""SELECT project_id, CASE project_id % 9 WHEN 0 THEN 'django' WHEN 1 THEN 'flask' WHEN 2 THEN 'nextjs' WHEN 3 THEN 'express' WHEN 4 THEN 'django' WHEN 5 THEN 'flask' WHEN 7 THEN CASE WHEN project_id % 2 = 0 THEN 'react' END END AS framework FROM project_files GROUP BY project_id""")
 def project_frameworks(spark, sf_dir):
     return corpus.detect_frameworks(derived(spark, sf_dir, "project_files"))
 
 
-@query("""SELECT v.id AS violation_id, 'Fix the following ' || CASE control_id WHEN 'CC6.1' THEN 'access control' WHEN 'CC6.7' THEN 'secrets/cryptography' WHEN 'CC7.2' THEN 'logging' ELSE 'resilience' END || ' violation in ' || coalesce(framework, 'unknown') || ' code:' || chr(10) || chr(10) ||
-    'Violation: ' || description || chr(10) || chr(10) || CASE WHEN v.id % 2 = 0 THEN 'Context:' || chr(10) || '- Function: f' || chr(10) || chr(10) ELSE '' END || 'Original code:' || chr(10) || '```' || chr(10) || code_snippet || chr(10) || '```' || chr(10) || chr(10) ||
+@query(f"""WITH {span_sql.SPANS}, placed AS (SELECT v.*, {span_sql.within('function', 'v.file_path', 'v.line_number')} AS f, {span_sql.within('class', 'v.file_path', 'v.line_number')} AS c FROM violations v)
+  SELECT v.id AS violation_id, 'Fix the following ' || CASE control_id WHEN 'CC6.1' THEN 'access control' WHEN 'CC6.7' THEN 'secrets/cryptography' WHEN 'CC7.2' THEN 'logging' ELSE 'resilience' END || ' violation in ' || coalesce(framework, 'unknown') || ' code:' || chr(10) || chr(10) ||
+    'Violation: ' || description || chr(10) || chr(10) || CASE WHEN f IS NOT NULL OR c IS NOT NULL THEN 'Context:' || chr(10) || coalesce('- Function: ' || f || chr(10), '') || coalesce('- Class: ' || c || chr(10), '') || chr(10) ELSE '' END ||
+    'Original code:' || chr(10) || '```' || chr(10) || code_snippet || chr(10) || '```' || chr(10) || chr(10) ||
     CASE control_id WHEN 'CC6.1' THEN '' WHEN 'CC6.7' THEN 'Move hardcoded secrets to environment variables. ' WHEN 'CC7.2' THEN 'Add proper audit logging without logging sensitive data. ' ELSE 'Add error handling, timeouts, and retry logic. ' END || 'Provide the fixed code only, no explanation.' AS prompt
-  FROM violations v JOIN scans s ON s.id = v.scan_id LEFT JOIN projects p ON p.id = s.project_id""")
+  FROM placed v JOIN scans s ON s.id = v.scan_id LEFT JOIN projects p ON p.id = s.project_id""")
 def fix_prompts(spark, sf_dir):
     v = derived(spark, sf_dir, "violations").join(derived(spark, sf_dir, "scans").select(F.col("id").alias("scan_id"), "project_id"), "scan_id")
-    v = v.withColumn("function_name", F.when(F.col("id") % 2 == 0, "f")).withColumn("class_name", F.lit(None).cast("string"))
+    v = merge.enclosing(v.withColumn("path", F.col("file_path")), corpus.spans(code_files(spark, sf_dir)))
     return prompts.fix_requests(v, derived(spark, sf_dir, "projects").select(F.col("id").alias("project_id"), "framework"))
 
 
-@query("""SELECT scan_id, file_path, 'Analyze this file for SOC 2 compliance violations:' || chr(10) || chr(10) || '**File**: ' || file_path || chr(10) || chr(10) || '**Code**:' || chr(10) || '```' || chr(10) || 'x' || chr(10) || '```' || chr(10) || chr(10) ||
+@query("""WITH code AS (SELECT path, string_agg(line, chr(10) ORDER BY line_no) AS content FROM code_lines GROUP BY path)
+  SELECT scan_id, file_path, 'Analyze this file for SOC 2 compliance violations:' || chr(10) || chr(10) || '**File**: ' || file_path || chr(10) || chr(10) || '**Code**:' || chr(10) || '```' || chr(10) || content || chr(10) || '```' || chr(10) || chr(10) ||
     coalesce('**Regex Pattern Detections** (already found):' || chr(10) || string_agg('- Line ' || line_number || ': ' || description || ' (' || control_id || ')' || chr(10), '' ORDER BY line_number, control_id, description) FILTER (WHERE detection_method = 'regex') ||
       chr(10) || 'Focus on finding violations that regex patterns missed.' || chr(10) || chr(10), '') || 'Respond with JSON array of violations (or [] if none found). Consider semantic issues, not just keyword matching.' AS prompt
-  FROM violations GROUP BY scan_id, file_path""")
+  FROM violations JOIN code ON path = file_path GROUP BY scan_id, file_path, content""")
 def analysis_prompts(spark, sf_dir):
     v = derived(spark, sf_dir, "violations")
-    files = v.select("scan_id", "file_path").distinct().withColumn("path", F.col("file_path")).withColumn("content", F.lit("x"))
+    code = code_files(spark, sf_dir).select("path", F.array_join("lines", "\n").alias("content"))
+    files = v.select("scan_id", F.col("file_path").alias("path")).distinct().join(code, "path").withColumn("file_path", F.col("path"))
     return prompts.analysis_requests(files, v.where("detection_method = 'regex'"), ["scan_id", "file_path"]).select("scan_id", "file_path", "prompt")
 
 
@@ -699,13 +699,32 @@ def distinct_findings(spark, sf_dir):
 # ---- remediation
 
 
-@query()
-def patched_files(spark, sf_dir):
+PATCHED = ("R7", "R12", "R13")
+#: Fixes of single lines: the first of a line's, by number, is applied, further ones overlap it.
+_FIXES = ", fix AS (SELECT path, line_number, code_snippet, CAST(line_number * 100 + CAST(substr(rule, 2) AS BIGINT) AS BIGINT) AS id, '# fixed ' || rule || ': ' || code_snippet AS fixed FROM found), chosen AS (SELECT *, row_number() OVER (PARTITION BY path, line_number ORDER BY id) AS rn FROM fix)"
+
+
+def patches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(files before, files after with the outcomes of their fixes)."""
     files = code_files(spark, sf_dir).select("path", F.array_join("lines", "\n").alias("content"))
-    found = rules.scan(code_files(spark, sf_dir), ("R7", "R13"))
-    fixes = found.select("path", F.col("code_snippet").alias("original"), F.concat(F.lit("# fixed: "), "code_snippet").alias("fixed"), "line_number")
-    out = remedy.apply_patches(files, fixes).withColumnRenamed("content", "after").join(files, "path")
-    return out.select("path", "status", F.sha2("after", 256).alias("after_sha256"), remedy.patch_impact(F.col("content"), F.col("after")).alias("changed"))
+    found = rules.scan_lines(derived(spark, sf_dir, "code_lines"), PATCHED)
+    number = F.col("line_number") * 100 + F.substring("rule", 2, 2).cast("long")
+    fixes = found.select(number.alias("id"), "path", F.col("code_snippet").alias("original"), F.concat(F.lit("# fixed "), "rule", F.lit(": "), "code_snippet").alias("fixed"), "line_number")
+    return files, remedy.apply_patches(files, fixes)
+
+
+@query(rule_sql.union(_FIXES + """, after AS (SELECT c.path, string_agg(CASE WHEN f.id IS NULL THEN line ELSE replace(line, f.code_snippet, f.fixed) END, chr(10) ORDER BY line_no) AS text, count(f.id) AS changed
+    FROM code_lines c LEFT JOIN (SELECT * FROM chosen WHERE rn = 1) f ON f.path = c.path AND f.line_number = c.line_no GROUP BY c.path)
+  SELECT a.path, sha256(a.text) AS after_sha256, a.changed, n_fixes FROM after a JOIN (SELECT path, count(*) AS n_fixes FROM fix GROUP BY path) n USING (path)""", PATCHED))
+def patched_files(spark, sf_dir):
+    files, out = patches(spark, sf_dir)
+    out = out.withColumnRenamed("content", "after").join(files, "path")
+    return out.select("path", F.sha2("after", 256).alias("after_sha256"), remedy.patch_impact(F.col("content"), F.col("after")).alias("changed"), F.size("outcomes").cast("long").alias("n_fixes"))
+
+
+@query(rule_sql.union(_FIXES + " SELECT path, id, CASE WHEN rn = 1 THEN 'applied' ELSE 'deferred' END AS status FROM chosen", PATCHED))
+def fix_outcomes(spark, sf_dir):
+    return patches(spark, sf_dir)[1].select("path", F.inline("outcomes")).select("path", "id", "status")
 
 
 @query("SELECT file_path, control_id, severity, CAST(line_number AS BIGINT) AS line_number FROM (SELECT 'r' || id AS file_path, control_id, severity, line_number FROM violations WHERE id % 4 < 3) v")

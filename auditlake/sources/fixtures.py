@@ -13,7 +13,7 @@ BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem"
 VIEWS: dict[str, str] = {}
 
 VIEWS["code_lines"] = """
-SELECT file_id, file_id % 50 AS project_id,
+SELECT file_id, project_id, path, line_no, CASE WHEN script <> '' THEN script ELSE code END AS line FROM (SELECT file_id, file_id % 50 AS project_id,
   CASE WHEN file_id % 11 = 0 THEN 'node_modules/m' || file_id || '.js'
        WHEN file_id % 7 = 0 THEN 'app/tests/test_f' || file_id || '.py'
        WHEN file_id % 5 = 0 THEN 'src/f' || file_id || '.ts'
@@ -21,6 +21,10 @@ SELECT file_id, file_id % 50 AS project_id,
        WHEN file_id % 13 = 0 THEN 'docs/f' || file_id || '.md'
        ELSE 'src/f' || file_id || '.py' END AS path,
   CAST(row_number() OVER (PARTITION BY file_id ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) AS BIGINT) AS line_no,
+  CASE WHEN file_id % 11 = 0 OR (file_id % 7 <> 0 AND (file_id % 5 = 0 OR file_id % 3 = 0)) THEN CASE l_partkey % 29
+    WHEN 3 THEN '  s = "}{" + `{` + ''{{''; // }' WHEN 5 THEN '  /* { */ (a, [{b}]);' WHEN 11 THEN 'export async function pay(a, {b}) {' WHEN 12 THEN '  } */'
+    WHEN 20 THEN '  /* {' WHEN 24 THEN 'function sign(x);' WHEN 25 THEN 'class Account extends Model {' WHEN 26 THEN '  function total(' WHEN 27 THEN '} // done }'
+    WHEN 28 THEN '  }' ELSE '' END ELSE '' END AS script,
   CASE l_partkey % 29
     WHEN 0 THEN 'def delete_user(request):' WHEN 1 THEN '@login_required' WHEN 2 THEN '    user.save()'
     WHEN 3 THEN '    logger.info(password)' WHEN 4 THEN '    response = requests.get(url)' WHEN 5 THEN '    # comment .save()'
@@ -32,8 +36,8 @@ SELECT file_id, file_id % 50 AS project_id,
     WHEN 19 THEN '  router.post("/api/pay", verifyToken, (req, res) => {' WHEN 20 THEN 'def authenticate(user, pwd):'
     WHEN 21 THEN '    api_key = "sk-1234567890abcdef"' WHEN 22 THEN '    api_key = os.getenv("API_KEY")'
     WHEN 23 THEN '    r = requests.post(url, timeout=5)' WHEN 24 THEN '    try:' WHEN 25 THEN 'class Account(Model):'
-    WHEN 26 THEN '    with open(path) as f:' WHEN 27 THEN 'import logging' ELSE '    return x' END AS line
-FROM (SELECT *, CAST(floor(l_orderkey / 8) AS BIGINT) AS file_id FROM lineitem) l
+    WHEN 26 THEN '    with open(path) as f:' WHEN 27 THEN 'import logging' WHEN 28 THEN '    return x' END AS code
+FROM (SELECT *, CAST(floor(l_orderkey / 8) AS BIGINT) AS file_id FROM lineitem) l) c
 """
 
 VIEWS["projects"] = """
@@ -79,7 +83,8 @@ FROM lineitem GROUP BY l_orderkey
 VIEWS["audit_events"] = """
 SELECT event_id AS id, user_id AS project_id, ts AS created_at, props AS metadata,
   CASE event_type WHEN 'signup' THEN 'scan_started' WHEN 'view' THEN 'scan_completed' WHEN 'click' THEN 'violation_detected'
-       WHEN 'purchase' THEN 'fix_applied' ELSE 'database_cleared' END AS event_type
+       WHEN 'purchase' THEN 'fix_applied'
+       ELSE CASE event_id % 4 WHEN 0 THEN 'database_cleared' WHEN 1 THEN 'settings_changed' WHEN 2 THEN 'fix_failed' ELSE 'scan' END END AS event_type
 FROM events
 """
 
@@ -112,7 +117,8 @@ FROM customer WHERE c_custkey <= 40
 VIEWS["project_files"] = """
 SELECT c_custkey AS project_id, CASE c_custkey % 9 WHEN 0 THEN 'web/manage.py' WHEN 1 THEN 'app.py' WHEN 2 THEN 'package.json' WHEN 3 THEN 'package.json' WHEN 4 THEN 'requirements.txt'
     WHEN 5 THEN 'requirements.txt' WHEN 6 THEN 'a/b/c/d/e/settings.py' WHEN 7 THEN 'package.json' ELSE 'src/package.json' END AS path,
-  CASE c_custkey % 9 WHEN 2 THEN '{"next": 1, "react": 2}' WHEN 3 THEN '{"express": 1}' WHEN 4 THEN 'Django==4' WHEN 5 THEN 'Flask' WHEN 7 THEN '{"react": 1}' ELSE '"express" "react"' END AS content
+  CASE c_custkey % 9 WHEN 2 THEN '{"next": 1, "react": 2}' WHEN 3 THEN '{"express": 1}' WHEN 4 THEN 'Django==4' WHEN 5 THEN CASE WHEN c_custkey % 2 = 0 THEN 'Flask' ELSE 'flask==3' END
+    WHEN 7 THEN CASE WHEN c_custkey % 2 = 0 THEN '{"react": 1}' ELSE '{"name": "react", "private": true}' END ELSE '"express": "react": ' END AS content
 FROM customer
 """
 

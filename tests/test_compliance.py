@@ -1,5 +1,6 @@
 """Rules at the edges of their frames, merges, patches, replies, limits, and the registered queries against DuckDB."""
 
+import random
 import re
 
 import duckdb
@@ -110,10 +111,56 @@ def test_definition_spans_nested(spark):
     assert {(r.name, r.rule) for r in corpus.span_rules(files, found).collect()} == {("h", "R17")}
 
 
+def script_spans(spark, text, path="a.ts"):
+    files = corpus.with_lines(spark.createDataFrame([(path, text)], "path string, content string"))
+    return {(r.kind, r.name, r.start_line, r.end_line) for r in corpus.spans(files).collect()}
+
+
+def test_spans_of_scripts(spark):
+    text = "\n".join([
+        "import x from 'y';", "export default async function pay(a, {b}) {", "  const s = '}' + \"{\" + `", "{ ${b} `;  // }", "  function inner(", "    q,", "  )", "  {", "    return [1, {}];", "  }", "}",
+        "/* function no() {", " */", "class A extends B {", "  method() { return 1; }", "}", "function one() { return {}; }", "function sign(x): void;", "// function not() {}", "const f = function named() {};", "export class Open {", "  x = 1;",
+    ])
+    want = {("function", "pay", 2, 11), ("function", "inner", 5, 10), ("class", "A", 14, 16), ("function", "one", 17, 17), ("class", "Open", 21, 22)}
+    for path in ("a.ts", "b.js", "c.tsx", "d.jsx"):
+        assert script_spans(spark, text, path) == want
+    assert script_spans(spark, text, "a.md") == set() and script_spans(spark, "", "a.js") == set() and script_spans(spark, "}}}\n)(", "a.js") == set()
+    long = "function f() {\n  x = '" + "\\\\" * 200_000 + "';\n  /*" + "*x" * 200_000 + "*/\n}"
+    assert script_spans(spark, long) == {("function", "f", 1, 4)}
+
+
+def test_outermost_spans_hold_lines(spark):
+    rng = random.Random(6)
+    spans = [(f"p{rng.randrange(3)}", rng.choice(["function", "class"]), f"n{i}", a, a + rng.choice([0, 3, 40, 3000])) for i in range(120) for a in [rng.randint(1, 6000)]]
+    spans = list({s[:2] + (s[3],): s for s in spans}.values())  # one for each start
+    points = [(i, f"p{rng.randrange(4)}", rng.randint(0, 9500)) for i in range(800)]
+    got = {r.id: (r.function_name, r.class_name) for r in merge.enclosing(spark.createDataFrame(points, "id long, path string, line_number long"), spark.createDataFrame(spans, "path string, kind string, name string, start_line long, end_line long")).collect()}
+    first = lambda path, kind, line: min(((s[3], s[2]) for s in spans if s[:2] == (path, kind) and s[3] <= line <= s[4]), default=(0, None))[1]
+    assert got == {i: (first(p, "function", n), first(p, "class", n)) for i, p, n in points}
+
+
+def test_rules_by_blocks_equal_rules_by_files(spark):
+    rng = random.Random(8)
+    words = [r[1].split("\n") for r in test_rule_frames.pytestmark[0].args[1]]
+    words = [w for ws in words for w in ws] + ["x = 1"] * 40 + ["@retry", "audit()", "BEGIN", "requests.get(u)", "breaker"]
+    paths = {i: f"src/f{i}.{rng.choice(['py', 'js', 'md'])}" for i in range(30)}
+    lines = [(p, n + 1, rng.choice(words[: rng.choice([12, 60, len(words)])])) for p in paths.values() for n in range(rng.choice([1, 7, 49, 50, 51, 230]))]
+    table = spark.createDataFrame(lines, "path string, line_no long, line string")
+    whole = sorted(map(tuple, rules.scan(corpus.gather_lines(table, ["path"])).collect()))
+    assert len({r[1] for r in whole}) >= 10
+    for size in (1, 3, 50, 1000):
+        assert sorted(map(tuple, rules.scan_lines(table, size=size).collect())) == whole
+    plan = rules.scan_lines(table, size=50)._jdf.queryExecution().executedPlan().toString()
+    assert "block" in plan
+
+
 def test_frameworks(spark):
-    rows = [(1, "manage.py", ""), (1, "app.py", ""), (2, "app.py", ""), (3, "package.json", '{"dependencies": {"next": 1, "react": 2}}'), (4, "package.json", '"react"'), (5, "x/package.json", '"react"'), (6, "a/b/c/d/manage.py", "")]
+    rows = [
+        (1, "manage.py", ""), (1, "app.py", ""), (2, "app.py", ""), (3, "package.json", '{"dependencies": {"next": 1, "react": 2}}'), (4, "package.json", '"react": {}'),
+        (5, "x/package.json", '"react": 1'), (6, "a/b/c/d/manage.py", ""), (7, "package.json", '{"name": "react"}'), (8, "requirements.txt", "flask==3"), (9, "package.json", '{"name": "react", "express": "1"}'),
+    ]
     got = {r.project_id: r.framework for r in corpus.detect_frameworks(spark.createDataFrame(rows, "project_id long, path string, content string")).collect()}
-    assert got == {1: "django", 2: "flask", 3: "nextjs", 4: "react", 5: None, 6: None}
+    assert got == {1: "django", 2: "flask", 3: "nextjs", 4: "react", 5: None, 6: None, 7: None, 8: "flask", 9: "express"}
 
 
 def stream_of(spark, tmp_path, batches, schema):
@@ -174,11 +221,56 @@ def test_no_window_spans_a_whole_table(spark):
         assert not re.search(r"windowspecdefinition\(\S+ (ASC|DESC)", plan), name
 
 
+def applied(spark, files, fixes):
+    files = spark.createDataFrame(files, "path string, content string")
+    fixes = spark.createDataFrame(fixes, "id long, path string, original string, fixed string, line_number long")
+    return {r.path: (r.content, {x.id: x.status for x in r.outcomes}) for r in remedy.apply_patches(files, fixes).collect()}
+
+
 def test_patches(spark):
-    files = spark.createDataFrame([("a", 'x\npw = "secret"\ny'), ("b", "q q"), ("c", "q\nq"), ("d", "z"), ("e", "")], "path string, content string")
-    fixes = spark.createDataFrame([("a", '"secret"', "env()", 2), ("b", "q", "r", 9), ("c", "q", "r", 2), ("d", "q", "r", 1), ("e", "q", "r", 1)], "path string, original string, fixed string, line_number long")
-    got = {r.path: (r.content, r.status) for r in remedy.apply_patches(files, fixes).collect()}
-    assert got == {"a": ("x\npw = env()\ny", "applied"), "b": ("q q", "ambiguous"), "c": ("q\nr", "applied"), "d": ("z", "not found"), "e": ("", "empty file")}
+    files = [("a", 'x\npw = "secret"\ny'), ("b", "q q"), ("c", "q\nq"), ("d", "z"), ("e", "")]
+    fixes = [(1, "a", '"secret"', "env()", 2), (2, "b", "q", "r", 9), (3, "c", "q", "r", 2), (4, "d", "q", "r", 1), (5, "e", "q", "r", 1), (6, "f", "q", "r", 1), (7, "d", "z", "r", 0), (8, "d", "", "r", 1)]
+    assert applied(spark, files, fixes) == {
+        "a": ("x\npw = env()\ny", {1: "applied"}), "b": ("q q", {2: "ambiguous"}), "c": ("q\nr", {3: "applied"}),
+        "d": ("z", {4: "not found", 7: "bad line", 8: "not found"}), "e": ("", {5: "empty file"}), "f": (None, {6: "no file"}),
+    }
+
+
+def test_several_patches_of_a_file(spark):
+    text = "a = 1\nß = 'x'\nb = a\nb = a\ntail \\E \\Q.*"
+    fixes = [(1, "p", "b = a", "b = 2", 4), (2, "p", "ß = 'x'", "s = ''\n", 2), (3, "p", "x'\nb", "-", 2), (4, "p", "a = 1\nß", "no", 1), (5, "p", "\\E \\Q.*", "end", 5), (6, "p", "b = a", "c", 3), (7, "p", "gone", "c", 3), (8, "p", "= ", None, 1)]
+    assert applied(spark, [("p", text)], fixes) == {"p": (
+        "no = '- = a\nb = 2\ntail end",
+        {1: "applied", 2: "deferred", 3: "applied", 4: "applied", 5: "applied", 6: "deferred", 7: "not found", 8: "deferred"},
+    )}
+
+
+def test_patches_against_a_loop(spark):
+    rng = random.Random(4)
+    files = [(f"f{i}", "".join(rng.choice("ab\né") for _ in range(rng.randint(0, 40)))) for i in range(60)]
+    fixes = [(n, f"f{rng.randrange(60)}", "".join(rng.choice("ab\né") for _ in range(rng.randint(1, 3))), rng.choice(["", "ZZ", "\n"]), rng.randint(1, 8)) for n in range(500)]
+    want = {}
+    for path, text in files:
+        status, placed = {}, []
+        for n, of, original, fixed, line in fixes:
+            if of != path:
+                continue
+            at, k = [], text.find(original)
+            while k >= 0:
+                at.append(k)
+                k = text.find(original, k + len(original))
+            over = [k for k in at if text.count("\n", 0, k) + 1 <= line <= text.count("\n", 0, k) + 1 + original.count("\n")]
+            status[n] = "empty file" if not text else "not found" if not at else "ambiguous" if not over and len(at) > 1 else "found"
+            if status[n] == "found":
+                placed.append(((over or at)[0], (over or at)[0] + len(original), n, fixed))
+        out, upto = "", 0
+        for start, end, n, fixed in sorted(placed):
+            status[n] = "applied" if start >= upto else "deferred"
+            if start >= upto:
+                out, upto = out + text[upto:start] + fixed, end
+        if status:
+            want[path] = (out + text[upto:], status)
+    assert applied(spark, files, fixes) == want
 
 
 def test_replies(spark):
@@ -225,7 +317,7 @@ def test_read_corpus(spark, tmp_path):
     assert [r.lines for r in rows] == [["x", "y"]]
 
 
-@pytest.mark.parametrize("name", ["scan_severity", "scan_findings", "hybrid_matches", "project_health", "violation_trend", "budget_events", "constraint_audit", "stream_event_counts", "hybrid_reasoning", "fix_prompts", "analysis_prompts", "recorded_fixes", "rescanned_findings", "budget_over_stream", "definition_spans", "quarantined_rows"])
+@pytest.mark.parametrize("name", ["scan_severity", "scan_findings", "hybrid_matches", "project_health", "violation_trend", "budget_events", "constraint_audit", "stream_event_counts", "hybrid_reasoning", "fix_prompts", "analysis_prompts", "recorded_fixes", "rescanned_findings", "budget_over_stream", "definition_spans", "quarantined_rows", "span_rule_findings", "enriched_findings", "patched_files", "fix_outcomes", "project_frameworks", "rule_r11", "rule_r16"])
 def test_against_duckdb(spark, name):
     con = duckdb.connect()
     for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents"):
