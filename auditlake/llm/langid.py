@@ -13,10 +13,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lean, text_buffer
+from .common import lean, may_be_in, row_key, staged, text_buffer
 
 # Families of languages by ISO 639-1 code. A language that isn't listed is a family of its own.
 FAMILIES = {
@@ -33,10 +33,9 @@ FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in code
 
 #: Features: hash buckets of byte n-grams.
 DIMS = 1 << 13
-#: Texts of each language that the classifiers are fitted on, at most about.
+#: Texts of each language that the classifiers are fitted on, at most; texts in all, beyond which languages get fewer each, but LEAST.
 SAMPLE_PER_LANGUAGE = 400
-#: Labels that are learned, the most frequent ones.
-MOST_LANGUAGES = 200
+SAMPLE, LEAST = 20_000, 20
 BLOCK = 1 << 20
 
 
@@ -104,59 +103,95 @@ def has_letter(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def _sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (lang, row_key, text) to (lang, row_key, at, x): the features that aren't 0, as 16-bit places and values."""
     for whole in batches:
         for batch in (whole.slice(i, 256) for i in range(0, len(whole), 256)):
             x = features(*text_buffer(batch.column(2)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([r.astype(np.float16).tobytes() for r in x], pa.binary())], names=["doc_id", "lang", "x"])
+            at = [np.flatnonzero(r) for r in x]
+            values = [r[k].astype(np.float16).tobytes() for r, k in zip(x, at, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([k.astype(np.uint16).tobytes() for k in at], pa.binary()), pa.array(values, pa.binary())], names=["lang", "row_key", "at", "x"])
 
 
-def _svm(x: np.ndarray, y: np.ndarray, steps: int = 12, penalty: float = 2e-4) -> np.ndarray:
-    """A linear support vector machine by averaged subgradient steps over minibatches; y is 1 or -1."""
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
-    weight = np.where(y > 0, len(y) / (2 * max((y > 0).sum(), 1)), len(y) / (2 * max((y < 0).sum(), 1)))
-    w, mean, t = np.zeros(x.shape[1]), np.zeros(x.shape[1]), 0
+class Sample:
+    """Sparse rows of features with a constant 1; some of them at once as a dense matrix."""
+
+    def __init__(self, at: list[np.ndarray], x: list[np.ndarray]):
+        self.at, self.x = at, x
+
+    def __len__(self) -> int:
+        return len(self.at)
+
+    def dense(self, rows: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(rows), DIMS + 1), np.float32)
+        out[:, DIMS] = 1
+        for i, r in enumerate(rows):
+            out[i, self.at[r]] = self.x[r]
+        return out
+
+    def of(self, rows: np.ndarray) -> Sample:
+        return Sample([self.at[r] for r in rows], [self.x[r] for r in rows])
+
+
+def _svm(x: Sample, y: np.ndarray, steps: int = 12, penalty: float = 2e-4) -> np.ndarray:
+    """Linear support vector machines by averaged subgradient steps over minibatches, one for each row of y; y is 1 or -1."""
+    positive = (y > 0).sum(1, keepdims=True)
+    weight = y.shape[1] / (2 * np.maximum(np.where(y > 0, positive, y.shape[1] - positive), 1))
+    w, mean, t = np.zeros((len(y), DIMS + 1)), np.zeros((len(y), DIMS + 1)), 0
     rng = np.random.default_rng(7)
     for _ in range(steps):
         for some in np.array_split(rng.permutation(len(x)), max(len(x) // 32, 1)):
             t += 1
             rate = 4 / (1 + 4 * penalty * t)
-            wrong = some[y[some] * (x[some] @ w) < 1]
+            rows = x.dense(some)
+            wrong = y[:, some] * (w @ rows.T) < 1
             w *= 1 - rate * penalty
-            w += rate / len(some) * ((y[wrong] * weight[wrong]) @ x[wrong])
+            w += rate / len(some) * ((wrong * y[:, some] * weight[:, some]) @ rows)
             mean += (w - mean) / t
     return mean.astype(np.float32)
 
 
+def sample(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """(lang, row_key, text) of the rows with the smallest hashes of id and text, per_language of each label at most.
+
+    Rows that share an id go in or out each for itself, repeated rows count once.  With more labels than SAMPLE / per_language
+    there are fewer of each, down to LEAST.  Only labels and keys are shuffled for the choice, and of each label no more
+    of them than that by each task; then the texts chosen.
+    """
+    rows = labelled.select(F.col(lang_col).alias("lang"), row_key(id_col, text_col).alias("row_key"), F.col(text_col).alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
+    keys = rows.select("lang", "row_key").distinct()
+    first = Window.partitionBy("lang").orderBy("row_key")
+    keys = staged(keys.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= per_language), "language-sample")
+    each = max(SAMPLE // max(keys.where("rank = 1").count(), 1), LEAST)
+    chosen = keys.where(F.col("rank") <= each).select(F.col("lang").alias("chosen_lang"), F.col("row_key").alias("chosen_key"))
+    held = may_be_in(rows, "row_key", chosen, "chosen_key").dropDuplicates(["lang", "row_key"])
+    return held.join(chosen, (F.col("row_key") == F.col("chosen_key")) & (F.col("lang") == F.col("chosen_lang")), "left_semi")
+
+
 def fit(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Fit on at most about per_language texts of each language, those with the smallest hashes of their ids.
+    """Fit on a sample() of the rows that have a label and a text; every label is learned.
 
-    Only the MOST_LANGUAGES most frequent labels are learned, so that the sample on the driver has a bound.
+    The driver holds the sample as sparse features, some 2 to 16 KB a text of which there are SAMPLE, or LEAST for each label if
+    those are more, and the weights, 128 KB a family while they are fitted.
     """
-    spark = labelled.sparkSession
-    rows = labelled.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()}
-    if not counts:
-        return Model([], [], np.zeros((0, DIMS + 1), np.float32), {})
-    shares = spark.createDataFrame([(k, min(1.0, per_language / n)) for k, n in counts.items()], "lang string, share double")
-    point = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    sample = rows.join(F.broadcast(shares), "lang").where(point < F.col("share")).select("doc_id", "lang", "text")
-    found = sorted(sample.mapInArrow(lean(_sample_features), "doc_id long, lang string, x binary").collect(), key=lambda r: (r.lang, r.doc_id is None, r.doc_id or 0, bytes(r.x)))
+    some = sample(labelled, per_language, id_col, text_col, lang_col).select("lang", "row_key", "text")
+    found = sorted(some.mapInArrow(lean(_sample_features), "lang string, row_key long, at binary, x binary").collect(), key=lambda r: (r.lang, r.row_key))
     if not found:
         return Model([], [], np.zeros((0, DIMS + 1), np.float32), {})
-    x = np.stack([np.frombuffer(r.x, np.float16) for r in found]).astype(np.float32)
+    x = Sample([np.frombuffer(r["at"], np.uint16) for r in found], [np.frombuffer(r.x, np.float16) for r in found])
     languages = sorted({r.lang for r in found})
-    y = np.array([languages.index(r.lang) for r in found])
+    number = {lang: i for i, lang in enumerate(languages)}
+    y = np.array([number[r.lang] for r in found])
     of = [FAMILY_OF.get(code, code) for code in languages]
     families = sorted(set(of))
-    family = np.array([families.index(of[i]) for i in y])
-    weights = np.stack([_svm(x, np.where(family == f, 1, -1)) for f in range(len(families))]) if len(families) > 1 else np.ones((1, DIMS + 1), np.float32)
+    family = np.array([families.index(f) for f in of])[y]
+    weights = _svm(x, np.where(family == np.arange(len(families))[:, None], 1, -1)) if len(families) > 1 else np.ones((1, DIMS + 1), np.float32)
     pairs: dict[int, list] = {}
     for f, name in enumerate(families):
         own = [i for i, k in enumerate(of) if k == name]
         for i, a in enumerate(own):
             for b in own[i + 1 :]:
-                rows_ab = (y == a) | (y == b)
-                pairs.setdefault(f, []).append((a, b, _svm(x[rows_ab], np.where(y[rows_ab] == a, 1, -1))))
+                both = np.flatnonzero((y == a) | (y == b))
+                pairs.setdefault(f, []).append((a, b, _svm(x.of(both), np.where(y[both] == a, 1, -1)[None])[0]))
     return Model(languages, families, weights, pairs)
 
 

@@ -38,8 +38,9 @@ PIECE = r"[A-Za-z0-9]+|[+/_.=-]{6,}"
 PAIR = r"(?<![A-Za-z0-9])(?=([A-Za-z0-9]+[+/_.=-]+[A-Za-z0-9]+))"
 #: Elements of a group of a running total.
 GROUP = 256
-#: Code points of a segment of a text.
-SEGMENT = 4096
+#: Code points of a segment of a text: parts of a text are cut from segments, not counted off from its beginning.
+SEGMENT = 1024
+SEGMENTS = f"(?s).{{1,{SEGMENT}}}"
 #: Values that stand for another.
 PLACEHOLDER = r"(?i)(example|placeholder|changeme|change_me|dummy|your[_-]|redacted|x{6,}|\*{3,}|0{12,}|1234567890)"
 #: A value that more owners than this have is an example.
@@ -65,6 +66,13 @@ def running(values: Column, step, zero: int = 0) -> Column:
     return _bound(values, lambda v: _bound(cut(v), lambda gs: _bound(first(gs), lambda before: each(gs, before))))
 
 
+def _cut(segments: Column, start: Column, n: Column) -> Column:
+    """n code points from `start` on, counted from 0, of a text given as its segments."""
+    k = F.floor(start / SEGMENT).cast("int")
+    held = F.array_join(F.slice(segments, k + 1, (F.floor((start + n) / SEGMENT) - k + 1).cast("int")), "")
+    return F.substring(held, (start - k * SEGMENT + 1).cast("int"), n.cast("int"))
+
+
 def _spans(text: Column, pattern: str, group: int) -> Column:
     """array<struct<start, end, value>> of all matches of a pattern, in code points.
 
@@ -150,14 +158,17 @@ def further_places(docs: DataFrame, values: DataFrame, base: DataFrame, id_col:
     sought = staged(apart.groupBy("row_key").agg(F.collect_set(F.struct("start", "end", "value")).alias("places")), "sought").withColumnRenamed("row_key", "sought_key")
     # Texts move only if they may hold a value.
     held = may_be_in(rows, "row_key", sought, "sought_key").join(sought, F.col("row_key") == F.col("sought_key"))
-    at = lambda p, n: F.substring("text", p.cast("int"), n)
+    segments = F.regexp_extract_all("text", F.lit(SEGMENTS), F.lit(0))
 
-    def stands(p: Column) -> Column:
+    def stands(segs: Column, p: Column) -> Column:
+        """Whether the value is there, apart from what joins its ends; only the place and its neighbours are cut out."""
         kind = F.when(p["value"].rlike("[A-Za-z0-9]"), F.lit("^[A-Za-z0-9]{2}$")).otherwise(F.lit("^[+/_.=-]{2}$"))
-        cut = lambda k: F.when(k > 0, F.coalesce(F.regexp_like(at(k, F.lit(2)), kind), F.lit(False))).otherwise(False)
-        return (at(p["start"] + 1, F.char_length(p["value"])) == p["value"]) & ~cut(p["start"]) & ~cut(p["end"])
+        lead, n = F.least(p["start"], F.lit(1)).cast("int"), F.char_length(p["value"])
+        joined = lambda two: F.coalesce(F.regexp_like(two, kind), F.lit(False))
+        whole = lambda x: (F.substring(x, lead + 1, n) == p["value"]) & ~((lead == 1) & joined(F.substring(x, F.lit(1), F.lit(2)))) & ~joined(F.substring(x, lead + n, F.lit(2)))
+        return _bound(_cut(segs, p["start"] - lead, p["end"] - p["start"] + lead + 1), whole)
 
-    return held.select("row_key", F.inline(F.filter("places", stands))).distinct()
+    return held.select("row_key", F.inline(_bound(segments, lambda segs: F.filter("places", lambda p: stands(segs, p))))).distinct()
 
 
 def ownership(found: DataFrame, most_owners: int = MOST_OWNERS) -> DataFrame:
@@ -174,20 +185,37 @@ def ownership(found: DataFrame, most_owners: int = MOST_OWNERS) -> DataFrame:
     return counted.withColumn("live", (F.col("n_owners") <= most_owners) & ~F.col("stands_for")).drop("stands_for")
 
 
+def _common(found: DataFrame, places: DataFrame, most_owners: int) -> DataFrame:
+    """(value_hash, common): values that more owners have than most_owners, counting those of their further places (row_key, value_hash).
+
+    So an ordinary word that someone's key word is followed by is no credential, as the texts of many owners have it.
+    """
+    keys = places.select(F.col("row_key").alias("place_key"), "value_hash").distinct()
+    rows = may_be_in(found.select("row_key", "owner").distinct(), "row_key", keys, "place_key")
+    where = keys.join(rows, F.col("place_key") == F.col("row_key")).select("value_hash", "owner").distinct()
+    told = found.select(F.explode("base.value").alias("value"), "owner").distinct().select(F.sha2("value", 256).alias("value_hash"), "owner")
+    told = told.join(where.select("value_hash").distinct(), "value_hash", "left_semi")
+    counted = told.union(where).groupBy("value_hash").agg(F.count_distinct(F.coalesce("owner", F.lit("\x00"))).alias("n"))
+    return counted.where(F.col("n") > most_owners).select("value_hash", F.lit(True).alias("common"))
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "source", owner_col: str | None = None, most_owners: int = MOST_OWNERS) -> DataFrame:
     """(doc_id, row_key, spans) for each row; a span is (start, rank, end, live, n_repos): kind ORDER[rank], code points, end exclusive.
 
     Null and empty texts have no spans; rows are told apart by row_key, the hash of id and text, so repeated rows have
     equal spans and other texts of an id their own; null repositories and owners count as one of their own; without an
     owner column, owners are read from the repositories' names; further columns are ignored; no rows give none.
+    A value is live if few owners have it wherever it stands; further places are reported of live values only.
     """
     found = staged(candidates(docs, id_col, text_col, repo_col, owner_col), "secrets")
     owners = staged(ownership(found, most_owners), "owners")
     base = found.where("size(base) > 0").select("row_key", F.explode("base").alias("s")).select("row_key", "s.start", "s.rank", "s.end", F.sha2("s.value", 256).alias("value_hash")).distinct()
     live = found.select(F.explode("base.value").alias("value")).distinct().join(owners.where("live").select("value_hash"), F.sha2("value", 256) == F.col("value_hash"))
     places = further_places(docs, staged(live.select("value"), "live"), base, id_col, text_col)
-    owned = places.select("row_key", "start", F.lit(len(KINDS)).alias("rank"), "end", F.sha2("value", 256).alias("value_hash"))
-    told = base.union(owned.select(base.columns)).join(owners.select("value_hash", "live", "n_repos"), "value_hash")
+    places = staged(places.select("row_key", "start", F.lit(len(KINDS)).alias("rank"), "end", F.sha2("value", 256).alias("value_hash")), "places")
+    owners = staged(owners.join(_common(found, places, most_owners), "value_hash", "left").select("value_hash", "n_repos", (F.col("live") & F.col("common").isNull()).alias("live")), "owners")
+    told = base.join(owners.select("value_hash", "live", "n_repos"), "value_hash")
+    told = told.union(places.select(base.columns).join(owners.where("live").select("value_hash", "live", "n_repos"), "value_hash"))
     spans = told.groupBy("row_key").agg(F.array_sort(F.collect_set(F.struct("start", "rank", "end", "live", "n_repos"))).alias("spans"))
     joined = found.select("doc_id", "row_key").join(spans, "row_key", "left")
     none = F.expr("cast(array() as array<struct<start:bigint,rank:int,end:bigint,live:boolean,n_repos:bigint>>)")
@@ -217,16 +245,9 @@ def mask(docs: DataFrame, scanned: DataFrame, id_col: str = "doc_id", text_col:
     # With where the spans before each one end.
     pieces = lambda upto: F.transform("_masked", lambda m, i: F.struct(m["start"].alias("start"), F.get(upto, i).alias("upto")))
     heads = F.filter(_bound(running(F.col("_masked.end"), lambda x, y: F.greatest(x, y)), pieces), lambda p: p["start"] >= p["upto"])
-    # Parts of a text come from segments of it, so that none is counted off from the text's beginning.
-    segments = F.regexp_extract_all(F.col(text_col), F.lit(f"(?s).{{1,{SEGMENT}}}"), F.lit(0))
-
-    def cut(segs: Column, a: Column, n: Column) -> Column:
-        k = F.floor(a / SEGMENT).cast("int")
-        held = F.array_join(F.slice(segs, k + 1, (F.floor((a + n) / SEGMENT) - k + 1).cast("int")), "")
-        return F.substring(held, (a - k * SEGMENT + 1).cast("int"), n.cast("int"))
-
-    told = lambda segs: F.array_join(F.transform(heads, lambda p: F.concat(cut(segs, p["upto"], p["start"] - p["upto"]), F.lit(mark))), "")
+    segments = F.regexp_extract_all(F.col(text_col), F.lit(SEGMENTS), F.lit(0))
+    told = lambda segs: F.array_join(F.transform(heads, lambda p: F.concat(_cut(segs, p["upto"], p["start"] - p["upto"]), F.lit(mark))), "")
     last = F.array_max("_masked.end")
-    masked = _bound(segments, lambda segs: F.concat(told(segs), cut(segs, last, F.char_length(text_col) - last)))
+    masked = _bound(segments, lambda segs: F.concat(told(segs), _cut(segs, last, F.char_length(text_col) - last)))
     touched = touched.withColumn(text_col, F.when(F.col("_masked").isNull(), F.col(text_col)).otherwise(masked))
     return clean.select(*docs.columns).union(touched.select(*docs.columns))

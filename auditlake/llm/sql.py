@@ -54,12 +54,14 @@ _WRITTEN = f"string_agg([{', '.join(map(_text, ORDER))}][rank + 1] || ':' || sta
 
 OP4 = f"""
 WITH base AS ({_BASE}
-), live AS (SELECT value FROM base GROUP BY value HAVING count(DISTINCT coalesce(source, chr(1))) <= {MOST_OWNERS}
+), few AS (SELECT value FROM base GROUP BY value HAVING count(DISTINCT coalesce(source, chr(1))) <= {MOST_OWNERS}
 ), bare AS ({_found(len(KINDS), BARE, 0, "regexp_matches(value, '[0-9]')")}
+), apart AS (
+  SELECT * FROM bare SEMI JOIN few USING (value) WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = bare.doc_id AND b.start < bare."end" AND bare.start < b."end")
+), live AS (
+  SELECT value FROM (SELECT value, source FROM base SEMI JOIN few USING (value) UNION ALL SELECT value, source FROM apart) GROUP BY value HAVING count(DISTINCT coalesce(source, chr(1))) <= {MOST_OWNERS}
 ), span AS (
-  SELECT doc_id, start, rank, "end", value FROM base
-  UNION ALL SELECT doc_id, start, rank, "end", value FROM bare SEMI JOIN live USING (value)
-  WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = bare.doc_id AND b.start < bare."end" AND bare.start < b."end")
+  SELECT doc_id, start, rank, "end", value FROM base UNION ALL SELECT doc_id, start, rank, "end", value FROM apart SEMI JOIN live USING (value)
 ), told AS (SELECT span.*, live.value IS NOT NULL AS is_live FROM span LEFT JOIN live USING (value)
 ), by_doc AS (
   SELECT doc_id, {', '.join(f'count(*) FILTER (rank = {rank}) AS n_{k.name}' for rank, k in enumerate(KINDS))},

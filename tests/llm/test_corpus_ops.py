@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
@@ -275,7 +276,7 @@ def test_secrets_found_elsewhere_whatever_their_form(spark):
     values = ["eyJhbGci.eyJzdWIi.c2ln-x_y", "hunterpass", "a1b2c3", "K9+/x==", "q-q-q-q", "======", "Abc.def/ghi1", "0a" * 16]
     around = ["{}", "see {} there", "AUTH={}", "?key={}&x", "/{}/", "x-{}_{}.", "é😀{}日", "{}\n{}", "a{}", "{}9", "{}-{}", "a.b/c={}+d", "q-{}"]
     rows = [(i, f'password: "{v}"', "a") for i, v in enumerate(values)]
-    rows += [(100 + i, " ".join(a.replace("{}", v) for v in values), f"s{i}") for i, a in enumerate(around)]
+    rows += [(100 + i, " ".join(a.replace("{}", v) for v in values), "b") for i, a in enumerate(around)]
     rows += [(200, None, None), (201, "", None), (None, "then hunterpass", "b"), (300, "hunterpass", "b"), (300, "x hunterpass", "b")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     scanned = secrets.scan(docs)
@@ -317,6 +318,25 @@ def test_values_that_stand_for_another_are_not_live(spark):
     assert {r.doc_id: [s.live for s in r.spans] for r in got.collect()} == {1: [False], 2: [True]}
 
 
+def test_words_that_many_owners_have_are_not_live(spark):
+    rows = [(1, "password: please", "a"), (2, "would you please come and please stay", "b"), (3, "please", "c"), (4, "token = zq81kk07", "a"), (5, "zq81kk07, please", "b"), (6, "zq81kk07", "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    scanned = secrets.scan(docs)
+    assert {r.doc_id: [(s.start, s["rank"], s.live) for s in r.spans] for r in scanned.collect()} == {1: [(0, 0, False)], 2: [], 3: [], 4: [(0, 0, True)], 5: [(0, 3, True)], 6: [(0, 3, True)]}
+    assert {r.doc_id: r.text for r in secrets.mask(docs, scanned).collect()} == {1: rows[0][1], 2: rows[1][1], 3: "please", 4: "[secret]", 5: "[secret], please", 6: "[secret]"}
+
+
+def test_many_further_places_in_a_text(spark):
+    n = 100_000
+    docs = spark.createDataFrame([(1, "password: hunter2x", "a"), (2, "日 hunter2x" * n, "a"), (3, "hunter2x", "b")], "doc_id long, text string, source string")
+    begun = time.time()
+    scanned = secrets.scan(docs)
+    got = {r.doc_id: [(s.start, s.end) for s in r.spans] for r in scanned.collect()}
+    assert got == {1: [(0, 18)], 2: [(10 * i + 2, 10 * i + 10) for i in range(n)], 3: [(0, 8)]}
+    assert {r.doc_id: r.text for r in secrets.mask(docs, scanned).collect()} == {1: "[secret]", 2: "日 [secret]" * n, 3: "[secret]"}
+    assert time.time() - begun < 120
+
+
 def test_many_matches_in_a_text(spark):
     n = 100_000
     text = " ".join(f"token=abc{i:07d}" for i in range(n))
@@ -339,6 +359,59 @@ def test_language_id(spark):
     assert {r.lang_pred for r in langid.predict(docs, langid.fit(docs.limit(0))).collect()} == {"und"}
 
 
+def test_sample_of_null_and_shared_ids(spark):
+    """A fixed number of each label, whatever the ids; repeated rows count once."""
+    rows = [(None, f"text {i}", "de") for i in range(3000)] + [(7, f"words {i}", "en") for i in range(3000)] + [(None, "the same", "fr")] * 2000 + [(1, None, "fr"), (2, "x", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(7)
+    got = langid.sample(docs).collect()
+    assert collections.Counter(r.lang for r in got) == {"de": 400, "en": 400, "fr": 1}
+    assert len({r.text for r in got}) == 801 and sorted(langid.sample(docs).collect()) == sorted(got)
+
+
+def test_every_label_is_learned(spark):
+    rows = [(c * 10 + i, " ".join(f"{chr(97 + c % 26)}{chr(97 + c // 26)}q{w}" for w in range(i, i + 8)), f"l{c:03d}") for c in range(300) for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    assert len(model.languages) == 300
+    got = {r.doc_id: r.lang_pred for r in langid.predict(docs, model).collect()}
+    assert sum(got[i] == c for i, _, c in rows) > 850
+
+
+def test_prediction_against_a_loop(spark, texts):
+    """predict() against plain sums over the same weights."""
+    docs = spark.createDataFrame([(i, t, ["de", "en", "fr", "es"][i % 4]) for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    of = [langid.FAMILY_OF.get(code, code) for code in model.languages]
+    got = {r.doc_id: r for r in langid.predict(docs, model).collect()}
+    for i, text in enumerate(texts):
+        if not any(c.isalpha() for c in text or ""):
+            assert (got[i].lang_pred, got[i].score) == ("und", 0)
+            continue
+        raw = bytes(c | 32 if 65 <= c <= 90 else c for c in text.encode())
+        raw = b" " + bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in raw) + b" "
+        counts = collections.Counter()
+        for k in range(1, 4):
+            for a in range(len(raw) - k):
+                counts[((int.from_bytes(raw[a : a + k + 1], "big") * 2654435761 + k * 40503) % 2**32) >> 19] += 1
+        total = sum(counts.values())
+        x = {c: (n / total) ** 0.5 for c, n in counts.items()}
+        margin = lambda w: sum(v * float(w[c]) for c, v in x.items()) + float(w[-1])  # noqa: B023, E731
+        sure = lambda m: 1 / (1 + np.exp(-4 * m))
+        each = [sure(margin(w)) for w in model.family_weights]
+        family = int(np.argmax(each))
+        members = [n for n, f in enumerate(of) if f == model.families[family]]
+        votes = dict.fromkeys(members, 0.0)
+        for a, b, w in model.pairs.get(family, []):
+            votes[a] += sure(margin(w))
+            votes[b] += 1 - sure(margin(w))
+        best = max(votes.values())
+        score = each[family] / sum(each) * (best / (len(members) - 1) if len(members) > 1 else 1)
+        near = [m for m in members if abs(votes[m] - best) < 1e-3]
+        assert got[i].lang_pred in {model.languages[m] for m in near} or sorted(each)[-1] - sorted(each)[-2] < 1e-3
+        if len(near) == 1:
+            assert abs(got[i].score - score) < 2e-3
+
+
 def test_language_id_of_held_out_documents(spark):
     """The registered query's answers on documents that it wasn't fitted on."""
     folder = "/root/testdata/sf0.01"
@@ -539,7 +612,8 @@ def test_pipeline(spark, texts, tmp_path):
     rows = [(i, t, "en" if i % 2 else "de", f"s{i % 4}", len(t or ""), 7) for i, t in enumerate(texts)]
     rows += [rows[20], rows[20], (None, words(rng, 50), "en", "s1", 0, 7), (None, texts[20] + " end", "de", "s2", 0, 7), (20, words(rng, 60), "en", "s3", 0, 7), (None, "123 !", "en", "s1", 5, 7)]
     rows += [(900 + i, f"{words(rng, 30)} password={v}", "en", s, 0, 7) for i, (v, s) in enumerate([("hunter22", "a"), ("hunter22", "b"), ("common77", "a"), ("common77", "b"), ("common77", "c")])]
-    rows += [(910, f"{words(rng, 30)} then hunter22 {words(rng, 10)}", "en", "z", 0, 7)]
+    rows += [(920, f"{words(rng, 30)} password: please {words(rng, 9)}", "en", "a", 0, 7), *((921 + i, f"{words(rng, 30)} please {words(rng, 9)}", "en", f"p{i}", 0, 7) for i in range(3))]
+    rows += [(910, f"{words(rng, 30)} then hunter22 {words(rng, 10)}", "en", "b", 0, 7)]
     schema = "doc_id long, text string, lang string, source string, n_chars long, row_key long"
     spark.createDataFrame(rows, schema).repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
     item = " ".join(texts[7].split()[10:40])
@@ -580,13 +654,17 @@ def test_pipeline(spark, texts, tmp_path):
                     found[m[k.group]].add(r[3])
     live = {v for v, owners in found.items() if len(owners) <= 2}
 
-    def masked(text):
+    def places(text, v):
         spans = [m.span() for k in secrets.KINDS for m in re.finditer(k.pattern, text) if len(m[k.group]) >= k.least]
+        at = [m.start() for m in re.finditer(rf"(?<![A-Za-z0-9])(?={re.escape(v)}(?![A-Za-z0-9]))", text)]
+        return [(x, x + len(v)) for x in at if not any(a < x + len(v) and x < b for a, b in spans)]
+
+    live = {v for v in live if len(found[v] | {r[3] for r in kept if places(r[1], v)}) <= 2}
+    assert "hunter22" in live and "please" in found and "please" not in live
+
+    def masked(text):
         hidden = [m.span() for k in secrets.KINDS for m in re.finditer(k.pattern, text) if m[k.group] in live]
-        for v in live:
-            for m in re.finditer(rf"(?<![A-Za-z0-9])(?={re.escape(v)}(?![A-Za-z0-9]))", text):
-                if not any(a < m.start() + len(v) and m.start() < b for a, b in spans):
-                    hidden.append((m.start(), m.start() + len(v)))
+        hidden += [x for v in live for x in places(text, v)]
         out, at = "", 0
         for a, b in sorted(hidden):
             if b > at:
