@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -51,16 +52,29 @@ def staged(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame
     return out
 
 
-def lean(run):
-    """An Arrow function that gives memory it no longer needs back to the system when its task ends.
+#: What the tasks of a worker keep for later tasks of their kind, by kind: functions that let go of it.
+KEPT: dict[str, Callable[[], None]] = {}
+
+
+def forget(keeps: str | None = None) -> None:
+    """Let go of what tasks of other kinds than `keeps` have kept, and give memory that is no longer needed back to the system."""
+    for kind, let_go in KEPT.items():
+        if kind != keeps:
+            let_go()
+    for pool in (pa.default_memory_pool(), pa.system_memory_pool()):  # Arrow's own, and the C heap
+        pool.release_unused()
+
+
+def lean(run, keeps: str | None = None):
+    """An Arrow function that begins without what tasks of other kinds have kept, and gives memory back when its task ends.
 
     Workers stay for later tasks, of other stages too, and would keep the most that any of them took.
     """
 
     def wrapped(batches):
+        forget(keeps)
         yield from run(batches)
-        for pool in (pa.default_memory_pool(), pa.system_memory_pool()):  # Arrow's own, and the C heap
-            pool.release_unused()
+        forget(keeps)
 
     return wrapped
 

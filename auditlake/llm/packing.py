@@ -102,7 +102,7 @@ def pack(docs: DataFrame, tokenizer: str, max_len: int = 2048, end_id: int = 1,
     """
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    pieces = staged(source.mapInArrow(lean(_pieces(tokenizer, max_len, end_id, keep_ids)), PIECE + ", ids array<int>" * keep_ids), "pieces", TEXT_ROWS)
+    pieces = staged(source.mapInArrow(lean(_pieces(tokenizer, max_len, end_id, keep_ids), "words"), PIECE + ", ids array<int>" * keep_ids), "pieces", TEXT_ROWS)
     counts = pieces.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n"))
     histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     slots = spark.createDataFrame(plan_packs(histogram, max_len), "length long, first long, ranks long, times long, pack long, at long")

@@ -15,7 +15,7 @@ from pathlib import Path
 
 import numpy as np
 
-from .common import Rolling
+from .common import KEPT, Rolling
 
 OTHER, LETTER, NUMBER, SPACE = range(4)
 #: Words whose ids a worker keeps; the cache starts anew when it is full.
@@ -171,3 +171,6 @@ def _parts(text: str):
 @lru_cache(maxsize=2)
 def word_ids(path: str) -> WordIds:
     return WordIds(path)
+
+
+KEPT["words"] = word_ids.cache_clear

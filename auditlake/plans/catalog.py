@@ -11,7 +11,7 @@ from ..functions import severity as sev
 from ..operators import bookkeeping, corpus, merge, prompts, remedy, reports, rules, store
 from ..sources import table
 from ..sources.fixtures import derived, oracle
-from ..streaming import changes
+from ..streaming import changes, keyed
 from . import rule_sql, span_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -808,9 +808,30 @@ def budget_over_stream(spark, sf_dir):
     folder = changes.work_folder(spark, "file-costs")
     file_costs(spark, sf_dir).write.parquet(folder)
     stream = spark.readStream.schema("scan_id long, file_no long, cost double").parquet(folder)
-    return changes.budget_stream(stream).select("scan_id", "file_no")
+    return keyed.budget_stream(stream).select("scan_id", "file_no")
 
 
 @query()
 def rate_limited_stream(spark, sf_dir):
-    return changes.rate_limit_stream(_path_events(_event_stream(spark, sf_dir)))
+    return keyed.rate_limit_stream(_path_events(_event_stream(spark, sf_dir)))
+
+
+@query()
+def rate_limiter_stats(spark, sf_dir):
+    return keyed.limiter_stats(_path_events(_event_stream(spark, sf_dir)))
+
+
+@query("""SELECT event_id, path FROM file_events WHERE path NOT LIKE '%build%' AND (path LIKE '%.py' OR path LIKE '%.ts')""")
+def watched_stream(spark, sf_dir):
+    return changes.drain(changes.watched(_path_events(_event_stream(spark, sf_dir))).select("event_id", "path"), ["event_id"])
+
+
+@query("SELECT event_id, path FROM file_events WHERE project_id = 7")
+def project_changes_stream(spark, sf_dir):
+    return changes.drain(changes.of_project(_path_events(_event_stream(spark, sf_dir)), 7).select("event_id", "path"), ["event_id"])
+
+
+@query("SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def stream_counts_without_loss(spark, sf_dir):
+    counts, _ = changes.counts_and_late(_event_stream(spark, sf_dir))
+    return counts.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))

@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -75,111 +75,111 @@ def drain(stream: DataFrame, keys: list[str]) -> DataFrame:
     return last.select(*(F.col(c) if c in keys else F.col(f"v.{c}").alias(c) for c in stream.columns))
 
 
-class Versions:
-    """A table that is rewritten by each batch of a stream: a folder for each batch, so that a repeated batch starts from the same state."""
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
 
-    def __init__(self, folder: str, first: DataFrame):
-        self.folder, self.schema = folder, first.schema
-        first.write.mode("overwrite").parquet(f"{folder}/state=-1")
-        self.last = -1
 
-    def before(self, batch: int, spark: SparkSession) -> DataFrame:
-        known = [n for n in (self.last, batch - 1) if n < batch]
-        return spark.read.schema(self.schema).parquet(f"{self.folder}/state={max(known)}")
+def append_once(rows: DataFrame, folder: str, batch: int) -> None:
+    """Append a batch to a table: a batch that is written again replaces its own rows, so that repeating it changes nothing."""
+    rows.write.mode("overwrite").parquet(f"{folder}/batch={batch}")
 
-    def write(self, batch: int, df: DataFrame) -> None:
-        df.write.mode("overwrite").parquet(f"{self.folder}/state={batch}")
-        self.last = batch
 
-    def read(self, spark: SparkSession) -> DataFrame:
-        return spark.read.schema(self.schema).parquet(f"{self.folder}/state={self.last}")
+def appended(spark: SparkSession, folder: str, schema) -> DataFrame:
+    """The table of all batches written by append_once()."""
+    return spark.read.schema(schema).option("recursiveFileLookup", True).parquet(folder)
 
 
-def rescan(findings: DataFrame, files: DataFrame, events: DataFrame, scanner: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Findings (path, ...) after changes of files (path, lines): the last event of a path counts.
+#: Partitions of a table of findings; a batch of changes rewrites those of its paths.
+PARTS = 64
 
-    Findings of changed paths are replaced by those of the scanner, findings of deleted paths go, others stay.
+
+class Findings:
+    """Findings (path, ...) in a folder, partitioned by the hash of the path, of which each batch replaces the partitions it touches.
+
+    What a batch writes follows from its changes and from rows that it doesn't change, so that a batch that ended halfway may
+    be repeated.  Each partition that was touched holds a row without a path, so that one left without findings is written too.
     """
-    last = events.groupBy("path").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("event_type"))
-    changed = last.where("event_type <> 'deleted'").select("path")
-    kept = findings.join(last.select("path"), "path", "left_anti")
-    return kept.select(*findings.columns).unionByName(scanner(files.join(changed, "path", "left_semi")).select(*findings.columns))
 
+    def __init__(self, folder: str, first: DataFrame, parts: int = PARTS):
+        self.folder, self.columns, self.parts = folder, first.columns, parts
+        self.spark, self.schema = first.sparkSession, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in first.schema)}, part int"
+        if not _exists(self.spark, folder):
+            self._write(first.withColumn("part", self.part()))
+
+    def part(self) -> Column:
+        return F.pmod(F.xxhash64("path"), F.lit(self.parts)).cast("int")
+
+    def _write(self, rows: DataFrame) -> None:
+        rows.repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(self.folder)
+
+    def _read(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(self.folder)
+
+    def read(self) -> DataFrame:
+        return self._read().where("path IS NOT NULL").select(*self.columns)
 
-def rescan_stream(stream: DataFrame, findings: DataFrame, files: DataFrame, scanner: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Findings kept up with a stream of changes: each batch rescans the paths that it names."""
-    spark, folder = stream.sparkSession, work_folder(stream.sparkSession, "rescan")
-    table = Versions(folder, findings)
-    run_to_end(stream, folder, "append", lambda df, n: table.write(n, rescan(table.before(n, spark), files, df, scanner)))
-    return table.read(spark)
+    def replace(self, named: DataFrame, found: DataFrame) -> list[int]:
+        """Put the findings `found` in the place of those of the paths `named`; returns the partitions written, at most `parts`."""
+        touched = sorted(r.part for r in named.select(self.part().alias("part")).distinct().collect())
+        if touched:
+            kept = self._read().where(F.col("part").isin(touched) & F.col("path").isNotNull()).join(named.select("path"), "path", "left_anti")
+            marks = self.spark.createDataFrame([(n,) for n in touched], "part int")
+            self._write(kept.select(*self.columns, "part").unionByName(found.select(*self.columns, self.part().alias("part"))).unionByName(marks, allowMissingColumns=True))
+        return touched
 
 
-def budget_stream(stream: DataFrame, limit: float = 1.0, batch: int = 10) -> DataFrame:
-    """The rows (scan_id, file_no, cost) of a stream that are analysed before their scan is over its budget.
+def rescan_stream(stream: DataFrame, findings: DataFrame, files: DataFrame, scanner: Callable[[DataFrame], DataFrame], folder: str | None = None, parts: int = PARTS) -> DataFrame:
+    """Findings (path, ...) kept up with a stream of changes of files (path, ...): each batch rescans the paths that it names.
 
-    State of a scan: files and cost so far, and whether it has stopped; it stops after a group of `batch` files with which
-    its cost exceeds the limit.  Files of a batch count in the order of their numbers.
+    The last event of a path in a batch counts: findings of changed paths are replaced by those of the scanner, those of deleted
+    paths go, others stay, in partitions that aren't read or written.  A folder that was used before is gone on from.
     """
-    spark, folder = stream.sparkSession, work_folder(stream.sparkSession, "budget")
-    table = Versions(folder, spark.createDataFrame([], "scan_id long, files long, spent double, stopped_at long"))
-    own = Window.partitionBy("scan_id")
+    spark = stream.sparkSession
+    folder = folder or work_folder(spark, "rescan")
+    table = Findings(f"{folder}/findings", findings, parts)
 
     def each(df: DataFrame, n: int) -> None:
-        state = table.before(n, spark)
-        order = own.orderBy("file_no").rowsBetween(Window.unboundedPreceding, 0)
-        rows = df.join(state, "scan_id", "left").withColumn("rn", F.coalesce("files", F.lit(0)) + F.row_number().over(own.orderBy("file_no")))
-        rows = rows.withColumn("total", F.coalesce("spent", F.lit(0.0)) + F.sum(F.coalesce("cost", F.lit(0.0))).over(order))
-        over = F.when((F.col("rn") % batch == 0) & (F.round("total", 9) > limit), F.col("rn"))
-        rows = rows.withColumn("stop", F.coalesce("stopped_at", F.min(over).over(own)))
-        kept = rows.where("stop IS NULL OR rn <= stop").select(*df.columns)
-        kept.write.mode("overwrite").parquet(f"{folder}/rows/batch={n}")
-        new = rows.groupBy("scan_id").agg(F.max("rn").cast("long").alias("files"), F.max_by("total", "rn").alias("spent"), F.first("stop").cast("long").alias("stopped_at"))
-        table.write(n, new.unionByName(state.join(new.select("scan_id"), "scan_id", "left_anti")))
+        last = df.where("path IS NOT NULL").groupBy("path").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("event_type")).persist()
+        try:
+            changed = last.where("event_type <> 'deleted'").select("path")
+            table.replace(last, scanner(files.join(changed, "path", "left_semi")))
+        finally:
+            last.unpersist()
 
     run_to_end(stream, folder, "append", each)
-    return spark.read.schema(stream.schema).option("recursiveFileLookup", True).parquet(f"{folder}/rows")
+    return table.read()
 
 
-STATE = "last double, minute double, hour double, day double"
+def counts_and_late(stream: DataFrame, window: str = "1 day", lateness: str = "1 day", folder: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(counts per tumbling window and type, late rows) of a stream of events: nothing vanishes.
 
+    A row is late if its window ended before the watermark, the latest time of the batches before less `lateness`.  Each batch
+    adds its own counts, so that no state is kept; late rows, and those without a time, are kept as they are, with their batch.
+    """
+    spark = stream.sparkSession
+    folder = folder or work_folder(spark, "late")
+    counts = "window_start timestamp, event_type string, n long"
 
-def _limited(events: DataFrame, key: str, state: DataFrame | None) -> DataFrame:
-    """Decisions (kind 1) on events and the buckets that keys are left with (kind 0), from the buckets that they had."""
-    names = [n for n, _, _ in BUCKETS]
-    rows = events.select(F.col(key).cast("long").alias("k"), F.lit(1).alias("kind"), "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("last"), *(F.lit(None).cast("double").alias(n) for n in names))
-    if state is not None:
-        rows = rows.union(state.select(F.col(key).alias("k"), F.lit(0), F.lit(None).cast("long"), "last", *names))
-    ordered = rows.repartition("k").sortWithinPartitions("k", "kind", "last", "event_id")
-
-    def run(frames):
-        now, tokens, last, begun = None, [], 0.0, False
+    def each(df: DataFrame, n: int) -> None:
+        rows = df.where("ts IS NOT NULL").withColumn("_window", F.window(F.col("ts").cast("timestamp"), window))
+        seen = appended(spark, f"{folder}/latest", "latest timestamp, of long").where(F.col("of") < n).agg(F.max("latest")).first()[0] if _exists(spark, f"{folder}/latest") else None
+        late = F.coalesce(F.col("_window.end") <= F.lit(seen) - F.expr(f"INTERVAL {lateness}"), F.lit(False)) if seen else F.lit(False)
+        rows = rows.withColumn("_late", late)
+        append_once(rows.where("_late").select(*df.columns).unionByName(df.where("ts IS NULL")).withColumn("batch_id", F.lit(n).cast("long")), f"{folder}/late", n)
+        append_once(rows.where("NOT _late").groupBy(F.col("_window.start").alias("window_start"), "event_type").agg(F.count(F.lit(1)).alias("n")), f"{folder}/counts", n)
+        append_once(df.agg(F.max(F.col("ts").cast("timestamp")).alias("latest"), F.lit(n).cast("long").alias("of")), f"{folder}/latest", n)
 
-        def left():
-            return (now, 0, None, None, None, None, last, *tokens)
+    run_to_end(stream, folder, "append", each)
+    whole = appended(spark, f"{folder}/counts", counts).groupBy("window_start", "event_type").agg(F.sum("n").alias("n"))
+    return whole, appended(spark, f"{folder}/late", T.StructType([*stream.schema.fields, T.StructField("batch_id", T.LongType())]))
 
-        for frame in frames:
-            out = []
-            for k, kind, event, at, *held in zip(*(frame[c].tolist() for c in frame.columns), strict=True):
-                if not begun or k != now:
-                    if begun:
-                        out.append(left())
-                    begun, now, tokens, last = True, k, [float(cap) for _, cap, _ in BUCKETS], at
-                if kind == 0:
-                    tokens = held
-                    continue
-                tokens = [min(t + max(at - last, 0.0) * cap / period, float(cap)) for t, (_, cap, period) in zip(tokens, BUCKETS, strict=True)]
-                last = max(at, last)
-                waits = [(0 if t >= 1 else (1 - t) * period / cap, name) for t, (name, cap, period) in zip(tokens, BUCKETS, strict=True)]
-                if short := [w for w in waits if w[0] > 0]:
-                    out.append((k, 1, int(event), False, int(max(w for w, _ in short)), short[0][1], None, *[None] * 3))
-                else:
-                    tokens = [t - 1 for t in tokens]
-                    out.append((k, 1, int(event), True, 0, None, None, *[None] * 3))
-            yield pd.DataFrame(out, columns=["k", "kind", "event_id", "allowed", "wait_seconds", "limit_type", "last", *names], dtype=object)
-        if begun:
-            yield pd.DataFrame([left()], columns=["k", "kind", "event_id", "allowed", "wait_seconds", "limit_type", "last", *names], dtype=object)
 
-    return ordered.mapInPandas(run, f"k long, kind int, event_id long, allowed boolean, wait_seconds long, limit_type string, {STATE}")
+def refill(tokens: list[float], last: float, at: float) -> tuple[list[float], float, list[tuple[float, str]]]:
+    """Tokens of the buckets at a time, the later of the two times, and (seconds to wait, bucket) of those without a whole token."""
+    tokens = [min(t + max(at - last, 0.0) * cap / period, float(cap)) for t, (_, cap, period) in zip(tokens, BUCKETS, strict=True)]
+    waits = [((1 - t) * period / cap, name) for t, (name, cap, period) in zip(tokens, BUCKETS, strict=True) if t < 1]
+    return tokens, max(at, last), waits
 
 
 def rate_limit(events: DataFrame, key: str = "project_id") -> DataFrame:
@@ -187,24 +187,27 @@ def rate_limit(events: DataFrame, key: str = "project_id") -> DataFrame:
 
     The state of a key is four numbers, so events of a key are read as a stream of batches, never as one group.
     """
-    return _limited(events, key, None).where("kind = 1").select(F.col("k").alias(key), "event_id", "allowed", "wait_seconds", "limit_type")
+    columns = [key, "event_id", "allowed", "wait_seconds", "limit_type"]
+    rows = events.select(F.col(key).cast("long").alias("k"), "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"))
+    ordered = rows.repartition("k").sortWithinPartitions("k", "at", "event_id")
 
+    def run(frames):
+        now, tokens, last = (), [], 0.0
+        for frame in frames:
+            out = []
+            for k, event, at in zip(*(frame[c].tolist() for c in ("k", "event_id", "at")), strict=True):
+                k = None if pd.isna(k) else int(k)
+                if (k,) != now:
+                    now, tokens, last = (k,), [float(cap) for _, cap, _ in BUCKETS], at
+                tokens, last, waits = refill(tokens, last, at)
+                if waits:
+                    out.append((k, int(event), False, int(max(w for w, _ in waits)), waits[0][1]))
+                else:
+                    tokens = [t - 1 for t in tokens]
+                    out.append((k, int(event), True, 0, None))
+            yield pd.DataFrame(out, columns=columns, dtype=object)
 
-def rate_limit_stream(stream: DataFrame, key: str = "project_id") -> DataFrame:
-    """rate_limit() over a stream: the buckets of each key are kept from batch to batch."""
-    spark, folder = stream.sparkSession, work_folder(stream.sparkSession, "limits")
-    table = Versions(folder, spark.createDataFrame([], f"{key} long, {STATE}"))
-
-    def each(df: DataFrame, n: int) -> None:
-        state = table.before(n, spark)
-        _limited(df, key, state).write.mode("overwrite").parquet(f"{folder}/rows/batch={n}")
-        done = spark.read.parquet(f"{folder}/rows/batch={n}")
-        # Keys without events in the batch are passed through with their buckets.
-        table.write(n, done.where("kind = 0").select(F.col("k").alias(key), "last", "minute", "hour", "day"))
-
-    run_to_end(stream, folder, "append", each)
-    rows = spark.read.schema(f"k long, kind int, event_id long, allowed boolean, wait_seconds long, limit_type string, {STATE}").option("recursiveFileLookup", True).parquet(f"{folder}/rows")
-    return rows.where("kind = 1").select(F.col("k").alias(key), "event_id", "allowed", "wait_seconds", "limit_type")
+    return ordered.mapInPandas(run, f"{key} long, event_id long, allowed boolean, wait_seconds long, limit_type string")
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
