@@ -23,15 +23,21 @@ LATENESS = "1 hour"
 BUDGET_DAYS = 7
 
 
-def run_to_end(out: DataFrame, folder: str) -> DataFrame:
-    """Append a stream of results to the files of a folder, over what input there is; returns all results so far."""
+def run_to_end(out: DataFrame, folder: str, idle: bool = True) -> DataFrame:
+    """Append a stream of results to the files of a folder, over what input there is; returns all results so far.
+
+    idle: whether batches without input run too, which move timers on; with state that goes by the clock there is no last one.
+    """
     spark = out.sparkSession
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKSDB)
+    wanted = {PROVIDER: ROCKSDB, "spark.sql.streaming.noDataMicroBatches.enabled": str(idle).lower()}
+    before = {name: spark.conf.get(name, None) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
     try:
         query = out.writeStream.format("parquet").outputMode("append").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
     finally:
-        spark.conf.unset(PROVIDER) if before is None else spark.conf.set(PROVIDER, before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
     query.awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{folder}/rows")
 
@@ -137,4 +143,4 @@ def budget_stream(stream: DataFrame, limit: float = 1.0, batch: int = 10, folder
     folder = folder or work_folder(stream.sparkSession, "budget")
     rows = stream.select(F.col("scan_id").cast("string").alias("k"), "file_no", F.coalesce("cost", F.lit(0.0)).alias("paid"))
     out = rows.groupBy("k").transformWithStateInPandas(Budget(limit, batch, days), Budget.OUTPUT, "Append", "ProcessingTime")
-    return run_to_end(out, folder).select(F.col("k").cast("long").alias("scan_id"), "file_no", "cost")
+    return run_to_end(out, folder, idle=False).select(F.col("k").cast("long").alias("scan_id"), "file_no", "cost")
