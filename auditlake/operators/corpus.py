@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.severity import language, trimmed
+from ..functions.severity import language, skip_path, trimmed
 from .rules import VIEW_AUTH
 
 # Words that make a file relevant, by group; compared with the lower-cased text.
@@ -34,11 +34,34 @@ KEYWORDS = {
 }
 
 
-def read_corpus(spark: SparkSession, root: str) -> DataFrame:
-    """(path, content, size) of the UTF-8 files of any size below a folder; others are dropped."""
+def _below(spark: SparkSession, root: str) -> Column:
+    """The path of a file below root, by the file's metadata, in URL encoding."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(root)
+    top = where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toUri().getRawPath().rstrip("/")
+    file = F.col("_metadata.file_path")
+    return F.substring(file, F.locate(f"{top}/", file) + len(top) + 1, F.char_length(file))
+
+
+def list_corpus(spark: SparkSession, root: str) -> DataFrame:
+    """(path, below, size, skipped) of the files below a folder, by a listing alone; `below` is the path from root on.
+
+    Spark's own listing leaves out empty files and those with a part of their path that begins with a dot or an underscore.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    text = files.where(F.is_valid_utf8(F.col("content").cast("string")))
-    return text.select("path", F.col("content").cast("string").alias("content"), F.col("length").alias("size"))
+    below = _below(spark, root)
+    return files.select("path", below.alias("below"), F.col("length").alias("size"), skip_path(below).alias("skipped"))
+
+
+def read_corpus(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """(files, rejects): (path, content, size) of the UTF-8 files below a folder, and (path, size, reason) of those that aren't.
+
+    Files that scans pass over, by their path from root on, are dropped from the listing by its metadata: they are never read.
+    Files may have any size that a row can hold; Spark lists no empty ones and none whose path has a part with `.` or `_` before it.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).where(~skip_path(_below(spark, root)))
+    whole = F.is_valid_utf8(F.col("content").cast("string"))
+    rejects = files.where(~whole).select("path", F.col("length").alias("size"), F.lit("not UTF-8").alias("reason"))
+    return files.where(whole).select("path", F.col("content").cast("string").alias("content"), F.col("length").alias("size")), rejects
 
 
 def with_lines(files: DataFrame, text: str = "content") -> DataFrame:

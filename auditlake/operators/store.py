@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Allowed values of columns, by table.
@@ -94,11 +94,58 @@ def snapshot_and_purge(store: dict[str, DataFrame], path: str, emptied=("fixes",
     return {name: df.limit(0) if name in emptied else df for name, df in store.items()}
 
 
+# Columns that tables got with each version of the schema, their types, and what older rows have in them.
+VERSIONS = {
+    "violations": (
+        (2, "detection_method", "string", "regex"), (2, "confidence_score", "int", None), (2, "llm_reasoning", "string", None), (2, "regex_reasoning", "string", None),
+        (3, "function_name", "string", None), (3, "class_name", "string", None),
+    ),
+    "scans": ((4, "scan_mode", "string", "regex_only"),),
+}
+
+
+def evolve(name: str, parts: list[DataFrame], version: int = 4) -> DataFrame:
+    """Parts of a table, written under any versions of the schema, as one table of a version, with that version's defaults.
+
+    Columns of later versions go.  A table that has the version already comes back as it is.
+    """
+    later = [c for v, c, _, _ in VERSIONS[name] if v > version]
+    out = None
+    for part in parts:
+        rows = part.drop(*later)
+        for v, column, kind, default in VERSIONS[name]:
+            if v <= version:
+                held = F.col(column).cast(kind) if column in rows.columns else F.lit(None).cast(kind)
+                rows = rows.withColumn(column, held if default is None else F.coalesce(held, F.lit(default)))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def evolve_scans(scans: DataFrame, costs: DataFrame) -> DataFrame:
-    """scan_mode added where it is missing: smart for scans that have a cost row, else regex_only."""
-    has = costs.select(F.col("scan_id").alias("id"), F.lit("smart").alias("_mode")).distinct()
-    old = scans if "scan_mode" in scans.columns else scans.withColumn("scan_mode", F.lit(None).cast("string"))
-    return old.join(has, "id", "left").withColumn("scan_mode", F.coalesce("scan_mode", "_mode", F.lit("regex_only"))).drop("_mode")
+    """Scans of any version with scan_mode: smart where it says regex_only, by default too, and the scan has a cost row."""
+    has = costs.select(F.col("scan_id").alias("id"), F.lit(True).alias("_cost")).distinct()
+    old = evolve("scans", [scans]).join(has, "id", "left")
+    return old.withColumn("scan_mode", F.when(F.col("_cost") & (F.col("scan_mode") == "regex_only"), "smart").otherwise(F.col("scan_mode"))).drop("_cost")
+
+
+def save_clustered(df: DataFrame, folder: str, order: tuple[str, ...], lookups: tuple[str, ...] = (), group_bytes: int = 64 << 20) -> None:
+    """Write a table range-sorted by `order`, with Parquet bloom filters for `lookups`.
+
+    A filter on the first columns of `order` reads the row groups of its range alone, by their least and largest values; an
+    equality on one of `lookups` those whose bloom filter may have the value.
+    """
+    writer = df.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").option("parquet.block.size", group_bytes)
+    for column in lookups:
+        writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
+    writer.parquet(folder)
+
+
+def lookup(spark: SparkSession, folder: str, schema, **values) -> DataFrame:
+    """The rows of a stored table whose columns have the values given (a list: one of them); the filter reaches the scan."""
+    rows = spark.read.schema(schema).parquet(folder)
+    for column, value in values.items():
+        rows = rows.where(F.col(column).isin(value) if isinstance(value, list) else F.col(column) == value)
+    return rows
 
 
 def quarantine(store: dict[str, DataFrame]) -> DataFrame:

@@ -94,6 +94,46 @@ def violation_lookup(spark, sf_dir):
     return v.join(v.agg(F.min("scan_id").alias("scan_id")), "scan_id", "left_semi").select("id", "scan_id", "control_id", "severity")
 
 
+@query("SELECT id, scan_id, control_id, severity FROM violations WHERE scan_id = (SELECT max(scan_id) FROM violations)")
+def clustered_lookup(spark, sf_dir):
+    """Written once sorted by scan, with bloom filters of ids, then looked up."""
+    v, folder = derived(spark, sf_dir, "violations"), changes.work_folder(spark, "violations")
+    store.save_clustered(v, folder, ("scan_id", "id"), ("id",))
+    last = spark.read.schema(v.schema).parquet(folder).agg(F.max("scan_id")).first()[0]  # one number, of the files' statistics
+    return store.lookup(spark, folder, v.schema, scan_id=last).select("id", "scan_id", "control_id", "severity")
+
+
+@query("""SELECT id, CASE WHEN id % 4 = 0 THEN 'regex' ELSE detection_method END AS detection_method, CASE WHEN id % 4 >= 1 THEN CAST(line_number AS INTEGER) END AS confidence_score,
+  CASE WHEN id % 4 >= 2 THEN 'f' || line_number END AS function_name FROM violations""")
+def evolved_violations(spark, sf_dir):
+    v = derived(spark, sf_dir, "violations")
+    folder, part = changes.work_folder(spark, "versions"), lambda n: v.where(F.pmod("id", F.lit(4)) == n)
+    second = lambda df: df.withColumn("confidence_score", F.col("line_number").cast("int"))
+    third = lambda df: second(df).withColumn("function_name", F.concat(F.lit("f"), "line_number"))
+    written = [part(0).drop("detection_method"), second(part(1)), third(part(2)), third(part(3)).withColumn("class_name", F.lit(None).cast("string"))]
+    for n, df in enumerate(written):
+        df.write.parquet(f"{folder}/version={n + 1}")
+    read = [spark.read.schema(df.schema).parquet(f"{folder}/version={n + 1}") for n, df in enumerate(written)]
+    once = store.evolve("violations", read)
+    return store.evolve("violations", [once]).select("id", "detection_method", "confidence_score", "function_name")
+
+
+@query("""SELECT status, sha256, count(*) AS n, CAST(sum(size) AS BIGINT) AS size FROM (
+  SELECT CASE doc_id % 4 WHEN 0 THEN 'read' WHEN 3 THEN 'not UTF-8' ELSE 'skipped' END AS status, CASE WHEN doc_id % 4 = 0 THEN sha256(coalesce(text, '') || chr(10)) END AS sha256,
+    octet_length(encode(coalesce(text, ''))) + CASE WHEN doc_id % 4 = 3 THEN 2 ELSE 1 END AS size FROM documents) f GROUP BY status, sha256""")
+def corpus_files(spark, sf_dir):
+    """Documents as files, a part of them in folders that scans pass over, a part not in UTF-8; listed, then read."""
+    docs, root = table(spark, sf_dir, "documents"), changes.work_folder(spark, "files")
+    text = F.coalesce("text", F.lit(""))
+    for n, (below, content) in enumerate((("src", text), ("node_modules/x", text), ("lib/venv", text), ("lib", F.concat(F.unhex(F.lit("FF")), text.cast("binary")).cast("string")))):
+        docs.where(F.col("doc_id") % 4 == n).select(content.alias("value")).write.option("maxRecordsPerFile", 1).mode("append").text(f"{root}/{below}")
+    files, rejects = corpus.read_corpus(spark, root)
+    passed = corpus.list_corpus(spark, root).where("skipped")
+    rows = files.select(F.lit("read").alias("status"), F.sha2("content", 256).alias("sha256"), "size").unionByName(rejects.select(F.col("reason").alias("status"), "size"), allowMissingColumns=True)
+    rows = rows.unionByName(passed.select(F.lit("skipped").alias("status"), "size"), allowMissingColumns=True)
+    return rows.groupBy("status", "sha256").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
+
+
 @query("SELECT id, project_id, started_at, status FROM scans ORDER BY started_at DESC, id DESC LIMIT 50")
 def newest_scans(spark, sf_dir):
     return derived(spark, sf_dir, "scans").orderBy(F.desc("started_at"), F.desc("id")).limit(50).select("id", "project_id", "started_at", "status")

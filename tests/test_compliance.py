@@ -368,14 +368,54 @@ def test_upsert(spark):
 
 
 def test_read_corpus(spark, tmp_path):
-    (tmp_path / "d").mkdir()
-    (tmp_path / "d" / "a.py").write_bytes(b"x\r\ny\n")
-    (tmp_path / "b.py").write_bytes(b"\xff\xfe")
-    rows = corpus.with_lines(corpus.read_corpus(spark, str(tmp_path))).collect()
-    assert [r.lines for r in rows] == [["x", "y"]]
-
-
-@pytest.mark.parametrize("name", ["scan_severity", "scan_findings", "hybrid_matches", "project_health", "violation_trend", "budget_events", "constraint_audit", "stream_event_counts", "hybrid_reasoning", "fix_prompts", "analysis_prompts", "recorded_fixes", "rescanned_findings", "budget_over_stream", "definition_spans", "quarantined_rows", "span_rule_findings", "enriched_findings", "patched_files", "fix_outcomes", "project_frameworks", "rule_r11", "rule_r16", "watched_stream", "project_changes_stream", "stream_counts_without_loss"])
+    for name, content in (("d e/a.py", b"x\r\ny\n"), ("b.py", b"\xff\xfe"), ("node_modules/c.py", b"z"), ("d e/venv/e.py", b"\xff"), ("empty.py", b""), ("_f.py", b"z")):
+        (tmp_path / "build" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "build" / name).write_bytes(content)
+    root = str(tmp_path / "build")
+    files, rejects = corpus.read_corpus(spark, root)
+    assert {r.path.split("/")[-1]: r.lines for r in corpus.with_lines(files).collect()} == {"a.py": ["x", "y"]}
+    assert [(r.path.split("/")[-1], r["size"], r.reason) for r in rejects.collect()] == [("b.py", 2, "not UTF-8")]
+    assert {(r.below, r["size"], r.skipped) for r in corpus.list_corpus(spark, root).collect()} == {("d%20e/a.py", 5, False), ("b.py", 2, False), ("node_modules/c.py", 1, True), ("d%20e/venv/e.py", 1, True)}
+    files.collect()
+    scan = files._jdf.queryExecution().executedPlan().collectLeaves().head()
+    assert scan.metrics().apply("numFiles").value() == 2  # skipped files are not even opened
+
+
+def test_versions_of_tables(spark):
+    first = spark.createDataFrame([(1, "x")], "id long, severity string")
+    second = spark.createDataFrame([(2, "x", "llm", 7), (3, "x", None, None)], "id long, severity string, detection_method string, confidence_score int")
+    fourth = spark.createDataFrame([(4, "f", "C", "x", "hybrid")], "id long, function_name string, class_name string, severity string, detection_method string")
+    once = store.evolve("violations", [first, second, fourth])
+    assert once.columns == ["id", "severity", "detection_method", "confidence_score", "llm_reasoning", "regex_reasoning", "function_name", "class_name"]
+    assert {(r.id, r.detection_method, r.confidence_score, r.class_name) for r in once.collect()} == {(1, "regex", None, None), (2, "llm", 7, None), (3, "regex", None, None), (4, "hybrid", None, "C")}
+    assert sorted(store.evolve("violations", [once]).collect()) == sorted(once.collect())
+    assert "function_name" not in store.evolve("violations", [once], 2).columns
+    scans, costs = spark.createDataFrame([(1, "regex_only"), (2, "analyze_all"), (3, None), (4, None)], "id long, scan_mode string"), spark.createDataFrame([(1,), (2,), (3,)], "scan_id long")
+    modes = {1: "smart", 2: "analyze_all", 3: "smart", 4: "regex_only"}
+    assert {r.id: r.scan_mode for r in store.evolve_scans(scans, costs).collect()} == modes
+    assert {r.id: r.scan_mode for r in store.evolve_scans(store.evolve_scans(scans, costs), costs).collect()} == modes
+
+
+def test_lookups_read_few_row_groups(spark, tmp_path):
+    rows = spark.range(200_000).select(F.col("id"), (F.col("id") % 500).alias("scan_id"), F.sha2(F.col("id").cast("string"), 256).alias("key"))
+    folder = f"file://{tmp_path}/t"
+    store.save_clustered(rows.repartition(8), folder, ("scan_id", "id"), ("key",), 1 << 20)
+
+    def read(**values):
+        found = store.lookup(spark, folder, rows.schema, **values)
+        out = found.collect()
+        plan = found._jdf.queryExecution().executedPlan()
+        assert "PushedFilters: [" in plan.toString() and f"{next(iter(values))}" in plan.toString().split("PushedFilters: [")[1].split("]")[0]
+        return out, plan.collectLeaves().head().metrics().apply("numOutputRows").value()
+
+    found, scanned = read(scan_id=77)
+    assert {r.id for r in found} == set(range(77, 200_000, 500)) and scanned < 60_000
+    key = rows.where("id = 4242").first().key
+    found, scanned = read(key=key)
+    assert [r.id for r in found] == [4242] and scanned < 60_000
+
+
+@pytest.mark.parametrize("name", ["scan_severity", "scan_findings", "hybrid_matches", "project_health", "violation_trend", "budget_events", "constraint_audit", "stream_event_counts", "hybrid_reasoning", "fix_prompts", "analysis_prompts", "recorded_fixes", "rescanned_findings", "budget_over_stream", "definition_spans", "quarantined_rows", "span_rule_findings", "enriched_findings", "patched_files", "fix_outcomes", "project_frameworks", "rule_r11", "rule_r16", "clustered_lookup", "evolved_violations", "scan_mode_backfill", "corpus_files", "watched_stream", "project_changes_stream", "stream_counts_without_loss"])
 def test_against_duckdb(spark, name):
     con = duckdb.connect()
     for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents"):
