@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,7 +13,8 @@ def match(pattern: DataFrame, model: DataFrame, tolerance: int = 3, buckets: boo
     """(llm_id, regex_id, *KEY): one-to-one matches of model findings, in id order, with the nearest free pattern finding.
 
     Findings match within a key and `tolerance` lines; of equally near ones the earlier id is taken.  Candidates come
-    from a join on the key and a bucket of lines; the greedy choice runs over each key's candidates.
+    from a join on the key and a bucket of lines; the greedy choice is a pass over each run of lines that share candidates,
+    as a sorted stream that holds the ids taken in the run.
     """
     width = tolerance + 1
     left = model.select(*KEY, F.col("id").alias("llm_id"), F.col("line_number").alias("llm_line"), F.explode(F.array(*(F.floor(F.col("line_number") / width) + d for d in (-1, 0, 1)))).alias("bucket"))
@@ -24,10 +26,27 @@ def match(pattern: DataFrame, model: DataFrame, tolerance: int = 3, buckets: boo
     lines = Window.partitionBy(*KEY).orderBy("llm_line", "llm_id")
     gap = F.coalesce((F.col("llm_line") - F.lag("llm_line").over(lines) > 2 * tolerance).cast("long"), F.lit(0))
     each = each.withColumn("gap", gap).withColumn("run", F.sum("gap").over(lines))
-    lists = each.groupBy(*KEY, "run").agg(F.array_sort(F.collect_list(F.struct("llm_id", "c"))).alias("ls"))
-    greedy = """aggregate(ls, cast(array() as array<struct<llm_id:bigint,regex_id:bigint>>), (acc, x) -> concat(acc, transform(
-        slice(filter(x.c, y -> not exists(acc, a -> a.regex_id = y.regex_id)), 1, 1), y -> struct(x.llm_id, y.regex_id))))"""
-    return lists.select(*KEY, F.inline(F.expr(greedy)))
+    ordered = each.select(*KEY, "run", "llm_id", F.transform("c", lambda x: x["regex_id"]).alias("near")).repartition(*KEY, "run").sortWithinPartitions(*KEY, "run", "llm_id")
+    kinds = ", ".join(f"{c} {each.schema[c].dataType.simpleString()}" for c in KEY)
+    return ordered.mapInArrow(_greedy, f"{kinds}, llm_id long, regex_id long")
+
+
+def _greedy(batches):
+    """Rows (*KEY, run, llm_id, near), sorted: the first of `near` that no row of the run before has taken, if there is one."""
+    now, taken = None, set()
+    for batch in batches:
+        runs = list(zip(*(batch.column(i).to_pylist() for i in range(len(KEY) + 1)), strict=True))
+        rows, chosen = [], []
+        for i, (run, near) in enumerate(zip(runs, batch.column(len(KEY) + 2).to_pylist(), strict=True)):
+            if run != now:
+                now, taken = run, set()
+            free = next((x for x in near if x not in taken), None)
+            if free is not None:
+                taken.add(free)
+                rows.append(i)
+                chosen.append(free)
+        picked = batch.take(pa.array(rows, pa.int64()))
+        yield pa.RecordBatch.from_arrays([*(picked.column(i) for i in range(len(KEY))), picked.column(len(KEY) + 1), pa.array(chosen, pa.int64())], names=[*KEY, "llm_id", "regex_id"])
 
 
 def merge(pattern: DataFrame, model: DataFrame, tolerance: int = 3) -> DataFrame:

@@ -164,8 +164,20 @@ def budget_cut(file_costs: DataFrame, limit: float = 1.0, batch: int = 10, on_li
 
 
 def scan_cost_rollup(kept: DataFrame) -> DataFrame:
-    out = kept.groupBy("scan_id").agg(F.count_if(F.col("cost").isNotNull()).alias("files"), F.round(F.sum("cost"), 6).alias("cost"))
-    return out.where((F.col("files") > 0) & (F.col("cost") > 0))
+    """A cost row for each scan with analysed files (those with a cost) that cost something; caches aren't counted there."""
+    paid = F.col("cost").isNotNull()
+    tokens = [F.coalesce(F.sum(F.when(paid, F.col(c))), F.lit(0)).cast("long").alias(c) for c in ("input_tokens", "output_tokens")]
+    out = kept.groupBy("scan_id").agg(F.count_if(paid).alias("files_analyzed_with_llm"), *tokens, F.round(F.sum("cost"), 6).alias("total_cost_usd"))
+    out = out.withColumns({c: F.lit(0).cast("long") for c in ("cache_read_tokens", "cache_write_tokens")})
+    return out.where("files_analyzed_with_llm > 0 AND total_cost_usd > 0").select("scan_id", "files_analyzed_with_llm", *(f"{k}_tokens" for k in PRICES), "total_cost_usd")
+
+
+def scan_summary(scans: DataFrame, violations: DataFrame, files: DataFrame, costs: DataFrame) -> DataFrame:
+    """A row for each scan: its status, violations by severity, files (scan_id, total_files, files_scanned) and cost, 0 where there are none."""
+    counts = violations.groupBy(F.col("scan_id").alias("id")).agg(*count_by_severity(), F.count(F.lit(1)).alias("violations_found"))
+    paid = costs.groupBy(F.col("scan_id").alias("id")).agg(F.round(F.sum("total_cost_usd"), 6).alias("total_cost_usd"))
+    out = scans.select("id", "project_id", "status").join(counts, "id", "left").join(files.withColumnRenamed("scan_id", "id"), "id", "left").join(paid, "id", "left")
+    return out.fillna(0, [c for c in out.columns if c not in ("id", "project_id", "status")])
 
 
 def progress_events(files: DataFrame, every: int = 10) -> DataFrame:

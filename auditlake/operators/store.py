@@ -202,3 +202,11 @@ def quarantined(store: dict[str, DataFrame]) -> DataFrame:
 def manifest(store: dict[str, DataFrame], exported_at: str) -> DataFrame:
     """(version, exported_at, table_name, n): the head of an export."""
     return table_counts(store).select(F.lit("1.0").alias("version"), F.lit(exported_at).alias("exported_at"), "table_name", "n")
+
+
+def export_all(store: dict[str, DataFrame], path: str, exported_at: str) -> DataFrame:
+    """Each table as JSON below path, and the manifest() of what was written, read back, beside them."""
+    counts = export(store, path)
+    out = counts.select(F.lit("1.0").alias("version"), F.lit(exported_at).alias("exported_at"), "table_name", "n")
+    out.write.mode("overwrite").json(f"{path}/manifest")
+    return out.sparkSession.read.schema(out.schema).json(f"{path}/manifest")

@@ -43,6 +43,10 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.gather_lines(derived(spark, sf_dir, "code_lines"), ["file_id", "path"])
 
 
+#: The scan of a file of code_lines: forty files each.
+SCAN_OF = "floor(file_id / 40)"
+
+
 def costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.with_cost(derived(spark, sf_dir, "scan_costs"))
 
@@ -223,6 +227,14 @@ def export_counts(spark, sf_dir):
     return store.export(store_of(spark, sf_dir), folder)
 
 
+@query("""SELECT '1.0' AS version, '2026-01-01T00:00:00Z' AS exported_at, table_name, n FROM (SELECT 'audit_events' AS table_name, count(*) AS n FROM audit_events UNION ALL SELECT 'fixes', count(*) FROM fixes
+  UNION ALL SELECT 'projects', count(*) FROM projects UNION ALL SELECT 'scans', count(*) FROM scans UNION ALL SELECT 'settings', count(*) FROM settings UNION ALL SELECT 'violations', count(*) FROM violations) t""")
+def export_manifest(spark, sf_dir):
+    held = store_of(spark, sf_dir) | {"settings": derived(spark, sf_dir, "settings")}
+    held.pop("scan_costs")
+    return store.export_all(held, changes.work_folder(spark, "export"), "2026-01-01T00:00:00Z")
+
+
 @query("""SELECT 'audit_events' AS table_name, 0 AS n UNION ALL SELECT 'fixes', 0 UNION ALL SELECT 'projects', count(*) FROM projects
   UNION ALL SELECT 'scan_costs', count(*) FROM scan_costs UNION ALL SELECT 'scans', 0 UNION ALL SELECT 'violations', 0""")
 def purge_counts(spark, sf_dir):
@@ -344,10 +356,10 @@ def scan_findings(spark, sf_dir):
     return rules.scan_lines(derived(spark, sf_dir, "code_lines")).groupBy("rule", "control_id", "severity").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(rule_sql.union(f"SELECT file_id % 50 AS scan_id, {SEV} FROM found GROUP BY file_id % 50", ("R1", "R8", "R12")))
+@query(rule_sql.union(f"SELECT CAST(floor(file_id / 40) AS BIGINT) AS scan_id, {SEV} FROM found GROUP BY 1", ("R1", "R8", "R12")))
 def scan_severity(spark, sf_dir):
     found = rules.scan_lines(derived(spark, sf_dir, "code_lines"), ("R1", "R8", "R12"), keep=("file_id", "path"))
-    return reports.severity_counts(found.withColumn("scan_id", F.col("file_id") % 50))
+    return reports.severity_counts(found.withColumn("scan_id", F.expr(SCAN_OF)))
 
 
 @query(f"""SELECT doc_id, CAST(i AS BIGINT) AS line_number FROM (SELECT doc_id, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, regexp_split_to_array(text, '\\r?\\n') AS l FROM documents) d) x
@@ -547,11 +559,11 @@ def normalised_times(spark, sf_dir):
     return e.select("id", sev.parse_time(text).cast("timestamp_ntz").alias("at"))
 
 
-@query("""SELECT file_id % 50 AS scan_id, count(*) FILTER (WHERE NOT skipped) AS total_files, count(*) FILTER (WHERE NOT skipped AND known) AS files_scanned FROM
+@query("""SELECT CAST(floor(file_id / 40) AS BIGINT) AS scan_id, count(*) FILTER (WHERE NOT skipped) AS total_files, count(*) FILTER (WHERE NOT skipped AND known) AS files_scanned FROM
   (SELECT DISTINCT file_id, path LIKE 'node_modules/%' AS skipped, path LIKE '%.py' OR path LIKE '%.js' OR path LIKE '%.ts' AS known FROM code_lines) f GROUP BY 1""")
 def scan_file_totals(spark, sf_dir):
     files = derived(spark, sf_dir, "code_lines").select("file_id", "path").distinct().where(~sev.skip_path(F.col("path")))
-    return files.groupBy((F.col("file_id") % 50).alias("scan_id")).agg(F.count(F.lit(1)).alias("total_files"), F.count(sev.language(F.col("path"))).alias("files_scanned"))
+    return files.groupBy(F.expr(SCAN_OF).alias("scan_id")).agg(F.count(F.lit(1)).alias("total_files"), F.count(sev.language(F.col("path"))).alias("files_scanned"))
 
 
 @query("SELECT id, CASE severity WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 END AS weight, CASE WHEN status IN ('open', 'fixed', 'dismissed') THEN status ELSE 'open' END AS status FROM violations")
@@ -663,10 +675,16 @@ def severity_tabs(spark, sf_dir):
     return derived(spark, sf_dir, "violations").rollup("severity").agg(F.count(F.lit(1)).alias("n")).select(F.coalesce("severity", F.lit("all")).alias("tab"), "n")
 
 
-@query(f"SELECT s.id, s.status, coalesce(critical, 0) AS critical, coalesce(high, 0) AS high, coalesce(medium, 0) AS medium, coalesce(low, 0) AS low, coalesce(n, 0) AS violations_found FROM scans s LEFT JOIN (SELECT scan_id, {SEV}, count(*) AS n FROM violations GROUP BY 1) c ON c.scan_id = s.id")
+FILE_TOTALS = """(SELECT CAST(floor(file_id / 40) AS BIGINT) AS scan_id, count(*) FILTER (WHERE NOT skipped) AS total_files, count(*) FILTER (WHERE NOT skipped AND known) AS files_scanned FROM
+  (SELECT DISTINCT file_id, path LIKE 'node_modules/%' AS skipped, path LIKE '%.py' OR path LIKE '%.js' OR path LIKE '%.ts' AS known FROM code_lines) f GROUP BY 1)"""
+
+
+@query(f"""SELECT s.id, s.project_id, s.status, coalesce(critical, 0) AS critical, coalesce(high, 0) AS high, coalesce(medium, 0) AS medium, coalesce(low, 0) AS low, coalesce(n, 0) AS violations_found,
+    coalesce(total_files, 0) AS total_files, coalesce(files_scanned, 0) AS files_scanned, coalesce(round({COST}, 6), 0) AS total_cost_usd
+  FROM scans s LEFT JOIN (SELECT scan_id, {SEV}, count(*) AS n FROM violations GROUP BY 1) c ON c.scan_id = s.id LEFT JOIN {FILE_TOTALS} t ON t.scan_id = s.id LEFT JOIN scan_costs k ON k.scan_id = s.id""")
 def scan_summary(spark, sf_dir):
-    counts = derived(spark, sf_dir, "violations").groupBy(F.col("scan_id").alias("id")).agg(*reports.count_by_severity(), F.count(F.lit(1)).alias("violations_found"))
-    return derived(spark, sf_dir, "scans").select("id", "status").join(counts, "id", "left").fillna(0)
+    totals = scan_file_totals(spark, sf_dir)
+    return reports.scan_summary(derived(spark, sf_dir, "scans"), derived(spark, sf_dir, "violations"), totals, costs(spark, sf_dir))
 
 
 @query(f"WITH {DONE} SELECT project_id, id, started_at FROM done WHERE rn = 1")
@@ -685,7 +703,7 @@ def running_cost(spark, sf_dir):
     return reports.running_cost(joined).select("scan_id", "project_id", "running")
 
 
-FILE_COSTS = "SELECT file_id % 50 AS scan_id, file_id AS file_no, CASE WHEN file_id % 17 = 0 THEN NULL ELSE (file_id % 13) * 0.01::DOUBLE END AS cost FROM (SELECT DISTINCT file_id FROM code_lines) f"
+FILE_COSTS = "SELECT CAST(floor(file_id / 40) AS BIGINT) AS scan_id, file_id AS file_no, CASE WHEN file_id % 17 = 0 THEN NULL ELSE (file_id % 13) * 0.01::DOUBLE END AS cost, file_id % 500 AS input_tokens, file_id % 70 AS output_tokens FROM (SELECT DISTINCT file_id FROM code_lines) f"
 _BUDGET = f"""WITH fc AS ({FILE_COSTS}), r AS (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY file_no) AS rn, sum(coalesce(cost, 0)) OVER (PARTITION BY scan_id ORDER BY file_no ROWS UNBOUNDED PRECEDING) AS spent, count(*) OVER (PARTITION BY scan_id) AS files FROM fc),
   cut AS (SELECT scan_id, min(rn) AS rn FROM r WHERE rn % 10 = 0 AND round(spent, 9) > 1.0 AND rn < files GROUP BY scan_id)"""
 
@@ -693,7 +711,7 @@ _BUDGET = f"""WITH fc AS ({FILE_COSTS}), r AS (SELECT *, row_number() OVER (PART
 def file_costs(spark, sf_dir):
     files = derived(spark, sf_dir, "code_lines").select("file_id").distinct()
     cost = F.when(F.col("file_id") % 17 == 0, None).otherwise((F.col("file_id") % 13) * F.lit(0.01))
-    return files.select((F.col("file_id") % 50).alias("scan_id"), F.col("file_id").alias("file_no"), cost.alias("cost"))
+    return files.select(F.expr(SCAN_OF).alias("scan_id"), F.col("file_id").alias("file_no"), cost.alias("cost"), (F.col("file_id") % 500).alias("input_tokens"), (F.col("file_id") % 70).alias("output_tokens"))
 
 
 @query(_BUDGET + " SELECT r.scan_id, round(r.spent, 6) AS cost, 1.0::DOUBLE AS cost_limit, r.rn AS analysed, r.files - r.rn AS remaining FROM r JOIN cut ON cut.scan_id = r.scan_id AND cut.rn = r.rn")
@@ -701,7 +719,7 @@ def budget_events(spark, sf_dir):
     return reports.budget_cut(file_costs(spark, sf_dir))[1]
 
 
-@query(_BUDGET + " SELECT r.scan_id, count(cost) AS files, round(sum(cost), 6) AS cost FROM r LEFT JOIN cut ON cut.scan_id = r.scan_id WHERE cut.rn IS NULL OR r.rn <= cut.rn GROUP BY r.scan_id HAVING count(cost) > 0 AND round(sum(cost), 6) > 0")
+@query(_BUDGET + " SELECT r.scan_id, count(cost) AS files_analyzed_with_llm, CAST(sum(input_tokens) FILTER (cost IS NOT NULL) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) FILTER (cost IS NOT NULL) AS BIGINT) AS output_tokens, 0::BIGINT AS cache_read_tokens, 0::BIGINT AS cache_write_tokens, round(sum(cost), 6) AS total_cost_usd FROM r LEFT JOIN cut ON cut.scan_id = r.scan_id WHERE cut.rn IS NULL OR r.rn <= cut.rn GROUP BY r.scan_id HAVING count(cost) > 0 AND round(sum(cost), 6) > 0")
 def scan_cost_rollup(spark, sf_dir):
     return reports.scan_cost_rollup(reports.budget_cut(file_costs(spark, sf_dir))[0])
 
@@ -846,7 +864,7 @@ def rescanned_findings(spark, sf_dir):
 @query(_BUDGET + " SELECT r.scan_id, r.file_no FROM r LEFT JOIN cut ON cut.scan_id = r.scan_id WHERE cut.rn IS NULL OR r.rn <= cut.rn")
 def budget_over_stream(spark, sf_dir):
     folder = changes.work_folder(spark, "file-costs")
-    file_costs(spark, sf_dir).write.parquet(folder)
+    file_costs(spark, sf_dir).select("scan_id", "file_no", "cost").write.parquet(folder)
     stream = spark.readStream.schema("scan_id long, file_no long, cost double").parquet(folder)
     return keyed.budget_stream(stream).select("scan_id", "file_no")
 

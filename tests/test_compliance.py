@@ -64,6 +64,20 @@ def test_merge_is_one_to_one(spark):
     assert found == {(11, "high", "hybrid"), (12, "critical", "hybrid"), (13, "low", "llm"), (3, "low", "regex")}
 
 
+def test_merge_of_a_dense_file_against_a_loop(spark):
+    rng = random.Random(5)
+    row = "id long, scan_id long, file_path string, control_id string, line_number long"
+    regex = [(i, i % 2, "f", "c", rng.randint(1, 900)) for i in range(3000)]
+    llm = [(10_000 + i, i % 2, "f", "c", rng.randint(1, 900)) for i in range(3000)]
+    want, taken = set(), set()
+    for i, scan, _, _, line in llm:
+        near = sorted((abs(r[4] - line), r[0]) for r in regex if r[1] == scan and abs(r[4] - line) <= 3 and r[0] not in taken)
+        if near:
+            taken.add(near[0][1])
+            want.add((i, near[0][1]))
+    assert {(r.llm_id, r.regex_id) for r in merge.match(spark.createDataFrame(regex, row), spark.createDataFrame(llm, row)).collect()} == want
+
+
 def test_merged_reasoning_and_far_runs(spark):
     row = "id long, scan_id long, file_path string, control_id string, line_number long, severity string, detection_method string, description string, llm_reasoning string"
     regex = spark.createDataFrame([(1, 1, "f", "c", 10, "low", "regex", "r1", None), (2, 1, "f", "c", 90, "low", "regex", "r2", None), (3, 1, "f", "c", 13, "odd", "regex", "r3", None)], row)
@@ -415,7 +429,7 @@ def test_lookups_read_few_row_groups(spark, tmp_path):
     assert [r.id for r in found] == [4242] and scanned < 60_000
 
 
-@pytest.mark.parametrize("name", ["scan_severity", "scan_findings", "hybrid_matches", "project_health", "violation_trend", "budget_events", "constraint_audit", "stream_event_counts", "hybrid_reasoning", "fix_prompts", "analysis_prompts", "recorded_fixes", "rescanned_findings", "budget_over_stream", "definition_spans", "quarantined_rows", "span_rule_findings", "enriched_findings", "patched_files", "fix_outcomes", "project_frameworks", "rule_r11", "rule_r16", "clustered_lookup", "evolved_violations", "scan_mode_backfill", "corpus_files", "watched_stream", "project_changes_stream", "stream_counts_without_loss"])
+@pytest.mark.parametrize("name", ["scan_severity", "scan_findings", "hybrid_matches", "project_health", "violation_trend", "budget_events", "constraint_audit", "stream_event_counts", "hybrid_reasoning", "fix_prompts", "analysis_prompts", "recorded_fixes", "rescanned_findings", "budget_over_stream", "definition_spans", "quarantined_rows", "span_rule_findings", "enriched_findings", "patched_files", "fix_outcomes", "project_frameworks", "rule_r11", "rule_r16", "scan_summary", "scan_cost_rollup", "export_manifest", "scan_file_totals", "clustered_lookup", "evolved_violations", "scan_mode_backfill", "corpus_files", "watched_stream", "project_changes_stream", "stream_counts_without_loss"])
 def test_against_duckdb(spark, name):
     con = duckdb.connect()
     for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents"):
