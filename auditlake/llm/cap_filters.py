@@ -199,12 +199,14 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_id"
 
     Vectors that are null, empty, zero or hold null, NaN or infinite components link with nothing, nor do vectors of other
     lengths than the most frequent one's with those; equal vectors are compared once and count each; a repeated row is
-    another vector with the same id; further columns are ignored; no rows give none.
+    another vector with the same id; a row without id links with nothing, has no component and isn't kept; further columns are
+    ignored; no rows give none.
     Pairs above the threshold are found with a probability that grows with their cosine (README: measured recall).
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v"))
     kind = np.float32 if dict(rows.dtypes)["v"] == "array<float>" else np.float64
-    usable = staged(rows.mapInArrow(_usable(kind), "vec_id long, body binary"), "vectors")
+    usable = rows.mapInArrow(_usable(kind), "vec_id long, body binary")
+    usable = staged(usable.withColumn("body", F.when(F.col("vec_id").isNotNull(), F.col("body"))), "vectors")
     classes = staged(usable.where("body is not null").groupBy("body").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "vector-classes")
     sizes = classes.groupBy(F.octet_length("body").alias("size")).agg(F.count(F.lit(1)).alias("n"), F.max("copies").alias("most")).collect()
     found = None
@@ -212,14 +214,14 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_id"
         here = _search(classes.where(F.octet_length("body") == size.size), kind, size.size // np.dtype(kind).itemsize, size.n, cosine)
         found = here if found is None else found.union(here)
     if found is None:
-        return usable.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+        return usable.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
     found = staged(found, "vector-links")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     joined = components(found.select("rep", "root"), "rep", "root").withColumnRenamed("id", "rep")
     of_class = classes.join(links, "rep", "left").join(joined, "rep", "left")
     of_class = of_class.select("body", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id"))
     out = usable.join(of_class, "body", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
-    return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
 def _search(classes: DataFrame, kind: type, dims: int, n: int, cosine: float) -> DataFrame:

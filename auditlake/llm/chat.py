@@ -6,7 +6,8 @@ and removing one backslash gives the text back.
 
 Rows are dealt by conversation and sorted by turn; a batch of turns is assembled by numpy: lengths of the segments, their
 offsets by a running sum, and scatter indices by which headers and contents are copied into one preallocated Arrow buffer.
-A conversation that runs over several batches comes in parts, so that no conversation has to fit memory.
+Batches are cut by bytes, and a conversation that runs over several of them comes in parts, so that no conversation has to
+fit memory, only each turn.
 """
 
 from __future__ import annotations
@@ -65,9 +66,26 @@ def assemble(roles: pa.Array, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, at
 
 
+#: Bytes of roles and texts that are assembled at once, unless one turn has more: numpy takes some 17 bytes for each.
+BLOCK = 4 << 20
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of BLOCK bytes of roles and texts at most, or of one row."""
+    for batch in batches:
+        size = np.zeros(len(batch), np.int64)
+        for column in (batch.column(1), batch.column(2)):
+            size += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+        upto, a = np.cumsum(size), 0
+        while a < len(batch):
+            b = max(int(np.searchsorted(upto, (upto[a - 1] if a else 0) + BLOCK, "right")), a + 1)
+            yield batch.slice(a, b - a)
+            a = b
+
+
 def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     last, part = (), 0
-    for batch in batches:
+    for batch in _slices(batches):
         if not len(batch):
             continue
         conv, role, text = batch.column(0), batch.column(1).fill_null(""), batch.column(2).fill_null("")
@@ -97,7 +115,8 @@ def format_chats(turns: DataFrame) -> DataFrame:
 
     Turns are taken by turn number, equal ones by role and text; a null text or role is empty, a null turn comes first, a
     null conv_id is a conversation of its own; repeated rows are repeated turns; further columns are ignored; an empty
-    table gives no rows.  Parts of a conversation, 0 and up, are in order within their partition.
+    table gives no rows; a turn may be as long as a value of a row can be.  Parts of a conversation, 0 and up, are in order
+    within their partition.
     """
     rows = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role"), F.col("text"))
     dealt = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")

@@ -604,6 +604,30 @@ def test_chat_over_several_batches(spark):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
 
 
+def test_chat_in_blocks_of_bytes(monkeypatch):
+    import pyarrow as pa
+
+    rows = [(c, "assistant", f"é{t} [INST]" * 40) for c in range(5) for t in range(4)] + [(9, None, None), (9, "user", "x" * 5000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.string(), pa.string()))], names=["conv_id", "role", "text"])
+
+    def read():
+        parts = [pa.RecordBatch.from_arrays([x["conv_id"], x["formatted"], x["masks"]], names=["conv_id", "formatted", "masks"]) for x in chat._format(iter([batch]))]
+        return sorted(repr(r) for x in chat._read(iter(parts)) for r in x.to_pylist())
+
+    whole = read()
+    monkeypatch.setattr(chat, "BLOCK", 700)
+    parts = list(chat._slices(iter([batch])))
+    assert len(parts) > 10 and sum(map(len, parts)) == len(batch) and max(map(len, parts)) > 1
+    assert read() == whole and len(whole) == 6
+
+
+def test_vectors_without_id(spark):
+    v = np.random.default_rng(3).normal(size=32)
+    rows = [(i, (v + d).tolist()) for i, d in ((1, 0.0), (None, 1e-6), (None, 2e-6), (2, 3e-6))] + [(3, None)]
+    got = sorted(map(tuple, cap_filters.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).select("vec_id", "n_links", "component_id", "kept").collect()), key=repr)
+    assert got == sorted([(1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True), (None, 0, None, False), (None, 0, None, False)], key=repr)
+
+
 def test_pipeline(spark, texts, tmp_path):
     """All rows of run(), with repeated, null and shared ids, against loops over Python lists."""
     import corpus_pipeline
