@@ -45,6 +45,19 @@ def snippet(lines: Column, line_no: Column, around: int, numbered: bool = True)
     return F.struct(F.array_join(shown, "\n").alias("text"), (at - low + 1).alias("rel"))
 
 
+def line_snippets(findings: DataFrame, lines: DataFrame, around: int = 5, numbered: bool = True) -> DataFrame:
+    """(id, text, rel) of the lines (path, line_no, line) around each finding (id, path, line_number), null where its line isn't in the file.
+
+    Only the lines wanted meet the findings, by path and number, so that files may have any length.
+    """
+    near = F.explode(F.sequence(F.col("line_number") - around, F.col("line_number") + around)).alias("line_no")
+    met = findings.select("id", "path", "line_number", near).join(lines.select("path", "line_no", "line"), ["path", "line_no"])
+    shown = lambda s: F.format_string("%4d | %s", s["line_no"], s["line"]) if numbered else s["line"]
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), shown), "\n")
+    told = met.groupBy("id", "line_number").agg(text.alias("text"), (F.col("line_number") - F.min("line_no") + 1).alias("rel"), F.bool_or(F.col("line_no") == F.col("line_number")).alias("inside"))
+    return findings.select("id").join(told.where("inside").select("id", "text", "rel"), "id", "left")
+
+
 OUTCOMES = "array<struct<id:bigint,status:string,start:bigint,end:bigint>>"
 # The place of a fix x in content: non-overlapping literal matches are walked once, with the line and the byte they begin at.
 _PLACE = r"""

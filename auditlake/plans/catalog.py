@@ -336,6 +336,22 @@ def context_snippets(spark, sf_dir):
     return rows.select("path", F.col("line_no").cast("long").alias("line_no"), remedy.snippet(F.col("lines"), F.col("line_no"), 1)["text"].alias("snippet"))
 
 
+@query("""WITH near AS (SELECT v.id, v.line_number, c.line_no, c.line FROM violations v JOIN code_lines c ON c.path = v.file_path AND c.line_no BETWEEN v.line_number - 2 AND v.line_number + 2)
+  SELECT v.id, n.text, n.rel FROM violations v LEFT JOIN (SELECT id, string_agg(format('{:4d} | {}', line_no, line), chr(10) ORDER BY line_no) AS text, line_number - min(line_no) + 1 AS rel FROM near GROUP BY id, line_number HAVING bool_or(line_no = line_number)) n USING (id)""")
+def violation_snippets(spark, sf_dir):
+    return remedy.line_snippets(derived(spark, sf_dir, "violations").withColumnRenamed("file_path", "path"), derived(spark, sf_dir, "code_lines"), 2)
+
+
+@query("""SELECT id AS violation_id, code_snippet AS original_code, 'fixed ' || id AS fixed_code, CASE control_id WHEN 'CC6.1' THEN 'Added access control protection to ensure only authorized users can access this resource.'
+  WHEN 'CC6.7' THEN 'Moved hardcoded secret to environment variable. Use secure secret management in production.' WHEN 'CC7.2' THEN 'Added audit logging to track this sensitive operation for compliance monitoring.'
+  ELSE 'Added error handling with proper recovery logic to improve system resilience.' END AS explanation, 'review' AS trust_level FROM violations WHERE id % 4 <> 3""")
+def new_fix_rows(spark, sf_dir):
+    v = derived(spark, sf_dir, "violations")
+    code, kind = F.concat(F.lit("fixed "), "id"), F.col("id") % 4
+    reply = F.when(kind == 0, F.concat(F.lit("Here it is:\n```python\n"), code, F.lit("\n```\nDone."))).when(kind == 1, F.concat(F.lit("```\n"), code)).otherwise(F.concat(F.lit("\n"), code, F.lit("\r\n")))
+    return remedy.new_fixes(v, v.where(kind != 3).select(F.col("id").alias("violation_id"), reply.alias("response")))
+
+
 # ---- rules
 
 

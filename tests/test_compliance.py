@@ -429,7 +429,7 @@ def test_lookups_read_few_row_groups(spark, tmp_path):
     assert [r.id for r in found] == [4242] and scanned < 60_000
 
 
-@pytest.mark.parametrize("name", ["scan_severity", "scan_findings", "hybrid_matches", "project_health", "violation_trend", "budget_events", "constraint_audit", "stream_event_counts", "hybrid_reasoning", "fix_prompts", "analysis_prompts", "recorded_fixes", "rescanned_findings", "budget_over_stream", "definition_spans", "quarantined_rows", "span_rule_findings", "enriched_findings", "patched_files", "fix_outcomes", "project_frameworks", "rule_r11", "rule_r16", "scan_summary", "scan_cost_rollup", "export_manifest", "scan_file_totals", "clustered_lookup", "evolved_violations", "scan_mode_backfill", "corpus_files", "watched_stream", "project_changes_stream", "stream_counts_without_loss"])
+@pytest.mark.parametrize("name", ["scan_severity", "scan_findings", "hybrid_matches", "project_health", "violation_trend", "budget_events", "constraint_audit", "stream_event_counts", "hybrid_reasoning", "fix_prompts", "analysis_prompts", "recorded_fixes", "rescanned_findings", "budget_over_stream", "definition_spans", "quarantined_rows", "span_rule_findings", "enriched_findings", "patched_files", "fix_outcomes", "project_frameworks", "rule_r11", "rule_r16", "violation_snippets", "new_fix_rows", "scan_summary", "scan_cost_rollup", "export_manifest", "scan_file_totals", "clustered_lookup", "evolved_violations", "scan_mode_backfill", "corpus_files", "watched_stream", "project_changes_stream", "stream_counts_without_loss"])
 def test_against_duckdb(spark, name):
     con = duckdb.connect()
     for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents"):
