@@ -25,7 +25,7 @@ from .common import TEXT_ROWS, U64, Rolling, key_groups, lean, mix, row_key, sig
 from .components import components
 
 #: Bytes of text hashed at once, unless one document has more.
-BLOCK = 1 << 19
+BLOCK = 1 << 17
 #: Percent of a set's size that is the number l of shingles to be shared.
 SHARED_PERCENT = 8
 #: Shingles of a group that one task holds; a larger group is dealt out as pairs of blocks.

@@ -23,7 +23,7 @@ CACHE_WORDS = 150_000
 #: Longer words aren't kept.
 CACHE_CHARS = 64
 #: Code points that are split at once.
-BLOCK_CHARS = 1 << 18
+BLOCK_CHARS = 1 << 16
 
 
 @lru_cache(maxsize=1)

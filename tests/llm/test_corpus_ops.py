@@ -713,3 +713,22 @@ def test_pipeline(spark, texts, tmp_path):
     spark.createDataFrame([], schema).write.parquet(str(tmp_path / "none" / "documents.parquet"))
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "none" / "benchmark.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_very_long_texts_in_blocks():
+    """Ids and features of texts that are worked on in several blocks."""
+    rng = np.random.default_rng(9)
+    long = " ".join("".join(rng.choice(list("abcdé日'1 \n"), rng.integers(1, 12))) for _ in range(45_000))
+    assert len(long) > 4 * tokens.BLOCK_CHARS
+    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    ids, counts = tokens.word_ids(P.path("byte_bpe_50k.tiktoken")).encode(["ab", long, "", "cd " + long])
+    want = [t.encode(x, add_special_tokens=False).ids for x in ("ab", long, "", "cd " + long)]
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == want
+    raw = np.frombuffer(long.encode(), np.uint8)
+    assert len(raw) > 2 * langid.BLOCK
+    whole = langid.features(raw, np.array([0, len(raw)]))
+    before, langid.BLOCK = langid.BLOCK, 1 << 30
+    try:
+        assert np.array_equal(whole, langid.features(raw, np.array([0, len(raw)])))
+    finally:
+        langid.BLOCK = before
