@@ -21,14 +21,21 @@ def strip_fences(text: Column) -> Column:
     """The code inside the first fence; without a whole fence, the text without fence lines and outer line ends."""
     inside = F.regexp_extract(text, r"(?s)```[A-Za-z0-9_+-]*[ \t]*\r?\n(.*?)\r?\n?```", 1)
     lone = F.array_join(F.filter(F.split(text, "\n"), lambda x: ~F.btrim(x).startswith("```")), "\n")
-    return F.btrim(F.when(inside != "", inside).otherwise(lone), F.lit("\r\n"))
+    code = F.when(~F.contains(text, F.lit("```")), text).when(inside != "", inside).otherwise(lone)
+    return F.btrim(code, F.lit("\r\n"))
+
+
+def _once(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """rows with a column worked out once a row: Spark copies a plain column into each expression and filter that reads it."""
+    return rows.select("*", F.explode(F.array(value)).alias(name))
 
 
 def parse_replies(replies: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(findings, rejects) of (file_path, response): an array, or an object with one; all or nothing for each reply."""
-    body = F.btrim(strip_fences(F.col("response")), F.lit(" \t\r\n"))
+    rows = _once(replies, "body", F.btrim(strip_fences(F.col("response")), F.lit(" \t\r\n")))
+    body = F.col("body")
     parsed = F.coalesce(F.from_json(F.when(body.startswith("["), body), REPLY), F.from_json(F.when(body.startswith("{"), body), f"struct<violations:{REPLY}>")["violations"])
-    rows = replies.withColumn("body", body).withColumn("items", F.when(F.col("body").isin("", "[]"), F.expr(f"cast(array() as {REPLY})")).otherwise(parsed))
+    rows = _once(rows, "items", F.when(body.isin("", "[]"), F.expr(f"cast(array() as {REPLY})")).otherwise(parsed))
     whole = F.forall("items", lambda x: x["control_id"].isNotNull() & x["severity"].isNotNull() & x["description"].isNotNull() & x["line_number"].isNotNull())
     good = F.coalesce(F.col("items").isNotNull() & whole, F.lit(False))
     found = rows.where(good).select("file_path", F.inline("items"))
