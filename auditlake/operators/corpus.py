@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -42,26 +44,63 @@ def _below(spark: SparkSession, root: str) -> Column:
     return F.substring(file, F.locate(f"{top}/", file) + len(top) + 1, F.char_length(file))
 
 
-def list_corpus(spark: SparkSession, root: str) -> DataFrame:
+#: Files of a folder that write_files() makes.
+FOLDER_FILES = 1000
+
+
+def write_files(files: DataFrame, root: str) -> None:
+    """Write each row (below, content), content binary, as a file of its own in a folder that begins with `below`, under root.
+
+    Tasks write through Arrow: Spark's text writer with a file a row starts a process for each file to set its mode, and the
+    driver moves the files one by one.  A task numbers its files, in folders of FOLDER_FILES, which a listing deals to tasks; a
+    repeated task writes the same names, and a file gets its name when it is whole.
+    """
+
+    def write(rows):
+        task, (store, top) = TaskContext.get(), fs.FileSystem.from_uri(root if "://" in root else "file://" + root.removeprefix("file:"))
+        made = set()
+        for n, row in enumerate(rows):
+            folder = f"{top}/{row['below']}/{task.partitionId()}-{n // FOLDER_FILES}"
+            if folder not in made:
+                store.create_dir(folder)
+                made.add(folder)
+            with store.open_output_stream(f"{folder}/.{n}-{task.taskAttemptId()}") as out:
+                out.write(bytes(row["content"]))
+            store.move(f"{folder}/.{n}-{task.taskAttemptId()}", f"{folder}/{n}.txt")
+
+    files.select("below", "content").foreachPartition(write)
+
+
+def corpus_of(spark: SparkSession, root: str) -> DataFrame:
+    """The files below a folder as one listing, made once here; list_corpus() and read_corpus() may share it."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+
+
+def list_corpus(spark: SparkSession, root: str, files: DataFrame | None = None) -> DataFrame:
     """(path, below, size, skipped) of the files below a folder, by a listing alone; `below` is the path from root on.
 
     Spark's own listing leaves out empty files and those with a part of their path that begins with a dot or an underscore.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    files = corpus_of(spark, root) if files is None else files
     below = _below(spark, root)
     return files.select("path", below.alias("below"), F.col("length").alias("size"), skip_path(below).alias("skipped"))
 
 
-def read_corpus(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+def told_corpus(spark: SparkSession, root: str, files: DataFrame | None = None) -> DataFrame:
+    """(path, content, size, reason) of the files below a folder that scans don't pass over, read once: content where it is UTF-8, else a reason."""
+    files = (corpus_of(spark, root) if files is None else files).where(~skip_path(_below(spark, root)))
+    whole = F.is_valid_utf8(F.col("content").cast("string"))
+    return files.select("path", F.when(whole, F.col("content").cast("string")).alias("content"), F.col("length").alias("size"), F.when(~whole, "not UTF-8").alias("reason"))
+
+
+def read_corpus(spark: SparkSession, root: str, files: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(files, rejects): (path, content, size) of the UTF-8 files below a folder, and (path, size, reason) of those that aren't.
 
     Files that scans pass over, by their path from root on, are dropped from the listing by its metadata: they are never read.
     Files may have any size that a row can hold; Spark lists no empty ones and none whose path has a part with `.` or `_` before it.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).where(~skip_path(_below(spark, root)))
-    whole = F.is_valid_utf8(F.col("content").cast("string"))
-    rejects = files.where(~whole).select("path", F.col("length").alias("size"), F.lit("not UTF-8").alias("reason"))
-    return files.where(whole).select("path", F.col("content").cast("string").alias("content"), F.col("length").alias("size")), rejects
+    told = told_corpus(spark, root, files)
+    return told.where("reason IS NULL").select("path", "content", "size"), told.where("reason IS NOT NULL").select("path", "size", "reason")
 
 
 def with_lines(files: DataFrame, text: str = "content") -> DataFrame:

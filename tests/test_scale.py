@@ -1,6 +1,9 @@
 """Steps of the compliance operators that have to grow no faster than their tables: what their plans repeat or shuffle."""
 
-from auditlake.operators import remedy
+from auditlake.operators import corpus, remedy
+from auditlake.plans import catalog
+
+SF = "/root/testdata/sf0.001"
 
 
 def plan(df):
@@ -13,3 +16,14 @@ def test_replies_are_parsed_once(spark):
     assert [tuple(r)[:4] for r in found.collect()] == [("a", "CC6.1", "high", "d")]
     assert sorted(r.file_path for r in rejects.collect()) == ["b", "c"]
     assert plan(found).count("from_json(") == 2 and plan(rejects).count("from_json(") == 2  # as an array, as an object
+
+
+def test_corpus_is_written_by_tasks_and_read_once(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(corpus, "FOLDER_FILES", 2)
+    rows = [("src", b"a\n"), ("src", b"bb\n"), ("src", b"\xff\n"), ("lib/venv", b"c\n")]
+    corpus.write_files(spark.createDataFrame(rows, "below string, content binary").coalesce(1), str(tmp_path))
+    corpus.write_files(spark.createDataFrame(rows, "below string, content binary").coalesce(1), str(tmp_path))  # again: the same names
+    told = corpus.told_corpus(spark, str(tmp_path))
+    assert sorted((r.path.split("/src/")[1], r.content, r["size"], r.reason) for r in told.collect()) == [("0-0/0.txt", "a\n", 2, None), ("0-0/1.txt", "bb\n", 3, None), ("0-1/2.txt", None, 2, "not UTF-8")]
+    assert not [p for p in tmp_path.rglob(".*")]
+    assert plan(catalog.queries()["corpus_files"](spark, SF)).count("content#") <= plan(told).count("content#") + 1  # one scan reads contents
