@@ -106,7 +106,7 @@ def apply_patches(files: DataFrame, fixes: DataFrame) -> DataFrame:
     fix = F.struct(F.col("id").cast("long").alias("id"), "original", F.coalesce("fixed", F.lit("")).alias("fixed"), F.col("line_number").cast("long").alias("line_number"), size.alias("size"), breaks.alias("breaks"))
     rows = fixes.where("path IS NOT NULL AND original IS NOT NULL").groupBy("path").agg(F.collect_list(fix).alias("fixes")).join(files.select("path", "content"), "path", "left")
     rows = rows.withColumn("total", F.octet_length("content").cast("long")).withColumn("raw", F.col("content").cast("binary"))
-    rows = rows.withColumn("found", F.expr(_FOUND)).withColumn("told", F.expr(_TOLD)).withColumn("taken", F.expr(_SWEEP))
+    rows = _once(_once(_once(rows, "found", F.expr(_FOUND)), "told", F.expr(_TOLD)), "taken", F.expr(_SWEEP))
     applied = "array_contains(transform(taken, y -> y.id), x.id)"
     outcomes = F.expr(f"transform(told, x -> struct(x.id as id, if(x.status = 'found', if({applied}, 'applied', 'deferred'), x.status) as status, x.start as start, x.end as end))")
     return rows.select("path", F.expr(_SPLICED).alias("content"), outcomes.alias("outcomes"))
