@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.severity import language, skip_path, trimmed
@@ -139,17 +142,50 @@ def spans(files: DataFrame) -> DataFrame:
     return indented_spans(files.where(kind == "python")).unionByName(bracket_spans(files.where(kind.isin("javascript", "typescript"))))
 
 
+SPAN = "path string, kind string, name string, start_line long, end_line long"
+
+
 def indented_spans(files: DataFrame) -> DataFrame:
     """Spans of Python definitions, by indentation.
 
-    A definition ends with the last line that isn't blank before the next one indented no deeper.  Work grows with lines
-    times levels of indentation.  Approximate where strings or comments span lines.
+    A definition ends with the last line that isn't blank before the next one indented no deeper.  A file is one pass over the
+    indents of its lines, with a stack of the definitions that are open, where the file is: nothing is shuffled.  Approximate
+    where strings or comments span lines.
     """
-    rows = F.transform("lines", lambda x, i: F.struct((i + 1).cast("long").alias("line_no"), x.alias("line"), F.char_length(F.regexp_extract(x, r"^(\s*)", 1)).alias("indent")))
-    solid = F.filter(rows, lambda s: trimmed(s["line"]) != "")
-    held = files.select("path", F.inline(solid)).where(F.col("line").rlike(r"^\s*(async\s+)?(def|class)\s+\w+"))
-    ends = files.select("path", F.inline(solid)).select("path", "line_no", "indent")
-    return _closed(held, ends)
+    indents = F.transform("lines", lambda x: F.coalesce(F.when(trimmed(x) == "", -1).otherwise(F.char_length(F.regexp_extract(x, r"^(\s*)", 1))), F.lit(-1)))
+    held = F.filter(F.transform("lines", lambda x, i: F.struct(i.alias("at"), x.alias("line"))), lambda s: s["line"].rlike(r"^\s*(async\s+)?(def|class)\s+\w+"))
+    kind = lambda line: F.when(line.rlike(r"^\s*class\s"), "class").otherwise("function")
+    heads = F.transform(held, lambda s: F.struct(s["at"].alias("at"), kind(s["line"]).alias("kind"), F.regexp_extract(s["line"], r"(?:def|class)\s+(\w+)", 1).alias("name")))
+    return files.select("path", indents.alias("indents"), heads.alias("heads")).mapInArrow(_spans_by(_indented), SPAN)
+
+
+def _spans_by(spans_of):
+    """Batches of (path, ...) as batches of spans: spans_of yields (kind, name, start, end) of what a row has after its path."""
+
+    def run(batches):
+        names = ["path", "kind", "name", "start_line", "end_line"]
+        types = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()]
+        for batch in batches:
+            found = [(path, *s) for i, path in enumerate(batch.column(0).to_pylist()) for s in spans_of(*(batch.column(k)[i].as_py() for k in range(1, batch.num_columns)))]
+            columns = zip(*found, strict=True) if found else [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+
+    return run
+
+
+def _indented(indents, heads):
+    named, open_, last = {h["at"]: h for h in heads}, [], 0
+    for at, indent in enumerate(indents):
+        if indent < 0:
+            continue
+        while open_ and open_[-1][0] >= indent:
+            _, h = open_.pop()
+            yield h["kind"], h["name"], h["at"] + 1, last
+        last = at + 1
+        if at in named:
+            open_.append((indent, named[at]))
+    for _, h in open_:
+        yield h["kind"], h["name"], h["at"] + 1, last
 
 
 #: What counts in JavaScript and TypeScript, in the order in which it is looked for: comments, strings and templates, which may hold
@@ -163,6 +199,7 @@ TOKEN = "|".join(TOKENS)
 # In Java, repeated groups recurse unless they are possessive; what follows them can't begin what they hold, so that is the same.
 _JAVA_TOKEN = TOKEN.replace(")*", ")*+")
 HEADER = r"(function|class)[ \t]+([A-Za-z_$][A-Za-z0-9_$]*)$"
+_HEADER = re.compile(HEADER)
 
 
 def bracket_spans(files: DataFrame) -> DataFrame:
@@ -171,36 +208,38 @@ def bracket_spans(files: DataFrame) -> DataFrame:
     A declaration is open from the first brace at its own depth, unless a semicolon comes first (a signature without a body), and
     ends with the brace that brings the depth back; without one, with the last line.  Approximate: headers count at the
     start of a line only, `${}` inside templates and regular expressions are text like the rest, and a braced return type
-    is taken for the body.  Work grows with brackets and lines; a file is read by one task in each window, as a sorted stream.
+    is taken for the body.  Work grows with brackets and lines; a file is one pass over its tokens, where the file is: nothing is shuffled.
     """
-    tokens = files.select("path", F.size("lines").cast("long").alias("n_lines"), F.posexplode(F.regexp_extract_all(F.array_join("lines", "\n"), F.lit(_JAVA_TOKEN), 0)).alias("k", "token"))
-    # Comments and templates count for their line ends alone, strings for nothing.
-    step = F.when(F.col("token").isin("{", "(", "["), 1).when(F.col("token").isin("}", ")", "]"), -1).otherwise(0)
-    breaks = F.char_length("token") - F.char_length(F.replace(F.col("token"), F.lit("\n"), F.lit("")))
-    header = F.col("token").rlike(HEADER) & ~F.substring("token", 1, 1).isin("/", "'", '"', "`")
-    before = Window.partitionBy("path").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
-    rows = tokens.withColumn("step", step).withColumn("header", header)
-    rows = rows.withColumn("depth", F.coalesce(F.sum("step").over(before), F.lit(0))).withColumn("line_no", 1 + F.coalesce(F.sum(breaks).over(before), F.lit(0)))
-    rows = rows.where("header OR token IN ('{', '}', ';')").withColumn("level", F.col("depth") - (F.col("token") == "}").cast("int"))
-    after = Window.partitionBy("path", "level").orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, -1)
-    of = lambda token, value: F.min(F.when(F.col("token") == token, F.col(value))).over(after)
-    rows = rows.withColumn("opened", of("{", "k")).withColumn("ended", of(";", "k")).withColumn("closed", of("}", "line_no"))
-    held = rows.where("header AND opened IS NOT NULL AND (ended IS NULL OR opened < ended)")
-    return held.select("path", F.regexp_extract("token", HEADER, 1).alias("kind"), F.regexp_extract("token", HEADER, 2).alias("name"), F.col("line_no").cast("long").alias("start_line"), F.coalesce("closed", "n_lines").cast("long").alias("end_line"))
-
-
-def _closed(heads: DataFrame, lines: DataFrame) -> DataFrame:
-    levels = lines.select("path", "indent").distinct()
-    back = Window.partitionBy("path", "level").orderBy(F.desc("line_no")).rowsBetween(Window.unboundedPreceding, -1)
-    # A line counts for each level of its file that it is at or below: files have few levels.
-    at = lines.join(levels.select("path", F.col("indent").alias("level")), "path").where("indent <= level")
-    nexts = at.withColumn("stop", F.min("line_no").over(back)).where("indent = level").select("path", "line_no", "stop")
-    before = Window.partitionBy("path").orderBy("line_no")
-    previous = lines.select("path", F.col("line_no").alias("stop"), F.lag("line_no").over(before).alias("end_line"))
-    last = lines.groupBy("path").agg(F.max("line_no").alias("last"))
-    named = heads.join(nexts, ["path", "line_no"]).join(previous, ["path", "stop"], "left").join(last, "path")
-    kind = F.when(F.col("line").rlike(r"^\s*class\s"), "class").otherwise("function")
-    return named.select("path", kind.alias("kind"), F.regexp_extract("line", r"(?:def|class)\s+(\w+)", 1).alias("name"), F.col("line_no").alias("start_line"), F.coalesce("end_line", "last").alias("end_line"))
+    found = F.regexp_extract_all(F.array_join("lines", "\n"), F.lit(_JAVA_TOKEN), 0)
+    # Of comments and templates only the line ends count, of strings nothing.
+    tokens = F.transform(found, lambda t: F.when(F.substring(t, 1, 1).isin("/", "'", '"', "`"), F.regexp_replace(t, "[^\n]+", "")).otherwise(t))
+    return files.select("path", F.size("lines").alias("n_lines"), F.filter(tokens, lambda t: t != "").alias("tokens")).mapInArrow(_spans_by(_bracketed), SPAN)
+
+
+def _bracketed(n_lines, tokens):
+    # By depth: declarations that wait for a body, those among them whose depth a brace has brought back before, and those that have a body.
+    line, depth, waiting, ended, bodies = 1, 0, {}, {}, {}
+    for token in tokens:
+        if token == "{":
+            bodies.setdefault(depth, []).extend(waiting.pop(depth, ()))
+            yield from ended.pop(depth, ())
+            depth += 1
+        elif token == "}":
+            depth -= 1
+            yield from ((*head, line) for head in bodies.pop(depth, ()))
+            ended.setdefault(depth, []).extend((*head, line) for head in waiting.pop(depth, ()))
+        elif token in "([":
+            depth += 1
+        elif token in ")]":
+            depth -= 1
+        elif token == ";":
+            waiting.pop(depth, None)
+            ended.pop(depth, None)
+        elif token[0] == "\n":
+            line += len(token)
+        else:
+            waiting.setdefault(depth, []).append((*_HEADER.search(token).groups(), line))
+    yield from ((*head, n_lines) for heads in bodies.values() for head in heads)
 
 
 def import_lines(files: DataFrame) -> DataFrame:
