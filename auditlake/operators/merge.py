@@ -16,8 +16,9 @@ def match(pattern: DataFrame, model: DataFrame, tolerance: int = 3, buckets: boo
     from a join on the key and a bucket of lines; the greedy choice is a pass over each run of lines that share candidates,
     as a sorted stream that holds the ids taken in the run.
     """
-    width = tolerance + 1
-    left = model.select(*KEY, F.col("id").alias("llm_id"), F.col("line_number").alias("llm_line"), F.explode(F.array(*(F.floor(F.col("line_number") / width) + d for d in (-1, 0, 1)))).alias("bucket"))
+    width = 2 * tolerance + 1
+    reach = F.sequence(F.floor((F.col("line_number") - tolerance) / width), F.floor((F.col("line_number") + tolerance) / width))  # two buckets at most
+    left = model.select(*KEY, F.col("id").alias("llm_id"), F.col("line_number").alias("llm_line"), F.explode(reach).alias("bucket"))
     right = pattern.select(*KEY, F.col("id").alias("regex_id"), F.col("line_number").alias("regex_line"), F.floor(F.col("line_number") / width).alias("bucket"))
     apart = F.abs(F.col("llm_line") - F.col("regex_line"))
     near = left.join(right, [*KEY, "bucket"]).where(apart <= tolerance).select(*KEY, "llm_id", "llm_line", F.struct(apart.alias("d"), "regex_id").alias("c"))
@@ -49,14 +50,16 @@ def _greedy(batches):
         yield pa.RecordBatch.from_arrays([*(picked.column(i) for i in range(len(KEY))), picked.column(len(KEY) + 1), pa.array(chosen, pa.int64())], names=[*KEY, "llm_id", "regex_id"])
 
 
-def merge(pattern: DataFrame, model: DataFrame, tolerance: int = 3) -> DataFrame:
+def merge(pattern: DataFrame, model: DataFrame, tolerance: int = 3, pairs: DataFrame | None = None) -> DataFrame:
     """Hybrid findings (the model's row, the higher severity), and what is left of either side, disjoint.
 
+    The pairs of match() are read three times: given as a written table, they aren't matched again each time.
+
     Where findings have a description, hybrid ones say what the pattern found and where, and why the model reported it.
     """
     from ..functions.severity import SEVERITIES, rank
 
-    pairs = match(pattern, model, tolerance).select("llm_id", "regex_id")
+    pairs = (match(pattern, model, tolerance) if pairs is None else pairs).select("llm_id", "regex_id")
     matched = model.join(pairs, model.id == pairs.llm_id).drop("llm_id")
     told = "description" in model.columns
     regex = pattern.select(F.col("id").alias("regex_id"), F.col("severity").alias("regex_severity"), *([F.col("description").alias("regex_description"), F.col("line_number").alias("regex_line")] if told else []))

@@ -1,6 +1,6 @@
 """Steps of the compliance operators that have to grow no faster than their tables: what their plans repeat or shuffle."""
 
-from auditlake.operators import corpus, remedy
+from auditlake.operators import corpus, remedy, store
 from auditlake.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -27,3 +27,36 @@ def test_corpus_is_written_by_tasks_and_read_once(spark, tmp_path, monkeypatch):
     assert sorted((r.path.split("/src/")[1], r.content, r["size"], r.reason) for r in told.collect()) == [("0-0/0.txt", "a\n", 2, None), ("0-0/1.txt", "bb\n", 3, None), ("0-1/2.txt", None, 2, "not UTF-8")]
     assert not [p for p in tmp_path.rglob(".*")]
     assert plan(catalog.queries()["corpus_files"](spark, SF)).count("content#") <= plan(told).count("content#") + 1  # one scan reads contents
+
+
+def test_spans_are_found_where_files_are(spark):
+    py = ["class A:", "  def f(self):", "    x", "", "  y", "async def g():", "\tpass", "\t"]
+    js = ["class B {", "  /* {", " */ a(`", "{`) }", "function f(a, {b}) {", "}", "function sign(x);", "function open() {", "  class C {"]
+    found = corpus.spans(spark.createDataFrame([("a.py", py), ("b.js", js), ("c.ts", []), ("d.md", py)], "path string, lines array<string>"))
+    want = [("a.py", "class", "A", 1, 5), ("a.py", "function", "f", 2, 3), ("a.py", "function", "g", 6, 7), ("b.js", "class", "B", 1, 4), ("b.js", "class", "C", 9, 9), ("b.js", "function", "f", 5, 6), ("b.js", "function", "open", 8, 9)]
+    assert sorted(map(tuple, found.collect())) == want
+    assert "Window" not in plan(found) and "Join" not in plan(found)
+
+
+def test_fixes_are_placed_once(spark):
+    assert plan(catalog.queries()["fix_outcomes"](spark, SF)).count("aggregate(") == 2  # their places, the sweep
+
+
+def test_versions_are_numbered_once(spark):
+    assert "row_number()" not in plan(catalog.queries()["evolved_violations"](spark, SF))
+
+
+def test_exports_are_compressed(spark, tmp_path):
+    store.export({"t": spark.range(10), "u": spark.range(3)}, str(tmp_path / "e"))
+    assert list((tmp_path / "e" / "t").glob("*.json.gz")) and not list((tmp_path / "e" / "t").glob("*.json"))
+
+
+def test_blocks_stay_with_their_files(spark):
+    for name in ("scan_findings", "enriched_findings", "fix_outcomes"):
+        df = catalog.queries()[name](spark, SF)
+        assert "Aggregate [file_id#" in plan(df) and ", path#" in plan(df)
+
+
+def test_matches_are_made_once(spark):
+    for name in ("merge_summary", "hybrid_reasoning"):
+        assert "MapInArrow" not in plan(catalog.queries()[name](spark, SF))
