@@ -174,8 +174,8 @@ def _spans_by(spans_of):
 
 
 def _indented(indents, heads):
-    named, open_, last = {h["at"]: h for h in heads}, [], 0
-    for at, indent in enumerate(indents):
+    named, open_, last = {h["at"]: h for h in heads or ()}, [], 0  # without lines, both are null
+    for at, indent in enumerate(indents if named else ()):
         if indent < 0:
             continue
         while open_ and open_[-1][0] >= indent:
@@ -219,7 +219,7 @@ def bracket_spans(files: DataFrame) -> DataFrame:
 def _bracketed(n_lines, tokens):
     # By depth: declarations that wait for a body, those among them whose depth a brace has brought back before, and those that have a body.
     line, depth, waiting, ended, bodies = 1, 0, {}, {}, {}
-    for token in tokens:
+    for token in tokens or ():
         if token == "{":
             bodies.setdefault(depth, []).extend(waiting.pop(depth, ()))
             yield from ended.pop(depth, ())
