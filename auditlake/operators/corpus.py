@@ -122,6 +122,40 @@ def gather_lines(lines: DataFrame, keys: list[str]) -> DataFrame:
     return lines.groupBy(*keys).agg(F.transform(each, lambda s: s["line"]).alias("lines"))
 
 
+#: Rows, and bytes of text, that are sent to all tasks rather than shuffled.
+SENT_ROWS, SENT_BYTES = 50_000, 8 << 20
+#: Rows of one key that a join deals to a part.
+DEALT = 100_000
+
+
+def few(rows: DataFrame, *texts: str) -> bool:
+    """Whether rows, with texts of these columns, may be sent to all tasks."""
+    size = sum((F.octet_length(t) for t in texts), F.lit(0))
+    n, n_bytes = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    return n <= SENT_ROWS and n_bytes <= SENT_BYTES
+
+
+def of_paths(lines: DataFrame, paths: DataFrame) -> DataFrame:
+    """The lines (path, ...) of these paths (path, each once); where paths are few, other lines are dropped where they are."""
+    return lines.join(F.broadcast(paths) if few(paths, "path") else paths, "path", "left_semi")
+
+
+def join_shared(rows: DataFrame, shared: DataFrame, keys: list[str], text: str, spread: list[str], how: str = "inner") -> DataFrame:
+    """rows joined with what many of them share: `shared` has each of keys once, and a text; `spread` tells rows of a key apart.
+
+    A small `shared` is sent to all tasks.  Of a larger one, a row that more than DEALT rows need goes to as many parts as they are
+    dealt to, so that no task gets all rows of a key; such keys, 1 in DEALT rows at most, are sent to all tasks.
+    """
+    if few(shared, *keys, text):
+        return rows.join(F.broadcast(shared), keys, how)
+    often = rows.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / DEALT).alias("_parts")).where("_parts > 1")
+    part = F.pmod(F.xxhash64(*spread), F.coalesce("_parts", F.lit(1))).alias("_part")
+    dealt = rows.join(F.broadcast(often), keys, "left").select(*rows.columns, part)
+    each = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_parts", F.lit(1)) - 1)).alias("_part")
+    copies = shared.join(F.broadcast(often), keys, "left").select(*shared.columns, each)
+    return dealt.join(copies, [*keys, "_part"], how).drop("_part")
+
+
 def select_for_model(files: DataFrame, mode: str, text: Column) -> DataFrame:
     """Files with a flag for each keyword group, and whether the mode selects them."""
     low = F.lower(text)

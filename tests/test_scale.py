@@ -1,5 +1,7 @@
 """Steps of the compliance operators that have to grow no faster than their tables: what their plans repeat or shuffle."""
 
+import pytest
+
 from auditlake.operators import corpus, remedy, store
 from auditlake.plans import catalog
 
@@ -60,3 +62,22 @@ def test_blocks_stay_with_their_files(spark):
 def test_matches_are_made_once(spark):
     for name in ("merge_summary", "hybrid_reasoning"):
         assert "MapInArrow" not in plan(catalog.queries()[name](spark, SF))
+
+
+def limits(monkeypatch, small):
+    """Everything is sent to all tasks, or nothing is and keys of more than two rows are dealt to parts."""
+    if not small:
+        for name, value in (("SENT_ROWS", 0), ("DEALT", 2)):
+            monkeypatch.setattr(corpus, name, value)
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_snippets_are_made_once_a_place(spark, monkeypatch, small):
+    limits(monkeypatch, small)
+    rows = [(i, "a", 2) for i in range(9)] + [(20, "a", 4), (21, "a", 5), (22, "b", 1), (23, "c", 1), (None, "a", 1), (24, None, 1), (25, "a", None)]
+    findings = spark.createDataFrame(rows, "id long, path string, line_number long")
+    lines = spark.createDataFrame([("a", n, f"a{n}") for n in (1, 2, 3, 4)] + [("b", 1, "b1"), ("d", 1, "d1")], "path string, line_no long, line string")
+    found = remedy.line_snippets(findings, lines, 1, False)
+    want = [(i, "a1\na2\na3", 2) for i in range(9)] + [(20, "a3\na4", 2), (21, None, None), (22, "b1", 1), *((i, None, None) for i in (23, 24, 25, None))]
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(want, key=str)
+    assert "Aggregate [id#" not in plan(found)
