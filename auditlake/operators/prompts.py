@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bookkeeping import CONTROLS
+from .corpus import join_shared
 
 # What a fix of a control is called, and what its request ends with.
 FIXES = {
@@ -75,14 +76,18 @@ def system_prompt() -> str:
     return SYSTEM_HEAD + "".join(each) + SYSTEM_TAIL
 
 
-def analysis_requests(files: DataFrame, findings: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, system, prompt) of files (keys, content), with the pattern findings (keys, line_number, description, control_id) of each.
+def analysis_requests(files: DataFrame, findings: DataFrame, keys: list[str], contents: DataFrame | None = None) -> DataFrame:
+    """(keys, system, prompt) of files (keys, path, content), with the pattern findings (keys, line_number, description, control_id) of each.
 
-    Findings are listed by line; a file without findings has no list.
+    Findings are listed by line; a file without findings has no list.  With contents (path, content; each path once), files have no
+    content: requests meet that of their path last, wherever they are, and those whose path has none are left out.
     """
-    bullet = F.format_string("- Line %d: %s (%s)\n", "line_number", "description", "control_id")
-    lists = findings.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_number", "control_id", "description", bullet.alias("bullet")))), lambda s: s["bullet"]), "").alias("found"))
+    bullet = lambda s: F.format_string("- Line %d: %s (%s)\n", s["line_number"], s["description"], s["control_id"])
+    each = F.array_sort(F.collect_list(F.struct("line_number", "control_id", "description")))
+    lists = findings.groupBy(*keys).agg(F.array_join(F.transform(each, bullet), "").alias("found"))
     joined = files.join(lists, keys, "left")
+    if contents is not None:
+        joined = join_shared(joined, contents.select("path", "content"), ["path"], "content", keys)
     head = F.concat(F.lit(f"{FILE_HEAD}**File**: "), F.col("path"), F.lit("\n\n**Code**:\n```\n"), F.col("content"), F.lit("\n```\n\n"))
     prompt = F.concat(head, _or_empty(F.col("found"), FOUND_HEAD, FOUND_TAIL), F.lit(FILE_TAIL))
     return joined.select(*keys, F.lit(system_prompt()).alias("system"), prompt.alias("prompt"))

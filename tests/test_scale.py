@@ -2,7 +2,7 @@
 
 import pytest
 
-from auditlake.operators import corpus, remedy, store
+from auditlake.operators import corpus, prompts, remedy, store
 from auditlake.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -81,3 +81,17 @@ def test_snippets_are_made_once_a_place(spark, monkeypatch, small):
     want = [(i, "a1\na2\na3", 2) for i in range(9)] + [(20, "a3\na4", 2), (21, None, None), (22, "b1", 1), *((i, None, None) for i in (23, 24, 25, None))]
     assert sorted(map(tuple, found.collect()), key=str) == sorted(want, key=str)
     assert "Aggregate [id#" not in plan(found)
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_requests_meet_contents_last(spark, monkeypatch, small):
+    limits(monkeypatch, small)
+    files = spark.createDataFrame([(i, "a") for i in range(9)] + [(1, "b"), (1, "c"), (2, None)], "scan_id long, path string")
+    contents = spark.createDataFrame([("a", "x\ny"), ("b", "z"), ("d", "w")], "path string, content string")
+    findings = spark.createDataFrame([(3, "a", n, "d", "A1.2") for n in (2, 1)], "scan_id long, path string, line_number long, description string, control_id string")
+    held = prompts.analysis_requests(files.join(contents, "path"), findings, ["scan_id", "path"])
+    last = prompts.analysis_requests(files, findings, ["scan_id", "path"], contents)
+    assert sorted(map(tuple, last.collect())) == sorted(map(tuple, held.collect())) and last.count() == 10
+    left = corpus.join_shared(files, contents, ["path"], "content", ["scan_id"], "left")
+    assert sorted(map(tuple, left.collect()), key=str) == sorted(map(tuple, files.join(contents, "path", "left").collect()), key=str)
+    assert "row_number()" not in plan(catalog.queries()["analysis_prompts"](spark, SF))  # contents are read, not made for each request
