@@ -19,7 +19,7 @@ from .common import KEPT, Rolling
 
 OTHER, LETTER, NUMBER, SPACE = range(4)
 #: Words whose ids a worker keeps; the cache starts anew when it is full.
-CACHE_WORDS = 150_000
+CACHE_WORDS = 30_000
 #: Longer words aren't kept.
 CACHE_CHARS = 64
 #: Code points that are split at once.

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from auditlake.llm import decontaminate, langid, packing, secrets, signature_tree
-from auditlake.llm.common import row_key, split_by, staged
+from auditlake.llm.common import TEXT_ROWS, row_key, split_by, staged
 from auditlake.sources import table
 
 #: A document stays if the classifier names its language at least this surely.
@@ -38,8 +38,13 @@ def without(docs: DataFrame, gone: DataFrame, once: DataFrame | None = None) ->
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language that is named surely enough; those of no language (no letter, null) go; repeated rows are kept each."""
-    return langid.recognised(docs, langid.fit(docs), LEAST_SCORE)
+    """Documents with a language that is named surely enough; those of no language (no letter, null) go; repeated rows are kept each.
+
+    Judged in small batches, as JVM and worker hold a batch of whole texts for each task; texts don't come back from Python.
+    """
+    told = langid.predict(docs.select(row_key("doc_id", "text").alias("key"), "text"), langid.fit(docs), id_col="key")
+    gone = told.where(f"NOT (lang_pred <> 'und' AND score >= {LEAST_SCORE})").select(F.col("doc_id").alias("gone_key")).distinct()
+    return without(docs, staged(gone, "unrecognised", TEXT_ROWS))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

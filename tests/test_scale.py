@@ -2,6 +2,8 @@
 
 import pytest
 
+import corpus_pipeline
+from auditlake.llm import langid
 from auditlake.operators import corpus, prompts, remedy, store
 from auditlake.plans import catalog
 
@@ -95,3 +97,13 @@ def test_requests_meet_contents_last(spark, monkeypatch, small):
     left = corpus.join_shared(files, contents, ["path"], "content", ["scan_id"], "left")
     assert sorted(map(tuple, left.collect()), key=str) == sorted(map(tuple, files.join(contents, "path", "left").collect()), key=str)
     assert "row_number()" not in plan(catalog.queries()["analysis_prompts"](spark, SF))  # contents are read, not made for each request
+
+
+def test_language_stage_returns_no_texts_from_python(spark):
+    rows = [(i, f"this is the text of a document {i} in english") for i in range(40)] + [(100 + i, f"dies ist der text von einem dokument {i} auf deutsch") for i in range(40)]
+    rows += [(7, "1234"), (8, None), (None, "and another text in english"), (None, "..."), rows[0], rows[0], (9, "")]
+    docs = spark.createDataFrame([(*r, "en" if (r[0] or 0) < 100 else "de") for r in rows], "doc_id long, text string, lang string")
+    out = corpus_pipeline.identify_language(spark, docs, SF)
+    want = langid.recognised(docs, langid.fit(docs), corpus_pipeline.LEAST_SCORE)
+    assert sorted(map(str, out.collect())) == sorted(map(str, want.collect())) and 70 < out.count() <= len(rows) - 4
+    assert "MapInArrow" not in plan(out)
