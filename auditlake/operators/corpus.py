@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyarrow import fs
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.severity import language, skip_path, trimmed
+from ..streaming.changes import work_folder
 from .rules import VIEW_AUTH
 
 # Words that make a file relevant, by group; compared with the lower-cased text.
@@ -39,14 +41,35 @@ KEYWORDS = {
 }
 
 
+def _top(spark: SparkSession, root: str):
+    """A folder by Spark's file systems, as a Java path."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(root)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where)
+
+
 def _below(spark: SparkSession, root: str) -> Column:
     """The path of a file below root, by the file's metadata, in URL encoding."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(root)
-    top = where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toUri().getRawPath().rstrip("/")
+    top = _top(spark, root).toUri().getRawPath().rstrip("/")
     file = F.col("_metadata.file_path")
     return F.substring(file, F.locate(f"{top}/", file) + len(top) + 1, F.char_length(file))
 
 
+# What a Java URI encodes in a path.
+_ENCODED = re.compile(r"[^!$&-;=@-Z_a-z~\x80-\U0010ffff]|[\s\x7f-\x9f]")
+
+
+def _encoded(path: str) -> str:
+    return _ENCODED.sub(lambda c: quote(c[0]), path)
+
+
+def _store(top: str) -> tuple[fs.FileSystem, str]:
+    """The store of a qualified folder, by Arrow, and the folder there."""
+    if top.startswith("file:"):
+        return fs.LocalFileSystem(), top.removeprefix("file:").rstrip("/")
+    store, folder = fs.FileSystem.from_uri(_encoded(top))
+    return store, folder.rstrip("/")
+
+
 #: Files of a folder that write_files() makes.
 FOLDER_FILES = 1000
 
@@ -58,49 +81,141 @@ def write_files(files: DataFrame, root: str) -> None:
     driver moves the files one by one.  A task numbers its files, in folders of FOLDER_FILES, which a listing deals to tasks; a
     repeated task writes the same names, and a file gets its name when it is whole.
     """
+    where = _top(files.sparkSession, root).toString()
 
-    def write(rows):
-        task, (store, top) = TaskContext.get(), fs.FileSystem.from_uri(root if "://" in root else "file://" + root.removeprefix("file:"))
-        made = set()
-        for n, row in enumerate(rows):
-            folder = f"{top}/{row['below']}/{task.partitionId()}-{n // FOLDER_FILES}"
-            if folder not in made:
-                store.create_dir(folder)
-                made.add(folder)
-            with store.open_output_stream(f"{folder}/.{n}-{task.taskAttemptId()}") as out:
-                out.write(bytes(row["content"]))
-            store.move(f"{folder}/.{n}-{task.taskAttemptId()}", f"{folder}/{n}.txt")
+    def write(batches):
+        task, (store, top), made, n = TaskContext.get(), _store(where), set(), 0
+        for batch in batches:
+            for below, content in zip(batch.column(0), batch.column(1), strict=True):
+                folder = f"{top}/{below}/{task.partitionId()}-{n // FOLDER_FILES}"
+                if folder not in made:
+                    store.create_dir(folder)
+                    made.add(folder)
+                with store.open_output_stream(f"{folder}/.{n}-{task.taskAttemptId()}", compression=None) as out:
+                    out.write(content.as_buffer() or b"")
+                store.move(f"{folder}/.{n}-{task.taskAttemptId()}", f"{folder}/{n}.txt")
+                n += 1
+        yield from ()
 
-    files.select("below", "content").foreachPartition(write)
+    files.select("below", "content").mapInArrow(write, "n long").write.format("noop").mode("overwrite").save()
 
 
-def corpus_of(spark: SparkSession, root: str) -> DataFrame:
-    """The files below a folder as one listing, made once here; list_corpus() and read_corpus() may share it."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+#: Files of a corpus that Spark's own scan reads: of more, the driver would hold a listing and a task for every 32.
+SCANNED_FILES = 500
+#: Folders dealt to a task that lists, and entries after which it leaves the folders that it finds to other tasks.
+LISTED_FOLDERS, LISTED_ENTRIES = 64, 10_000
+#: Files and bytes dealt to a task that reads, and bytes of a batch.
+READ_FILES, READ_BYTES, BATCH_BYTES = 2000, 32 << 20, 4 << 20
 
 
-def list_corpus(spark: SparkSession, root: str, files: DataFrame | None = None) -> DataFrame:
-    """(path, below, size, skipped) of the files below a folder, by a listing alone; `below` is the path from root on.
+def _hidden(name: str) -> bool:
+    """Whether Spark's listing leaves out a file or folder of this name."""
+    marked = name.startswith(".") or name.endswith("._COPYING_") or (name.startswith("_") and "=" not in name)
+    return marked and not name.startswith(("_metadata", "_common_metadata"))
 
-    Spark's own listing leaves out empty files and those with a part of their path that begins with a dot or an underscore.
+
+def list_corpus(spark: SparkSession, root: str) -> DataFrame:
+    """(path, below, size, skipped) of the files below a folder, by a listing alone; `below` is the path from root on, in URL encoding.
+
+    Tasks walk through folders, and write the files and the folders left to the next round of tasks, so that the driver holds none
+    of them; what is in one folder is listed by one task.  As Spark's own listing does, which lists stores that Arrow
+    can't open, this leaves out empty files and those with a part of their path that begins with a dot or an underscore.
     """
-    files = corpus_of(spark, root) if files is None else files
-    below = _below(spark, root)
-    return files.select("path", below.alias("below"), F.col("length").alias("size"), skip_path(below).alias("skipped"))
+    top = _top(spark, root).toString().rstrip("/")
+    if not _by_tasks(top):
+        below = _below(spark, root)
+        return _scanned(spark, root).select("path", below.alias("below"), F.col("length").alias("size"), skip_path(below).alias("skipped"))
+
+    def listed(batches):
+        store, there = _store(top)
+        for batch in batches:
+            given, found, seen = batch.column(0).to_pylist(), [], 0
+            while given or found:
+                folder = given.pop() if given else found.pop()
+                rows = []
+                for f in store.get_file_info(fs.FileSelector(f"{there}{folder.removeprefix(top)}" or "/")):
+                    seen, path = seen + 1, f"{folder}/{f.base_name}"
+                    if _hidden(f.base_name):
+                        continue
+                    if f.type == fs.FileType.Directory:
+                        found.append(path)
+                    elif f.size:
+                        rows.append((path, _encoded(path[len(top) + 1 :]), f.size))
+                if seen >= LISTED_ENTRIES:
+                    rows += [(path, None, None) for path in found]
+                    found = []
+                for at in range(0, len(rows), 10_000):
+                    yield _batch(rows[at : at + 10_000], {"path": pa.string(), "below": pa.string(), "size": pa.int64()})
+
+    written, n, turn, columns = work_folder(spark, "listing"), 1, 0, "path string, below string, size long"
+    folders = spark.range(1).select(F.lit(top).alias("path"))
+    while n:
+        folders.repartition(-(-n // LISTED_FOLDERS)).mapInArrow(listed, columns).write.parquet(f"{written}/turn={turn}")
+        folders = spark.read.schema(columns).parquet(f"{written}/turn={turn}").where("size IS NULL").select("path")
+        n, turn = folders.count(), turn + 1
+    files = spark.read.schema(columns).option("recursiveFileLookup", True).parquet(written).where("size IS NOT NULL")
+    return files.select("path", "below", "size", skip_path(F.col("below")).alias("skipped"))
+
+
+def _batch(rows: list[tuple], types: dict[str, pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types.values(), strict=True)], names=list(types))
+
+
+def _by_tasks(top: str) -> bool:
+    """Whether Arrow opens a folder, so that tasks may list it."""
+    try:
+        store, there = _store(top)
+        return store.get_file_info(there or "/").type == fs.FileType.Directory
+    except (pa.ArrowException, OSError):
+        return False
+
+
+def _scanned(spark: SparkSession, root: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+
+
+def _contents(spark: SparkSession, root: str, files: DataFrame) -> DataFrame:
+    """(path, content, length) of the files of a listing that scans don't pass over; tasks read them, dealt by number and size."""
+    top = _top(spark, root).toString().rstrip("/")
+    passed = F.col("skipped")
+    n, n_read, n_bytes = files.agg(F.count(F.lit(1)), F.count_if(~passed), F.coalesce(F.sum(F.when(~passed, F.col("size"))), F.lit(0))).first()
+    if n <= SCANNED_FILES or not _by_tasks(top):
+        return _scanned(spark, root).where(~skip_path(_below(spark, root))).select("path", "content", "length")
+
+    def read(batches):
+        (store, there), rows, held = _store(top), [], 0
+        types = {"path": pa.string(), "content": pa.binary(), "length": pa.int64()}
+        for batch in batches:
+            for path, size in zip(*(batch.column(k).to_pylist() for k in (0, 1)), strict=True):
+                with store.open_input_file(f"{there}{path.removeprefix(top)}") as file:
+                    content = file.readall()
+                rows.append((path, content, size))
+                held += len(content)
+                if held >= BATCH_BYTES:
+                    yield _batch(rows, types)
+                    rows, held = [], 0
+        if rows:
+            yield _batch(rows, types)
+
+    parts = max(-(-n_read // READ_FILES), -(-n_bytes // READ_BYTES), 1)
+    return files.where(~passed).select("path", "size").repartition(parts).mapInArrow(read, "path string, content binary, length long")
 
 
 def told_corpus(spark: SparkSession, root: str, files: DataFrame | None = None) -> DataFrame:
-    """(path, content, size, reason) of the files below a folder that scans don't pass over, read once: content where it is UTF-8, else a reason."""
-    files = (corpus_of(spark, root) if files is None else files).where(~skip_path(_below(spark, root)))
+    """(path, content, size, reason) of the files below a folder that scans don't pass over, read once: content where it is UTF-8, else a reason.
+
+    `files` is what list_corpus() gave, if it was called before.
+    """
+    found = _contents(spark, root, list_corpus(spark, root) if files is None else files)
     whole = F.is_valid_utf8(F.col("content").cast("string"))
-    return files.select("path", F.when(whole, F.col("content").cast("string")).alias("content"), F.col("length").alias("size"), F.when(~whole, "not UTF-8").alias("reason"))
+    return found.select("path", F.when(whole, F.col("content").cast("string")).alias("content"), F.col("length").alias("size"), F.when(~whole, "not UTF-8").alias("reason"))
 
 
 def read_corpus(spark: SparkSession, root: str, files: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(files, rejects): (path, content, size) of the UTF-8 files below a folder, and (path, size, reason) of those that aren't.
 
-    Files that scans pass over, by their path from root on, are dropped from the listing by its metadata: they are never read.
-    Files may have any size that a row can hold; Spark lists no empty ones and none whose path has a part with `.` or `_` before it.
+    Files that scans pass over, by their path from root on, are dropped from the listing: they are never read.
+    Files may have any size that a row can hold; empty ones aren't listed, and none whose path has a part with `.` or `_` before it.
     """
     told = told_corpus(spark, root, files)
     return told.where("reason IS NULL").select("path", "content", "size"), told.where("reason IS NOT NULL").select("path", "size", "reason")

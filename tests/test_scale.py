@@ -33,6 +33,34 @@ def test_corpus_is_written_by_tasks_and_read_once(spark, tmp_path, monkeypatch):
     assert plan(catalog.queries()["corpus_files"](spark, SF)).count("content#") <= plan(told).count("content#") + 1  # one scan reads contents
 
 
+ODD = ("a.py", "b c/d%20e.py", "b c/#f?g+h&i[1]{2}.py", "b c/j.py.gz", "venv/k.py", "l/.m/n.py", "l/_o/p.py", "l/_q=r/s.py", "_metadata/t.py", "l/u.py._COPYING_", "l/.v.py", "l/_w.py", "l/empty.py", "l/m/n/o/p/q.py")
+
+
+def test_large_corpora_are_listed_and_read_by_tasks(spark, tmp_path, monkeypatch):
+    for name in ODD:
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"" if "empty" in name else b"\xff" if name == "a.py" else name.encode())
+    rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+    few = rows(corpus.told_corpus(spark, str(tmp_path)))
+    monkeypatch.setattr(corpus, "_by_tasks", lambda top: False)
+    scanned = rows(corpus.list_corpus(spark, str(tmp_path)))
+    monkeypatch.undo()
+    for name, value in (("SCANNED_FILES", 0), ("LISTED_ENTRIES", 2), ("LISTED_FOLDERS", 1), ("READ_FILES", 3), ("BATCH_BYTES", 9)):
+        monkeypatch.setattr(corpus, name, value)
+    files = corpus.list_corpus(spark, str(tmp_path))
+    assert rows(files) == scanned and len(scanned) == 8
+    told = corpus.told_corpus(spark, str(tmp_path), files)
+    assert rows(told) == few and len(few) == 7 and told.rdd.getNumPartitions() == 3
+    assert "binaryFile" not in plan(told) and "binaryFile" not in plan(files)
+
+
+def test_files_of_a_corpus_are_no_tasks(spark, tmp_path):
+    corpus.write_files(spark.range(1200).selectExpr("'src' AS below", "CAST(CAST(id AS STRING) AS BINARY) AS content").coalesce(1), str(tmp_path))
+    told = corpus.told_corpus(spark, str(tmp_path))
+    assert told.rdd.getNumPartitions() == 1
+    assert sorted(int(r.content) for r in told.collect()) == list(range(1200))
+
+
 def test_spans_are_found_where_files_are(spark):
     py = ["class A:", "  def f(self):", "    x", "", "  y", "async def g():", "\tpass", "\t"]
     js = ["class B {", "  /* {", " */ a(`", "{`) }", "function f(a, {b}) {", "}", "function sign(x);", "function open() {", "  class C {"]
